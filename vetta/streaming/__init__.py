@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming operator (no watermark, window or state); its
+only "stream" is an iterator used to peek at one record, which
+``vetta.sources.segments.peek`` covers with ``df.limit(1)``.  Nothing is
+built here on purpose.
+"""
