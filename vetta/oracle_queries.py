@@ -107,3 +107,95 @@ SELECT 'lp', lp, signal, 'pearson', round({_pearson()}, 6)
 FROM lg WHERE pred IS NOT NULL AND gold IS NOT NULL AND lp IS NOT NULL GROUP BY lp, signal
 UNION ALL
 SELECT 'lp', lp, signal, 'spa', round(spa, 6) FROM ({_spa('SELECT * FROM lg WHERE lp IS NOT NULL', 25.0, 'lp')})"""
+
+# --- profiles -------------------------------------------------------------------
+
+LP_SP = "src_lang || ' -> ' || tgt_lang"
+
+
+def _stats(src, keys, extra=""):
+    k = f"{keys}, " if keys else ""
+    return f"""SELECT {k}{extra}count(*) AS n, round(avg(score), 6) AS mean,
+       round(quantile_cont(score, 0.5), 6) AS median, round(stddev_pop(score), 6) AS std,
+       round(min(score), 6) AS min, round(max(score), 6) AS max
+FROM {src} WHERE score IS NOT NULL GROUP BY {keys}"""
+
+
+SQL["score_profile"] = with_views(RATINGS) + """
+SELECT count(*) AS n, round(min(score), 6) AS min, round(max(score), 6) AS max,
+       round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median,
+       round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.25), 6) AS p25,
+       round(quantile_cont(score, 0.75), 6) AS p75
+FROM ratings WHERE score IS NOT NULL"""
+
+
+def _hist(col):
+    return f"""SELECT '{col}' AS "column", b.bin, b.lo, b.hi, coalesce(h.c, 0) AS count,
+       repeat('#', CAST(CASE WHEN max(coalesce(h.c, 0)) OVER () > 0
+                             THEN coalesce(h.c, 0) * 40 // max(coalesce(h.c, 0)) OVER () ELSE 0 END AS INT)) AS bar
+FROM (SELECT i AS bin,
+             CASE WHEN t.top > 1 THEN i * 10.0 ELSE i / 10 END AS lo,
+             CASE WHEN t.top > 1 THEN i * 10.0 + 10 ELSE (i + 1) / 10 END AS hi
+      FROM range(10) r(i),
+           (SELECT CASE WHEN max({col}) > 1.5 THEN 100.0 ELSE 1.0 END AS top FROM ratings) t) b
+LEFT JOIN (SELECT CASE WHEN top > 1
+                       THEN len(list_filter([{', '.join(f'{i * 10}.0::DOUBLE' for i in range(1, 10))}], lambda e: e <= v))
+                       ELSE len(list_filter([{', '.join(f'({i}/10)::DOUBLE' for i in range(1, 10))}], lambda e: e <= v)) END AS bin,
+                  count(*) AS c
+           FROM (SELECT {col} AS v, (SELECT CASE WHEN max({col}) > 1.5 THEN 100.0 ELSE 1.0 END
+                                     FROM ratings) AS top FROM ratings WHERE {col} IS NOT NULL)
+           WHERE v >= 0 AND v <= top GROUP BY 1) h ON h.bin = b.bin"""
+
+
+SQL["score_histogram"] = with_views(RATINGS) + _hist("score") + "\nUNION ALL\n" + _hist("sig_c_score")
+
+SQL["value_counts"] = with_views(RATINGS) + f"""
+, c AS (
+  SELECT 'lp' AS dimension, {LP_SP} AS value, count(*) AS count FROM ratings GROUP BY 2
+  UNION ALL SELECT 'domain', domain, count(*) FROM ratings GROUP BY 2
+  UNION ALL SELECT 'tgt_system', tgt_system, count(*) FROM ratings GROUP BY 2
+  UNION ALL SELECT 'src_text_system', src_text_system, count(*) FROM ratings GROUP BY 2)
+SELECT dimension, value, count,
+       row_number() OVER (PARTITION BY dimension ORDER BY count DESC, value ASC NULLS LAST) AS rank
+FROM c"""
+
+SQL["stats_by_lp"] = with_views(RATINGS) + _stats(f"(SELECT {LP_SP} AS lp, score FROM ratings)", "lp")
+SQL["stats_by_system"] = with_views(RATINGS) + _stats("ratings", "tgt_system")
+SQL["stats_grouping_sets"] = with_views(RATINGS) + f""", r AS (SELECT {LP_SP} AS lp, tgt_system, score FROM ratings)
+{_stats('r', 'lp', "'lp' AS grouping, NULL::VARCHAR AS tgt_system, ")}
+UNION ALL BY NAME
+{_stats('r', 'tgt_system', "'system' AS grouping, NULL::VARCHAR AS lp, ")}
+UNION ALL BY NAME
+{_stats('r', 'lp, tgt_system', "'lp_system' AS grouping, ")}"""
+
+SQL["doc_structure"] = with_views(RATINGS) + """
+SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_rows,
+       round(count(*) / count(DISTINCT doc_id), 6) AS rows_per_doc FROM ratings"""
+
+
+def _wc(c):
+    return f"len(list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> ''))"
+
+
+SQL["length_stats"] = with_views(SEGMENTS) + f"""
+SELECT 'src_text' AS "column", round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median,
+       CAST(min(v) AS BIGINT) AS min, CAST(max(v) AS BIGINT) AS max
+FROM (SELECT {_wc('src_text')} AS v FROM segments) WHERE v IS NOT NULL
+UNION ALL
+SELECT 'tgt_text', round(avg(v), 6), round(quantile_cont(v, 0.5), 6), CAST(min(v) AS BIGINT), CAST(max(v) AS BIGINT)
+FROM (SELECT {_wc('tgt_text')} AS v FROM segments) WHERE v IS NOT NULL"""
+
+SQL["score_examples"] = with_views(DOC_QUALITY) + """
+, p AS (SELECT doc_id AS row_id, score, text,
+               row_number() OVER (ORDER BY score, doc_id) - 1 AS position,
+               count(*) OVER () AS n
+        FROM doc_quality WHERE score IS NOT NULL)
+SELECT 'lowest' AS kind, position, row_id, score, substr(text, 1, 150) AS text_preview FROM p WHERE position < 5
+UNION ALL
+SELECT 'highest', position, row_id, score, substr(text, 1, 150) FROM p WHERE position >= n - 5
+UNION ALL
+SELECT 'median', position, row_id, score, substr(text, 1, 150) FROM p
+WHERE position >= n // 2 - 2 AND position <= n // 2 + 2"""
+
+SQL["head_docs"] = with_views(RATINGS) + """
+SELECT row_id, doc_id FROM ratings ORDER BY row_id LIMIT 20"""

@@ -52,3 +52,86 @@ REGISTRY = {
     "soft_pairwise_accuracy": soft_pairwise_accuracy,
     "evaluate_metric": evaluate_metric,
 }
+
+
+# --- profiles -----------------------------------------------------------------
+
+from vetta.functions import text as T  # noqa: E402
+from vetta.operators import profile  # noqa: E402
+
+
+def _round_doubles(df):
+    return df.select(*[rank.r6(f.name).alias(f.name) if f.dataType.typeName() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def score_profile(spark, d):
+    return _round_doubles(profile.score_profile(views.ratings(spark, d)))
+
+
+def score_histogram(spark, d):
+    r = views.ratings(spark, d)
+    a = profile.score_histogram(r, "score").withColumn("column", F.lit("score"))
+    b = profile.score_histogram(r, "sig_c_score").withColumn("column", F.lit("sig_c_score"))
+    return a.unionByName(b)
+
+
+def value_counts(spark, d):
+    r = views.ratings(spark, d)
+    return profile.value_counts(r, {"lp": T.lp_label(), "domain": F.col("domain"),
+                                    "tgt_system": F.col("tgt_system"),
+                                    "src_text_system": F.col("src_text_system")})
+
+
+def stats_by_lp(spark, d):
+    r = views.ratings(spark, d).withColumn("lp", T.lp_label())
+    return _round_doubles(profile.stats_by(r, ["lp"]))
+
+
+def stats_by_system(spark, d):
+    return _round_doubles(profile.stats_by(views.ratings(spark, d), ["tgt_system"]))
+
+
+def stats_grouping_sets(spark, d):
+    r = views.ratings(spark, d).withColumn("lp", T.lp_label())
+    sets = {"lp": ["lp"], "system": ["tgt_system"], "lp_system": ["lp", "tgt_system"]}
+    out = None
+    for name, keys in sets.items():
+        s = profile.stats_by(r, keys)
+        for k in ("lp", "tgt_system"):
+            if k not in keys:
+                s = s.withColumn(k, F.lit(None).cast("string"))
+        s = s.withColumn("grouping", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return _round_doubles(out)
+
+
+def doc_structure(spark, d):
+    return _round_doubles(profile.doc_structure(views.ratings(spark, d)))
+
+
+def length_stats(spark, d):
+    return _round_doubles(profile.length_stats(views.segments(spark, d)))
+
+
+def score_examples(spark, d):
+    dq = views.doc_quality(spark, d).withColumn("row_id", F.col("doc_id"))
+    return profile.score_examples(dq, "score", "row_id", text_cols=("text",))
+
+
+def head_docs(spark, d):
+    return profile.head_rows(views.ratings(spark, d), "row_id", 20, ("doc_id",))
+
+
+REGISTRY.update({
+    "score_profile": score_profile,
+    "score_histogram": score_histogram,
+    "value_counts": value_counts,
+    "stats_by_lp": stats_by_lp,
+    "stats_by_system": stats_by_system,
+    "stats_grouping_sets": stats_grouping_sets,
+    "doc_structure": doc_structure,
+    "length_stats": length_stats,
+    "score_examples": score_examples,
+    "head_docs": head_docs,
+})
