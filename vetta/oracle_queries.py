@@ -199,3 +199,80 @@ WHERE position >= n // 2 - 2 AND position <= n // 2 + 2"""
 
 SQL["head_docs"] = with_views(RATINGS) + """
 SELECT row_id, doc_id FROM ratings ORDER BY row_id LIMIT 20"""
+
+# --- sources, projections, filters, sinks ------------------------------------------
+
+SEGMENTS_LEFT = """segments_left AS (
+  SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS row_id,
+         u.conv_id AS doc_id, u.text AS src_text, a.text AS tgt_text
+  FROM conversations u LEFT JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
+UNION = """u AS (
+  SELECT 'train' AS split, row_id, doc_id, src_lang, tgt_lang, score FROM ratings
+  UNION ALL
+  SELECT 'train_synthetic', 'syn-' || CAST(doc_id AS VARCHAR), doc_id, 'en', lang,
+         CAST(quality AS DOUBLE) * 100.0
+  FROM doc_quality WHERE quality IS NOT NULL)"""
+
+LPRED = "(src_lang = 'en' AND tgt_lang IN ('de', 'zh'))"
+
+SQL["scan_prune"] = "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem"
+SQL["rescale_union"] = with_views(RATINGS, DOC_QUALITY, UNION) + \
+    "SELECT split, row_id, doc_id, src_lang, tgt_lang, round(score, 6) AS score FROM u"
+SQL["lp_filter"] = with_views(RATINGS, DOC_QUALITY, UNION) + \
+    f"SELECT split, row_id, tgt_lang FROM u WHERE {LPRED}"
+SQL["lp_complement"] = with_views(RATINGS, DOC_QUALITY, UNION) + \
+    f"SELECT split, row_id, tgt_lang FROM u WHERE NOT coalesce({LPRED}, false)"
+SQL["subset_counts"] = with_views(RATINGS, DOC_QUALITY) + f"""
+SELECT (SELECT count(*) FILTER (WHERE coalesce({LPRED}, false)) FROM ratings) AS target,
+       (SELECT count(*) FILTER (WHERE NOT coalesce({LPRED}, false)) FROM ratings) AS other,
+       (SELECT count(*) FROM doc_quality WHERE quality IS NOT NULL AND lang = 'de') AS synthetic"""
+
+STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+SQL["clean_text"] = with_views(SEGMENTS_LEFT) + f"""
+SELECT row_id, s, t FROM (
+  SELECT row_id, {STRIP.format(c='src_text')} AS s, {STRIP.format(c='tgt_text')} AS t
+  FROM segments_left WHERE src_text IS NOT NULL AND tgt_text IS NOT NULL)
+WHERE s NOT IN ('', 'nan') AND t NOT IN ('', 'nan')""".replace(
+    "SELECT row_id, s, t FROM", "SELECT row_id, s AS src_text, t AS tgt_text FROM")
+SQL["null_to_empty"] = with_views(SEGMENTS_LEFT) + \
+    "SELECT row_id, coalesce(tgt_text, '') AS tgt_text, tgt_text IS NULL AS was_null FROM segments_left"
+SQL["prompt_format"] = with_views(SEGMENTS) + """
+SELECT row_id, 'source: ' || coalesce(src_text, '') || ' candidate: ' || coalesce(tgt_text, '') AS prompt,
+       coalesce(src_text, '') || ' </s> ' || coalesce(tgt_text, '') AS pair_text FROM segments"""
+
+_LANG = ("CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'zh' THEN 'zho_Hans' "
+         "WHEN 'ja' THEN 'jpn_Jpan' WHEN 'cs' THEN 'ces_Latn' WHEN 'uk' THEN 'ukr_Cyrl' "
+         "WHEN 'ru' THEN 'rus_Cyrl' WHEN 'ar' THEN 'arb_Arab' WHEN 'is' THEN 'isl_Latn' END")
+SQL["lang_code"] = with_views(DOC_QUALITY) + f"""
+SELECT doc_id, lang, coalesce({_LANG}, 'eng_Latn') AS src_code, coalesce({_LANG}, 'deu_Latn') AS tgt_code
+FROM doc_quality"""
+SQL["clip_invert"] = with_views(RATINGS) + """
+SELECT row_id, round(score / 3 - 5, 6) AS error,
+       round(CASE WHEN score / 3 - 5 IS NOT NULL THEN 25.0 - least(greatest(score / 3 - 5, 0.0), 25.0) END, 6) AS quality
+FROM ratings"""
+SQL["side_features"] = with_views(RATINGS) + """
+SELECT r.row_id, s.price AS side_price FROM ratings r LEFT JOIN (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS row_id,
+         l_extendedprice AS price FROM lineitem WHERE l_linenumber <= 4) s ON s.row_id = r.row_id"""
+SQL["weights_default"] = with_views(RATINGS) + f"""
+SELECT sl.signal, round(coalesce(w.weight, 1.0 / 3), 6) AS weight
+FROM {SIG_VALUES} LEFT JOIN (
+  SELECT 'sig_a_score' AS signal, {_pearson('sig_a_score', 'score')} AS weight FROM ratings
+  UNION ALL SELECT 'sig_b_score', {_pearson('sig_b_score', 'score')} FROM ratings) w ON w.signal = sl.signal"""
+SQL["train_csv_rows"] = with_views(DOC_QUALITY) + f"""
+SELECT src, mt, round(score, 6) AS score FROM (
+  SELECT {STRIP.format(c='CAST(text AS VARCHAR)')} AS src, {STRIP.format(c='CAST(source AS VARCHAR)')} AS mt,
+         score / 100.0 AS score
+  FROM doc_quality WHERE text IS NOT NULL AND source IS NOT NULL AND score IS NOT NULL)
+WHERE src NOT IN ('', 'nan') AND mt NOT IN ('', 'nan')"""
+FINAL = "(sig_a_score + sig_b_score + sig_c_score) / 3"
+SQL["submission_lines"] = with_views(RATINGS) + f"""
+SELECT row_id AS seq, printf('%.6f', {FINAL}) AS line FROM ratings"""
+SQL["submission_stats"] = with_views(RATINGS) + f"""
+SELECT 'team' AS team, 'ensemble-qe' AS system, 'sig_a_score,sig_b_score,sig_c_score' AS signals,
+       'weighted' AS method, '2024-01-01 00:00:00' AS timestamp, count(*) AS n_test_samples,
+       round(avg({FINAL}), 6) AS mean, round(stddev_pop({FINAL}), 6) AS std,
+       round(min({FINAL}), 6) AS min, round(max({FINAL}), 6) AS max FROM ratings"""

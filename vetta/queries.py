@@ -135,3 +135,119 @@ REGISTRY.update({
     "score_examples": score_examples,
     "head_docs": head_docs,
 })
+
+
+# --- sources, projections, filters, sinks --------------------------------------
+
+from vetta.operators import select as S  # noqa: E402
+from vetta.sources import segments as SEG  # noqa: E402
+from vetta.sources import sinks  # noqa: E402
+
+
+def scan_prune(spark, d):
+    return SEG.read_segments(spark, [f"{d}/lineitem.parquet", f"{d}/missing-part.parquet"],
+                             ["l_orderkey", "l_quantity", "audio", "l_returnflag"])
+
+
+def _union(spark, d):
+    syn = S.rescale(views.synthetic_split(spark, d), 100.0)
+    return S.union_splits(views.train_split(spark, d), syn)
+
+
+def rescale_union(spark, d):
+    return _union(spark, d).select("split", "row_id", "doc_id", "src_lang", "tgt_lang",
+                                   rank.r6("score").alias("score"))
+
+
+def lp_filter(spark, d):
+    return S.lp_filter(_union(spark, d)).select("split", "row_id", "tgt_lang")
+
+
+def lp_complement(spark, d):
+    return S.lp_complement(_union(spark, d)).select("split", "row_id", "tgt_lang")
+
+
+def subset_counts(spark, d):
+    return S.subset_counts(views.train_split(spark, d), views.synthetic_split(spark, d),
+                           synth_tgts=("de",))
+
+
+def clean_text(spark, d):
+    return T.clean_text(views.segments_left(spark, d)).select("row_id", "src_text", "tgt_text")
+
+
+def null_to_empty(spark, d):
+    s = views.segments_left(spark, d)
+    return s.select("row_id", T.null_to_empty("tgt_text").alias("tgt_text"),
+                    F.col("tgt_text").isNull().alias("was_null"))
+
+
+def prompt_format(spark, d):
+    s = views.segments(spark, d)
+    return s.select("row_id", T.prompt_source_candidate("src_text", "tgt_text").alias("prompt"),
+                    T.prompt_separator("src_text", "tgt_text").alias("pair_text"))
+
+
+def lang_code(spark, d):
+    dq = views.doc_quality(spark, d)
+    return dq.select("doc_id", "lang", T.lang_code("lang", T.DEFAULT_SRC_CODE).alias("src_code"),
+                     T.lang_code("lang", T.DEFAULT_TGT_CODE).alias("tgt_code"))
+
+
+def clip_invert(spark, d):
+    r = views.ratings(spark, d).withColumn("error", F.col("score") / 3 - 5)
+    return r.select("row_id", rank.r6("error").alias("error"),
+                    rank.r6(T.clip_invert("error")).alias("quality"))
+
+
+def side_features(spark, d):
+    r = views.ratings(spark, d)
+    li = views.table(spark, d, "lineitem").filter(F.col("l_linenumber") <= 4)
+    side = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                 F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"),
+                     F.col("l_extendedprice").alias("price"))
+    joined, _ = SEG.attach_side_features(r, side, prefix="side_")
+    return joined.select("row_id", "side_price")
+
+
+def weights_default(spark, d):
+    r = views.ratings(spark, d)
+    sigs = SEG.signal_columns(r.columns)
+    saved = rank.pearson(r, ["sig_a_score", "sig_b_score"]).select(
+        "signal", F.col("pearson").alias("weight"))
+    return SEG.weights_with_default(sigs, saved).select("signal", rank.r6("weight").alias("weight"))
+
+
+def train_csv_rows(spark, d):
+    dq = views.doc_quality(spark, d).select(F.col("text").alias("src_text"),
+                                            F.col("source").alias("tgt_text"), "score")
+    return sinks.training_rows(dq).select("src", "mt", rank.r6("score").alias("score"))
+
+
+def _final(spark, d):
+    r = views.ratings(spark, d)
+    sigs = SEG.signal_columns(r.columns)
+    return r.withColumn("final_score", sum(F.col(s) for s in sigs) / len(sigs)), sigs
+
+
+def submission_lines(spark, d):
+    r, _ = _final(spark, d)
+    return sinks.score_lines(r, "final_score", "row_id")
+
+
+def submission_stats(spark, d):
+    r, sigs = _final(spark, d)
+    m = sinks.run_metadata(r, "final_score", sigs, "weighted", "2024-01-01 00:00:00")
+    return m.select("team", "system", F.concat_ws(",", "signals").alias("signals"), "method",
+                    "timestamp", "n_test_samples",
+                    *[rank.r6(F.col("score_stats")[k]).alias(k) for k in ("mean", "std", "min", "max")])
+
+
+REGISTRY.update({
+    "scan_prune": scan_prune, "rescale_union": rescale_union, "lp_filter": lp_filter,
+    "lp_complement": lp_complement, "subset_counts": subset_counts, "clean_text": clean_text,
+    "null_to_empty": null_to_empty, "prompt_format": prompt_format, "lang_code": lang_code,
+    "clip_invert": clip_invert, "side_features": side_features,
+    "weights_default": weights_default, "train_csv_rows": train_csv_rows,
+    "submission_lines": submission_lines, "submission_stats": submission_stats,
+})

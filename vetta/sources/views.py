@@ -124,3 +124,33 @@ def audio_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("frames"),
         F.lit(SAMPLE_RATE).alias("sample_rate"),
     )
+
+
+def segments_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with the following assistant turn if any (the target
+    text is null where the conversation has none)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    u = conv.filter(F.col("role") == "user").alias("u")
+    a = conv.filter(F.col("role") == "assistant").alias("a")
+    return u.join(a, (F.col("u.conv_id") == F.col("a.conv_id"))
+                  & (F.col("a.turn") == F.col("u.turn") + 1), "left").select(
+        F.concat_ws("-", F.col("u.conv_id"), F.col("u.turn")).alias("row_id"),
+        F.col("u.conv_id").alias("doc_id"),
+        F.col("u.text").alias("src_text"),
+        F.col("a.text").alias("tgt_text"),
+    )
+
+
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings as the human-scored training split (0-100 scores)."""
+    return ratings(spark, sf_dir).withColumn("split", F.lit("train"))
+
+
+def synthetic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as a synthetic split on a 0-1 scale: one row per
+    document, English source, the document language as target."""
+    dq = doc_quality(spark, sf_dir).filter(F.col("quality").isNotNull())
+    return dq.select(F.concat(F.lit("syn-"), F.col("doc_id").cast("string")).alias("row_id"),
+                     "doc_id", F.lit("en").alias("src_lang"), F.col("lang").alias("tgt_lang"),
+                     F.col("quality").cast("double").alias("score"),
+                     F.lit("train_synthetic").alias("split"))
