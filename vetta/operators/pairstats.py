@@ -256,27 +256,28 @@ def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP)
     return out.drop("_all") if synth else out
 
 
+def _pair_sum(body: str) -> str:
+    """Sum of ``body`` over the pairs i < j of the bounded array ``_a``
+    (``_a[i]`` and ``e`` are the two elements)."""
+    return ("aggregate(sequence(0, size(_a) - 1), 0D, (acc, i) -> acc + "
+            "aggregate(slice(_a, i + 2, size(_a)), 0D, (acc2, e) -> acc2 + " + body + "))")
+
+
 def _concordance_small(rows, keys, preds):
     g = rows.groupBy(*keys).agg(
         F.collect_list(F.struct("_y", *[f"_p{i}" for i in range(len(preds))])).alias("_a"))
-    outs = []
-    tx_gold = ("aggregate(sequence(0, size(_a) - 1), 0D, (acc, i) -> acc + "
-               "aggregate(slice(_a, i + 2, size(_a)), 0D, (acc2, e) -> acc2 + "
-               "IF(_a[i]._y = e._y, 1D, 0D)))")
-    for i, p in enumerate(preds):
-        s = ("aggregate(sequence(0, size(_a) - 1), 0D, (acc, i) -> acc + "
-             "aggregate(slice(_a, i + 2, size(_a)), 0D, (acc2, e) -> acc2 + "
-             f"signum(_a[i]._p{i} - e._p{i}) * signum(_a[i]._y - e._y)))")
-        tp = ("aggregate(sequence(0, size(_a) - 1), 0D, (acc, i) -> acc + "
-              "aggregate(slice(_a, i + 2, size(_a)), 0D, (acc2, e) -> acc2 + "
-              f"IF(_a[i]._p{i} = e._p{i}, 1D, 0D)))")
-        outs.append(g.select(*keys, F.lit(p).alias("signal"),
-                             F.size("_a").cast("long").alias("n"), F.expr(s).alias("s"),
-                             F.expr(tp).alias("tx"), F.expr(tx_gold).alias("ty")))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    cols = [F.expr(_pair_sum("IF(_a[i]._y = e._y, 1D, 0D)")).alias("_ty")]
+    for i in range(len(preds)):
+        cols.append(F.expr(_pair_sum(f"signum(_a[i]._p{i} - e._p{i}) * signum(_a[i]._y - e._y)"))
+                    .alias(f"_s{i}"))
+        cols.append(F.expr(_pair_sum(f"IF(_a[i]._p{i} = e._p{i}, 1D, 0D)")).alias(f"_tx{i}"))
+    wide = g.select(*keys, F.size("_a").cast("long").alias("n"), *cols)
+    # one projection for every signal, then unpivot: the grouped arrays are
+    # built once however many signals (or weight candidates) there are
+    stack = ", ".join(f"'{p}', _s{i}, _tx{i}" for i, p in enumerate(preds))
+    return wide.select(*keys, "n", F.col("_ty").alias("ty"),
+                       F.expr(f"stack({len(preds)}, {stack}) AS (signal, s, tx)")) \
+        .select(*keys, "signal", "n", "s", "tx", "ty")
 
 
 def _concordance_large(rows, keys, preds):

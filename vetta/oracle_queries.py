@@ -276,3 +276,313 @@ SELECT 'team' AS team, 'ensemble-qe' AS system, 'sig_a_score,sig_b_score,sig_c_s
        'weighted' AS method, '2024-01-01 00:00:00' AS timestamp, count(*) AS n_test_samples,
        round(avg({FINAL}), 6) AS mean, round(stddev_pop({FINAL}), 6) AS std,
        round(min({FINAL}), 6) AS min, round(max({FINAL}), 6) AS max FROM ratings"""
+
+# --- error analysis ---------------------------------------------------------------------
+
+LG_DETAIL = long_signals("ratings", "row_id, doc_id, src_lang, tgt_lang, tgt_system")
+DETAIL = f"""lgd AS ({LG_DETAIL}),
+td AS ({tau_per_group('SELECT * FROM lgd', 'doc_id')}),
+st AS (SELECT doc_id, signal, count(*) AS n, max(gold) - min(gold) AS gold_range,
+              max(pred) - min(pred) AS pred_range, avg(gold) AS gold_mean, avg(pred) AS pred_mean,
+              arg_min(src_lang, row_id) AS src_lang, arg_min(tgt_lang, row_id) AS tgt_lang
+       FROM lgd GROUP BY ALL),
+detail AS (SELECT td.signal, td.doc_id, td.tau, st.n AS n_systems, st.gold_range, st.pred_range,
+                  st.gold_mean, st.pred_mean, st.src_lang, st.tgt_lang
+           FROM td JOIN st ON st.doc_id = td.doc_id AND st.signal = td.signal WHERE td.tau IS NOT NULL)"""
+R = "round({0}, 6) AS {0}".format
+
+SQL["per_source_detail"] = with_views(RATINGS) + f""", {DETAIL}
+SELECT signal, doc_id, {R('tau')}, n_systems, {R('gold_range')}, {R('pred_range')},
+       {R('gold_mean')}, {R('pred_mean')}, src_lang, tgt_lang FROM detail"""
+
+SQL["tau_distribution"] = with_views(RATINGS) + f""", {DETAIL}
+SELECT signal, count(*) AS n_sources, round(avg(tau), 6) AS mean, round(stddev_samp(tau), 6) AS std,
+       round(min(tau), 6) AS min, round(max(tau), 6) AS max,
+       round(quantile_cont(tau, 0.1), 6) AS p10, round(quantile_cont(tau, 0.25), 6) AS p25,
+       round(quantile_cont(tau, 0.5), 6) AS p50, round(quantile_cont(tau, 0.75), 6) AS p75,
+       round(quantile_cont(tau, 0.9), 6) AS p90, round(quantile_cont(tau, 0.5), 6) AS median
+FROM detail GROUP BY signal"""
+
+SQL["worst_sources"] = with_views(RATINGS) + f""", {DETAIL}
+SELECT signal, rank, doc_id, {R('tau')}, n_systems, {R('gold_range')}, {R('pred_range')}, src_lang, tgt_lang
+FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY tau, doc_id) AS rank FROM detail)
+WHERE rank <= 10"""
+
+SQL["worst_drilldown"] = with_views(RATINGS) + f""", {DETAIL},
+w AS (SELECT doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY tau, doc_id) AS rank
+                                FROM detail) WHERE signal = 'sig_a_score' AND rank <= 3)
+SELECT w.rank AS worst_rank, r.doc_id,
+       row_number() OVER (PARTITION BY r.doc_id ORDER BY r.score DESC, r.row_id) AS pos,
+       r.row_id, r.tgt_system, round(r.score, 6) AS score, round(r.sig_a_score, 6) AS sig_a_score
+FROM ratings r JOIN w ON w.doc_id = r.doc_id"""
+
+
+def _spearman_prop(prop):
+    return f"""SELECT signal, count(*) AS n,
+       round({_pearson('rx', 'ry')}, 6) AS spearman_r, '{prop}' AS property
+FROM (SELECT signal,
+             rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2.0 AS rx,
+             rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2.0 AS ry
+      FROM (SELECT signal, round(CAST({prop} AS DOUBLE), 9) AS x, round(tau, 9) AS y FROM detail
+            WHERE {prop} IS NOT NULL AND tau IS NOT NULL))
+GROUP BY signal"""
+
+
+SQL["spearman_props"] = with_views(RATINGS) + f""", {DETAIL}
+""" + "\nUNION ALL\n".join(_spearman_prop(p) for p in ("n_systems", "gold_range", "pred_range", "gold_mean"))
+
+SQL["lp_tau_breakdown"] = with_views(RATINGS) + f""", {DETAIL}
+SELECT signal, src_lang, tgt_lang, round(avg(tau), 6) AS mean_tau, count(*) AS n_sources,
+       round(quantile_cont(gold_range, 0.5), 6) AS median_gold_range
+FROM detail GROUP BY ALL"""
+
+SQL["gold_quintiles"] = with_views(RATINGS) + f""",
+e AS (SELECT list_sort(list_distinct([quantile_cont(score, 0.0), quantile_cont(score, 0.2),
+        quantile_cont(score, 0.4), quantile_cont(score, 0.6), quantile_cont(score, 0.8),
+        quantile_cont(score, 1.0)])) AS edges FROM ratings WHERE score IS NOT NULL),
+b AS (SELECT len(list_filter(e.edges[2:], lambda x: x < r.score)) AS bin, r.*
+      FROM ratings r, e WHERE r.score IS NOT NULL),
+lg AS ({long_signals('b', 'bin')})
+SELECT signal, bin, count(*) AS n, round(avg(gold), 6) AS gold_mean, round(min(gold), 6) AS gold_min,
+       round(max(gold), 6) AS gold_max, round(avg(pred), 6) AS pred_mean, round(stddev_samp(pred), 6) AS pred_std
+FROM lg GROUP BY ALL"""
+
+SQL["pair_agreement"] = with_views(RATINGS) + f""", lg AS ({LG_DOC}),
+p AS (SELECT a.signal,
+             CASE WHEN abs(a.gold - b.gold) < 1.0 THEN 'tie'
+                  WHEN (a.gold - b.gold > 0 AND a.pred - b.pred > 0) OR (a.gold - b.gold < 0 AND a.pred - b.pred < 0)
+                  THEN 'agree' ELSE 'disagree' END AS k
+      FROM lg a JOIN lg b ON a.doc_id = b.doc_id AND a.signal = b.signal AND a.row_id < b.row_id
+      WHERE a.gold IS NOT NULL AND b.gold IS NOT NULL AND a.pred IS NOT NULL AND b.pred IS NOT NULL)
+SELECT signal, count(*) AS total_pairs, count(*) FILTER (WHERE k = 'agree') AS agree,
+       count(*) FILTER (WHERE k = 'disagree') AS disagree, count(*) FILTER (WHERE k = 'tie') AS tie,
+       round(100.0 * count(*) FILTER (WHERE k = 'agree') / count(*), 6) AS agree_pct,
+       round(100.0 * count(*) FILTER (WHERE k = 'disagree') / count(*), 6) AS disagree_pct,
+       round(100.0 * count(*) FILTER (WHERE k = 'tie') / count(*), 6) AS tie_pct
+FROM p GROUP BY signal"""
+
+SQL["compression_ratio"] = with_views(RATINGS) + f""", lg AS ({LG_DOC}),
+g AS (SELECT stddev_samp(score) AS gold_std FROM ratings)
+SELECT signal, round(g.gold_std, 6) AS gold_std, round(stddev_samp(pred), 6) AS pred_std,
+       round(CASE WHEN g.gold_std > 0 THEN stddev_samp(pred) / g.gold_std END, 6) AS compression_ratio
+FROM lg, g GROUP BY signal, g.gold_std"""
+
+SQL["signal_summary"] = with_views(RATINGS) + f""", lg AS ({LG_DOC})
+SELECT signal, count(pred) AS n, round(min(pred), 6) AS min, round(max(pred), 6) AS max,
+       round(avg(pred), 6) AS mean, round(stddev_pop(pred), 6) AS std_pop,
+       round(stddev_samp(pred), 6) AS std_samp FROM lg GROUP BY signal"""
+
+_PAIRS = [(a, b) for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1:]]
+_CROSS_LG = "\nUNION ALL\n".join(
+    f"SELECT '{a}|{b}' AS signal, {a} AS pred, {b} AS gold FROM ratings" for a, b in _PAIRS)
+SQL["cross_signal"] = with_views(RATINGS) + f""", {_overall_tau(_CROSS_LG)},
+pr AS (SELECT signal, {_pearson()} AS pearson FROM ({_CROSS_LG}) z
+       WHERE pred IS NOT NULL AND gold IS NOT NULL GROUP BY signal)
+SELECT split_part(pr.signal, '|', 1) AS signal_a, split_part(pr.signal, '|', 2) AS signal_b,
+       round(pr.pearson, 6) AS pearson, round(ov.tau, 6) AS kendall_tau
+FROM pr LEFT JOIN ov ON ov.signal = pr.signal"""
+
+_DIS = "\nUNION ALL\n".join(f"""(SELECT * FROM (
+  SELECT '{a}' AS signal_a, '{b}' AS signal_b, row_id, round(score, 6) AS score,
+         round({a}, 6) AS value_a, round({b}, 6) AS value_b,
+         abs(({a} - avg({a}) OVER ()) / stddev_samp({a}) OVER () - ({b} - avg({b}) OVER ()) / stddev_samp({b}) OVER ()) AS d
+  FROM ratings) ORDER BY d DESC NULLS LAST, row_id LIMIT 5)""" for a, b in _PAIRS)
+SQL["signal_disagreement"] = with_views(RATINGS) + f"""
+SELECT signal_a, signal_b, row_id, score, value_a, value_b, round(d, 6) AS diff FROM ({_DIS})"""
+
+SQL["system_means"] = with_views(RATINGS) + f""", lg AS ({LG_LP})
+SELECT signal, tgt_system, round(avg(gold), 6) AS gold_mean, round(avg(pred), 6) AS pred_mean
+FROM lg WHERE tgt_system IS NOT NULL GROUP BY ALL"""
+
+_BOARD = f""", lg AS ({LG_LP}), {_overall_tau('SELECT * FROM lg')},
+td AS ({tau_per_group(LG_DOC, 'doc_id')}),
+ps AS (SELECT sl.signal, coalesce(avg(td.tau), 0.0) AS per_source_tau
+       FROM {SIG_VALUES} LEFT JOIN td ON td.signal = sl.signal GROUP BY sl.signal),
+sp AS ({_spa('SELECT * FROM lg', 25.0)}),
+board AS (SELECT o.signal, o.signal_order, round(ps.per_source_tau, 6) AS per_source_tau,
+                 round(ov.tau, 6) AS overall_tau, round(sp.spa, 6) AS spa
+          FROM (VALUES {', '.join(f"('{s}', {i})" for i, s in enumerate(SIGNALS))}) o(signal, signal_order)
+          LEFT JOIN ps ON ps.signal = o.signal LEFT JOIN ov ON ov.signal = o.signal
+          LEFT JOIN sp ON sp.signal = o.signal)"""
+SQL["leaderboard"] = with_views(RATINGS) + _BOARD + "\nSELECT * FROM board"
+SQL["best_signal"] = with_views(RATINGS) + _BOARD + \
+    "\nSELECT * FROM board ORDER BY per_source_tau DESC, signal_order LIMIT 1"
+
+_VF = """vf AS (SELECT vec_id, CAST(label AS DOUBLE) AS label,
+         sqrt(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b)) AS emb_norm,
+         list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) / len(embedding) AS emb_mean
+       FROM embeddings),
+vf2 AS (SELECT v.*, sqrt(list_reduce(list_transform(e.embedding, lambda x: (CAST(x AS DOUBLE) - v.emb_mean) * (CAST(x AS DOUBLE) - v.emb_mean)), lambda a, b: a + b) / len(e.embedding)) AS emb_std
+        FROM vf v JOIN embeddings e ON e.vec_id = v.vec_id)"""
+_VF_LG = "\nUNION ALL\n".join(f"SELECT '{f}' AS signal, {f} AS pred, label AS gold FROM vf2"
+                              for f in ("emb_norm", "emb_mean", "emb_std"))
+SQL["feature_tau"] = f"WITH {_VF}, {_overall_tau(_VF_LG)}\nSELECT signal AS feature, n, round(tau, 6) AS tau FROM ov"
+
+
+def _nudge_rounds(sql: str) -> str:
+    """``round(x, 6)`` -> ``round((x) + 1e-9, 6)``: values that sit exactly on a
+    rounding tie (means of 5-decimal data) then round the same way in both
+    engines despite last-ulp summation differences."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + 6:k - 1]
+        if inner.endswith(", 6"):
+            out.append(sql[i:j] + "round((" + _nudge_rounds(inner[:-3]) + ") + 1e-9, 6)")
+        else:
+            out.append(sql[i:k])
+        i = k
+
+
+SQL = {k: _nudge_rounds(v) for k, v in SQL.items()}
+
+# --- pairs ---------------------------------------------------------------------------------
+
+SQL["doc_pairs"] = _nudge_rounds(with_views(RATINGS) + f""", t AS ({tau_per_group(LG_DOC, 'doc_id')}),
+nn AS (SELECT doc_id, count(*) AS n FROM ratings GROUP BY doc_id)
+SELECT t.doc_id, t.signal, nn.n, round(CAST(t.npairs AS DOUBLE), 6) AS n_pairs, round(CAST(t.s AS DOUBLE), 6) AS s,
+       round(CAST(t.tx AS DOUBLE), 6) AS tied_pred, round(CAST(t.ty AS DOUBLE), 6) AS tied_gold
+FROM t JOIN nn ON nn.doc_id = t.doc_id""")
+
+SQL["preference_pairs"] = with_views(RATINGS) + """
+SELECT r.doc_id, r.n, coalesce(p.c, 0) AS n_pairs
+FROM (SELECT doc_id, count(*) AS n FROM ratings WHERE score IS NOT NULL GROUP BY doc_id) r
+LEFT JOIN (SELECT a.doc_id, count(*) AS c FROM ratings a JOIN ratings b
+           ON a.doc_id = b.doc_id AND a.score - b.score > 1.0 GROUP BY a.doc_id) p ON p.doc_id = r.doc_id"""
+
+SQL["disagreement_examples"] = _nudge_rounds(with_views(RATINGS) + """
+SELECT a.doc_id, a.row_id AS row_i, b.row_id AS row_j, a.tgt_system AS sys_i, b.tgt_system AS sys_j,
+       round(a.score - b.score, 6) AS gold_diff, round(a.sig_a_score - b.sig_a_score, 6) AS pred_diff
+FROM ratings a JOIN ratings b ON a.doc_id = b.doc_id AND a.row_id < b.row_id
+WHERE abs(a.score - b.score) >= 1.0
+  AND NOT ((a.score - b.score > 0 AND a.sig_a_score - b.sig_a_score > 0)
+        OR (a.score - b.score < 0 AND a.sig_a_score - b.sig_a_score < 0))
+ORDER BY a.doc_id, a.row_id, b.row_id LIMIT 5""")
+
+SQL["seeded_shuffle"] = with_views(RATINGS) + """
+SELECT row_id, doc_id, row_number() OVER (ORDER BY md5('42|' || row_id)) - 1 AS position FROM ratings"""
+
+# --- features ----------------------------------------------------------------------------------
+
+def _wcount(c):
+    return f"len(list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> ''))"
+
+
+_TF = f"""tf AS (SELECT row_id, src_text, tgt_text,
+              {_wcount('src_text')} AS src_word_count, {_wcount('tgt_text')} AS tgt_word_count,
+              length(src_text) AS src_char_count, length(tgt_text) AS tgt_char_count FROM segments)"""
+SQL["text_features"] = _nudge_rounds(with_views(SEGMENTS) + f""", {_TF}
+SELECT row_id, src_word_count, tgt_word_count,
+       round(tgt_word_count / greatest(src_word_count, 1), 6) AS length_ratio,
+       src_char_count, tgt_char_count, round(tgt_char_count / greatest(src_char_count, 1), 6) AS char_ratio
+FROM tf""")
+
+_CROSS = ", ".join(f"round({a} - {b}, 6) AS {a}_minus_{b}, round({a} * {b}, 6) AS {a}_times_{b}"
+                   for a, b in _PAIRS)
+SQL["cross_features"] = _nudge_rounds(with_views(RATINGS) + f"SELECT row_id, {_CROSS} FROM ratings")
+
+_DOCSTATS = ", ".join(f"avg({s}) AS {s}_doc_mean, stddev_samp({s}) AS {s}_doc_std, "
+                      f"min({s}) AS {s}_doc_min, max({s}) AS {s}_doc_max" for s in SIGNALS)
+_DOCCOLS = ", ".join(f"round(d.{s}_doc_{st}, 6) AS {s}_doc_{st}" for s in SIGNALS
+                     for st in ("mean", "std", "min", "max")) + ", " + ", ".join(
+    f"round(r.{s} - d.{s}_doc_mean, 6) AS {s}_doc_dev" for s in SIGNALS)
+SQL["doc_context"] = _nudge_rounds(with_views(RATINGS) + f""", d AS (SELECT doc_id, {_DOCSTATS} FROM ratings GROUP BY doc_id)
+SELECT r.row_id, {_DOCCOLS} FROM ratings r LEFT JOIN d ON d.doc_id = r.doc_id""")
+
+_SPANF = """sf AS (
+  SELECT o.o_orderkey AS doc_id, CAST(coalesce(s.c, 0) AS DOUBLE) AS error_count,
+         coalesce(s.sev, 0.0) AS error_severity, coalesce(s.conf, 0.0) AS error_confidence
+  FROM orders o LEFT JOIN (
+    SELECT doc_id, count(*) AS c,
+           sum(CASE coalesce(severity, 'minor') WHEN 'minor' THEN 1.0 WHEN 'major' THEN 2.0
+                    WHEN 'critical' THEN 3.0 ELSE 1.0 END) AS sev,
+           avg(coalesce(confidence, 0.5)) AS conf
+    FROM span_rows GROUP BY doc_id) s ON s.doc_id = o.o_orderkey)"""
+SQL["span_features"] = _nudge_rounds(with_views(SPAN_ROWS, _SPANF) + """
+SELECT doc_id, round(error_count, 6) AS error_count, round(error_severity, 6) AS error_severity,
+       round(error_confidence, 6) AS error_confidence FROM sf""")
+
+SQL["vector_features"] = _nudge_rounds(f"WITH {_VF}\nSELECT vec_id, round(emb_norm, 6) AS emb_norm, "
+                                       "round(emb_mean, 6) AS emb_mean, round(emb_std, 6) AS emb_std FROM vf2")
+
+_EX = """ex AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v,
+                unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings),
+pool AS (SELECT label, pos, avg(v) AS m, count(*) AS n FROM ex GROUP BY ALL)"""
+SQL["mean_pool"] = _nudge_rounds(f"WITH {_EX}\nSELECT label, n, pos AS dim, round(m, 6) AS value FROM pool")
+SQL["cosine"] = _nudge_rounds(f"""WITH {_EX},
+pn AS (SELECT label, sqrt(sum(m * m)) AS np FROM pool GROUP BY label),
+dots AS (SELECT ex.vec_id, ex.label, sum(ex.v * pool.m) AS dot, sqrt(sum(ex.v * ex.v)) AS nv
+         FROM ex JOIN pool ON pool.label = ex.label AND pool.pos = ex.pos GROUP BY ALL)
+SELECT dots.vec_id, dots.label,
+       round(CASE WHEN nv * np > 0 THEN dot / (nv * np) END, 6) AS cosine
+FROM dots JOIN pn ON pn.label = dots.label""")
+
+SQL["speech_rate"] = _nudge_rounds(with_views(SEGMENTS, AUDIO_META) + f"""
+SELECT row_id, frames, round(frames / sample_rate, 6) AS audio_duration,
+       round({_wcount('src_text')} / greatest(frames / sample_rate, 0.1), 6) AS words_per_sec
+FROM audio_meta""")
+
+_FEAT = ", ".join(f"round(r.{s}, 6) AS {s}" for s in SIGNALS)
+SQL["build_features"] = _nudge_rounds(with_views(RATINGS, SPAN_ROWS, _SPANF) + f""",
+d AS (SELECT doc_id, {_DOCSTATS} FROM ratings GROUP BY doc_id)
+SELECT r.row_id, {_FEAT},
+       CASE WHEN r.tgt_lang = 'zh' THEN 1.0 ELSE 0.0 END AS is_zh,
+       CASE WHEN r.tgt_lang = 'de' THEN 1.0 ELSE 0.0 END AS is_de,
+       {_CROSS.replace('round(', 'round(r.').replace(' - ', ' - r.').replace(' * ', ' * r.')},
+       {', '.join(f"round(coalesce(d.{s}_doc_{st}, 0.0), 6) AS {s}_doc_{st}" for s in SIGNALS for st in ('mean', 'std', 'min', 'max'))},
+       {', '.join(f"round(coalesce(r.{s} - d.{s}_doc_mean, 0.0), 6) AS {s}_doc_dev" for s in SIGNALS)},
+       round(coalesce(sf.error_count, 0.0), 6) AS error_count,
+       round(coalesce(sf.error_severity, 0.0), 6) AS error_severity,
+       round(coalesce(sf.error_confidence, 0.0), 6) AS error_confidence
+FROM ratings r LEFT JOIN d ON d.doc_id = r.doc_id LEFT JOIN sf ON sf.doc_id = r.doc_id""")
+
+# --- folds, blending, weight search -----------------------------------------------------------------
+
+FOLD = "CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 8))::UBIGINT % 5 AS BIGINT)"
+SQL["doc_folds"] = with_views(RATINGS) + f"SELECT DISTINCT doc_id, {FOLD} AS fold FROM ratings"
+SQL["balanced_folds"] = with_views(RATINGS) + """
+SELECT doc_id, n, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS BIGINT) AS fold
+FROM (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) - 1 AS p
+      FROM (SELECT doc_id, count(*) AS n FROM ratings GROUP BY doc_id))"""
+SQL["weighted_ensemble"] = _nudge_rounds(with_views(RATINGS) + f""",
+w AS (SELECT {_pearson('sig_a_score', 'score')} AS wa, {_pearson('sig_b_score', 'score')} AS wb, 1.0 / 3 AS wc FROM ratings)
+SELECT row_id, round((sig_a_score * wa + sig_b_score * wb + sig_c_score * wc) / (wa + wb + wc), 6) AS ensemble_score
+FROM ratings, w""")
+
+_GRID = [0.0, 0.25, 0.5, 0.75, 1.0]
+_CANDS = [(a, b, c) for a in _GRID for b in _GRID for c in _GRID if a + b + c > 0]
+_CAND_VALUES = ", ".join(f"({i}, '{a:g},{b:g},{c:g}', {a}, {b}, {c})" for i, (a, b, c) in enumerate(_CANDS))
+_SWEEP = f"""cands AS (SELECT * FROM (VALUES {_CAND_VALUES}) v(cand_order, weights, wa, wb, wc)),
+bl AS (SELECT c.cand_order, r.row_id, r.doc_id, r.score AS gold,
+              (r.sig_a_score * c.wa + r.sig_b_score * c.wb + r.sig_c_score * c.wc) / (c.wa + c.wb + c.wc) AS pred
+       FROM ratings r, cands c),
+dt AS ({tau_per_group("SELECT row_id, doc_id, CAST(cand_order AS VARCHAR) AS signal, pred, gold FROM bl", 'doc_id')}),
+sweep AS (SELECT c.cand_order, c.weights, c.wa, c.wb, c.wc, coalesce(avg(dt.tau), 0.0) AS tau
+          FROM cands c LEFT JOIN dt ON dt.signal = CAST(c.cand_order AS VARCHAR) GROUP BY ALL)"""
+SQL["weight_sweep"] = _nudge_rounds(with_views(RATINGS) + f", {_SWEEP}\nSELECT weights, round(tau, 6) AS tau FROM sweep")
+SQL["final_score"] = _nudge_rounds(with_views(RATINGS) + f""", {_SWEEP},
+best AS (SELECT * FROM sweep ORDER BY tau DESC, cand_order LIMIT 1)
+SELECT r.row_id, round((r.sig_a_score * b.wa + r.sig_b_score * b.wb + r.sig_c_score * b.wc) / (b.wa + b.wb + b.wc), 6) AS final_score
+FROM ratings r, best b""")
+SQL["oof_tau"] = _nudge_rounds(with_views(RATINGS) + f""",
+lg AS (SELECT row_id, doc_id, {FOLD} AS fold, 'sig_a_score' AS signal, sig_a_score AS pred, score AS gold FROM ratings),
+t AS ({tau_per_group('SELECT * FROM lg', 'fold, doc_id')}),
+per AS (SELECT fold, coalesce(avg(tau), 0.0) AS tau, count(tau) AS n_docs FROM t GROUP BY fold)
+SELECT fold, round(tau, 6) AS tau, n_docs FROM per
+UNION ALL SELECT -1, round(avg(tau), 6), sum(n_docs) FROM per""")
+
+# --- scoring -----------------------------------------------------------------------------------------
+
+_LEX = ("100.0 * least(length(coalesce(src_text, '')), length(coalesce(tgt_text, ''))) / "
+        "greatest(length(coalesce(src_text, '')), length(coalesce(tgt_text, '')), 1)")
+SQL["batch_scorer"] = _nudge_rounds(with_views(SEGMENTS) + f"SELECT row_id, round({_LEX}, 6) AS lexical_score FROM segments")
+SQL["merge_signal"] = _nudge_rounds(with_views(SEGMENTS, SEGMENTS_LEFT) + f"""
+SELECT s.row_id, l.lexical_score FROM segments s
+LEFT JOIN (SELECT row_id, round({_LEX}, 6) AS lexical_score FROM segments_left) l ON l.row_id = s.row_id""")

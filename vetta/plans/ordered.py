@@ -81,3 +81,40 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), prefix: str = "q")
 
 def sd(col: str, ddof: int) -> Column:
     return F.stddev_pop(col) if ddof == 0 else F.stddev_samp(col)
+
+
+def with_prefix_sum(df: DataFrame, order: list, weight: str, out: str = "_before") -> DataFrame:
+    """Exclusive running sum of ``weight`` in ``order`` over the whole table.
+
+    Range-partitioned sort; per-partition totals (one number per partition)
+    give each partition its starting offset; inside a partition an
+    Arrow-batched ``mapInPandas`` accumulates in order, carrying the sum
+    across batches."""
+    import numpy as np
+    import pandas as pd
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    s = df.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    totals = {r["_pid"]: float(r["_t"] or 0.0) for r in
+              s.groupBy(F.spark_partition_id().alias("_pid")).agg(
+                  F.sum(F.col(weight).cast("double")).alias("_t")).collect()}
+    offsets, acc = {}, 0.0
+    for pid in sorted(totals):
+        offsets[pid] = acc
+        acc += totals[pid]
+    bc = df.sparkSession.sparkContext.broadcast(offsets)
+    schema = T.StructType(s.schema.fields + [T.StructField(out, T.DoubleType())])
+
+    def run(batches):
+        carry = bc.value.get(TaskContext.get().partitionId(), 0.0)
+        for pdf in batches:
+            w = pdf[weight].to_numpy(dtype=np.float64, na_value=0.0)
+            cs = np.cumsum(w)
+            pdf[out] = carry + cs - w
+            if len(w):
+                carry += float(cs[-1])
+            yield pd.DataFrame(pdf)
+
+    return s.mapInPandas(run, schema)

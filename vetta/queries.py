@@ -251,3 +251,304 @@ REGISTRY.update({
     "weights_default": weights_default, "train_csv_rows": train_csv_rows,
     "submission_lines": submission_lines, "submission_stats": submission_stats,
 })
+
+
+# --- error analysis -------------------------------------------------------------------
+
+from vetta.functions import vectors as V  # noqa: E402
+from vetta.operators import analyse as A  # noqa: E402
+
+
+def _detail(spark, d):
+    return A.per_source_detail(views.ratings(spark, d), SIG)
+
+
+def per_source_detail(spark, d):
+    return _round_doubles(_detail(spark, d))
+
+
+def tau_distribution(spark, d):
+    return _round_doubles(A.tau_distribution(_detail(spark, d)))
+
+
+def worst_sources(spark, d):
+    return _round_doubles(A.worst_sources(_detail(spark, d)).select(
+        "signal", "rank", "doc_id", "tau", "n_systems", "gold_range", "pred_range",
+        "src_lang", "tgt_lang"))
+
+
+def worst_drilldown(spark, d):
+    r = views.ratings(spark, d)
+    return _round_doubles(A.worst_drilldown(r, A.worst_sources(_detail(spark, d)), "sig_a_score"))
+
+
+def spearman_props(spark, d):
+    return _round_doubles(A.spearman_props(_detail(spark, d)))
+
+
+def lp_tau_breakdown(spark, d):
+    return _round_doubles(A.lp_tau_breakdown(_detail(spark, d)))
+
+
+def gold_quintiles(spark, d):
+    return _round_doubles(A.gold_quintiles(views.ratings(spark, d), SIG))
+
+
+def pair_agreement(spark, d):
+    return _round_doubles(A.pair_agreement(views.ratings(spark, d), SIG))
+
+
+def compression_ratio(spark, d):
+    return _round_doubles(A.compression_ratio(views.ratings(spark, d), SIG))
+
+
+def signal_summary(spark, d):
+    return _round_doubles(A.signal_summary(views.ratings(spark, d), SIG))
+
+
+def cross_signal(spark, d):
+    return _round_doubles(A.cross_signal(views.ratings(spark, d), SIG))
+
+
+def signal_disagreement(spark, d):
+    return _round_doubles(A.signal_disagreement(views.ratings(spark, d), SIG))
+
+
+def system_means(spark, d):
+    return _round_doubles(rank.system_means(views.ratings(spark, d), SIG))
+
+
+def leaderboard(spark, d):
+    return _round_doubles(rank.leaderboard(views.ratings(spark, d), SIG))
+
+
+def best_signal(spark, d):
+    return _round_doubles(rank.best_signal(rank.leaderboard(views.ratings(spark, d), SIG)))
+
+
+FEATURES_V = ["emb_norm", "emb_mean", "emb_std"]
+
+
+def _vector_features(spark, d):
+    v = views.vectors(spark, d)
+    return v.select("vec_id", "label", V.norm("embedding").alias("emb_norm"),
+                    V.mean("embedding").alias("emb_mean"), V.std_pop("embedding").alias("emb_std"))
+
+
+def feature_tau(spark, d):
+    f = _vector_features(spark, d)
+    return rank.kendall_overall(f, FEATURES_V, gold="label").select(
+        F.col("signal").alias("feature"), "n", rank.r6("tau").alias("tau"))
+
+
+REGISTRY.update({
+    "per_source_detail": per_source_detail, "tau_distribution": tau_distribution,
+    "worst_sources": worst_sources, "worst_drilldown": worst_drilldown,
+    "spearman_props": spearman_props, "lp_tau_breakdown": lp_tau_breakdown,
+    "gold_quintiles": gold_quintiles, "pair_agreement": pair_agreement,
+    "compression_ratio": compression_ratio, "signal_summary": signal_summary,
+    "cross_signal": cross_signal, "signal_disagreement": signal_disagreement,
+    "system_means": system_means, "leaderboard": leaderboard, "best_signal": best_signal,
+    "feature_tau": feature_tau,
+})
+
+
+# --- pairs ------------------------------------------------------------------------------
+
+from vetta.operators import pairs as PR  # noqa: E402
+from vetta.plans.ordered import with_position  # noqa: E402
+
+
+def doc_pairs(spark, d):
+    return _round_doubles(PR.doc_pair_summary(views.ratings(spark, d), SIG))
+
+
+def preference_pairs(spark, d):
+    return PR.preference_counts(views.ratings(spark, d))
+
+
+def _sampled(spark, d):
+    r = views.ratings(spark, d)
+    return PR.sample_preference_pairs(r, payload=("tgt_system", "sig_a_score"))
+
+
+def pair_cap(spark, d):
+    return _round_doubles(_sampled(spark, d))
+
+
+def pair_loss(spark, d):
+    p = _sampled(spark, d).withColumnRenamed("sig_a_score_better", "pred_better") \
+        .withColumnRenamed("sig_a_score_worse", "pred_worse")
+    return _round_doubles(PR.pair_loss(p))
+
+
+def disagreement_examples(spark, d):
+    return _round_doubles(PR.disagreement_examples(views.ratings(spark, d), "sig_a_score"))
+
+
+def seeded_shuffle(spark, d, seed: int = 42):
+    r = views.ratings(spark, d).select("row_id", "doc_id")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row_id")))
+    return with_position(r.withColumn("_key", key), [F.col("_key")], "position").drop("_key")
+
+
+REGISTRY.update({
+    "doc_pairs": doc_pairs, "preference_pairs": preference_pairs, "pair_cap": pair_cap,
+    "pair_loss": pair_loss, "disagreement_examples": disagreement_examples,
+    "seeded_shuffle": seeded_shuffle,
+})
+
+
+# --- features ----------------------------------------------------------------------------
+
+from vetta.operators import features as FE  # noqa: E402
+
+TEXT_FEATURES = ["src_word_count", "tgt_word_count", "length_ratio", "src_char_count",
+                 "tgt_char_count", "char_ratio"]
+
+
+def text_features(spark, d):
+    return _round_doubles(FE.text_features(views.segments(spark, d)).select("row_id", *TEXT_FEATURES))
+
+
+def cross_features(spark, d):
+    r = views.ratings(spark, d)
+    out = FE.cross_features(r, SIG)
+    return _round_doubles(out.select("row_id", *[c for c in out.columns if "_minus_" in c or "_times_" in c]))
+
+
+def doc_context(spark, d):
+    out = FE.doc_context(views.ratings(spark, d), SIG)
+    return _round_doubles(out.select("row_id", *[c for c in out.columns if "_doc_" in c]))
+
+
+def span_features(spark, d):
+    return _round_doubles(FE.span_features(views.spans(spark, d)).select("doc_id", *FE.SPAN_COLUMNS))
+
+
+def vector_features(spark, d):
+    return _round_doubles(FE.vector_features(views.vectors(spark, d)).select(
+        "vec_id", "emb_norm", "emb_mean", "emb_std"))
+
+
+def mean_pool(spark, d):
+    p = FE.mean_pool(views.vectors(spark, d), "label")
+    return _round_doubles(p.select("label", "n", F.posexplode("pooled").alias("dim", "value")))
+
+
+def cosine(spark, d):
+    return _round_doubles(FE.cosine_to_pool(views.vectors(spark, d), "label").select("vec_id", "label", "cosine"))
+
+
+def speech_rate(spark, d):
+    return _round_doubles(FE.speech_rate(views.audio_meta(spark, d)).select(
+        "row_id", "frames", "audio_duration", "words_per_sec"))
+
+
+def build_features(spark, d):
+    table, names = FE.build_features(views.ratings(spark, d), SIG, spans=views.spans(spark, d))
+    return _round_doubles(table.select("row_id", *names))
+
+
+REGISTRY.update({
+    "text_features": text_features, "cross_features": cross_features, "doc_context": doc_context,
+    "span_features": span_features, "vector_features": vector_features, "mean_pool": mean_pool,
+    "cosine": cosine, "speech_rate": speech_rate, "build_features": build_features,
+})
+
+
+# --- folds, blending, weight search ----------------------------------------------------------
+
+from vetta.operators import blend as BL  # noqa: E402
+
+
+def doc_folds(spark, d):
+    return BL.doc_folds(views.ratings(spark, d))
+
+
+def balanced_folds(spark, d):
+    return BL.balanced_folds(views.ratings(spark, d))
+
+
+def weighted_ensemble(spark, d):
+    r = views.ratings(spark, d)
+    w = SEG.weights_with_default(SIG, rank.pearson(r, ["sig_a_score", "sig_b_score"]).select(
+        "signal", F.col("pearson").alias("weight")))
+    return _round_doubles(BL.blend_from_table(r, w, SIG).select("row_id", "ensemble_score"))
+
+
+def weight_sweep(spark, d):
+    return _round_doubles(BL.weight_sweep(views.ratings(spark, d), SIG).select("weights", "tau"))
+
+
+def cv_ensemble(spark, d):
+    return _round_doubles(BL.cv_ensemble(views.ratings(spark, d), SIG))
+
+
+def oof_tau(spark, d):
+    r = views.ratings(spark, d).withColumn("fold", BL.doc_fold())
+    return _round_doubles(BL.oof_tau(r, "sig_a_score"))
+
+
+def final_score(spark, d):
+    """Submission assembly: signals by suffix, weights from the grid search
+    (what the search writes is what the blend reads), blend, order."""
+    r = views.ratings(spark, d)
+    sigs = SEG.signal_columns(r.columns)
+    best = BL.best_weights(BL.weight_sweep(r, sigs))
+    w = best.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"w_{s}").alias("weight"))
+                                         for s in sigs])).alias("x")).select("x.*")
+    return _round_doubles(BL.blend_from_table(r, w, sigs, "final_score").select("row_id", "final_score"))
+
+
+REGISTRY.update({
+    "doc_folds": doc_folds, "balanced_folds": balanced_folds, "weighted_ensemble": weighted_ensemble,
+    "weight_sweep": weight_sweep, "cv_ensemble": cv_ensemble, "oof_tau": oof_tau,
+    "final_score": final_score,
+})
+
+
+# --- learning and scoring ------------------------------------------------------------------------
+
+from vetta.operators import learn as LN  # noqa: E402
+from vetta.operators import scorer as SC  # noqa: E402
+
+
+def gbt_oof(spark, d):
+    table, names = FE.build_features(views.ratings(spark, d), SIG)
+    preds, _ = LN.gbt_oof(table.withColumn("doc_id", F.col("doc_id")), names)
+    return _round_doubles(preds)
+
+
+def isotonic_oof(spark, d):
+    return _round_doubles(LN.isotonic_oof(views.ratings(spark, d), "sig_a_score"))
+
+
+def ridge_stack(spark, d):
+    preds, _ = LN.ridge_oof(views.ratings(spark, d), SIG)
+    return _round_doubles(preds)
+
+
+def pairwise_ranker(spark, d):
+    r = views.ratings(spark, d)
+    pairs = PR.sample_preference_pairs(r, payload=tuple(SIG))
+    scored, _ = LN.pairwise_ranker(pairs, r, SIG)
+    return _round_doubles(scored.select("row_id", "ranker_score"))
+
+
+def batch_scorer(spark, d):
+    return _round_doubles(SC.score_with(views.segments(spark, d), SC.length_ratio_scorer,
+                                        ["src_text", "tgt_text"], "lexical_score"))
+
+
+def merge_signal(spark, d):
+    scores = SC.score_with(views.segments_left(spark, d), SC.length_ratio_scorer,
+                           ["src_text", "tgt_text"], "lexical_score")
+    merged, _ = SC.merge_signal(views.segments(spark, d), scores)
+    return _round_doubles(merged.select("row_id", "lexical_score"))
+
+
+REGISTRY.update({
+    "gbt_oof": gbt_oof, "isotonic_oof": isotonic_oof, "ridge_stack": ridge_stack,
+    "pairwise_ranker": pairwise_ranker, "batch_scorer": batch_scorer, "merge_signal": merge_signal,
+})
