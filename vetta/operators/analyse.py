@@ -65,30 +65,28 @@ def worst_drilldown(df: DataFrame, worst: DataFrame, signal: str, k: int = 3,
 
 def spearman_props(detail: DataFrame, props=("n_systems", "gold_range", "pred_range", "gold_mean")):
     """Spearman r of each source property against tau, per signal: Pearson
-    of average ranks."""
-    out = None
-    for prop in props:
-        # 9-place values: equal properties computed along different float
-        # paths must tie, in any engine
-        base = detail.select("signal", F.round(F.col(prop).cast("double"), 9).alias("x"),
-                             F.round("tau", 9).alias("y")).dropna()
-        r = _ranks_by_signal(base).groupBy("signal").agg(
-            F.count(F.lit(1)).alias("n"), rank.pearson_expr("rx", "ry").alias("spearman_r"))
-        r = r.withColumn("property", F.lit(prop))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def _ranks_by_signal(base: DataFrame) -> DataFrame:
-    """Average ranks of x and y within each signal."""
-    out = base
-    for c, name in (("x", "rx"), ("y", "ry")):
-        p = with_position(out, [F.col("signal"), F.col(c)], "_p")
-        first = p.groupBy("signal").agg(F.min("_p").alias("_f"))
-        span = p.groupBy("signal", c).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-        out = p.join(first, "signal").join(span, ["signal", c]).withColumn(
-            name, (F.col("_lo") + F.col("_hi")) / 2 - F.col("_f") + 1).drop("_p", "_f", "_lo", "_hi")
-    return out
+    of average ranks.  All properties are unpivoted into one table, so two
+    distributed rank passes serve every (signal, property)."""
+    # 9-place values: equal properties computed along different float paths
+    # must tie, in any engine
+    stack = ", ".join(f"'{p}', CAST(`{p}` AS DOUBLE)" for p in props)
+    base = detail.select("signal", F.round("tau", 9).alias("y"),
+                         F.expr(f"stack({len(props)}, {stack}) AS (property, x)")) \
+        .withColumn("x", F.round("x", 9)).dropna().persist()
+    ranked = _average_ranks(_average_ranks(base, ["signal", "property"], "x", "rx"),
+                            ["signal", "property"], "y", "ry")
+    return ranked.groupBy("signal", "property").agg(
+        F.count(F.lit(1)).alias("n"), rank.pearson_expr("rx", "ry").alias("spearman_r"))
+
+
+def _average_ranks(df: DataFrame, by, c: str, name: str) -> DataFrame:
+    """1-based ranks of ``c`` within ``by`` with ties averaged, from one
+    distributed sort (no single-partition window)."""
+    p = with_position(df, [*[F.col(k) for k in by], F.col(c)], "_p")
+    first = p.groupBy(*by).agg(F.min("_p").alias("_f"))
+    span = p.groupBy(*by, c).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    return p.join(first, by).join(span, [*by, c]).withColumn(
+        name, (F.col("_lo") + F.col("_hi")) / 2 - F.col("_f") + 1).drop("_p", "_f", "_lo", "_hi")
 
 
 def spearman_pvalue(r: float, n: int) -> float | None:

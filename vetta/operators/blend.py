@@ -108,11 +108,12 @@ def cv_ensemble(df: DataFrame, signals, k: int = N_FOLDS, grid=GRID, gold: str =
     cands = candidate_grid(len(signals), grid)
     t = candidate_doc_taus(df, signals, cands, gold).filter(F.col("tau").isNotNull()) \
         .withColumn("fold", doc_fold("doc_id", k, seed))
-    per = t.groupBy("fold", "signal").agg(F.sum("tau").alias("s"), F.count(F.lit(1)).alias("c"))
-    tot = per.groupBy("signal").agg(F.sum("s").alias("S"), F.sum("c").alias("C"))
+    per = t.groupBy("fold", "signal").agg(F.sum("tau").alias("fs"), F.count(F.lit(1)).alias("fc"))
+    tot = per.groupBy("signal").agg(F.sum("fs").alias("ts"), F.sum("fc").alias("tc"))
     j = per.join(tot, "signal").withColumn(
-        "train_tau", F.when(F.col("C") - F.col("c") > 0, (F.col("S") - F.col("s")) / (F.col("C") - F.col("c")))
-        .otherwise(F.lit(0.0))).withColumn("val_tau", F.col("s") / F.col("c"))
+        "train_tau", F.when(F.col("tc") - F.col("fc") > 0,
+                            (F.col("ts") - F.col("fs")) / (F.col("tc") - F.col("fc")))
+        .otherwise(F.lit(0.0))).withColumn("val_tau", F.col("fs") / F.col("fc"))
     ct = _cand_table(df.sparkSession, cands, signals)
     j = j.join(F.broadcast(ct), "signal")
     best = j.groupBy("fold").agg(F.max_by(F.struct("weights", "train_tau", "val_tau", "cand_order",

@@ -150,16 +150,40 @@ def dominance(pts: DataFrame, keys, use_b: bool = True,
                      F.col("w").cast("double").alias("w"), F.col("t").cast("int").alias("t"))
     schema = _counts_schema(pts, keys)
     sizes = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    big = sizes.filter(F.col("_m") > block_points)
-    n_big, max_m = big.agg(F.count(F.lit(1)), F.max("_m")).first()
-    if not n_big:
-        return pts.groupBy(*keys).applyInPandas(_kernel_fn(keys, use_b), schema)
-    big_keys = maybe_broadcast(big.select(*keys), n_big)
-    small = pts.join(big_keys, keys, "left_anti")
-    out = small.groupBy(*keys).applyInPandas(_kernel_fn(keys, use_b), schema)
-    big_pts = pts.join(big_keys, keys, "left_semi")
-    return out.unionByName(_decomposed(big_pts, keys, int(n_big), int(max_m), use_b, schema,
-                                       block_points))
+    small_lim = min(SMALL_GROUP, block_points)
+    n_mid, n_big, max_m = sizes.agg(
+        F.count_if(F.col("_m") > small_lim), F.count_if(F.col("_m") > block_points),
+        F.max("_m")).first()
+    if not n_mid:
+        return _dominance_small(pts, keys)
+    mid_keys = sizes.filter(F.col("_m") > small_lim).select(*keys)
+    out = _dominance_small(pts.join(maybe_broadcast(mid_keys, n_mid), keys, "left_anti"), keys)
+    if n_mid > n_big:
+        mid = pts.join(maybe_broadcast(mid_keys, n_mid), keys, "left_semi")
+        if n_big:
+            big_keys = sizes.filter(F.col("_m") > block_points).select(*keys)
+            mid = mid.join(maybe_broadcast(big_keys, n_big), keys, "left_anti")
+        out = out.unionByName(mid.groupBy(*keys).applyInPandas(_kernel_fn(keys, use_b), schema))
+    if n_big:
+        big_keys = maybe_broadcast(sizes.filter(F.col("_m") > block_points).select(*keys), n_big)
+        big_pts = pts.join(big_keys, keys, "left_semi")
+        out = out.unionByName(_decomposed(big_pts, keys, int(n_big), int(max_m), use_b, schema,
+                                          block_points))
+    return out
+
+
+def _dominance_small(pts: DataFrame, keys) -> DataFrame:
+    """Tier 1 of ``dominance``: groups of at most SMALL_GROUP points, looped
+    over as a bounded array by higher-order functions (JVM side)."""
+    g = pts.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "w", "t")).alias("_a"))
+
+    def over_pairs(cond: str) -> F.Column:
+        # ordered pairs (data x, query y); t=2 is both data and query
+        return F.expr(
+            "aggregate(_a, 0D, (acc, x) -> acc + aggregate(_a, 0D, (acc2, y) -> acc2 + "
+            f"IF(x.t <> 0 AND y.t <> 1 AND x.a < y.a AND {cond}, x.w * y.w, 0D)))")
+    return g.select(*keys, over_pairs("true").alias("d1"), over_pairs("x.b < y.b").alias("lt"),
+                    over_pairs("x.b > y.b").alias("gt"))
 
 
 def _block_of(col: str, edges: str):
@@ -250,8 +274,9 @@ def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP)
         out = out.unionByName(_concordance_large(large_rows, keys, preds))
     n0 = F.col("n") * (F.col("n") - 1) / 2
     den = (n0 - F.col("tx")) * (n0 - F.col("ty"))
-    # greatest/least skip nulls, so the clip sits inside the guard.
-    tau = F.when(den > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s") / F.sqrt(den))))
+    raw = F.col("s") / F.sqrt(den)
+    # clip to [-1, 1] with when: greatest/least would turn a null s into +-1
+    tau = F.when(den > 0, F.when(raw > 1.0, F.lit(1.0)).when(raw < -1.0, F.lit(-1.0)).otherwise(raw))
     out = out.filter(F.col("n") >= 2).withColumn("tau", tau)
     return out.drop("_all") if synth else out
 

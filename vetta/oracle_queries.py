@@ -533,8 +533,8 @@ _FEAT = ", ".join(f"round(r.{s}, 6) AS {s}" for s in SIGNALS)
 SQL["build_features"] = _nudge_rounds(with_views(RATINGS, SPAN_ROWS, _SPANF) + f""",
 d AS (SELECT doc_id, {_DOCSTATS} FROM ratings GROUP BY doc_id)
 SELECT r.row_id, {_FEAT},
-       CASE WHEN r.tgt_lang = 'zh' THEN 1.0 ELSE 0.0 END AS is_zh,
-       CASE WHEN r.tgt_lang = 'de' THEN 1.0 ELSE 0.0 END AS is_de,
+       CASE WHEN r.tgt_lang = 'zh' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_zh,
+       CASE WHEN r.tgt_lang = 'de' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_de,
        {_CROSS.replace('round(', 'round(r.').replace(' - ', ' - r.').replace(' * ', ' * r.')},
        {', '.join(f"round(coalesce(d.{s}_doc_{st}, 0.0), 6) AS {s}_doc_{st}" for s in SIGNALS for st in ('mean', 'std', 'min', 'max'))},
        {', '.join(f"round(coalesce(r.{s} - d.{s}_doc_mean, 0.0), 6) AS {s}_doc_dev" for s in SIGNALS)},
