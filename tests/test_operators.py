@@ -288,3 +288,30 @@ def test_flagship_plan_has_no_cartesian(spark, sf_dir):
     from vetta.queries import REGISTRY
     plan = _plan(REGISTRY["evaluate_metric"](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_candidate_kernel_matches_generic(spark, monkeypatch):
+    from vetta.operators import pairstats
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in range(40):
+        n = int(rng.integers(1, 12)) if d % 7 else 20        # some sources above the limit
+        for i in range(n):
+            g = float(rng.integers(0, 6)) if d != 3 else None if i == 0 else 1.0
+            rows.append((f"{d}-{i}", d, g, float(rng.integers(0, 4)), float(rng.integers(0, 3)), int(d % 3)))
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, score double, a double, b double, fold long")
+    monkeypatch.setattr(pairstats, "SMALL_GROUP", 10)
+    cands = [(1.0, 0.0), (0.5, 0.5), (0.25, 1.0)]
+    got = {(r.fold, r.cand): (r.sum_tau, r.n_def)
+           for r in blend.candidate_tau_sums(df, ["a", "b"], cands, fold_col="fold").collect()}
+    t = blend.candidate_doc_taus(df, ["a", "b"], cands, extra=["fold"]).collect()
+    exp = {}
+    for r in t:
+        if r.tau is None:
+            continue
+        key = (r.fold, int(r.signal[-4:]))
+        s, c = exp.get(key, (0.0, 0))
+        exp[key] = (s + r.tau, c + 1)
+    assert set(exp) <= set(got)
+    for key, (s, c) in exp.items():
+        assert got[key][1] == c and got[key][0] == pytest.approx(s)

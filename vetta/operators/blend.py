@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +76,113 @@ def _cand_name(i: int) -> str:
     return f"cand_{i:04d}"
 
 
-def candidate_doc_taus(df: DataFrame, signals, candidates, gold: str = "score") -> DataFrame:
+BUCKET_ROWS = 250_000      # rows per task in the vectorised small-source kernel
+
+
+def _small_kernel(signals, candidates, has_fold):
+    W = np.asarray(candidates, dtype=np.float64)
+    tot = W.sum(axis=1)
+    chunk = 32
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        doc = pdf["doc_id"].to_numpy()
+        y = pdf["_y"].to_numpy(dtype=np.float64, na_value=np.nan)
+        X = np.column_stack([pdf[s].to_numpy(dtype=np.float64, na_value=np.nan) for s in signals])
+        fold = pdf["fold"].to_numpy() if has_fold else np.zeros(len(pdf), dtype=np.int64)
+        n = len(pdf)
+        start = np.ones(n, dtype=bool)
+        start[1:] = doc[1:] != doc[:-1]
+        gid = np.cumsum(start) - 1
+        sizes = np.bincount(gid)
+        offs = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        cnt = sizes[gid] - (np.arange(n) - offs[gid]) - 1
+        P = int(cnt.sum())
+        rows = []
+        if P:
+            I = np.repeat(np.arange(n), cnt)
+            J = I + 1 + (np.arange(P) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+            pg = gid[I]
+            docs2 = np.unique(pg)                       # sources with a pair
+            first = np.searchsorted(pg, docs2)
+            dy = np.sign(y[I] - y[J])
+            ty = np.add.reduceat((dy == 0).astype(np.float64), first)
+            ty[np.isnan(np.add.reduceat(dy, first))] = np.nan
+            n0 = sizes[docs2] * (sizes[docs2] - 1) / 2.0
+            dfold = fold[offs[docs2]]
+            for c0 in range(0, len(W), chunk):
+                Wc, tc = W[c0:c0 + chunk], tot[c0:c0 + chunk]
+                # blended value per row, in the same operation order as the
+                # Spark expression, then pair differences
+                B = X[:, [0]] * Wc[:, 0]
+                for k in range(1, X.shape[1]):
+                    B = B + X[:, [k]] * Wc[:, k]
+                B = B / tc
+                sg = np.sign(B[I] - B[J])
+                S = np.add.reduceat(sg * dy[:, None], first, axis=0)
+                tx = np.add.reduceat((sg == 0).astype(np.float64), first, axis=0)
+                tx[np.isnan(S)] = np.nan
+                den = (n0[:, None] - tx) * (n0 - ty)[:, None]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    tau = np.where(den > 0, S / np.sqrt(np.where(den > 0, den, 1.0)), np.nan)
+                tau = np.clip(tau, -1.0, 1.0)
+                ok = ~np.isnan(tau)
+                for f in np.unique(dfold):
+                    m = dfold == f
+                    rows.append(pd.DataFrame({
+                        "fold": np.int64(f), "cand": np.arange(c0, c0 + len(Wc), dtype=np.int64),
+                        "sum_tau": np.where(ok[m], tau[m], 0.0).sum(axis=0),
+                        "n_def": ok[m].sum(axis=0).astype(np.int64)}))
+        if not rows:
+            return pd.DataFrame({"fold": pd.Series(dtype="int64"), "cand": pd.Series(dtype="int64"),
+                                 "sum_tau": pd.Series(dtype="float64"), "n_def": pd.Series(dtype="int64")})
+        return pd.concat(rows, ignore_index=True)
+    return run
+
+
+def candidate_tau_sums(df: DataFrame, signals, candidates, gold: str = "score",
+                       fold_col: str | None = None) -> DataFrame:
+    """Per (fold, candidate): sum and count of defined per-source taus of the
+    blended column.  Sources of at most SMALL_GROUP rows are scored by a
+    vectorised kernel over hash buckets of sources (bounded rows per task,
+    all candidates at once, reduced in the task); larger sources take the
+    exact general path.  Returns ``fold, cand, sum_tau, n_def``."""
+    from vetta.operators import pairstats
+    cols = ["doc_id", rank.nan_to_null(gold).alias("_y"),
+            *[rank.nan_to_null(s).alias(s) for s in signals]]
+    if fold_col:
+        cols.append(F.col(fold_col).cast("long").alias("fold"))
+    base = df.filter(F.col("doc_id").isNotNull()).select(*cols)
+    sizes = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    n_rows, n_big = sizes.agg(F.sum("_n"), F.count_if(F.col("_n") > pairstats.SMALL_GROUP)).first()
+    n_rows = int(n_rows or 0)
+    nb = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BUCKET_ROWS))
+    small = base
+    big_keys = None
+    if n_big:
+        big_keys = pairstats.maybe_broadcast(sizes.filter(F.col("_n") > pairstats.SMALL_GROUP)
+                                             .select("doc_id"), n_big)
+        small = base.join(big_keys, "doc_id", "left_anti")
+    schema = "fold long, cand long, sum_tau double, n_def long"
+    out = small.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(nb)).alias("_bucket")) \
+        .applyInPandas(_small_kernel(signals, candidates, bool(fold_col)), schema)
+    if n_big:
+        big = base.join(big_keys, "doc_id", "left_semi").withColumnRenamed("_y", gold)
+        t = candidate_doc_taus(big, signals, candidates, gold, ["fold"] if fold_col else [])
+        t = t.withColumn("cand", F.regexp_extract("signal", r"(\d+)$", 1).cast("long"))
+        fold = F.col("fold") if fold_col else F.lit(0).cast("long")
+        out = out.unionByName(t.groupBy(fold.alias("fold"), "cand").agg(
+            F.sum(F.coalesce("tau", F.lit(0.0))).alias("sum_tau"), F.count("tau").alias("n_def")))
+    return out.groupBy("fold", "cand").agg(F.sum("sum_tau").alias("sum_tau"),
+                                           F.sum("n_def").alias("n_def"))
+
+
+def candidate_doc_taus(df: DataFrame, signals, candidates, gold: str = "score", extra=()) -> DataFrame:
     """Per source and candidate: tau of the blended column against gold."""
     cols = [weighted_blend(signals, c).alias(_cand_name(i)) for i, c in enumerate(candidates)]
-    wide = df.select("doc_id", gold, *cols)
-    return rank.tau_by_group(wide, [_cand_name(i) for i in range(len(candidates))], ["doc_id"], gold)
+    wide = df.select("doc_id", gold, *extra, *cols)
+    return rank.tau_by_group(wide, [_cand_name(i) for i in range(len(candidates))],
+                             [*extra, "doc_id"], gold)
 
 
 def _cand_table(spark, candidates, signals):
@@ -88,11 +192,14 @@ def _cand_table(spark, candidates, signals):
 
 
 def weight_sweep(df: DataFrame, signals, grid=GRID, gold: str = "score") -> DataFrame:
-    """Mean per-source tau of every grid candidate: ``weights, tau``."""
+    """Mean per-source tau of every grid candidate: ``weights, tau`` (0.0
+    where no source has a defined tau)."""
     cands = candidate_grid(len(signals), grid)
-    t = candidate_doc_taus(df, signals, cands, gold)
-    m = rank.mean_tau(t, signals=[_cand_name(i) for i in range(len(cands))])
-    return _cand_table(df.sparkSession, cands, signals).join(m, "signal").drop("n_groups")
+    sums = candidate_tau_sums(df, signals, cands, gold).groupBy("cand").agg(
+        F.sum("sum_tau").alias("s"), F.sum("n_def").alias("c"))
+    ct = _cand_table(df.sparkSession, cands, signals)
+    return ct.join(sums, ct.cand_order == sums.cand, "left").select(
+        *ct.columns, F.when(F.col("c") > 0, F.col("s") / F.col("c")).otherwise(F.lit(0.0)).alias("tau"))
 
 
 def best_weights(sweep: DataFrame) -> DataFrame:
@@ -106,16 +213,17 @@ def cv_ensemble(df: DataFrame, signals, k: int = N_FOLDS, grid=GRID, gold: str =
     mean tau over the other folds' sources, and its tau on the fold's own
     sources.  One per-source tau table serves every fold."""
     cands = candidate_grid(len(signals), grid)
-    t = candidate_doc_taus(df, signals, cands, gold).filter(F.col("tau").isNotNull()) \
-        .withColumn("fold", doc_fold("doc_id", k, seed))
-    per = t.groupBy("fold", "signal").agg(F.sum("tau").alias("fs"), F.count(F.lit(1)).alias("fc"))
-    tot = per.groupBy("signal").agg(F.sum("fs").alias("ts"), F.sum("fc").alias("tc"))
-    j = per.join(tot, "signal").withColumn(
+    per = candidate_tau_sums(df.withColumn("fold", doc_fold("doc_id", k, seed)), signals, cands, gold,
+                             "fold").select("fold", F.col("cand").cast("int").alias("cand_order"),
+                                            F.col("sum_tau").alias("fs"), F.col("n_def").alias("fc"))
+    tot = per.groupBy("cand_order").agg(F.sum("fs").alias("ts"), F.sum("fc").alias("tc"))
+    j = per.join(tot, "cand_order").withColumn(
         "train_tau", F.when(F.col("tc") - F.col("fc") > 0,
                             (F.col("ts") - F.col("fs")) / (F.col("tc") - F.col("fc")))
-        .otherwise(F.lit(0.0))).withColumn("val_tau", F.col("fs") / F.col("fc"))
-    ct = _cand_table(df.sparkSession, cands, signals)
-    j = j.join(F.broadcast(ct), "signal")
+        .otherwise(F.lit(0.0))).withColumn(
+        "val_tau", F.when(F.col("fc") > 0, F.col("fs") / F.col("fc")).otherwise(F.lit(0.0)))
+    ct = _cand_table(df.sparkSession, cands, signals).drop("signal")
+    j = j.join(F.broadcast(ct), "cand_order")
     best = j.groupBy("fold").agg(F.max_by(F.struct("weights", "train_tau", "val_tau", "cand_order",
                                                    *[f"w_{s}" for s in signals]),
                                           F.struct(F.col("train_tau"), -F.col("cand_order"))).alias("b"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SMALL_GROUP = 64
-BLOCK_POINTS = 200_000
+BLOCK_POINTS = 2_000_000     # distinct points per kernel call (~100 MB of arrays)
 MAX_BLOCKS = 1024
 BROADCAST_KEYS = 200_000      # key rows we are willing to broadcast
 BROADCAST_EDGE_VALUES = 2_000_000
@@ -62,6 +62,8 @@ def dominance_counts(a, b, w, t):
     if b is not None:
         b = np.asarray(b, dtype=np.float64)
     both = t == 2
+    if both.all():
+        return _self_counts(a, b, w)
     if both.any():
         a = np.concatenate([a, a[both]])
         w = np.concatenate([w, w[both]])
@@ -112,6 +114,64 @@ def dominance_counts(a, b, w, t):
     return d1, lt, d1 - le
 
 
+def _self_counts(a, b, w):
+    """``dominance_counts`` when every point is both data and query (the
+    concordance case), without duplicating points: sort once by (a, b);
+    pairs i < j then have a_i <= a_j, the equal-a pairs are counted in closed
+    form and b-inversions are counted across merge levels."""
+    if a.size < 2:
+        return 0.0, 0.0, 0.0
+    if b is None:
+        b = np.zeros_like(a)
+    # sort by (a, b) and collapse repeated points, so equal-a groups have
+    # distinct b
+    o = np.lexsort((b, a))
+    a, b, w = a[o], b[o], w[o]
+    new = np.ones(a.size, dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    w = np.bincount(np.cumsum(new) - 1, weights=w)
+    a, b = a[new], b[new]
+    tot = w.sum()
+    start_a = np.ones(a.size, dtype=bool)
+    start_a[1:] = a[1:] != a[:-1]
+    ga = np.cumsum(start_a) - 1
+    wa = np.bincount(ga, weights=w)
+    sq = np.bincount(ga, weights=w * w)
+    d1 = float((tot * tot - np.dot(wa, wa)) / 2)
+    tie_lt = float(((wa * wa) - sq).sum() / 2)      # equal a, b_i < b_j
+    _, rb = np.unique(b, return_inverse=True)
+    rb = rb.ravel().astype(np.int64)
+    radix = int(rb.max()) + 2
+    m = a.size
+    lt_all = 0.0
+    gt_all = 0.0
+    # ``perm`` lists positions sorted by (position // s, rank of b); each
+    # level reads its left halves already sorted and merges two sorted runs
+    # for the next level (linear for a stable sort), instead of re-sorting.
+    perm = np.arange(m, dtype=np.int64)
+    s = 1
+    while s < m:
+        sub = perm // s
+        is_right = (sub & 1).astype(bool)
+        L = perm[~is_right]
+        R = perm[is_right]
+        ks = (L // (2 * s)) * radix + rb[L]
+        cw = np.concatenate(([0.0], np.cumsum(w[L])))
+        base = (R // (2 * s)) * radix
+        rq = rb[R]
+        lo = np.searchsorted(ks, base, "left")
+        hi_lt = np.searchsorted(ks, base + rq, "left")
+        hi_le = np.searchsorted(ks, base + rq, "right")
+        end = np.searchsorted(ks, base + radix, "left")
+        wq = w[R]
+        lt_all += float(np.dot(wq, cw[hi_lt] - cw[lo]))
+        gt_all += float(np.dot(wq, cw[end] - cw[hi_le]))
+        both_keys = np.concatenate((ks, base + rq))
+        perm = np.concatenate((L, R))[np.argsort(both_keys, kind="stable")]
+        s *= 2
+    return d1, lt_all - tie_lt, gt_all
+
+
 def _kernel_fn(out_keys, use_b):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         d1, lt, gt = dominance_counts(pdf["a"].to_numpy(),
@@ -312,8 +372,9 @@ def _concordance_large(rows, keys, preds):
     counts = long.groupBy(*gk).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_x").isNull() | F.col("_y").isNull()).alias("_nulls"))
+    # the collapsed points feed four consumers (two tie counts, sizes, kernel)
     pts = long.dropna(subset=["_x", "_y"]).groupBy(*gk, "_x", "_y").agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
+        F.count(F.lit(1)).cast("double").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
     tie_p = pts.groupBy(*gk, "_x").agg(F.sum("w").alias("c")).groupBy(*gk).agg(
         F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("tx"))
     tie_g = pts.groupBy(*gk, "_y").agg(F.sum("w").alias("c")).groupBy(*gk).agg(
