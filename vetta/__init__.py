@@ -7,4 +7,12 @@ planned by Catalyst; only tiny results (edges, weights, partition totals) are
 ever pulled to the driver.
 """
 
-from vetta.session import get_session, checkpoint_dir  # noqa: F401
+import sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Ship this package's functions by value inside the UDF closures, so Python
+# workers never need the package installed or on their path.
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from vetta.session import get_session, checkpoint_dir  # noqa: E402,F401

@@ -314,7 +314,8 @@ def _nan_to_null(c: str):
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP) -> DataFrame:
+def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP,
+                few_groups: bool = False) -> DataFrame:
     """Kendall tau-b of each prediction column against ``gold`` per group.
 
     Returns ``keys + [signal, n, s, tx, ty, tau]`` for groups with n >= 2:
@@ -328,10 +329,15 @@ def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP)
         df = df.filter(F.col(k).isNotNull())
     base = df.select(*keys, _nan_to_null(gold).alias("_y"),
                      *[_nan_to_null(p).alias(f"_p{i}") for i, p in enumerate(preds)])
-    small_rows, large_rows = _split_by_size(base, keys, small)
-    out = _concordance_small(small_rows, keys, preds)
-    if large_rows is not None:
-        out = out.unionByName(_concordance_large(large_rows, keys, preds))
+    if synth or few_groups:
+        # a handful of (usually large) groups, e.g. an overall tau: no size
+        # routing job; ``dominance`` tiers them by distinct points
+        out = _concordance_large(base, keys, preds)
+    else:
+        small_rows, large_rows = _split_by_size(base, keys, small)
+        out = _concordance_small(small_rows, keys, preds)
+        if large_rows is not None:
+            out = out.unionByName(_concordance_large(large_rows, keys, preds))
     n0 = F.col("n") * (F.col("n") - 1) / 2
     den = (n0 - F.col("tx")) * (n0 - F.col("ty"))
     raw = F.col("s") / F.sqrt(den)

@@ -85,7 +85,8 @@ def kendall_overall(df: DataFrame, signals, gold: str = GOLD, by=()) -> DataFram
     """Overall tau-b per signal over rows where both sides are present."""
     by = list(by)
     lg = long_signals(df, signals, by, gold).dropna(subset=["pred", "gold"])
-    res = pairstats.concordance(lg.withColumnRenamed("signal", "sig"), by + ["sig"], "gold", ["pred"])
+    res = pairstats.concordance(lg.withColumnRenamed("signal", "sig"), by + ["sig"], "gold", ["pred"],
+                                few_groups=True)
     return res.select(*by, F.col("sig").alias("signal"), "n", "tau")
 
 
@@ -134,35 +135,27 @@ def soft_pairwise_accuracy(df: DataFrame, signals, gold: str = GOLD, by=(),
 
 def evaluate_metric(df: DataFrame, signals, gold: str = GOLD) -> DataFrame:
     """Overall tau, per-source tau, Pearson and SPA, then per-source tau,
-    Pearson and SPA per language pair, as ``scope, lp, signal, metric, value``."""
-    df = df.withColumn("lp", F.concat(F.col("src_lang"), F.lit(LP_SEP), F.col("tgt_lang")))
-    all_ = F.lit("all")
+    Pearson and SPA per language pair, as ``scope, lp, signal, metric, value``.
+
+    Rows are exploded once to the scopes ``lp = 'all'`` and their own
+    language pair, so each statistic is one pass for both scopes."""
+    scoped = df.withColumn("lp", F.explode(F.array(F.lit("all"), lp_label()))) \
+        .filter(F.col("lp").isNotNull())
+    lps = scoped.select("lp").distinct()
+    is_all = F.col("lp") == "all"
+    scope = F.when(is_all, F.lit("overall")).otherwise(F.lit("lp")).alias("scope")
+    per_src = mean_tau(tau_by_group(scoped, signals, ["lp", "doc_id"], gold), ["lp"], signals, lps)
     parts = [
-        kendall_overall(df, signals, gold).select(F.lit("overall").alias("scope"), all_.alias("lp"),
+        kendall_overall(df, signals, gold).select(F.lit("overall").alias("scope"), F.lit("all").alias("lp"),
                                                   "signal", F.lit("kendall_tau").alias("metric"),
                                                   F.col("tau").alias("value")),
-        mean_tau(tau_by_group(df, signals, ["doc_id"], gold), signals=signals).select(
-            F.lit("overall").alias("scope"), all_.alias("lp"), "signal",
-            F.lit("per_source_kendall_tau").alias("metric"), F.col("tau").alias("value")),
-        pearson(df, signals, gold).select(F.lit("overall").alias("scope"), all_.alias("lp"), "signal",
-                                          F.lit("pearson").alias("metric"),
-                                          F.col("pearson").alias("value")),
-        soft_pairwise_accuracy(df, signals, gold).select(
-            F.lit("overall").alias("scope"), all_.alias("lp"), "signal", F.lit("spa").alias("metric"),
-            F.col("spa").alias("value")),
-    ]
-    lpdf = df.filter(F.col("lp").isNotNull())
-    lps = lpdf.select("lp").distinct()
-    parts += [
-        mean_tau(tau_by_group(lpdf, signals, ["lp", "doc_id"], gold), ["lp"], signals, lps).select(
-            F.lit("lp").alias("scope"), "lp", "signal", F.lit("kendall_tau").alias("metric"),
-            F.col("tau").alias("value")),
-        pearson(lpdf, signals, gold, ["lp"]).select(F.lit("lp").alias("scope"), "lp", "signal",
-                                                   F.lit("pearson").alias("metric"),
-                                                   F.col("pearson").alias("value")),
-        soft_pairwise_accuracy(lpdf, signals, gold, ["lp"]).select(
-            F.lit("lp").alias("scope"), "lp", "signal", F.lit("spa").alias("metric"),
-            F.col("spa").alias("value")),
+        per_src.select(scope, "lp", "signal",
+                       F.when(is_all, F.lit("per_source_kendall_tau")).otherwise(F.lit("kendall_tau"))
+                       .alias("metric"), F.col("tau").alias("value")),
+        pearson(scoped, signals, gold, ["lp"]).select(scope, "lp", "signal", F.lit("pearson").alias("metric"),
+                                                     F.col("pearson").alias("value")),
+        soft_pairwise_accuracy(scoped, signals, gold, ["lp"]).select(
+            scope, "lp", "signal", F.lit("spa").alias("metric"), F.col("spa").alias("value")),
     ]
     out = parts[0]
     for p in parts[1:]:
