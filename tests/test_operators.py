@@ -216,7 +216,9 @@ def _brute_pairs(rows, gap=1.0):
     return out
 
 
-def test_preference_pairs_all_and_sampled(spark):
+@pytest.mark.parametrize("small", [64, 10])
+def test_preference_pairs_all_and_sampled(spark, small, monkeypatch):
+    monkeypatch.setattr(pairs.pairstats, "SMALL_GROUP", small)
     rng = np.random.default_rng(3)
     rows = [(f"r{i}", int(rng.integers(0, 6)), float(rng.integers(0, 8))) for i in range(60)]
     rows += [(f"h{i}", 99, float(i % 13)) for i in range(40)]          # a larger source

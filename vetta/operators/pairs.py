@@ -45,9 +45,31 @@ def doc_pair_summary(df: DataFrame, signals, gold: str = "score") -> DataFrame:
 def partner_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP) -> DataFrame:
     """Rows with ``_gn`` (source size), ``_dpos`` (place in descending gold
     order, ties by row_id) and ``_k`` (rows of the source with gold below
-    gold - gap, i.e. the row's partners)."""
+    gold - gap, i.e. the row's partners).
+
+    Sources of at most SMALL_GROUP rows: one shuffle, counts from the bounded
+    per-source array.  Larger sources: distributed positions (no source is
+    ever collected whole)."""
     base = df.filter(F.col(gold).isNotNull() & F.col("doc_id").isNotNull()) \
         .withColumn("_g", F.col(gold).cast("double"))
+    small, large = pairstats._split_by_size(base, ["doc_id"], pairstats.SMALL_GROUP)
+    other = [c for c in base.columns if c != "doc_id"]
+    arr = small.groupBy("doc_id").agg(F.collect_list(F.struct(*other)).alias("_a"))
+    gap_s = repr(float(gap))
+    per_row = F.expr(
+        "transform(_a, x -> struct(x AS r, size(_a) AS n, "
+        "size(filter(_a, e -> e._g > x._g OR (e._g = x._g AND e.row_id < x.row_id))) AS dpos, "
+        f"size(filter(_a, e -> e._g < x._g - {gap_s})) AS k))")
+    out = arr.select("doc_id", F.explode(per_row).alias("_x")).select(
+        "doc_id", *[F.col(f"_x.r.{c}").alias(c) for c in other],
+        F.col("_x.n").cast("long").alias("_gn"), F.col("_x.dpos").cast("long").alias("_dpos"),
+        F.col("_x.k").cast("long").alias("_k"))
+    if large is not None:
+        out = out.unionByName(_partner_counts_large(large, gap))
+    return out
+
+
+def _partner_counts_large(base: DataFrame, gap: float) -> DataFrame:
     desc = positions_in_group(base.withColumn("_ng", -F.col("_g")), ["doc_id"], "_ng", ["row_id"]) \
         .withColumnRenamed("_gpos", "_dpos").drop("_ng")
     # union of rows (t=1) and thresholds g - gap (t=0): thresholds sort before
@@ -60,7 +82,9 @@ def partner_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP) ->
     qa = positions_in_group(keys, ["doc_id"], "_g", ["row_id"]).select(
         "doc_id", "row_id", F.col("_gpos").alias("_qa"))
     k = pu.join(qa, ["doc_id", "row_id"]).select("doc_id", "row_id", (F.col("_pu") - F.col("_qa")).alias("_k"))
-    return desc.join(k, ["doc_id", "row_id"])
+    return desc.join(k, ["doc_id", "row_id"]).select(
+        "doc_id", *[c for c in base.columns if c != "doc_id"], F.col("_gn").cast("long").alias("_gn"),
+        F.col("_dpos").cast("long").alias("_dpos"), F.col("_k").cast("long").alias("_k"))
 
 
 def preference_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP) -> DataFrame:

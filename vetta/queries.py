@@ -93,17 +93,23 @@ def stats_by_system(spark, d):
 
 
 def stats_grouping_sets(spark, d):
+    """Score statistics for the grouping sets (lp), (system), (lp, system) in
+    one pass: rows are exploded once per set under a surrogate group key, so
+    one distributed sort gives every median."""
     r = views.ratings(spark, d).withColumn("lp", T.lp_label())
-    sets = {"lp": ["lp"], "system": ["tgt_system"], "lp_system": ["lp", "tgt_system"]}
-    out = None
-    for name, keys in sets.items():
-        s = profile.stats_by(r, keys)
-        for k in ("lp", "tgt_system"):
-            if k not in keys:
-                s = s.withColumn(k, F.lit(None).cast("string"))
-        s = s.withColumn("grouping", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return _round_doubles(out)
+    none = F.lit(None).cast("string")
+    sets = F.array(
+        F.struct(F.lit("lp").alias("grouping"), F.col("lp").alias("lp"), none.alias("tgt_system")),
+        F.struct(F.lit("system").alias("grouping"), none.alias("lp"), F.col("tgt_system").alias("tgt_system")),
+        F.struct(F.lit("lp_system").alias("grouping"), F.col("lp").alias("lp"),
+                 F.col("tgt_system").alias("tgt_system")))
+    ex = r.select("score", F.explode(sets).alias("_s")).select("score", "_s.*")
+    ex = ex.withColumn("_gk", F.concat_ws("|", "grouping", F.coalesce("lp", F.lit("")),
+                                          F.coalesce("tgt_system", F.lit(""))))
+    st = profile.stats_by(ex, ["_gk"])
+    names = ex.groupBy("_gk").agg(F.first("grouping").alias("grouping"), F.first("lp").alias("lp"),
+                                  F.first("tgt_system").alias("tgt_system"))
+    return _round_doubles(st.join(names, "_gk").drop("_gk"))
 
 
 def doc_structure(spark, d):
