@@ -317,3 +317,15 @@ def test_candidate_kernel_matches_generic(spark, monkeypatch):
     assert set(exp) <= set(got)
     for key, (s, c) in exp.items():
         assert got[key][1] == c and got[key][0] == pytest.approx(s)
+
+
+def test_differential_evolution_finds_informative_signal(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in range(60):
+        for i in range(5):
+            g = float(rng.integers(0, 100))
+            rows.append((d, g, g + rng.normal(scale=5), float(rng.normal())))
+    df = spark.createDataFrame(rows, "doc_id long, score double, good double, noise double")
+    w, tau = blend.differential_evolution_weights(df, ["good", "noise"], generations=3, popsize=4)
+    assert w[0] > w[1] and tau > 0.5

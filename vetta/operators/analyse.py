@@ -23,13 +23,17 @@ def per_source_detail(df: DataFrame, signals, gold: str = GOLD) -> DataFrame:
     and predicted range and mean, and the language pair of the source's first
     row (by row key)."""
     t = rank.tau_by_group(df, signals, ["doc_id"], gold).filter(F.col("tau").isNotNull())
-    lg = rank.long_signals(df, signals, ["doc_id", "row_id", "src_lang", "tgt_lang"], gold)
-    stats = lg.groupBy("doc_id", "signal").agg(
-        (F.max("gold") - F.min("gold")).alias("gold_range"),
-        (F.max("pred") - F.min("pred")).alias("pred_range"),
-        F.avg("gold").alias("gold_mean"), F.avg("pred").alias("pred_mean"),
-        F.min_by("src_lang", "row_id").alias("src_lang"),
-        F.min_by("tgt_lang", "row_id").alias("tgt_lang"))
+    g = rank.nan_to_null(gold)
+    aggs = [(F.max(g) - F.min(g)).alias("gold_range"), F.avg(g).alias("gold_mean"),
+            F.min_by("src_lang", "row_id").alias("src_lang"), F.min_by("tgt_lang", "row_id").alias("tgt_lang")]
+    for i, s_ in enumerate(signals):
+        p = rank.nan_to_null(s_)
+        aggs += [(F.max(p) - F.min(p)).alias(f"_r{i}"), F.avg(p).alias(f"_m{i}")]
+    # one wide aggregation per source, then one row per signal
+    wide = df.groupBy("doc_id").agg(*aggs)
+    stack = ", ".join(f"'{s_}', _r{i}, _m{i}" for i, s_ in enumerate(signals))
+    stats = wide.select("doc_id", "gold_range", "gold_mean", "src_lang", "tgt_lang",
+                        F.expr(f"stack({len(signals)}, {stack}) AS (signal, pred_range, pred_mean)"))
     return t.join(stats, ["doc_id", "signal"]).select(
         "signal", "doc_id", "tau", F.col("n").alias("n_systems"), "gold_range", "pred_range",
         "gold_mean", "pred_mean", "src_lang", "tgt_lang")
@@ -46,11 +50,19 @@ def tau_distribution(detail: DataFrame) -> DataFrame:
     return agg.join(q, "signal").withColumn("median", F.col("p50"))
 
 
-def worst_sources(detail: DataFrame, k: int = 10) -> DataFrame:
+def worst_sources(detail: DataFrame, k: int = 10, signals=None) -> DataFrame:
     """Lowest-tau sources per signal (ties by doc id).  ``k`` is the report
-    size; the ranking window runs per signal over one row per source."""
+    size.  Each signal is a partial top-k (per-partition candidates, then
+    k rows), never a window holding all sources of a signal in one task."""
+    if signals is None:
+        signals = [r["signal"] for r in detail.select("signal").distinct().collect()]
+    out = None
+    for sig in signals:
+        top = detail.filter(F.col("signal") == sig).orderBy(F.asc("tau"), F.asc("doc_id")).limit(k)
+        out = top if out is None else out.unionByName(top)
+    # ranking k rows per signal
     w = Window.partitionBy("signal").orderBy(F.asc("tau"), F.asc("doc_id"))
-    return detail.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w))
 
 
 def worst_drilldown(df: DataFrame, worst: DataFrame, signal: str, k: int = 3,

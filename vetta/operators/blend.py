@@ -253,3 +253,46 @@ def oof_tau(df: DataFrame, pred: str, fold_col: str = "fold", gold: str = "score
     mean = per.agg(F.lit(-1).cast("long").alias(fold_col), F.avg("tau").alias("tau"),
                    F.sum("n_docs").alias("n_docs"))
     return per.select(F.col(fold_col).cast("long").alias(fold_col), "tau", "n_docs").unionByName(mean)
+
+
+def _mean_taus(df: DataFrame, signals, cands, gold: str) -> np.ndarray:
+    """Mean per-source tau of each candidate (one Spark job for all)."""
+    sums = candidate_tau_sums(df, signals, [tuple(map(float, c)) for c in cands], gold) \
+        .groupBy("cand").agg(F.sum("sum_tau").alias("s"), F.sum("n_def").alias("c")).collect()
+    out = np.zeros(len(cands))
+    for r in sums:
+        if r["c"]:
+            out[int(r["cand"])] = r["s"] / r["c"]
+    return out
+
+
+def differential_evolution_weights(df: DataFrame, signals, generations: int = 100, popsize: int = 15,
+                                   seed: int = SEED, mutation=(0.5, 1.0), recombination: float = 0.7,
+                                   tol: float = 1e-6, gold: str = "score"):
+    """Weights in [0, 1]^k maximising mean per-source tau by differential
+    evolution (best/1/bin, dithered mutation, Latin-hypercube start).  Each
+    generation's whole trial population is scored by one Spark job; the
+    driver only keeps the k-vectors.  Returns ``(weights, tau)``."""
+    rng = np.random.default_rng(seed)
+    k = len(signals)
+    npop = max(5, popsize * k)
+    seg = (np.arange(npop)[:, None] + rng.random((npop, k))) / npop
+    pop = np.column_stack([seg[rng.permutation(npop), j] for j in range(k)])
+    fit = _mean_taus(df, signals, pop, gold)
+    for _ in range(generations):
+        best = pop[int(np.argmax(fit))]
+        f = rng.uniform(*mutation)
+        trials = np.empty_like(pop)
+        for i in range(npop):
+            r1, r2 = rng.choice([j for j in range(npop) if j != i], 2, replace=False)
+            mutant = np.clip(best + f * (pop[r1] - pop[r2]), 0.0, 1.0)
+            cross = rng.random(k) < recombination
+            cross[rng.integers(k)] = True
+            trials[i] = np.where(cross, mutant, pop[i])
+        tf = _mean_taus(df, signals, trials, gold)
+        better = tf >= fit
+        pop[better], fit[better] = trials[better], tf[better]
+        if np.std(fit) <= tol * abs(np.mean(fit)):
+            break
+    i = int(np.argmax(fit))
+    return pop[i].tolist(), float(fit[i])

@@ -278,14 +278,15 @@ def tau_distribution(spark, d):
 
 
 def worst_sources(spark, d):
-    return _round_doubles(A.worst_sources(_detail(spark, d)).select(
+    return _round_doubles(A.worst_sources(_detail(spark, d), signals=SIG).select(
         "signal", "rank", "doc_id", "tau", "n_systems", "gold_range", "pred_range",
         "src_lang", "tgt_lang"))
 
 
 def worst_drilldown(spark, d):
     r = views.ratings(spark, d)
-    return _round_doubles(A.worst_drilldown(r, A.worst_sources(_detail(spark, d)), "sig_a_score"))
+    worst = A.worst_sources(_detail(spark, d), k=3, signals=["sig_a_score"])
+    return _round_doubles(A.worst_drilldown(r, worst, "sig_a_score"))
 
 
 def spearman_props(spark, d):
