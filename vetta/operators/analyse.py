@@ -41,6 +41,7 @@ def per_source_detail(df: DataFrame, signals, gold: str = GOLD) -> DataFrame:
 
 def tau_distribution(detail: DataFrame) -> DataFrame:
     """n, mean, median, sample std, min, max and P10..P90 of per-source tau."""
+    detail = detail.persist()      # read by the moments and by the sort
     agg = detail.groupBy("signal").agg(
         F.count(F.lit(1)).alias("n_sources"), F.avg("tau").alias("mean"),
         F.stddev_samp("tau").alias("std"), F.min("tau").alias("min"), F.max("tau").alias("max"))

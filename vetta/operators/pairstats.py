@@ -330,9 +330,8 @@ def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP,
     base = df.select(*keys, _nan_to_null(gold).alias("_y"),
                      *[_nan_to_null(p).alias(f"_p{i}") for i, p in enumerate(preds)])
     if synth or few_groups:
-        # a handful of (usually large) groups, e.g. an overall tau: no size
-        # routing job; ``dominance`` tiers them by distinct points
-        out = _concordance_large(base, keys, preds)
+        # a handful of (usually large) groups, e.g. an overall tau
+        out = _concordance_few(base, keys, preds)
     else:
         small_rows, large_rows = _split_by_size(base, keys, small)
         out = _concordance_small(small_rows, keys, preds)
@@ -371,6 +370,44 @@ def _concordance_small(rows, keys, preds):
         .select(*keys, "signal", "n", "s", "tx", "ty")
 
 
+def _tie_pairs(v: np.ndarray) -> float:
+    _, c = np.unique(v, return_counts=True)
+    c = c.astype(np.float64)
+    return float((c * (c - 1) / 2).sum())
+
+
+def _direct_fn(gk):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf["_x"].to_numpy(dtype=np.float64, na_value=np.nan)
+        y = pdf["_y"].to_numpy(dtype=np.float64, na_value=np.nan)
+        bad = np.isnan(x) | np.isnan(y)
+        row = {k: [pdf[k].iloc[0]] for k in gk}
+        row["n"] = [int(len(pdf))]
+        if bad.any():
+            row.update(s=[None], tx=[0.0], ty=[0.0])
+        else:
+            _, lt, gt = _self_counts(x, y, np.ones(x.size))
+            row.update(s=[lt - gt], tx=[_tie_pairs(x)], ty=[_tie_pairs(y)])
+        return pd.DataFrame(row)
+    return run
+
+
+def _concordance_few(rows, keys, preds):
+    """Few groups (an overall tau): when every group fits one kernel call,
+    ship its rows once to the kernel, which also counts ties and nulls;
+    otherwise collapse ties and take the general path."""
+    gk = keys + ["signal"]
+    stack = ", ".join(f"'{p}', _p{i}" for i, p in enumerate(preds))
+    long = rows.select(*keys, "_y", F.expr(f"stack({len(preds)}, {stack}) AS (signal, _x)"))
+    largest = long.groupBy(*gk).count().agg(F.max("count")).first()[0] or 0
+    if largest > BLOCK_POINTS:
+        return _concordance_large(rows, keys, preds)
+    schema = T.StructType([long.schema[k] for k in gk] + [
+        T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()),
+        T.StructField("tx", T.DoubleType()), T.StructField("ty", T.DoubleType())])
+    return long.groupBy(*gk).applyInPandas(_direct_fn(gk), schema)
+
+
 def _concordance_large(rows, keys, preds):
     gk = keys + ["signal"]
     stack = ", ".join(f"'{p}', _p{i}" for i, p in enumerate(preds))
