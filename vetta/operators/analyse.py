@@ -160,10 +160,11 @@ def gold_quintiles(df: DataFrame, signals, gold: str = GOLD, bins: int = N_QUANT
     base = df.select(F.col(gold).cast("double").alias("g"), *signals).filter(F.col("g").isNotNull())
     probs = [i / bins for i in range(bins + 1)]
     q = exact_quantiles(base, "g", probs)
-    edges = q.select(F.array_distinct(F.array_sort(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])))
-                     .alias("_e"), F.lit(0).alias("_k"))
-    b = base.withColumn("_k", F.lit(0)).join(F.broadcast(edges), "_k").withColumn(
-        "bin", F.greatest(F.lit(0), F.size(F.filter(F.slice("_e", 2, bins + 1), lambda e: e < F.col("g")))))
+    edges = q.select(F.array_distinct(F.array_sort(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])))) \
+        .scalar()
+    # the edge array is a column first: subqueries cannot sit inside a lambda
+    b = base.withColumn("_e", edges).withColumn(
+        "bin", F.size(F.filter(F.slice("_e", 2, bins + 1), lambda e: e < F.col("g"))))
     lg = b.select("bin", "g", F.expr(
         f"stack({len(signals)}, " + ", ".join(f"'{s}', CAST(`{s}` AS DOUBLE)" for s in signals)
         + ") AS (signal, pred)"))
@@ -195,12 +196,11 @@ def pair_agreement(df: DataFrame, signals, gold: str = GOLD, band: float = TIE_B
 
 def compression_ratio(df: DataFrame, signals, gold: str = GOLD) -> DataFrame:
     """Sample std of each prediction over the sample std of gold."""
-    g = df.agg(F.stddev_samp(rank.nan_to_null(gold)).alias("gold_std"), F.lit(0).alias("_k"))
+    gstd = df.agg(F.stddev_samp(rank.nan_to_null(gold))).scalar()
     lg = rank.long_signals(df, signals, [], gold)
-    p = lg.groupBy("signal").agg(F.stddev_samp("pred").alias("pred_std")).withColumn("_k", F.lit(0))
-    return p.join(F.broadcast(g), "_k").select(
-        "signal", "gold_std", "pred_std",
-        F.when(F.col("gold_std") > 0, F.col("pred_std") / F.col("gold_std")).alias("compression_ratio"))
+    p = lg.groupBy("signal").agg(F.stddev_samp("pred").alias("pred_std"))
+    return p.select("signal", gstd.alias("gold_std"), "pred_std",
+                    F.when(gstd > 0, F.col("pred_std") / gstd).alias("compression_ratio"))
 
 
 def signal_summary(df: DataFrame, signals) -> DataFrame:
@@ -220,11 +220,9 @@ def cross_signal(df: DataFrame, signals) -> DataFrame:
     out = None
     for a, b in signal_pairs(signals):
         d = df.select(rank.nan_to_null(a).alias("a"), rank.nan_to_null(b).alias("b")).dropna()
-        pr = d.agg(rank.pearson_expr("a", "b").alias("pearson"), F.lit(0).alias("_k"))
-        tau = pairstats.concordance(d, [], "b", ["a"]).select(F.col("tau").alias("kendall_tau"),
-                                                             F.lit(0).alias("_k"))
-        r = pr.join(tau, "_k", "left").select(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"),
-                                              "pearson", "kendall_tau")
+        tau = pairstats.concordance(d, [], "b", ["a"]).select("tau").scalar()
+        r = d.agg(rank.pearson_expr("a", "b").alias("pearson")).select(
+            F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), "pearson", tau.alias("kendall_tau"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -233,10 +231,9 @@ def signal_disagreement(df: DataFrame, signals, k: int = 5, gold: str = GOLD) ->
     """Rows where two z-scored signals (sample std) differ most, per pair."""
     out = None
     for a, b in signal_pairs(signals):
-        st = df.agg(F.avg(a).alias("_ma"), F.stddev_samp(a).alias("_sa"), F.avg(b).alias("_mb"),
-                    F.stddev_samp(b).alias("_sb")).withColumn("_k", F.lit(0))
-        z = df.withColumn("_k", F.lit(0)).join(F.broadcast(st), "_k").withColumn(
-            "diff", F.abs((F.col(a) - F.col("_ma")) / F.col("_sa") - (F.col(b) - F.col("_mb")) / F.col("_sb")))
+        ma, sa = df.agg(F.avg(a)).scalar(), df.agg(F.stddev_samp(a)).scalar()
+        mb, sb = df.agg(F.avg(b)).scalar(), df.agg(F.stddev_samp(b)).scalar()
+        z = df.withColumn("diff", F.abs((F.col(a) - ma) / sa - (F.col(b) - mb) / sb))
         top = z.orderBy(F.desc_nulls_last("diff"), F.asc("row_id")).limit(k).select(
             F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), "row_id", gold,
             F.col(a).alias("value_a"), F.col(b).alias("value_b"), "diff")

@@ -17,42 +17,39 @@ SCALE_SWITCH = 1.5         # max > 1.5 means a 0-100 scale
 def score_profile(df: DataFrame, col: str = "score") -> DataFrame:
     """n, min, max, mean, median, std (population), p25, p75."""
     base = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    agg = base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-                   F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")) \
-        .withColumn("_k", F.lit(0))
-    q = exact_quantiles(base, "v", [0.5, 0.25, 0.75]).withColumn("_k", F.lit(0))
-    return agg.join(q, "_k").select("n", "min", "max", "mean", F.col("q0").alias("median"), "std",
-                                    F.col("q1").alias("p25"), F.col("q2").alias("p75"))
+    # the three quantiles attach as one scalar subquery (no join)
+    q = exact_quantiles(base, "v", [0.5, 0.25, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
+    return base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+                    F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).select(
+        "n", "min", "max", "mean", q["q0"].alias("median"), "std", q["q1"].alias("p25"),
+        q["q2"].alias("p75"))
 
 
 def score_histogram(df: DataFrame, col: str = "score") -> DataFrame:
     """Ten bins over 0-100, or 0-1 when max <= 1.5; last bin closed, values
     outside dropped; empty bins kept; a '#' bar of count*40 // max count."""
-    base = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull()) \
-        .withColumn("_k", F.lit(0))
-    top = base.groupBy("_k").agg(F.max("v").alias("_max")).select(
-        "_k", F.when(F.col("_max") > SCALE_SWITCH, F.lit(100.0)).otherwise(F.lit(1.0)).alias("_top"))
-    wide = F.col("_top") > 1
+    base = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    top = base.agg(F.when(F.max("v") > SCALE_SWITCH, F.lit(100.0)).otherwise(F.lit(1.0))).scalar()
+    wide = top > 1
     # inner edges are i*10 (0-100) or i/10 (0-1), as in the explicit bin lists
     inner = F.when(wide, F.array(*[F.lit(float(i * 10)) for i in range(1, HIST_BINS)])) \
         .otherwise(F.array(*[F.lit(i / 10) for i in range(1, HIST_BINS)]))
-    binned = base.join(F.broadcast(top), "_k").filter(
-        (F.col("v") >= 0) & (F.col("v") <= F.col("_top"))).select(
-        F.size(F.filter(inner, lambda e: e <= F.col("v"))).alias("bin"))
+    # the edge array is a column first: subqueries cannot sit inside a lambda
+    binned = base.filter((F.col("v") >= 0) & (F.col("v") <= top)).withColumn("_inner", inner).select(
+        F.size(F.filter("_inner", lambda e: e <= F.col("v"))).alias("bin"))
     hits = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
     bins = spark.createDataFrame(
-        [(i, float(i * 10), float(i * 10 + 10), i / 10, (i + 1) / 10, 0) for i in range(HIST_BINS)],
-        "bin int, lo100 double, hi100 double, lo1 double, hi1 double, _k int")
-    edges = bins.join(F.broadcast(top), "_k").select(
-        "bin", "_k", F.when(wide, F.col("lo100")).otherwise(F.col("lo1")).alias("lo"),
-        F.when(wide, F.col("hi100")).otherwise(F.col("hi1")).alias("hi"))
+        [(i, float(i * 10), float(i * 10 + 10), i / 10, (i + 1) / 10) for i in range(HIST_BINS)],
+        "bin int, lo100 double, hi100 double, lo1 double, hi1 double")
+    edges = bins.select("bin", F.when(wide, F.col("lo100")).otherwise(F.col("lo1")).alias("lo"),
+                        F.when(wide, F.col("hi100")).otherwise(F.col("hi1")).alias("hi"))
     out = edges.join(hits, "bin", "left").select(
-        "bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "_k")
-    mx = out.groupBy("_k").agg(F.max("count").alias("_mx"))
-    return out.join(mx, "_k").select(
-        "bin", "lo", "hi", "count",
-        F.expr(f"repeat('#', CAST(IF(_mx > 0, count * {HIST_BAR_WIDTH} DIV _mx, 0) AS INT))").alias("bar"))
+        "bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    mx = hits.agg(F.max("count")).scalar()
+    # count * 40 // max count (exact: both are integers)
+    width = F.when(mx > 0, F.floor(F.col("count") * HIST_BAR_WIDTH / mx)).otherwise(F.lit(0))
+    return out.select("bin", "lo", "hi", "count", F.repeat(F.lit("#"), width.cast("int")).alias("bar"))
 
 
 def value_counts(df: DataFrame, dims: dict) -> DataFrame:
@@ -102,13 +99,10 @@ def length_stats(df: DataFrame, cols=("src_text", "tgt_text")) -> DataFrame:
     parts = []
     for c in cols:
         wc = df.select(word_count(c).alias("v")).filter(F.col("v").isNotNull())
-        a = wc.agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")) \
-            .withColumn("_k", F.lit(0))
-        m = exact_quantiles(wc, "v", [0.5]).withColumn("_k", F.lit(0))
-        parts.append(a.join(m, "_k").select(F.lit(c).alias("column"), "mean",
-                                            F.col("q0").alias("median"),
-                                            F.col("min").cast("long").alias("min"),
-                                            F.col("max").cast("long").alias("max")))
+        med = exact_quantiles(wc, "v", [0.5]).select("q0").scalar()
+        parts.append(wc.agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+                     .select(F.lit(c).alias("column"), "mean", med.alias("median"),
+                             F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -61,8 +61,7 @@ def merge_signal(df: DataFrame, scores: DataFrame, key: str = "row_id"):
     the key is unique in the scores."""
     s = scores.withColumn("_hit", F.lit(1))
     merged = df.join(s, key, "left")
+    unique = scores.agg(F.count(F.lit(1)) == F.countDistinct(key)).scalar()
     checks = merged.agg(F.count(F.lit(1)).alias("rows"), F.count("_hit").alias("matched")) \
-        .withColumn("_k", F.lit(0)).join(
-            scores.agg((F.count(F.lit(1)) == F.countDistinct(key)).alias("key_unique"))
-            .withColumn("_k", F.lit(0)), "_k").drop("_k")
+        .select("rows", "matched", unique.alias("key_unique"))
     return merged.drop("_hit"), checks

@@ -41,8 +41,7 @@ def subset_counts(train: DataFrame, synthetic: DataFrame, src: str = TARGET_SRC,
                   tgts=TARGET_TGTS, synth_tgts=TARGET_TGTS) -> DataFrame:
     """Rows of the target pairs, of other pairs, and of synthetic rows kept
     for training (synthetic target languages are a parameter)."""
-    t = train.agg(F.count_if(F.coalesce(lp_predicate(src, tgts), F.lit(False))).alias("target"),
-                  F.count_if(~F.coalesce(lp_predicate(src, tgts), F.lit(False))).alias("other"))
-    s = synthetic.agg(F.count_if(F.coalesce(lp_predicate(src, synth_tgts), F.lit(False)))
-                      .alias("synthetic"))
-    return t.withColumn("_k", F.lit(0)).join(s.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    syn = synthetic.agg(F.count_if(F.coalesce(lp_predicate(src, synth_tgts), F.lit(False)))).scalar()
+    return train.agg(F.count_if(F.coalesce(lp_predicate(src, tgts), F.lit(False))).alias("target"),
+                     F.count_if(~F.coalesce(lp_predicate(src, tgts), F.lit(False))).alias("other")) \
+        .select("target", "other", syn.alias("synthetic"))
