@@ -104,3 +104,43 @@ def test_band_agreement(spark, small, monkeypatch):
                     d += 1
         r = res[g]
         assert (r.agree, r.disagree, r.tie) == (a, d, t)
+
+
+def test_hot_source_end_to_end(spark, monkeypatch):
+    """One source with most of the rows next to many small ones; the hot
+    source goes through the block decomposition (block size forced down)."""
+    from vetta.operators import pairs, rank
+    monkeypatch.setattr(ps, "BLOCK_POINTS", 300)
+    rng = np.random.default_rng(12)
+    rows = []
+    hot_g = rng.integers(0, 60, 2500).astype(float) / 2
+    hot_p = np.round(hot_g + rng.normal(scale=6, size=2500), 1)
+    hot_p[:700] = 3.0                                       # a heavy prediction value
+    for i in range(2500):
+        rows.append((f"h{i:05d}", 0, float(hot_g[i]), float(hot_p[i])))
+    for d in range(1, 150):
+        for i in range(int(rng.integers(1, 7))):
+            g = float(rng.integers(0, 10))
+            rows.append((f"s{d}-{i}", d, g, g + float(rng.integers(-3, 4))))
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, score double, sig double")
+
+    tau = {r.doc_id: r.tau for r in rank.tau_by_group(df, ["sig"]).collect()}
+    x, y = hot_p, hot_g
+    sx = np.sign(x[:, None] - x[None, :])
+    sy = np.sign(y[:, None] - y[None, :])
+    iu = np.triu_indices(len(x), 1)
+    s = (sx * sy)[iu].sum()
+    n0 = len(iu[0])
+    tx = (sx[iu] == 0).sum()
+    ty = (sy[iu] == 0).sum()
+    assert tau[0] == pytest.approx(s / np.sqrt((n0 - tx) * (n0 - ty)), abs=1e-12)
+
+    band = {r.doc_id: r for r in ps.band_agreement(df, ["doc_id"], "score", "sig", 1.0).collect()}
+    dg = (y[:, None] - y[None, :])[iu]
+    dp = (x[:, None] - x[None, :])[iu]
+    tie = np.abs(dg) < 1.0
+    agree = ~tie & (((dg > 0) & (dp > 0)) | ((dg < 0) & (dp < 0)))
+    assert (band[0].tie, band[0].agree, band[0].disagree) == (tie.sum(), agree.sum(), (~tie & ~agree).sum())
+
+    pc = {r.doc_id: r.n_pairs for r in pairs.preference_counts(df).collect()}
+    assert pc[0] == int((np.abs(dg) > 1.0).sum())
