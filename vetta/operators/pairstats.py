@@ -346,26 +346,28 @@ def concordance(df: DataFrame, keys, gold: str, preds, small: int = SMALL_GROUP,
     return out.drop("_all") if synth else out
 
 
-def _pair_sum(body: str) -> str:
-    """Sum of ``body`` over the pairs i < j of the bounded array ``_a``
-    (``_a[i]`` and ``e`` are the two elements)."""
-    return ("aggregate(sequence(0, size(_a) - 1), 0D, (acc, i) -> acc + "
-            "aggregate(slice(_a, i + 2, size(_a)), 0D, (acc2, e) -> acc2 + " + body + "))")
-
-
 def _concordance_small(rows, keys, preds):
     g = rows.groupBy(*keys).agg(
         F.collect_list(F.struct("_y", *[f"_p{i}" for i in range(len(preds))])).alias("_a"))
-    cols = [F.expr(_pair_sum("IF(_a[i]._y = e._y, 1D, 0D)")).alias("_ty")]
+    # one traversal of the pairs accumulates every signal's concordance sum,
+    # tie count and count of pairs touching a null, plus the gold tie count
+    # (a struct accumulator; it never holds a null, the null count decides)
+    fields = ["ty"] + [f for i in range(len(preds)) for f in (f"s{i}", f"tx{i}", f"nb{i}")]
+    zero = "named_struct(" + ", ".join(f"'{f}', 0D" for f in fields) + ")"
+    step = ["'ty', c.ty + IF(_a[i]._y = e._y, 1D, 0D)"]
     for i in range(len(preds)):
-        cols.append(F.expr(_pair_sum(f"signum(_a[i]._p{i} - e._p{i}) * signum(_a[i]._y - e._y)"))
-                    .alias(f"_s{i}"))
-        cols.append(F.expr(_pair_sum(f"IF(_a[i]._p{i} = e._p{i}, 1D, 0D)")).alias(f"_tx{i}"))
-    wide = g.select(*keys, F.size("_a").cast("long").alias("n"), *cols)
-    # one projection for every signal, then unpivot: the grouped arrays are
-    # built once however many signals (or weight candidates) there are
-    stack = ", ".join(f"'{p}', _s{i}, _tx{i}" for i, p in enumerate(preds))
-    return wide.select(*keys, "n", F.col("_ty").alias("ty"),
+        step.append(f"'s{i}', c.s{i} + coalesce(signum(_a[i]._p{i} - e._p{i}) * signum(_a[i]._y - e._y), 0D)")
+        step.append(f"'tx{i}', c.tx{i} + IF(_a[i]._p{i} = e._p{i}, 1D, 0D)")
+        step.append(f"'nb{i}', c.nb{i} + IF(_a[i]._p{i} IS NULL OR e._p{i} IS NULL OR "
+                    "_a[i]._y IS NULL OR e._y IS NULL, 1D, 0D)")
+    acc = (f"aggregate(sequence(0, size(_a) - 1), {zero}, (o, i) -> "
+           f"aggregate(slice(_a, i + 2, size(_a)), o, (c, e) -> named_struct({', '.join(step)})))")
+    wide = g.select(*keys, F.size("_a").cast("long").alias("n"), F.expr(acc).alias("_c"))
+    # then unpivot: the grouped arrays are built and walked once however
+    # many signals there are
+    stack = ", ".join(f"'{p}', IF(_c.nb{i} > 0, CAST(NULL AS DOUBLE), _c.s{i}), _c.tx{i}"
+                      for i, p in enumerate(preds))
+    return wide.select(*keys, "n", F.col("_c.ty").alias("ty"),
                        F.expr(f"stack({len(preds)}, {stack}) AS (signal, s, tx)")) \
         .select(*keys, "signal", "n", "s", "tx", "ty")
 
