@@ -447,16 +447,15 @@ def band_agreement(df: DataFrame, keys, gold: str, pred: str, tol: float,
     small_rows, large_rows = _split_by_size(base, keys, small)
     tol_s = repr(float(tol))
     g = small_rows.groupBy(*keys).agg(F.collect_list(F.struct("_g", "_p")).alias("_a"))
-
-    def pair_sum(cond):
-        return F.expr("aggregate(sequence(0, size(_a) - 1), 0D, (acc, i) -> acc + "
-                      "aggregate(slice(_a, i + 2, size(_a)), 0D, (acc2, e) -> acc2 + "
-                      f"IF({cond}, 1D, 0D)))")
+    # one traversal counts ties and agreements (rows are null-free here)
     tie_c = f"abs(_a[i]._g - e._g) < {tol_s}"
     agree_c = (f"NOT ({tie_c}) AND ((_a[i]._g - e._g > 0 AND _a[i]._p - e._p > 0) OR "
                "(_a[i]._g - e._g < 0 AND _a[i]._p - e._p < 0))")
-    out = g.select(*keys, F.size("_a").cast("long").alias("n"), pair_sum(tie_c).alias("tie"),
-                   pair_sum(agree_c).alias("agree"))
+    acc = ("aggregate(sequence(0, size(_a) - 1), named_struct('tie', 0D, 'agree', 0D), (o, i) -> "
+           "aggregate(slice(_a, i + 2, size(_a)), o, (c, e) -> named_struct("
+           f"'tie', c.tie + IF({tie_c}, 1D, 0D), 'agree', c.agree + IF({agree_c}, 1D, 0D))))")
+    out = g.select(*keys, F.size("_a").cast("long").alias("n"), F.expr(acc).alias("_c")) \
+        .select(*keys, "n", F.col("_c.tie").alias("tie"), F.col("_c.agree").alias("agree"))
     out = out.withColumn("disagree", F.col("n") * (F.col("n") - 1) / 2 - F.col("tie") - F.col("agree"))
     if large_rows is not None:
         out = out.unionByName(_band_large(large_rows, keys, tol))
