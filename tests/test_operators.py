@@ -329,3 +329,19 @@ def test_differential_evolution_finds_informative_signal(spark):
     df = spark.createDataFrame(rows, "doc_id long, score double, good double, noise double")
     w, tau = blend.differential_evolution_weights(df, ["good", "noise"], generations=3, popsize=4)
     assert w[0] > w[1] and tau > 0.5
+
+
+def test_kendall_pvalues(spark):
+    # exact: perfect order of 3 -> 2/3! ; of 4 -> 2/4! ; one swap in 4 -> 2 * 4/24
+    assert analyse._kendall_p_exact(3, 0) == pytest.approx(1 / 3)
+    assert analyse._kendall_p_exact(4, 0) == pytest.approx(1 / 12)
+    assert analyse._kendall_p_exact(4, 1) == pytest.approx(2 / 6)
+    assert analyse._kendall_p_exact(5, 2) == pytest.approx(2 * (1 + 4 + 9) / 120)
+    rows = [("a", 1, "S", "en", "de", 1.0, 1.0), ("b", 1, "S", "en", "de", 2.0, 2.0),
+            ("c", 1, "S", "en", "de", 3.0, 3.0),
+            ("d", 2, "S", "en", "de", 1.0, 1.0), ("e", 2, "S", "en", "de", 1.0, 2.0),
+            ("f", 2, "S", "en", "de", 2.0, 3.0)]
+    got = {r.doc_id: r for r in analyse.per_source_pvalues(seg_df(spark, rows), ["sig"]).collect()}
+    assert got[1].pvalue == pytest.approx(1 / 3)
+    # ties -> normal approximation: s=2, n=3, gold ties t=2 -> var = (6*11 - 2*1*9)/18 = 48/18
+    assert got[2].pvalue == pytest.approx(math.erfc(2 / math.sqrt(48 / 18) / math.sqrt(2)))

@@ -559,3 +559,10 @@ REGISTRY.update({
     "gbt_oof": gbt_oof, "isotonic_oof": isotonic_oof, "ridge_stack": ridge_stack,
     "pairwise_ranker": pairwise_ranker, "batch_scorer": batch_scorer, "merge_signal": merge_signal,
 })
+
+
+def per_source_pvalue(spark, d):
+    return _round_doubles(A.per_source_pvalues(views.ratings(spark, d), SIG))
+
+
+REGISTRY["per_source_pvalue"] = per_source_pvalue
