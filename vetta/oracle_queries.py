@@ -586,3 +586,17 @@ SQL["batch_scorer"] = _nudge_rounds(with_views(SEGMENTS) + f"SELECT row_id, roun
 SQL["merge_signal"] = _nudge_rounds(with_views(SEGMENTS, SEGMENTS_LEFT) + f"""
 SELECT s.row_id, l.lexical_score FROM segments s
 LEFT JOIN (SELECT row_id, round({_LEX}, 6) AS lexical_score FROM segments_left) l ON l.row_id = s.row_id""")
+
+# --- the same operators over the events matrix and the labelled documents -----------------
+
+_LG_UM = "SELECT CAST(doc_id AS VARCHAR) || '|' || tgt_system AS row_id, doc_id, tgt_system, " \
+         "'sig_k_score' AS signal, sig_k_score AS pred, score AS gold FROM user_matrix"
+SQL["kendall_per_source_events"] = _nudge_rounds(with_views(USER_MATRIX) + f"""
+, t AS ({tau_per_group(_LG_UM, 'doc_id')})
+SELECT sl.signal, round(coalesce(avg(t.tau), 0.0), 6) AS per_source_tau, count(t.tau) AS n_docs
+FROM (VALUES ('sig_k_score')) sl(signal) LEFT JOIN t ON t.signal = sl.signal GROUP BY sl.signal""")
+SQL["spa_events"] = _nudge_rounds(with_views(USER_MATRIX) + f"""
+SELECT signal, round(spa, 6) AS spa FROM ({_spa(_LG_UM, 25.0)})""")
+SQL["kendall_overall_labels"] = _nudge_rounds(with_views(DOC_QUALITY) + f""",
+{_overall_tau("SELECT 'len_score' AS signal, CAST(n_chars AS DOUBLE) AS pred, score AS gold FROM doc_quality")}
+SELECT signal, n, round(tau, 6) AS tau FROM ov""")

@@ -566,3 +566,28 @@ def per_source_pvalue(spark, d):
 
 
 REGISTRY["per_source_pvalue"] = per_source_pvalue
+
+
+# --- the same operators over the events matrix and the labelled documents -------------
+
+def kendall_per_source_events(spark, d):
+    """A10 over the complete user x event-type matrix."""
+    return rank.kendall_per_source(views.user_matrix(spark, d), ["sig_k_score"])
+
+
+def spa_events(spark, d):
+    """A14 over the events matrix (five systems)."""
+    return rank.soft_pairwise_accuracy(views.user_matrix(spark, d), ["sig_k_score"]) \
+        .select("signal", rank.r6("spa").alias("spa"))
+
+
+def kendall_overall_labels(spark, d):
+    """A9 with null gold: unlabelled documents are left out (P12)."""
+    dq = views.doc_quality(spark, d).withColumn("len_score", F.col("n_chars").cast("double"))
+    return rank.kendall_overall(dq, ["len_score"]).select("signal", "n", rank.r6("tau").alias("tau"))
+
+
+REGISTRY.update({
+    "kendall_per_source_events": kendall_per_source_events, "spa_events": spa_events,
+    "kendall_overall_labels": kendall_overall_labels,
+})
