@@ -345,3 +345,55 @@ def test_kendall_pvalues(spark):
     assert got[1].pvalue == pytest.approx(1 / 3)
     # ties -> normal approximation: s=2, n=3, gold ties t=2 -> var = (6*11 - 2*1*9)/18 = 48/18
     assert got[2].pvalue == pytest.approx(math.erfc(2 / math.sqrt(48 / 18) / math.sqrt(2)))
+
+
+def test_top_features_order(spark):
+    imp = spark.createDataFrame([("a", 0.1), ("b", 0.5), ("c", 0.5), ("d", 0.0)], "feature string, importance double")
+    assert [r.feature for r in learn.top_features(imp, 3).collect()] == ["b", "c", "a"]
+
+
+def test_cv_predictions_use_fold_weights(spark):
+    df = spark.createDataFrame([(d, float(d), 10.0 * d) for d in range(20)], "doc_id long, a double, b double")
+    folds = spark.createDataFrame([(f, 1.0, float(f)) for f in range(5)], "fold long, w_a double, w_b double")
+    out = blend.cv_predictions(df, folds, ["a", "b"]).collect()
+    for r in out:
+        assert r.cv_ensemble_score == pytest.approx((r.a * 1.0 + r.b * r.fold) / (1.0 + r.fold))
+
+
+def test_isotonic_is_monotone_within_lp_and_fold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(60):
+        for i in range(4):
+            x = float(rng.normal())
+            rows.append((f"{d}-{i}", d, "en", "de" if d % 2 else "zh", x, 50 + 10 * x + float(rng.normal())))
+    rows.append(("solo", 999, "en", "ja", 0.3, 40.0))        # an LP with one source keeps raw values
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, src_lang string, tgt_lang string, "
+                                     "sig double, score double")
+    cal = df.join(learn.isotonic_oof(df, "sig"), "row_id").collect()
+    assert len(cal) == len(rows)
+    by = {}
+    for r in cal:
+        by.setdefault((r.tgt_lang, r.fold), []).append((r.sig, r.calibrated))
+    for (lp, fold), pts in by.items():
+        pts.sort()
+        vals = [c for _, c in pts]
+        assert all(b >= a - 1e-9 for a, b in zip(vals, vals[1:])), (lp, fold)
+    solo = [r for r in cal if r.row_id == "solo"][0]
+    assert solo.calibrated == pytest.approx(0.3) and solo.fold == -1
+
+
+def test_pairwise_ranker_recovers_order(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(40):
+        for i in range(5):
+            g = float(rng.integers(0, 100))
+            rows.append((f"{d}-{i}", d, g, g / 100, float(rng.normal())))
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, score double, good double, noise double")
+    sample = pairs.sample_preference_pairs(df, payload=("good", "noise"))
+    scored, w = learn.pairwise_ranker(sample, df, ["good", "noise"])
+    wts = {r.feature: r.weight for r in w.collect()}
+    assert wts["good"] > 0 and abs(wts["good"]) > abs(wts["noise"])
+    got = pairs.pairstats.concordance(scored, [], "score", ["ranker_score"]).first().tau
+    assert got > 0.9
