@@ -397,3 +397,11 @@ def test_pairwise_ranker_recovers_order(spark):
     assert wts["good"] > 0 and abs(wts["good"]) > abs(wts["noise"])
     got = pairs.pairstats.concordance(scored, [], "score", ["ranker_score"]).first().tau
     assert got > 0.9
+
+
+def test_epoch_order(spark):
+    df = spark.range(300).withColumnRenamed("id", "pair_index")
+    o1 = [r.pair_index for r in pairs.epoch_order(df, 1).orderBy("position").collect()]
+    o1b = [r.pair_index for r in pairs.epoch_order(df, 1).orderBy("position").collect()]
+    o2 = [r.pair_index for r in pairs.epoch_order(df, 2).orderBy("position").collect()]
+    assert o1 == o1b and o1 != o2 and sorted(o1) == list(range(300))

@@ -179,3 +179,13 @@ def disagreement_examples(df: DataFrame, signal: str, gold: str = "score", k: in
                                     F.col("b.tgt_system").alias("sys_j"), dg.alias("gold_diff"),
                                     dp.alias("pred_diff")) \
         .orderBy("doc_id", "row_i", "row_j").limit(k)
+
+
+def epoch_order(df: DataFrame, epoch: int, key: str = "pair_index", seed: int = SEED,
+                out: str = "position") -> DataFrame:
+    """A fresh seeded order of rows for each training epoch: position in the
+    order of ``md5(seed|epoch|key)`` (repeatable, engine-independent; a
+    distributed sort, no single task holds the rows)."""
+    from vetta.plans.ordered import with_position
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
+    return with_position(df.withColumn("_h", h), [F.col("_h"), F.col(key)], out).drop("_h")
