@@ -135,3 +135,14 @@ def test_fixture_views_smoke(spark, sf_dir):
     assert sp.filter(F.size("spans") == 0).count() > 0      # orders without lines
     um = views.user_matrix(spark, sf_dir)
     assert um.filter(F.col("sig_k_score").isNull()).count() == 0
+
+
+def test_mixed_schema_parts(spark, scratch):
+    a = spark.createDataFrame([(1, 0.5)], "doc_id long, score double")
+    b = spark.createDataFrame([(2, 0.7, "S1")], "doc_id long, score double, tgt_system string")
+    a.write.parquet(f"{scratch}/p0")
+    b.write.parquet(f"{scratch}/p1")
+    seg = segments.read_segments(spark, [f"{scratch}/p0", f"{scratch}/p1"],
+                                 ["doc_id", "score", "tgt_system"], merge_schema=True)
+    got = sorted((r.doc_id, r.tgt_system) for r in seg.collect())
+    assert seg.columns == ["doc_id", "score", "tgt_system"] and got == [(1, None), (2, "S1")]
