@@ -28,3 +28,25 @@ def test_every_query_has_an_oracle_or_is_rows_only():
     rows_only = {"pair_cap", "pair_loss", "cv_ensemble", "gbt_oof", "isotonic_oof", "ridge_stack",
                  "pairwise_ranker", "per_source_pvalue"}
     assert set(E.queries()) - set(E.oracle_sql()) == rows_only
+
+
+def test_udf_queries_run_from_another_directory(tmp_path):
+    """Workers get the package by value: a fresh driver outside the repo can
+    run queries whose plans hold Python kernels."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "q = E.queries()\n"
+        "print(q['weight_sweep'](s, '/root/testdata/sf0.001').count(), q['batch_scorer'](s, '/root/testdata/sf0.001').count())\n"
+    ) % repo
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split()[-2:][0] == "124"
