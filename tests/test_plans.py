@@ -25,7 +25,7 @@ def test_no_pair_product_in_plan(spark, sf_dir, key):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = {"pair_cap", "pair_loss", "cv_ensemble", "gbt_oof", "isotonic_oof", "ridge_stack",
+    rows_only = {"pair_cap", "pair_loss", "gbt_oof", "isotonic_oof", "ridge_stack",
                  "pairwise_ranker", "per_source_pvalue"}
     assert set(E.queries()) - set(E.oracle_sql()) == rows_only
 

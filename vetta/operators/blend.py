@@ -224,9 +224,11 @@ def cv_ensemble(df: DataFrame, signals, k: int = N_FOLDS, grid=GRID, gold: str =
         "val_tau", F.when(F.col("fc") > 0, F.col("fs") / F.col("fc")).otherwise(F.lit(0.0)))
     ct = _cand_table(df.sparkSession, cands, signals).drop("signal")
     j = j.join(F.broadcast(ct), "cand_order")
+    # scale-equivalent candidates have equal taus up to summation order:
+    # compare at 9 places, the earliest candidate wins ties
     best = j.groupBy("fold").agg(F.max_by(F.struct("weights", "train_tau", "val_tau", "cand_order",
                                                    *[f"w_{s}" for s in signals]),
-                                          F.struct(F.col("train_tau"), -F.col("cand_order"))).alias("b"))
+                                          F.struct(F.round("train_tau", 9), -F.col("cand_order"))).alias("b"))
     return best.select("fold", "b.*").drop("cand_order")
 
 

@@ -600,3 +600,24 @@ SELECT signal, round(spa, 6) AS spa FROM ({_spa(_LG_UM, 25.0)})""")
 SQL["kendall_overall_labels"] = _nudge_rounds(with_views(DOC_QUALITY) + f""",
 {_overall_tau("SELECT 'len_score' AS signal, CAST(n_chars AS DOUBLE) AS pred, score AS gold FROM doc_quality")}
 SELECT signal, n, round(tau, 6) AS tau FROM ov""")
+
+_CV = f"""cands AS (SELECT * FROM (VALUES {_CAND_VALUES}) v(cand_order, weights, wa, wb, wc)),
+bl AS (SELECT c.cand_order, r.row_id, r.doc_id, {FOLD} AS fold, r.score AS gold,
+              (r.sig_a_score * c.wa + r.sig_b_score * c.wb + r.sig_c_score * c.wc) / (c.wa + c.wb + c.wc) AS pred
+       FROM ratings r, cands c),
+dt AS ({tau_per_group("SELECT row_id, doc_id, fold, CAST(cand_order AS VARCHAR) AS signal, pred, gold FROM bl", 'fold, doc_id')}),
+per AS (SELECT fold, CAST(signal AS INTEGER) AS cand_order, sum(tau) AS fs, count(tau) AS fc
+        FROM dt GROUP BY ALL),
+tot AS (SELECT cand_order, sum(fs) AS ts, sum(fc) AS tc FROM per GROUP BY cand_order),
+j AS (SELECT per.fold, per.cand_order,
+             CASE WHEN tot.tc - per.fc > 0 THEN (tot.ts - per.fs) / (tot.tc - per.fc) ELSE 0.0 END AS train_tau,
+             CASE WHEN per.fc > 0 THEN per.fs / per.fc ELSE 0.0 END AS val_tau
+      FROM per JOIN tot ON tot.cand_order = per.cand_order),
+ranked AS (SELECT j.*, c.weights, c.wa, c.wb, c.wc,
+                  row_number() OVER (PARTITION BY j.fold ORDER BY round(j.train_tau, 9) DESC, j.cand_order) AS rk
+           FROM j JOIN cands c ON c.cand_order = j.cand_order)"""
+SQL["cv_ensemble"] = _nudge_rounds(with_views(RATINGS) + f""", {_CV}
+SELECT fold, weights, round(train_tau, 6) AS train_tau, round(val_tau, 6) AS val_tau,
+       round(CAST(wa AS DOUBLE), 6) AS w_sig_a_score, round(CAST(wb AS DOUBLE), 6) AS w_sig_b_score,
+       round(CAST(wc AS DOUBLE), 6) AS w_sig_c_score
+FROM ranked WHERE rk = 1""")
