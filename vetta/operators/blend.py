@@ -203,8 +203,9 @@ def weight_sweep(df: DataFrame, signals, grid=GRID, gold: str = "score") -> Data
 
 
 def best_weights(sweep: DataFrame) -> DataFrame:
-    """Highest tau; the earliest candidate wins ties."""
-    return sweep.orderBy(F.desc("tau"), F.asc("cand_order")).limit(1)
+    """Highest tau (compared at 9 places: scale-equivalent candidates tie up
+    to summation order); the earliest candidate wins ties."""
+    return sweep.orderBy(F.desc(F.round("tau", 9)), F.asc("cand_order")).limit(1)
 
 
 def cv_ensemble(df: DataFrame, signals, k: int = N_FOLDS, grid=GRID, gold: str = "score",

@@ -568,7 +568,7 @@ sweep AS (SELECT c.cand_order, c.weights, c.wa, c.wb, c.wc, coalesce(avg(dt.tau)
           FROM cands c LEFT JOIN dt ON dt.signal = CAST(c.cand_order AS VARCHAR) GROUP BY ALL)"""
 SQL["weight_sweep"] = _nudge_rounds(with_views(RATINGS) + f", {_SWEEP}\nSELECT weights, round(tau, 6) AS tau FROM sweep")
 SQL["final_score"] = _nudge_rounds(with_views(RATINGS) + f""", {_SWEEP},
-best AS (SELECT * FROM sweep ORDER BY tau DESC, cand_order LIMIT 1)
+best AS (SELECT * FROM sweep ORDER BY round(tau, 9) DESC, cand_order LIMIT 1)
 SELECT r.row_id, round((r.sig_a_score * b.wa + r.sig_b_score * b.wb + r.sig_c_score * b.wc) / (b.wa + b.wb + b.wc), 6) AS final_score
 FROM ratings r, best b""")
 SQL["oof_tau"] = _nudge_rounds(with_views(RATINGS) + f""",
