@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, mixing
+from vetta.llm import exact_dedup, main_text, mixing, pieces, token_counts
 from vetta.llm.common import staged, table, word_count
 
+TOKEN_LIMIT = 4096
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -15,6 +17,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(hashed).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def piece_model() -> str:
+    """Path of the vocabulary that the token queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    """Digest columns of ``pieces.encode_decode`` rows."""
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_digests(pieces.encode_decode(docs, piece_model()))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages).select("page_id", "url", F.col("main_text").alias("text"),
+                                           F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, piece_model()).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(staged(docs, "sizes"), "size")
@@ -24,7 +57,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_html_extraction": op7_html_extraction,
     "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 
 # A-Z only: lower() would also change other letters
