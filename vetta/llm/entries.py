@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, main_text, mixing, pieces, token_counts
-from vetta.llm.common import staged, table, word_count
+from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, token_counts
+from vetta.llm.common import label_fold, staged, table, word_count
 
 TOKEN_LIMIT = 4096
 
@@ -48,6 +48,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scores.select(F.col("id").alias("doc_id"), (label_fold(F.col("id")) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(staged(docs, "sizes"), "size")
@@ -59,6 +66,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_extraction": op7_html_extraction,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }

@@ -2,8 +2,8 @@
 
 Pass one drops every row's text hash into the cells of a Bloom filter and
 keeps the cells hit at least twice, as bitmaps of 32,768 cells.  Pass two looks
-each row up in those bitmaps (broadcast; their size is bounded by ``MAX_BITS``
-at any input size): a row with a cell hit once has a unique text and passes
+each row up in those bitmaps (broadcast; their size is bounded by
+``bloom.MAX_BITS`` at any input size): a row with a cell hit once has a unique text and passes
 straight through; only the others shuffle, where equality of the SHA-256 of
 the normalised text decides.  False hits of the filter cost a shuffle of that
 row, never a wrong answer.
@@ -16,17 +16,13 @@ that clash with them get underscores in front, see ``ADDED``).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetta.llm import bloom
 from vetta.llm.common import free_name, lower_ascii, staged
 
 ADDED = ("keep_id", "group_size", "kept")
-CELLS_PER_ROW = 16              # filter cells for each row, while below the bound
-MAX_BITS = 28                   # at most 2^28 cells: bitmaps of 32 MB together
-BITMAP_CELLS = 32_768           # cells in one bitmap
 
 
 def text_hash(text: Column) -> Column:
@@ -38,41 +34,20 @@ def with_hash(df: DataFrame, text_col: str = "text", hash_col: str = "text_sha25
     return df.withColumn(hash_col, text_hash(F.col(text_col)))
 
 
-def _cells(hash_col: str, bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(F.xxhash64(F.col(hash_col), F.lit(seed)), 64 - bits) for seed in (1, 2)]
-
-
 def repeated_cells(df: DataFrame, hash_col: str, bits: int) -> DataFrame:
-    """Pass one: (page, bitmap) of the filter cells that at least two rows hit."""
-    one, two = _cells(hash_col, bits)
-    cells = df.select(F.explode(F.array_distinct(F.array(one, two))).alias("cell"))
-    return (cells.groupBy("cell").agg(F.count("*").alias("hits")).where("hits > 1")
-            .groupBy((F.col("cell") / BITMAP_CELLS).cast("long").alias("page"))
-            .agg(F.bitmap_construct_agg(F.col("cell") % BITMAP_CELLS).alias("bitmap")))
-
-
-def _bit(bitmap: Column, cell: Column) -> Column:
-    at = (cell % BITMAP_CELLS).cast("int")
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    """Pass one: bitmaps of the filter cells that at least two rows hit."""
+    hits = bloom.cell_rows(df, F.col(hash_col), bits).groupBy("cell").agg(F.count("*").alias("hits"))
+    return bloom.pages(hits.where("hits > 1"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", hash_col: str = "text_sha256") -> DataFrame:
     """``df`` (with a text hash column, see ``with_hash``) plus ``keep_id``,
     ``group_size`` and ``kept``: of rows with equal hashes the one with the
     largest id stays."""
-    n_rows = df.count()
-    bits = min(MAX_BITS, max(18, math.ceil(math.log2(max(1, n_rows) * CELLS_PER_ROW))))
+    bits = bloom.filter_bits(df.count())
     bitmaps = staged(repeated_cells(df, hash_col, bits), "bloom")
-
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"),
-                     F.col(hash_col).alias("hash"))
-    hit = F.lit(True)
-    for i, cell in enumerate(_cells("hash", bits)):
-        side = F.broadcast(bitmaps.select(F.col("page").alias(f"page{i}"), F.col("bitmap").alias(f"bitmap{i}")))
-        rows = rows.join(side, (cell / BITMAP_CELLS).cast("long") == F.col(f"page{i}"), "left")
-        hit = hit & _bit(F.col(f"bitmap{i}"), cell)
-    rows = rows.select("row", "id", "hash", hit.alias("hit"))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(hash_col).alias("hash"))
+    rows = bloom.with_hit(rows, "hash", bitmaps, bits)
 
     unique = rows.where(~F.col("hit")).select("row", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
     again = rows.where("hit")

@@ -38,6 +38,18 @@ def _lower_table() -> np.ndarray:
     return t
 
 
+def _plain_table() -> np.ndarray:
+    t = _lower_table()
+    for b in range(128):
+        if not chr(b).isalnum():
+            t[b] = 0x20
+    return t
+
+
+LOWER = _lower_table()          # A-Z in lower case
+PLAIN = _plain_table()          # also other ASCII than letters and digits as spaces
+
+
 @dataclass
 class Words:
     """Words of a batch: byte ranges in ``data``, row of each word, and for
@@ -65,11 +77,22 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def split_words(col, lower: bool = False) -> Words:
-    """Words of every row of an Arrow text column (A-Z lowered on request)."""
+def byte_slices(col, limit: int):
+    """Runs of rows with about ``limit`` bytes of text, one row at least."""
+    _, offsets = text_buffer(col)
+    begin, n = 0, len(offsets) - 1
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
+        yield begin, min(end, n)
+        begin = end
+
+
+def split_words(col, byte_map: np.ndarray | None = None) -> Words:
+    """Words of every row of an Arrow text column, after replacing each byte by
+    its entry in ``byte_map`` (see ``LOWER``)."""
     data, offsets = text_buffer(col)
-    if lower:
-        data = _lower_table()[data]
+    if byte_map is not None:
+        data = byte_map[data]
     n_rows = len(offsets) - 1
     if not len(data):
         z = np.zeros(0, np.int64)
