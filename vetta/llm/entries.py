@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, token_counts
+from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, token_counts, toxicity
 from vetta.llm.common import label_fold, staged, table, word_count
 
 TOKEN_LIMIT = 4096
+TOXIC_SCORE = 0.7
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return scores.select(F.col("id").alias("doc_id"), (label_fold(F.col("id")) == 1).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
@@ -64,6 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality": op8_quality,
