@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, token_counts, toxicity
+from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, token_counts, topk, toxicity
 from vetta.llm.common import label_fold, staged, table, word_count
 
 TOKEN_LIMIT = 4096
 TOXIC_SCORE = 0.7
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    vectors = (table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+               .select(F.col("vec_id").alias("id"), scaled.alias("vector")))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hashed = staged(exact_dedup.with_hash(docs).drop("text"), "hashes")
@@ -71,6 +78,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_topk": op2_topk,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
@@ -84,6 +92,16 @@ QUERIES = {
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op2_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op3_exact_dedup": f"""
 WITH h AS (SELECT doc_id, sha256({_NORM}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
