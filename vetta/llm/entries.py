@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, token_counts, topk, toxicity
+from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, substring_dedup, token_counts, topk, toxicity
 from vetta.llm.common import label_fold, staged, table, word_count
 
 TOKEN_LIMIT = 4096
 TOXIC_SCORE = 0.7
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("factors").alias("n_factors"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
     vectors = (table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
@@ -78,6 +85,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_topk": op2_topk,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
