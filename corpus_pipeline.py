@@ -1,16 +1,71 @@
-"""Corpus pipeline: documents to a mixed, encoded training set.
+"""Corpus pipeline: raw documents to a mixed, encoded training set.
 
-Stages are added as their operators land.
+``STAGES`` in order: documents that the toxicity models reject go, of equal
+texts one stays, of near-duplicates one stays, sources are mixed to their
+target weights (a row comes as often as the mix takes it), and every text is
+encoded and decoded.  Each stage is a function (spark, docs, sf_dir) and works
+on all rows it is given; all but the last return the columns they are given.
+
+The library's tokeniser and the language models have no SQL twin
+(``ORACLE_SQL`` is None); the stages are tested against brute force instead.
 """
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vetta.llm import bloom, exact_dedup, jaccard_join, mixing, pieces, toxicity
+from vetta.llm.common import free_name, staged, table, word_count
+from vetta.llm.entries import TOXIC_SCORE, piece_digests, piece_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below the toxicity threshold (a null text scores as an
+    empty one)."""
+    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col(scored.columns[-1]) < TOXIC_SCORE).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for A-Z and a-z, the row with the largest id."""
+    key = free_name(docs, "text_sha256")
+    return exact_dedup.deduplicated(exact_dedup.with_hash(docs, hash_col=key), hash_col=key).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group connected by near-duplicate links, the smallest id; texts
+    without words stay."""
+    groups = jaccard_join.near_duplicates(docs)
+    dropped = staged(groups.where(F.col("id") != F.col("component_id")).select("id").distinct(), "near-copies")
+    return bloom.without(docs, "doc_id", dropped)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as the mix takes it."""
+    size = free_name(docs, "words")
+    mixed = mixing.mix(docs.withColumn(size, word_count(F.col("text"))), size)
+    times = mixed.columns[-1]
+    return mixed.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every row, and digest of their decoding."""
+    return piece_digests(pieces.encode_decode(docs.select("doc_id", "text"), piece_model()))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near-duplicates", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,3 +53,13 @@ def with_hit(rows: DataFrame, value: str, bitmaps: DataFrame, bits: int) -> Data
         rows = rows.join(side, (cell / PAGE_CELLS).cast("long") == F.col(f"page{i}"), "left")
         hit = hit & _bit(F.col(f"bitmap{i}"), cell)
     return rows.select(*names, hit.alias("hit"))
+
+
+def without(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``df`` without the rows whose id is in ``dropped`` (a staged table of one
+    column ``id``): only rows that the filter lets through shuffle."""
+    bits = filter_bits(dropped.count())
+    bitmaps = pages(cell_rows(dropped, F.col("id"), bits))
+    rows = with_hit(df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id")), "id", bitmaps, bits)
+    stay = rows.where("hit").join(dropped, "id", "left_anti")
+    return rows.where(~F.col("hit")).select("row.*").unionByName(stay.select("row.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, main_text, mixing, pieces, quality, substring_dedup, token_counts, topk, toxicity
+from vetta.llm import exact_dedup, jaccard_join, main_text, mixing, pieces, quality, substring_dedup, token_counts, topk, toxicity
 from vetta.llm.common import label_fold, staged, table, word_count
 
 TOKEN_LIMIT = 4096
@@ -63,10 +63,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scores.select(F.col("id").alias("doc_id"), (label_fold(F.col("id")) == 1).alias("held_out"), "score",
+    return scores.select("doc_id", (label_fold(F.col("doc_id")) == 1).alias("held_out"), "score",
                          (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
 
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_topk": op2_topk,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_extraction": op7_html_extraction,

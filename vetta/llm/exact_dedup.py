@@ -40,21 +40,32 @@ def repeated_cells(df: DataFrame, hash_col: str, bits: int) -> DataFrame:
     return bloom.pages(hits.where("hits > 1"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", hash_col: str = "text_sha256") -> DataFrame:
-    """``df`` (with a text hash column, see ``with_hash``) plus ``keep_id``,
-    ``group_size`` and ``kept``: of rows with equal hashes the one with the
-    largest id stays."""
+def _parted(df: DataFrame, id_col: str, hash_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass straight through, and judged rows with ``keep`` (the id
+    that stays) and ``n`` (rows of equal text)."""
     bits = bloom.filter_bits(df.count())
     bitmaps = staged(repeated_cells(df, hash_col, bits), "bloom")
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(hash_col).alias("hash"))
     rows = bloom.with_hit(rows, "hash", bitmaps, bits)
-
-    unique = rows.where(~F.col("hit")).select("row", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
-    again = rows.where("hit")
+    again = rows.where("hit").drop("hit")
     groups = staged(again.groupBy("hash").agg(F.max("id").alias("keep"), F.count("*").alias("n")), "copies")
-    judged = again.join(groups, "hash").select("row", "keep", "n")
+    return rows.where(~F.col("hit")).drop("hit"), again.join(groups, "hash")
+
 
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", hash_col: str = "text_sha256") -> DataFrame:
+    """``df`` (with a text hash column, see ``with_hash``) plus ``keep_id``,
+    ``group_size`` and ``kept``: of rows with equal hashes the one with the
+    largest id stays."""
+    unique, judged = _parted(df, id_col, hash_col)
     keep, size, kept = (free_name(df, c) for c in ADDED)
-    return (unique.unionByName(judged)
-            .select("row.*", F.col("keep").alias(keep), F.col("n").alias(size),
-                    F.col(f"row.{id_col}").eqNullSafe(F.col("keep")).alias(kept)))
+    marked = (unique.select("row", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
+              .unionByName(judged.select("row", "keep", "n")))
+    return marked.select("row.*", F.col("keep").alias(keep), F.col("n").alias(size),
+                         F.col(f"row.{id_col}").eqNullSafe(F.col("keep")).alias(kept))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", hash_col: str = "text_sha256") -> DataFrame:
+    """The rows of ``df`` that stay, one for each text (of equal rows any)."""
+    unique, judged = _parted(df, id_col, hash_col)
+    kept = judged.where(F.col("id").eqNullSafe(F.col("keep"))).dropDuplicates(["hash"])
+    return unique.select("row.*").unionByName(kept.select("row.*"))

@@ -24,7 +24,8 @@ word of a slice once.
 Defined cases: a null text counts as empty, and a text without words has no
 evidence (0); equal texts get equal scores; without labels of both classes
 every score is 0.5; rows with a null label do not train; an empty table gives
-an empty result.  The operator returns (id, evidence, score) for each row.
+an empty result; input columns stay as they are (added columns that clash get
+underscores in front).
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vetta.llm import words as W
-from vetta.llm.common import staged
+from vetta.llm.common import free_name, staged
 from vetta.llm.labels import train_texts
 
+ADDED = ("evidence", "score")
 ORDER = 7                       # bytes of an n-gram; at most 7 fit a signed long
 SHARED = 2                      # orders up to this one count both classes together
 SHARE = 1e-6                    # a known n-gram's least share of the n-grams of a class
@@ -182,21 +185,18 @@ def evidence_of(model: dict, col) -> np.ndarray:
     return np.bincount(w.row, weights=value[like], minlength=len(col)) / np.maximum(w.n_words, 1)
 
 
-def with_evidence(df: DataFrame, model: dict) -> DataFrame:
-    """``df`` (with id and text, perhaps y) with evidence in place of the text."""
-    cols = [c for c in df.columns if c != "text"]
+def with_evidence(df: DataFrame, model: dict, text_col: str = "text", name: str = "evidence") -> DataFrame:
+    """``df`` plus the evidence of each text."""
     shared = df.sparkSession.sparkContext.broadcast(model)      # bounded by SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in W.byte_slices(batch.column("text"), SLICE_BYTES):
+            for begin, end in W.byte_slices(batch.column(text_col), SLICE_BYTES):
                 part = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in cols), pa.array(evidence_of(shared.value, part.column("text")))],
-                    names=[*cols, "evidence"])
+                found = pa.array(evidence_of(shared.value, part.column(text_col)))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*batch.schema.names, name])
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
-    return df.mapInArrow(run, schema + ", evidence double")
+    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType())]))
 
 
 def logistic(x: np.ndarray, n: np.ndarray, hits: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -224,8 +224,8 @@ def logistic(x: np.ndarray, n: np.ndarray, hits: np.ndarray, steps: int = 200) -
     return slope, offset
 
 
-def log_evidence() -> Column:
-    return F.log(F.col("evidence") + F.lit(FLOOR))
+def log_evidence(name: str = "evidence") -> Column:
+    return F.log(F.col(name) + F.lit(FLOOR))
 
 
 def calibrate(rows: DataFrame) -> tuple[float, float]:
@@ -242,11 +242,11 @@ def calibrate(rows: DataFrame) -> tuple[float, float]:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, evidence, score) of every document: how likely its label is 1."""
+    """``docs`` plus ``evidence`` and ``score``: how likely a row's label is 1."""
     train = staged(train_texts(docs, labels, label, id_col, text_col), "toxicity-train")
     only_calibrates = F.xxhash64("id", F.lit("calibrate")) % CALIBRATE == 0
     model = train_model(train.where(~only_calibrates))
     slope, offset = calibrate(with_evidence(train.where(only_calibrates), model)) if model else (0.0, 0.0)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    z = log_evidence() * F.lit(float(slope)) + F.lit(float(offset))
-    return with_evidence(rows, model).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    evidence, score = (free_name(docs, c) for c in ADDED)
+    z = log_evidence(evidence) * F.lit(float(slope)) + F.lit(float(offset))
+    return with_evidence(docs, model, text_col, evidence).withColumn(score, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
