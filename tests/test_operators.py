@@ -3,13 +3,16 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vetta.functions import text
 from vetta.functions import text as T
 from vetta.functions import vectors as V
-from vetta.operators import analyse, blend, features, learn, pairs, profile, rank, select
+from vetta.operators import analyse, blend, features, learn, pairs, pairstats, profile, rank, select
 from vetta.plans import ordered
+from vetta.plans.ordered import exact_quantiles, value_places
 
 
 def seg_df(spark, rows):
@@ -236,18 +239,154 @@ def test_preference_pairs_all_and_sampled(spark, small, monkeypatch):
         assert r.margin == pytest.approx(r.score_better - r.score_worse) and r.margin > 0.01
 
 
-def test_pair_loss_values(spark):
-    df = spark.createDataFrame([(0.8, 0.5, 0.3, 0.7, 0.6), (0.6, 0.5, 0.1, 0.2, 0.4)],
-                               "score_better double, score_worse double, margin double, "
-                               "pred_better double, pred_worse double")
-    r = pairs.pair_loss(df).first()
-    hinge = [max(0, max(0.15, 0.01) - 0.1), max(0, max(0.05, 0.01) + 0.2)]
-    assert r.ranking_loss == pytest.approx(np.mean(hinge))
-    assert r.rank_accuracy == pytest.approx(0.5)
+def _losses(rows, gap, margin, adaptive, scale):
+    n = hinge = squares = right = 0.0
+    for d, g, p in rows:
+        for e, h, q in rows:
+            if d == e and g - h > gap:
+                m = max(0.5 * ((g - h) / scale), margin) if adaptive else margin
+                n, hinge = n + 1, hinge + max(0.0, m - (p - q))
+                squares += ((p - g / scale) ** 2 + (q - h / scale) ** 2) / 2
+                right += p > q
+    return n, hinge, squares, right
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_pair_losses_over_all_pairs(spark, small):
+    """Both variants in both tiers, two-decimal gold on and about the gaps."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 6)), float(rng.integers(3000, 3600)) / 100, float(rng.normal(0.33, 0.02))) for _ in range(150)]
+    rows += [(9, 10.0, 0.1), (9, 11.0, 0.1), (9, 12.0, 0.3), (9, 12.01, 0.2), (9, 13.02, 0.15)]
+    df = spark.createDataFrame(rows + [(9, None, 0.5), (9, 50.0, None), (9, float("nan"), 0.1)], "doc_id long, score double, p double")
+    n, hinge, squares, right = _losses(rows, 1.0, 0.01, True, 100.0)
+    r = pairs.pair_loss(df, "p", small=small).first()
+    assert (r.n_pairs, r.ranking_loss, r.mse_loss, r.rank_accuracy) == (n, *map(pytest.approx, (hinge / n, squares / n, right / n)))
+    unit = [(d, g / 100, p) for d, g, p in rows]
+    n, hinge, _, _ = _losses(unit, 1e-6, 0.01, False, 1.0)
+    r = pairs.fixed_margin_loss(df.dropna().filter("score = score"), "p", small=small).first()
+    assert (r.n_pairs, r.ranking_loss) == (n, pytest.approx(hinge / n))
+    assert r.mse_loss == pytest.approx(np.mean([(p - g) ** 2 for _, g, p in unit]))
+
+
+@pytest.mark.parametrize("small", [64, 2])
+@pytest.mark.parametrize("places, tol", [(10, 25.0), (10, 1.0), (100, 1.0)])
+def test_band_is_one_rule_in_every_tier(spark, small, places, tol):
+    """Scores with one and two decimals lie on the band's edge; the tiers agree
+    with plain subtraction."""
+    rng = np.random.default_rng(places)
+    rows = [(int(rng.integers(0, 3)), float(rng.integers(0, 60 * places)) / places, float(rng.integers(0, 9))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, g double, p double")
+    want = {}
+    for d in range(3):
+        own = [(g, p) for e, g, p in rows if e == d]
+        pairs_ = [(a, b) for i, a in enumerate(own) for b in own[i + 1:]]
+        tie = sum(abs(a[0] - b[0]) < tol for a, b in pairs_)
+        agree = sum(abs(a[0] - b[0]) >= tol and (a[0] - b[0]) * (a[1] - b[1]) > 0 for a, b in pairs_)
+        want[d] = (agree, len(pairs_) - tie - agree, tie)
+    got = pairstats.band_agreement(df, ["doc_id"], "g", "p", tol, small=small).collect()
+    assert {r.doc_id: (r.agree, r.disagree, r.tie) for r in got} == want
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_preference_gap_is_one_rule(spark, monkeypatch, small):
+    monkeypatch.setattr(pairstats, "SMALL_GROUP", small)
+    rng = np.random.default_rng(9)
+    rows = [(f"r{i}", int(rng.integers(0, 3)), float(rng.integers(0, 800)) / 100) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, score double")
+    k = {a: sum(e == d and g - h > 1.0 for _, e, h in rows) for a, d, g in rows}
+    assert {r.row_id: r._k for r in pairs.partner_counts(df).collect()} == k
+    counts = {r.doc_id: r.n_pairs for r in pairs.preference_counts(df).collect()}
+    assert counts == {d: sum(k[a] for a, e, _ in rows if e == d) for d in range(3)}
+
+
+def test_difference_cut():
+    rng = np.random.default_rng(3)
+    g = np.concatenate([rng.integers(0, 10_000, 500) / 100, [0.0, 1.0, 25.0, -3.7, 1e-9, 1e12]])
+    for width in (1.0, 25.0, 0.1):
+        for strict in (False, True):
+            cut = pairstats.difference_cut(g, width, strict)
+            far = (lambda d: d > width) if strict else (lambda d: d >= width)
+            assert far(g - cut).all() and not far(g - np.nextafter(cut, np.inf)).any()
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 10.0), ("b", 1, float("nan"), 20.0), ("c", 1, 3.0, float("nan")), ("d", 2, 5.0, 40.0)],
+                               "row_id string, doc_id long, s double, score double")
+    ctx = {r.row_id: r for r in features.doc_context(df, ["s"]).collect()}
+    assert (ctx["b"].s_doc_mean, ctx["b"].s_doc_dev, ctx["a"].s_doc_max) == (2.0, None, 3.0)
+    assert profile.score_profile(df, "s").first().n == 3
+    assert [r.n for r in profile.stats_by(df, ["doc_id"], "s").orderBy("doc_id").collect()] == [2, 1]
+    assert analyse.gold_quintiles(df, ["s"]).agg({"n": "sum"}).first()[0] == 3
+    z = df.withColumn("u", df.score / 7)
+    assert {r.row_id for r in analyse.signal_disagreement(z, ["s", "u"], k=2).collect()} == {"a", "d"}
+
+
+def test_unicode_space(spark):
+    df = spark.createDataFrame([("a\u3000b\u00a0c ",), ("\u3000x\u00a0",)], "t string")
+    assert [r[0] for r in df.select(text.word_count("t")).collect()] == [3, 1]
+    assert [r[0] for r in df.select(text.strip_ws("t")).collect()] == ["a\u3000b\u00a0c", "x"]
+
+
+def test_spans_of_rows(spark):
+    """Span features belong to a row where the spans have row ids."""
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.6)], "row_id string, doc_id long, s double")
+    spans = spark.createDataFrame([("a", [("major", 0.5)]), ("b", [])], "row_id string, spans array<struct<severity:string,confidence:double>>")
+    table, _ = features.build_features(df, ["s"], spans=spans)
+    assert {r.row_id: (r.error_count, r.error_severity) for r in table.collect()} == {"a": (1.0, 2.0), "b": (0.0, 0.0)}
+
+
+def test_kendall_p_of_long_perfect_orders():
+    frame = pd.DataFrame({"n": [200, 200, 4, 40, 5], "s": [19900.0, 19898.0, 6.0, 200.0, None],
+                          **{c: [0.0] * 5 for c in ("tx", "ty", "x0", "x1", "y0", "y1")}})
+    p = analyse._kendall_p_rows(frame)
+    assert p[0] == 0.0 and p[1] < 1e-300 and p[2] == pytest.approx(2 / 24) and 0 < p[3] < 1 and np.isnan(p[4])
+    for n in (2, 3, 5, 6):                      # against all permutations
+        orders = [sum(a > b for i, a in enumerate(o) for b in o[i + 1:]) for o in itertools.permutations(range(n))]
+        tails = analyse.inversion_tails(n)
+        for d in range(len(tails)):
+            low = min(d, len(tails) - 1 - d)
+            assert tails[d] == pytest.approx(min(1.0, 2 * np.mean([x <= low for x in orders])))
+
+
+def test_order_statistics_of_one_value(spark):
+    """A constant column is one row before the sort."""
+    df = spark.range(5000).selectExpr("id % 2 AS k", "3.0D AS v")
+    assert value_places(df, "v", ["k"]).count() == 2
+    assert [r.q0 for r in exact_quantiles(df, "v", [0.5], by=["k"]).collect()] == [3.0, 3.0]
+
+
+def test_disagreements_of_a_hot_source(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "EXAMPLE_ROWS", 7)
+    rows = [(1, f"r{i:04d}", "s", float(i), float(i)) for i in range(300)] + [(1, "z1", "s", 500.0, -1.0), (1, "z2", "s", 600.0, -2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, row_id string, tgt_system string, score double, p double")
+    got = [(r.row_i, r.row_j) for r in pairs.disagreement_examples(df, "p", k=3).collect()]
+    assert got == [("r0000", "z1"), ("r0000", "z2"), ("r0001", "z1")]
+    assert pairs.disagreement_examples(df.filter("row_id < 'z'"), "p", k=3).count() == 0
 
 
 # --- learning -----------------------------------------------------------------------------------
 
+def test_learners_lose_no_row(spark):
+    """Two sources in one language pair, a pair with one source, null and NaN
+    gold and signals: as many rows out as in."""
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i}", i % 2, "en", "de", None if i % 7 == 0 else float(i), float("nan") if i == 5 else float(rng.normal()), float(i % 5))
+            for i in range(24)] + [(f"q{i}", 9, "en", "zh", float(i), 0.1 * i, 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, src_lang string, tgt_lang string, score double, a double, b double")
+    assert sorted(r.row_id for r in learn.isotonic_oof(df, "a").collect()) == sorted(r[0] for r in rows)
+    assert sorted(r.row_id for r in learn.ridge_oof(df, ["a", "b"])[0].collect()) == sorted(r[0] for r in rows)
+    assert sorted(r.row_id for r in learn.gbt_oof(df.fillna(0.0, ["a"]), ["a", "b"], k=2)[0].collect()) == sorted(r[0] for r in rows)
+
+
+def test_ridge_ignores_rows_without_gold(spark):
+    rows = [(f"r{i}", i % 40, 10.0 * (i % 17) + 50 if i % 2 else None, float(i % 17)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, score double, x double")
+    scores, coef = learn.ridge_oof(df, ["x"], alpha=1e-9)
+    assert scores.count() == 400
+    for c in coef.collect():
+        assert (c.intercept, c.b0) == (pytest.approx(50), pytest.approx(10))
+
+
 def test_ridge_matches_closed_form(spark):
     rng = np.random.default_rng(2)
     n = 300
@@ -257,7 +396,7 @@ def test_ridge_matches_closed_form(spark):
     df = spark.createDataFrame([(f"r{i}", int(docs[i]), float(y[i]), float(x[i, 0]), float(x[i, 1]))
                                 for i in range(n)], "row_id string, doc_id long, score double, a double, b double")
     _, coef = learn.ridge_oof(df, ["a", "b"], alpha=1.0)
-    folds = {r.doc_id: r.fold for r in blend.doc_folds(df).collect()}
+    folds = {r.doc_id: r.fold for r in blend.balanced_folds(df).collect()}
     for c in coef.collect():
         tr = np.array([folds[d] != c.fold for d in docs])
         xm, ym = x[tr].mean(0), y[tr].mean()
@@ -333,10 +472,10 @@ def test_differential_evolution_finds_informative_signal(spark):
 
 def test_kendall_pvalues(spark):
     # exact: perfect order of 3 -> 2/3! ; of 4 -> 2/4! ; one swap in 4 -> 2 * 4/24
-    assert analyse._kendall_p_exact(3, 0) == pytest.approx(1 / 3)
-    assert analyse._kendall_p_exact(4, 0) == pytest.approx(1 / 12)
-    assert analyse._kendall_p_exact(4, 1) == pytest.approx(2 / 6)
-    assert analyse._kendall_p_exact(5, 2) == pytest.approx(2 * (1 + 4 + 9) / 120)
+    assert analyse.inversion_tails(3)[0] == pytest.approx(1 / 3)
+    assert analyse.inversion_tails(4)[0] == pytest.approx(1 / 12)
+    assert analyse.inversion_tails(4)[1] == pytest.approx(2 / 6)
+    assert analyse.inversion_tails(5)[2] == pytest.approx(2 * (1 + 4 + 9) / 120)
     rows = [("a", 1, "S", "en", "de", 1.0, 1.0), ("b", 1, "S", "en", "de", 2.0, 2.0),
             ("c", 1, "S", "en", "de", 3.0, 3.0),
             ("d", 2, "S", "en", "de", 1.0, 1.0), ("e", 2, "S", "en", "de", 1.0, 2.0),

@@ -15,4 +15,4 @@ from pyspark import cloudpickle as _cloudpickle
 # workers never need the package installed or on their path.
 _cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from vetta.session import get_session, checkpoint_dir  # noqa: E402,F401
+from vetta.session import get_session  # noqa: E402,F401

@@ -30,7 +30,7 @@ def _c(c) -> Column:
 
 def word_count(c) -> Column:
     """Whitespace tokens; empty text gives 0, null stays null."""
-    return F.size(F.filter(F.split(_c(c), r"\s+"), lambda x: x != ""))
+    return F.size(F.filter(F.split(_c(c), r"(?U)\s+"), lambda x: x != ""))
 
 
 def char_count(c) -> Column:
@@ -50,7 +50,7 @@ def indicator(c, value: str) -> Column:
 
 
 def strip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
 
 
 def clean_text(df, cols=("src_text", "tgt_text")):

@@ -35,10 +35,10 @@ def mean(a) -> Column:
 
 
 def std_pop(a) -> Column:
-    m = mean(a)
-    return F.sqrt(F.aggregate(_c(a), F.lit(0.0),
-                              lambda acc, v: acc + (v.cast("double") - m) * (v.cast("double") - m))
-                  / F.size(_c(a)))
+    # the mean is bound as the only element of an array: computed once a row
+    squares = F.transform(F.array(mean(a)), lambda m: F.aggregate(
+        _c(a), F.lit(0.0), lambda acc, v: acc + (v.cast("double") - m) * (v.cast("double") - m)))
+    return F.sqrt(squares[0] / F.size(_c(a)))
 
 
 def span_count(spans) -> Column:

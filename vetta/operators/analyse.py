@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vetta.operators import pairstats, rank
-from vetta.plans.ordered import exact_quantiles, with_position
+from vetta.plans.ordered import exact_quantiles, value_places
 
 GOLD = "score"
 TIE_BAND = 1.0             # gold gaps below this are ties in the agreement analysis
@@ -80,29 +80,34 @@ def worst_drilldown(df: DataFrame, worst: DataFrame, signal: str, k: int = 3,
 
 
 def spearman_props(detail: DataFrame, props=("n_systems", "gold_range", "pred_range", "gold_mean")):
-    """Spearman r of each source property against tau, per signal: Pearson
-    of average ranks.  All properties are unpivoted into one table, so two
-    distributed rank passes serve every (signal, property)."""
-    # 9-place values: equal properties computed along different float paths
-    # must tie, in any engine
+    """Spearman r of each source property against tau with its two-sided p,
+    per signal: Pearson of average ranks.  All properties are unpivoted into
+    one table, so two distributed rank passes over the different values serve
+    every (signal, property)."""
     stack = ", ".join(f"'{p}', CAST(`{p}` AS DOUBLE)" for p in props)
-    base = detail.select("signal", F.round("tau", 9).alias("y"),
-                         F.expr(f"stack({len(props)}, {stack}) AS (property, x)")) \
-        .withColumn("x", F.round("x", 9)).dropna().persist()
-    ranked = _average_ranks(_average_ranks(base, ["signal", "property"], "x", "rx"),
-                            ["signal", "property"], "y", "ry")
-    return ranked.groupBy("signal", "property").agg(
-        F.count(F.lit(1)).alias("n"), rank.pearson_expr("rx", "ry").alias("spearman_r"))
+    by = ["signal", "property"]
+    base = detail.select("signal", F.col("tau").alias("y"),
+                         F.expr(f"stack({len(props)}, {stack}) AS (property, x)")).dropna()
+    ranked = base.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    for c in ("x", "y"):
+        places = value_places(base.select(*by, c), c, by)
+        ranked = ranked.join(places.select(*by, c, (F.col("_lo") + (F.col("_c") + 1) / 2).alias(f"r{c}")), [*by, c])
+    n, w = F.sum("w"), F.col("w")
+    dx, dy = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid")
+    # ranks average (n + 1) / 2 with any ties
+    size = ranked.groupBy(*by).agg(((n + 1) / 2).alias("mid"))
+    sums = ranked.join(size, by).groupBy(*by).agg(
+        n.alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    out = sums.select(*by, "n", r.alias("spearman_r"))
+    return out.withColumn("pvalue", spearman_p("spearman_r", "n"))
 
 
-def _average_ranks(df: DataFrame, by, c: str, name: str) -> DataFrame:
-    """1-based ranks of ``c`` within ``by`` with ties averaged, from one
-    distributed sort (no single-partition window)."""
-    p = with_position(df, [*[F.col(k) for k in by], F.col(c)], "_p")
-    first = p.groupBy(*by).agg(F.min("_p").alias("_f"))
-    span = p.groupBy(*by, c).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    return p.join(first, by).join(span, [*by, c]).withColumn(
-        name, (F.col("_lo") + F.col("_hi")) / 2 - F.col("_f") + 1).drop("_p", "_f", "_lo", "_hi")
+@F.pandas_udf(T.DoubleType())
+def spearman_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    """``spearman_pvalue`` of each report row."""
+    return pd.Series([np.nan if x != x else spearman_pvalue(float(x), int(k)) for x, k in zip(r.astype(float), n)],
+                     dtype=float)
 
 
 def spearman_pvalue(r: float, n: int) -> float | None:
@@ -160,7 +165,7 @@ def gold_quintiles(df: DataFrame, signals, gold: str = GOLD, bins: int = N_QUANT
     """Equal-frequency gold bins (right-closed, lowest value included,
     duplicate edges dropped); per bin: gold mean/min/max, prediction mean and
     sample std for each signal."""
-    base = df.select(F.col(gold).cast("double").alias("g"), *signals).filter(F.col("g").isNotNull())
+    base = df.select(rank.nan_to_null(gold).alias("g"), *[rank.nan_to_null(s).alias(s) for s in signals]).filter(F.col("g").isNotNull())
     probs = [i / bins for i in range(bins + 1)]
     q = exact_quantiles(base, "g", probs)
     edges = q.select(F.array_distinct(F.array_sort(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])))) \
@@ -232,58 +237,71 @@ def cross_signal(df: DataFrame, signals) -> DataFrame:
 
 def signal_disagreement(df: DataFrame, signals, k: int = 5, gold: str = GOLD) -> DataFrame:
     """Rows where two z-scored signals (sample std) differ most, per pair."""
-    out = None
-    for a, b in signal_pairs(signals):
-        ma, sa = df.agg(F.avg(a)).scalar(), df.agg(F.stddev_samp(a)).scalar()
-        mb, sb = df.agg(F.avg(b)).scalar(), df.agg(F.stddev_samp(b)).scalar()
-        z = df.withColumn("diff", F.abs((F.col(a) - ma) / sa - (F.col(b) - mb) / sb))
-        top = z.orderBy(F.desc_nulls_last("diff"), F.asc("row_id")).limit(k).select(
-            F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), "row_id", gold,
-            F.col(a).alias("value_a"), F.col(b).alias("value_b"), "diff")
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
-def _kendall_p_exact(n: int, c: int) -> float:
-    """Two-sided p of c discordant pairs among n untied items (permutation
-    distribution of inversions, by its recurrence)."""
-    tot = n * (n - 1) // 2
-    c = min(c, tot - c)
-    if n <= 2:
-        return 1.0
-    if c == 0:
-        return min(1.0, 2.0 / math.factorial(n))
-    if c == 1:
-        return min(1.0, 2.0 / math.factorial(n - 1))
-    if 2 * c == tot:
-        return 1.0
-    new = np.zeros(c + 1)
-    new[0:2] = 1.0
-    for j in range(3, n + 1):
-        new = np.cumsum(new)
-        if j <= c:
-            new[j:] -= new[:c + 1 - j].copy()
-    return float(min(1.0, 2.0 * new.sum() / math.factorial(n)))
-
-
-def _kendall_p_rows(pdf):
-    out = []
-    for r in pdf.itertuples(index=False):
-        n, s = int(r.n), r.s
-        if s is None or np.isnan(s) or n < 2:
-            out.append(np.nan)
-            continue
-        tot = n * (n - 1) / 2
-        if r.tx == 0 and r.ty == 0:
-            dis = (tot - s) / 2
-            if n <= 33 or min(dis, tot - dis) <= 1:
-                out.append(_kendall_p_exact(n, int(round(dis))))
-                continue
-        m = n * (n - 1.0)
-        var = ((m * (2 * n + 5) - r.x1 - r.y1) / 18 + (2 * r.tx * r.ty) / m
-               + (r.x0 * r.y0 / (9 * m * (n - 2)) if n > 2 else 0.0))
-        out.append(math.erfc(abs(s) / math.sqrt(var) / math.sqrt(2)) if var > 0 else np.nan)
-    return np.asarray(out, dtype=np.float64)
+    clean = df.select("row_id", gold, *[rank.nan_to_null(s).alias(s) for s in signals])
+    moments = df.agg(F.struct(*[x for s in signals for x in (
+        F.avg(rank.nan_to_null(s)).alias(f"m_{s}"), F.stddev_samp(rank.nan_to_null(s)).alias(f"s_{s}"))]).alias("_m")).scalar()
+    z = clean.withColumn("_m", moments)
+
+    def score(s):
+        return (F.col(s) - F.col(f"_m.m_{s}")) / F.col(f"_m.s_{s}")
+    # every pair of signals in one pass; the rank filter keeps k rows of each
+    # pair in a partition before the shuffle
+    each = F.explode(F.array(*[F.struct(
+        F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), F.col(a).cast("double").alias("value_a"),
+        F.col(b).cast("double").alias("value_b"), F.abs(score(a) - score(b)).alias("diff"))
+        for a, b in signal_pairs(signals)])).alias("_x")
+    order = Window.partitionBy("signal_a", "signal_b").orderBy(F.desc_nulls_last("diff"), F.asc("row_id"))
+    return z.select("row_id", gold, each).select("_x.signal_a", "_x.signal_b", "row_id", gold, "_x.value_a", "_x.value_b",
+                                                 "_x.diff") \
+        .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
+EXACT_P_ROWS = 33               # larger samples use the normal approximation
+
+
+def inversion_tails(n: int) -> np.ndarray:
+    """Two-sided p of every number of discordant pairs among ``n`` untied
+    items.  The permutations of n items with d inversions: item n goes to any
+    of n places and adds 0 to n - 1 inversions to those of n - 1 items."""
+    ways = np.ones(1)
+    for items in range(2, n + 1):
+        ways = np.convolve(ways, np.full(items, 1.0 / items))
+    upto = np.cumsum(ways)
+    d = np.arange(len(ways))
+    low = np.minimum(d, len(ways) - 1 - d)
+    return np.minimum(1.0, np.where(2 * low == len(ways) - 1, 1.0, 2 * upto[low]))
+
+
+def _extreme_p(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The same for at most one discordant pair and any n: 1 or n of n!
+    permutations (by logarithms, so no factorial overflows)."""
+    items = np.where(d == 0, n, n - 1).astype(int)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(2, items.max(initial=1)) + 1)))))
+    return np.minimum(1.0, 2 * np.exp(-logs[np.maximum(items, 0)]))
+
+
+def _kendall_p_rows(pdf) -> np.ndarray:
+    """p of each row (n, s, tie sums): exact without ties up to EXACT_P_ROWS
+    rows or at the extremes, else the tie-corrected normal approximation."""
+    n = pdf["n"].to_numpy(float)
+    s = pdf["s"].to_numpy(dtype=float, na_value=np.nan)
+    tx, ty, x0, x1, y0, y1 = (pdf[c].to_numpy(dtype=float, na_value=0.0) for c in ("tx", "ty", "x0", "x1", "y0", "y1"))
+    total = n * (n - 1) / 2
+    m = n * (n - 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m + np.where(n > 2, x0 * y0 / (9 * m * (n - 2)), 0.0)
+        z = np.abs(s) / np.sqrt(var)
+    out = np.where(var > 0, [math.erfc(v) if v == v else np.nan for v in z / math.sqrt(2)], np.nan)
+    known = ~np.isnan(s) & (n >= 2)
+    d = np.where(known, np.round((total - np.nan_to_num(s)) / 2), 0)
+    low = np.minimum(d, total - d)
+    plain = known & (tx == 0) & (ty == 0)
+    for size in np.unique(n[plain & (n <= EXACT_P_ROWS)]).astype(int):     # at most EXACT_P_ROWS tables
+        at = plain & (n == size)
+        out[at] = inversion_tails(size)[d[at].astype(int)]
+    at = plain & (n > EXACT_P_ROWS) & (low <= 1)
+    out[at] = _extreme_p(n[at], low[at])
+    return np.where(known, out, np.nan)
 
 
 @F.pandas_udf(T.DoubleType())

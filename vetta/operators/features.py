@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vetta.functions import text as T
 from vetta.functions import vectors as V
+from vetta.operators.rank import nan_to_null
 
 DOC_STATS = ("mean", "std", "min", "max")
 MIN_DURATION = 0.1      # seconds; floor of the speech-rate denominator
@@ -44,12 +45,13 @@ def doc_context(df: DataFrame, signals, key: str = "doc_id") -> DataFrame:
     split by the join's skew handling instead of landing in one window task."""
     aggs = []
     for s in signals:
-        aggs += [F.avg(s).alias(f"{s}_doc_mean"), F.stddev_samp(s).alias(f"{s}_doc_std"),
-                 F.min(s).alias(f"{s}_doc_min"), F.max(s).alias(f"{s}_doc_max")]
+        v = nan_to_null(s)      # a NaN counts as missing, not as the source's mean
+        aggs += [F.avg(v).alias(f"{s}_doc_mean"), F.stddev_samp(v).alias(f"{s}_doc_std"),
+                 F.min(v).alias(f"{s}_doc_min"), F.max(v).alias(f"{s}_doc_max")]
     stats = df.groupBy(key).agg(*aggs)
     out = df.join(stats, key, "left")
     for s in signals:
-        out = out.withColumn(f"{s}_doc_dev", F.col(s) - F.col(f"{s}_doc_mean"))
+        out = out.withColumn(f"{s}_doc_dev", nan_to_null(s) - F.col(f"{s}_doc_mean"))
     return out
 
 
@@ -123,8 +125,10 @@ def build_features(df: DataFrame, signals, spans: DataFrame | None = None,
     for s in signals:
         names += [f"{s}_doc_{st}" for st in DOC_STATS] + [f"{s}_doc_dev"]
     if spans is not None:
-        sp = span_features(spans).select(key, *SPAN_COLUMNS)
-        out = out.join(sp, key, "left")
+        # error spans belong to a row; a table without row ids holds them by source
+        on = "row_id" if "row_id" in spans.columns else key
+        sp = span_features(spans).select(on, *SPAN_COLUMNS)
+        out = out.join(sp, on, "left")
         names += list(SPAN_COLUMNS)
     if speech is not None:
         cols = [c for c in speech.columns if c != "row_id"]

@@ -2,7 +2,10 @@
 stacking and a pairwise ranker, all out-of-fold by source.
 
 Every fit is a distributed Spark ML job or a single aggregation; the driver
-only loops over folds (a handful) and solves k x k systems."""
+only loops over folds (a handful) and solves k x k systems.  Folds are dealt by
+source size (``balanced_folds``), so each fold has a source where there are as
+many sources as folds; rows without gold do not train but are predicted, and
+where nothing can be fitted a row keeps its raw score: no row is lost."""
 
 from __future__ import annotations
 
@@ -13,33 +16,54 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.operators.blend import N_FOLDS, SEED, doc_fold
+from vetta.operators.blend import N_FOLDS, SEED, balanced_folds
+from vetta.operators.rank import nan_to_null
 
-GBT_PARAMS = dict(maxIter=40, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
+GBT_UNWATCHED = 50              # rounds where no inner split can stop them
+GBT_PARAMS = dict(maxIter=500, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=SEED,
                   validationTol=0.001)
 RIDGE_ALPHA = 1.0
 
 
+def with_folds(df: DataFrame, k: int, fold_col: str = "fold", key: str = "doc_id") -> DataFrame:
+    """``df`` with the size-balanced fold of each source; rows without a source
+    are fold 0 (they share none with other rows)."""
+    folds = balanced_folds(df.filter(F.col(key).isNotNull()), key, k).select(key, F.col("fold").alias(fold_col))
+    return df.join(folds, key, "left").withColumn(fold_col, F.coalesce(fold_col, F.lit(0).cast("long")))
+
+
 def gbt_oof(df: DataFrame, features, gold: str = "score", k: int = N_FOLDS, seed: int = SEED,
             fold_col: str = "fold", out: str = "gbt_score"):
-    """Out-of-fold boosted-tree predictions.  Early stopping watches an
-    inner split of the training sources (the next fold), never the held-out
-    fold.  Returns ``(predictions, importances)``."""
+    """Out-of-fold boosted-tree predictions, up to 500 rounds.  Early stopping
+    watches an inner split of the training sources (the next fold), never the
+    held-out fold.  Returns ``(predictions, importances)``; a fold whose
+    training rows have no gold is predicted as null."""
     vec = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    base = df if fold_col in df.columns else df.withColumn(fold_col, doc_fold("doc_id", k, seed))
-    base = vec.transform(base).persist()
+    base = df if fold_col in df.columns else with_folds(df, k, fold_col)
+    base = vec.transform(base.withColumn(gold, nan_to_null(gold))).select("row_id", fold_col, gold, "_x").persist()
+    gold_folds = {r[0] for r in base.filter(F.col(gold).isNotNull()).select(fold_col).distinct().collect()}
     preds, imps = None, []
     for f in range(k):
-        inner = (f + 1) % k
-        train = base.filter(F.col(fold_col) != f).withColumn(
-            "_val", F.col(fold_col) == inner)
-        model = GBTRegressor(featuresCol="_x", labelCol=gold, predictionCol=out,
-                             validationIndicatorCol="_val", **GBT_PARAMS).fit(train)
-        imps.append(model.featureImportances.toArray())
-        p = model.transform(base.filter(F.col(fold_col) == f)).select("row_id", fold_col, out)
+        held = base.filter(F.col(fold_col) == f)
+        others = sorted(gold_folds - {f})
+        if others:
+            # the inner split needs training rows beside it
+            inner = next((g for g in ((f + s) % k for s in range(1, k)) if g in others), None) if len(others) > 1 else None
+            train = base.filter((F.col(fold_col) != f) & F.col(gold).isNotNull())
+            fit = GBTRegressor(featuresCol="_x", labelCol=gold, predictionCol=out, **{**GBT_PARAMS, "seed": seed})
+            if inner is None:
+                fit = fit.setMaxIter(GBT_UNWATCHED)
+            else:
+                train = train.withColumn("_val", F.col(fold_col) == inner)
+                fit = fit.setValidationIndicatorCol("_val")
+            model = fit.fit(train)
+            imps.append(model.featureImportances.toArray())
+            p = model.transform(held).select("row_id", fold_col, out)
+        else:
+            p = held.select("row_id", fold_col, F.lit(None).cast("double").alias(out))
         preds = p if preds is None else preds.unionByName(p)
-    imp = np.mean(imps, axis=0)
+    imp = np.mean(imps, axis=0) if imps else np.zeros(len(list(features)))
     spark = df.sparkSession
     imp_df = spark.createDataFrame([(c, float(v)) for c, v in zip(features, imp)],
                                    "feature string, importance double")
@@ -52,11 +76,14 @@ def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
 
 def isotonic_oof(df: DataFrame, pred: str, gold: str = "score", k: int = N_FOLDS, seed: int = SEED,
                  out: str = "calibrated") -> DataFrame:
-    """Isotonic calibration per language pair, out of fold by source; a pair
-    with fewer than two sources keeps its raw predictions.  Predictions
-    outside the fitted range are clipped to the end values."""
-    base = df.withColumn("_lp", F.concat_ws("->", "src_lang", "tgt_lang"))
-    lp_docs = {r["_lp"]: r["n"] for r in
+    """Isotonic calibration per language pair, out of fold by source.  Folds
+    are dealt by source size inside each language pair, so a pair of two
+    sources has two folds; where the training side of a fold has no gold the
+    row keeps its raw prediction (fold -1 where the pair has one source).
+    Predictions outside the fitted range are clipped to the end values."""
+    base = df.withColumn("_lp", F.concat_ws("->", "src_lang", "tgt_lang")) \
+        .withColumn(pred, nan_to_null(pred)).withColumn(gold, nan_to_null(gold))
+    lp_docs = {r["_lp"]: r["n"] for r in       # one row per language pair
                base.groupBy("_lp").agg(F.countDistinct("doc_id").alias("n")).collect()}
     parts = []
     for lp, ndocs in sorted(lp_docs.items()):
@@ -66,15 +93,19 @@ def isotonic_oof(df: DataFrame, pred: str, gold: str = "score", k: int = N_FOLDS
                                     F.col(pred).cast("double").alias(out)))
             continue
         kk = int(min(k, ndocs))
-        sub = sub.withColumn("fold", doc_fold("doc_id", kk, seed)).persist()
+        sub = with_folds(sub, kk).persist()
+        usable = F.col(gold).isNotNull() & F.col(pred).isNotNull()
+        trains = {r[0] for r in sub.filter(usable).select("fold").distinct().collect()}
         for f in range(kk):
-            train = sub.filter(F.col("fold") != f)
-            if train.limit(1).count() == 0:
-                continue
-            model = IsotonicRegression(featuresCol=pred, labelCol=gold, predictionCol=out,
-                                       isotonic=True).fit(train)
-            parts.append(model.transform(sub.filter(F.col("fold") == f)).select(
-                "row_id", F.col("fold").cast("long").alias("fold"), out))
+            held = sub.filter(F.col("fold") == f)
+            blank = held.filter(F.col(pred).isNull())
+            if trains - {f}:
+                model = IsotonicRegression(featuresCol=pred, labelCol=gold, predictionCol=out, isotonic=True) \
+                    .fit(sub.filter((F.col("fold") != f) & usable))
+                parts.append(model.transform(held.filter(F.col(pred).isNotNull())).select("row_id", "fold", out))
+            else:
+                blank = held
+            parts.append(blank.select("row_id", "fold", F.col(pred).cast("double").alias(out)))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
@@ -84,47 +115,42 @@ def isotonic_oof(df: DataFrame, pred: str, gold: str = "score", k: int = N_FOLDS
 def ridge_oof(df: DataFrame, features, gold: str = "score", alpha: float = RIDGE_ALPHA,
               k: int = N_FOLDS, seed: int = SEED, out: str = "meta_score"):
     """Ridge stacking out of fold, intercept unpenalised.  One aggregation
-    gives per-fold sums of x, y, xx' and xy; a fold's training statistics are
-    the totals minus the fold; each k x k system is solved on the driver.
-    Returns ``(predictions, coefficients)``."""
+    gives per-fold sums of x, y, xx' and xy over the rows that have gold and
+    every feature; a fold's training statistics are the totals minus the fold;
+    each k x k system is solved on the driver.  Every row is returned: a row
+    that lacks a feature has no prediction, a fold without training rows keeps
+    the mean of the features.  Returns ``(predictions, coefficients)``."""
     feats = list(features)
-    base = df.withColumn("fold", doc_fold("doc_id", k, seed))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(gold).alias("sy")]
-    aggs += [F.sum(c).alias(f"sx{i}") for i, c in enumerate(feats)]
-    aggs += [F.sum(F.col(c) * F.col(gold)).alias(f"sxy{i}") for i, c in enumerate(feats)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"sxx{i}_{j}")
-             for i, a in enumerate(feats) for j, b in enumerate(feats) if j >= i]
-    rows = {r["fold"]: r for r in base.groupBy("fold").agg(*aggs).collect()}
     m = len(feats)
-
-    def stats(rs):
-        n = sum(r["n"] for r in rs)
-        sx = np.array([sum(r[f"sx{i}"] for r in rs) for i in range(m)])
-        sy = sum(r["sy"] for r in rs)
-        sxy = np.array([sum(r[f"sxy{i}"] for r in rs) for i in range(m)])
-        sxx = np.zeros((m, m))
-        for i in range(m):
-            for j in range(i, m):
-                sxx[i, j] = sxx[j, i] = sum(r[f"sxx{i}_{j}"] for r in rs)
-        return n, sx, sy, sxy, sxx
-
+    base = with_folds(df, k).select("row_id", "fold", nan_to_null(gold).alias("_y"),
+                                    *[nan_to_null(c).alias(f"_f{i}") for i, c in enumerate(feats)])
+    x = [F.col(f"_f{i}") for i in range(m)]
+    y = F.col("_y")
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")]
+    aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(m)]
+    aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(m)]
+    aggs += [F.sum(x[i] * x[j]).alias(f"sxx{i}_{j}") for i in range(m) for j in range(i, m)]
+    sums = {r["fold"]: r for r in base.dropna().groupBy("fold").agg(*aggs).collect()}   # one row per fold
     coefs = []
-    for f in sorted(rows):
-        n, sx, sy, sxy, sxx = stats([r for g, r in rows.items() if g != f])
-        if n == 0:
+    for f in range(k):
+        rows = [r for g, r in sums.items() if g != f]
+        n = sum(r["n"] for r in rows)
+        if not n:
+            coefs.append((f, 0.0, *[1.0 / m] * m))
             continue
-        mx, my = sx / n, sy / n
-        cxx = sxx - n * np.outer(mx, mx)
-        cxy = sxy - n * mx * my
+        mx = np.array([sum(r[f"sx{i}"] for r in rows) for i in range(m)]) / n
+        my = sum(r["sy"] for r in rows) / n
+        cxy = np.array([sum(r[f"sxy{i}"] for r in rows) for i in range(m)]) - n * mx * my
+        cxx = np.array([[sum(r[f"sxx{min(i, j)}_{max(i, j)}"] for r in rows) for j in range(m)]
+                        for i in range(m)]) - n * np.outer(mx, mx)
         beta = np.linalg.solve(cxx + alpha * np.eye(m), cxy)
-        coefs.append((int(f), float(my - mx @ beta), *map(float, beta)))
-    spark = df.sparkSession
-    cdf = spark.createDataFrame(coefs, "fold long, intercept double, " +
-                                ", ".join(f"b{i} double" for i in range(m)))
+        coefs.append((f, float(my - mx @ beta), *map(float, beta)))
+    cdf = df.sparkSession.createDataFrame(
+        coefs, "fold long, intercept double, " + ", ".join(f"b{i} double" for i in range(m)))
     pred = F.col("intercept")
-    for i, c in enumerate(feats):
-        pred = pred + F.col(f"b{i}") * F.col(c)
-    res = base.join(F.broadcast(cdf), "fold").select("row_id", "fold", pred.alias(out))
+    for i in range(m):
+        pred = pred + F.col(f"b{i}") * x[i]
+    res = base.join(F.broadcast(cdf), "fold").select("row_id", "fold", pred.alias(out))     # k rows
     return res, cdf
 
 

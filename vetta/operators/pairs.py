@@ -31,7 +31,9 @@ PAIR_CAP = 50_000
 SEED = 42
 MARGIN = 0.01          # fixed ranking margin
 MSE_WEIGHT = 0.3
+EQUAL_GOLD = 1e-6      # gold gaps (0-1 scale) that the fixed-margin loss calls equal
 INDEX_BUCKETS = 4096
+EXAMPLE_ROWS = 64      # first rows tried in one step of disagreement_examples
 
 
 def doc_pair_summary(df: DataFrame, signals, gold: str = "score") -> DataFrame:
@@ -59,7 +61,7 @@ def partner_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP) ->
     per_row = F.expr(
         "transform(_a, x -> struct(x AS r, size(_a) AS n, "
         "size(filter(_a, e -> e._g > x._g OR (e._g = x._g AND e.row_id < x.row_id))) AS dpos, "
-        f"size(filter(_a, e -> e._g < x._g - {gap_s})) AS k))")
+        f"size(filter(_a, e -> x._g - e._g > {gap_s})) AS k))")
     out = arr.select("doc_id", F.explode(per_row).alias("_x")).select(
         "doc_id", *[F.col(f"_x.r.{c}").alias(c) for c in other],
         F.col("_x.n").cast("long").alias("_gn"), F.col("_x.dpos").cast("long").alias("_dpos"),
@@ -72,11 +74,12 @@ def partner_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP) ->
 def _partner_counts_large(base: DataFrame, gap: float) -> DataFrame:
     desc = positions_in_group(base.withColumn("_ng", -F.col("_g")), ["doc_id"], "_ng", ["row_id"]) \
         .withColumnRenamed("_gpos", "_dpos").drop("_ng")
-    # union of rows (t=1) and thresholds g - gap (t=0): thresholds sort before
-    # equal values, so rows strictly below a threshold precede it
+    # union of rows (t=1) and thresholds (t=0), the first value that is not more
+    # than gap below: thresholds sort before equal values, so the partners precede it
     keys = desc.select("doc_id", "row_id", "_g")
     u = keys.select("doc_id", "row_id", F.col("_g").alias("_v"), F.lit(1).alias("_t")).unionByName(
-        keys.select("doc_id", "row_id", (F.col("_g") - F.lit(float(gap))).alias("_v"), F.lit(0).alias("_t")))
+        keys.select("doc_id", "row_id", pairstats.cut_column("_g", float(gap), strict=True, above=True).alias("_v"),
+                    F.lit(0).alias("_t")))
     pu = positions_in_group(u, ["doc_id"], "_v", ["_t", "row_id"]).filter(F.col("_t") == 0) \
         .select("doc_id", "row_id", F.col("_gpos").alias("_pu"))
     qa = positions_in_group(keys, ["doc_id"], "_g", ["row_id"]).select(
@@ -89,11 +92,10 @@ def _partner_counts_large(base: DataFrame, gap: float) -> DataFrame:
 
 def preference_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP) -> DataFrame:
     """Per source: rows and preference pairs (gold gap > ``gap``)."""
-    base = df.filter(F.col(gold).isNotNull() & F.col("doc_id").isNotNull())
-    data = base.select("doc_id", F.col(gold).cast("double").alias("a"), F.lit(1).alias("t"))
-    qry = base.select("doc_id", (F.col(gold).cast("double") - F.lit(float(gap))).alias("a"),
-                      F.lit(0).alias("t"))
-    pts = data.unionByName(qry).groupBy("doc_id", "a", "t").agg(F.count(F.lit(1)).alias("w")) \
+    base = df.filter(pairstats._nan_to_null(gold).isNotNull() & F.col("doc_id").isNotNull())
+    held = base.groupBy("doc_id", F.col(gold).cast("double").alias("a")).agg(F.count(F.lit(1)).alias("w"))
+    asked = held.select("doc_id", pairstats.cut_column("a", float(gap), strict=True, above=True).alias("a"), "w")
+    pts = held.withColumn("t", F.lit(1)).unionByName(asked.withColumn("t", F.lit(0))) \
         .withColumn("b", F.lit(0.0))
     d = pairstats.dominance(pts, ["doc_id"], use_b=False)
     n = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -145,40 +147,130 @@ def sample_preference_pairs(df: DataFrame, payload=("src_text", "tgt_text"), gol
         ((F.col("_gb") - F.col("_gw")) / 100.0).alias("margin"))
 
 
-def pair_loss(pairs: DataFrame, margin: float = MARGIN, mse_weight: float = MSE_WEIGHT) -> DataFrame:
-    """Ranking report over scored preference pairs (``pred_better``,
-    ``pred_worse`` on the 0-1 scale): adaptive-margin hinge
-    ``max(0, max(0.5 * gold margin, m) - (p_b - p_w))``, pair MSE, their
-    weighted combination and ranking accuracy."""
-    adaptive = F.greatest(F.col("margin") * 0.5, F.lit(float(margin)))
-    hinge = F.greatest(F.lit(0.0), adaptive - (F.col("pred_better") - F.col("pred_worse")))
-    mse = ((F.col("pred_better") - F.col("score_better")) ** 2
-           + (F.col("pred_worse") - F.col("score_worse")) ** 2) / 2
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(hinge).alias("ranking_loss"),
-                     F.avg(mse).alias("mse_loss"),
-                     F.avg((F.col("pred_better") > F.col("pred_worse")).cast("double")).alias("rank_accuracy")) \
+def pair_sums(df: DataFrame, pred: str, gold: str = "score", scale: float = 100.0, margin: float = MARGIN,
+              gap: float = MIN_GAP, adaptive: bool = True, small: int = pairstats.SMALL_GROUP) -> DataFrame:
+    """Sums over all same-source pairs whose gold differs by more than ``gap``:
+    ``n_pairs``, ``hinge`` (of ``max(0, m - (p_better - p_worse))`` with ``m`` the
+    margin, or half the scaled gold gap where that is larger and ``adaptive``),
+    ``squares`` (mean of the two squared errors) and ``right`` (better row
+    predicted higher).  Sources of at most ``small`` rows are looped over as
+    bounded arrays; in larger ones every sum is a weighted dominance count, as
+    the hinge is linear on each side of its kink."""
+    base = df.select("doc_id", pairstats._nan_to_null(gold).alias("g"), pairstats._nan_to_null(pred).alias("p")).dropna()
+    few, many = pairstats._split_by_size(base, ["doc_id"], small)
+    m = f"greatest(0.5D * ((_a[i].g - e.g) / {scale!r}D), {margin!r}D)" if adaptive else f"{margin!r}D"
+    err = f"(power({{0}}.p - {{0}}.g / {scale!r}D, 2))"
+    step = (f"named_struct('n', c.n + 1, 'h', c.h + greatest(0D, {m} - (_a[i].p - e.p)), "
+            f"'q', c.q + ({err.format('_a[i]')} + {err.format('e')}) / 2, 'r', c.r + IF(_a[i].p > e.p, 1D, 0D))")
+    zero = "named_struct('n', 0D, 'h', 0D, 'q', 0D, 'r', 0D)"
+    loop = (f"aggregate(sequence(0, size(_a) - 1), {zero}, (o, i) -> aggregate(_a, o, (c, e) -> "
+            f"IF(_a[i].g - e.g > {gap!r}D, {step}, c)))")
+    arrays = few.groupBy("doc_id").agg(F.collect_list(F.struct("g", "p")).alias("_a"))
+    out = arrays.select(F.expr(loop).alias("_c")).select("_c.n", "_c.h", "_c.q", "_c.r")
+    if many is not None:
+        out = out.unionByName(_pair_sums_large(many, scale, margin, gap, adaptive))
+    total = [F.coalesce(F.sum(c), F.lit(0.0)).alias(name) for c, name in
+             (("n", "n_pairs"), ("h", "hinge"), ("q", "squares"), ("r", "right"))]
+    return out.agg(*total)
+
+
+def _pair_sums_large(rows: DataFrame, scale: float, margin: float, gap: float, adaptive: bool) -> DataFrame:
+    """The sums of ``pair_sums`` for large sources, one row for each sum."""
+    def dominated(value, wide: float, strict: bool, data_w, query_w, kind: str, sign: float, shift: float = 0.0):
+        """Sum of data weight x query weight over pairs (worse = data, better =
+        query) beyond the gap ``wide``; kind lt/gt also compares ``value`` (the
+        worse one's moved up by ``shift``)."""
+        one = rows.select("doc_id", "g", F.col("g").alias("a"), (value + F.lit(shift)).alias("b"), data_w.alias("w"), F.lit(1).alias("t"))
+        two = rows.select("doc_id", "g", pairstats.cut_column("g", wide, strict=strict, above=True).alias("a"), value.alias("b"),
+                          query_w.alias("w"), F.lit(0).alias("t"))
+        got = pairstats.dominance(one.unionByName(two).drop("g"), ["doc_id"], use_b=kind != "d1")
+        return got.select((F.col(kind) * F.lit(sign)).alias("v"))
+
+    one, p, s = F.lit(1.0), F.col("p"), F.col("g") / scale
+    error = F.pow(p - s, 2)
+
+    def excess(value, wide, strict, shift, sign):
+        """Sum of how far the worse value (moved up) exceeds the better one."""
+        return [("h", dominated(value, wide, strict, value + F.lit(shift), one, "gt", sign, shift)),
+                ("h", dominated(value, wide, strict, one, value, "gt", -sign, shift))]
+
+    parts = [("n", dominated(p, gap, True, one, one, "d1", 1.0)), ("r", dominated(p, gap, True, one, one, "lt", 1.0)),
+             ("q", dominated(p, gap, True, one, error, "d1", 0.5)), ("q", dominated(p, gap, True, error, one, "d1", 0.5)),
+             *excess(p, gap, True, margin, 1.0)]
+    if adaptive:
+        # where half the gap is the larger margin, p - s / 2 is compared instead
+        kink = 2 * margin * scale
+        if kink > gap:
+            parts += [*excess(p, kink, False, margin, -1.0), *excess(p - s / 2, kink, False, 0.0, 1.0)]
+        else:
+            parts = parts[:4] + excess(p - s / 2, gap, True, 0.0, 1.0)
+    out = None
+    for name, part in parts:
+        row = part.agg(*[(F.coalesce(F.sum("v"), F.lit(0.0)) if c == name else F.lit(0.0)).alias(c) for c in "nhqr"])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def pair_loss(df: DataFrame, pred: str, gold: str = "score", margin: float = MARGIN, mse_weight: float = MSE_WEIGHT,
+              small: int = pairstats.SMALL_GROUP) -> DataFrame:
+    """Ranking report over all preference pairs (gold on 0-100, predictions on
+    0-1): adaptive-margin hinge, pair MSE, their weighted combination and
+    ranking accuracy."""
+    sums = pair_sums(df, pred, gold, margin=margin, small=small)
+    n = F.when(F.col("n_pairs") > 0, F.col("n_pairs"))
+    return sums.select(F.col("n_pairs").cast("long").alias("n_pairs"), (F.col("hinge") / n).alias("ranking_loss"),
+                       (F.col("squares") / n).alias("mse_loss"), (F.col("right") / n).alias("rank_accuracy")) \
         .withColumn("loss", F.lit(mse_weight) * F.col("mse_loss") + F.lit(1 - mse_weight) * F.col("ranking_loss"))
 
 
+def fixed_margin_loss(df: DataFrame, pred: str, gold: str = "score", margin: float = MARGIN,
+                      mse_weight: float = MSE_WEIGHT, small: int = pairstats.SMALL_GROUP) -> DataFrame:
+    """The same with a fixed margin over all same-source pairs of unequal gold
+    (on the 0-1 scale, beyond 1e-6), and the MSE over rows."""
+    unit = df.select("doc_id", (pairstats._nan_to_null(gold) / 100).alias("g01"), pairstats._nan_to_null(pred).alias("p01"))
+    sums = pair_sums(unit, "p01", "g01", scale=1.0, margin=margin, gap=EQUAL_GOLD, adaptive=False, small=small)
+    mse = unit.agg(F.avg(F.pow(F.col("p01") - F.col("g01"), 2))).scalar()
+    n = F.when(F.col("n_pairs") > 0, F.col("n_pairs"))
+    return sums.select(F.col("n_pairs").cast("long").alias("n_pairs"), (F.col("hinge") / n).alias("ranking_loss"),
+                       mse.alias("mse_loss")) \
+        .withColumn("loss", F.lit(mse_weight) * F.col("mse_loss")
+                    + F.lit(1 - mse_weight) * F.coalesce("ranking_loss", F.lit(0.0)))
+
+
 def disagreement_examples(df: DataFrame, signal: str, gold: str = "score", k: int = 5,
                           band: float = 1.0) -> DataFrame:
     """First ``k`` disagreeing same-source pairs in (source, row, row) order.
-    Sources are chosen from per-source disagreement counts (no pairs); pairs
-    are then listed for those at most ``k`` sources only."""
+    Sources are chosen from per-source disagreement counts (no pairs).  Then
+    each source's rows are tried as the first row of a pair a run at a time, in
+    row order, until k pairs are found: a step joins at most ``EXAMPLE_ROWS``
+    rows with the source, never the source with itself."""
     counts = pairstats.band_agreement(df, ["doc_id"], gold, signal, band)
     docs = counts.filter(F.col("disagree") > 0).select("doc_id").orderBy("doc_id").limit(k)
-    sub = df.join(F.broadcast(docs), "doc_id").select("doc_id", "row_id", "tgt_system",
-                                                      F.col(gold).alias("g"), F.col(signal).alias("p"))
-    a, b = sub.alias("a"), sub.alias("b")
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.row_id") < F.col("b.row_id")))
-    dg = F.col("a.g") - F.col("b.g")
-    dp = F.col("a.p") - F.col("b.p")
+    rows = df.join(F.broadcast(docs), "doc_id").select("doc_id", "row_id", "tgt_system", F.col(gold).alias("g"),
+                                                       F.col(signal).alias("p")).persist()
+    dg, dp = F.col("a.g") - F.col("b.g"), F.col("a.p") - F.col("b.p")
     dis = (F.abs(dg) >= band) & ~(((dg > 0) & (dp > 0)) | ((dg < 0) & (dp < 0)))
-    return pairs.filter(dis).select(F.col("a.doc_id").alias("doc_id"), F.col("a.row_id").alias("row_i"),
-                                    F.col("b.row_id").alias("row_j"), F.col("a.tgt_system").alias("sys_i"),
-                                    F.col("b.tgt_system").alias("sys_j"), dg.alias("gold_diff"),
-                                    dp.alias("pred_diff")) \
-        .orderBy("doc_id", "row_i", "row_j").limit(k)
+    found, last = [], None
+    schema = None
+    while len(found) < k:
+        order = rows.orderBy("doc_id", "row_id")
+        if last is not None:
+            order = rows.filter((F.col("doc_id") > last[0]) | ((F.col("doc_id") == last[0]) & (F.col("row_id") > last[1]))) \
+                .orderBy("doc_id", "row_id")
+        first = order.limit(EXAMPLE_ROWS)
+        step = first.select("doc_id", "row_id").collect()       # at most EXAMPLE_ROWS keys
+        pairs = rows.alias("b").join(F.broadcast(first).alias("a"), (F.col("a.doc_id") == F.col("b.doc_id"))
+                                     & (F.col("a.row_id") < F.col("b.row_id")) & dis)
+        best = pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.row_id").alias("row_i"), F.col("b.row_id").alias("row_j"),
+                            F.col("a.tgt_system").alias("sys_i"), F.col("b.tgt_system").alias("sys_j"), dg.alias("gold_diff"),
+                            dp.alias("pred_diff"))
+        schema = best.schema
+        if not step:
+            break
+        found += best.orderBy("doc_id", "row_i", "row_j").limit(k - len(found)).collect()
+        last = max((r.doc_id, r.row_id) for r in step)
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(found, schema)
 
 
 def epoch_order(df: DataFrame, epoch: int, key: str = "pair_index", seed: int = SEED,

@@ -172,6 +172,35 @@ def _self_counts(a, b, w):
     return d1, lt_all - tie_lt, gt_all
 
 
+def difference_cut(g: np.ndarray, width: float, strict: bool = False) -> np.ndarray:
+    """The largest double ``v`` with ``g - v >= width`` (``> width`` if
+    strict), the difference rounded as IEEE subtraction does.  Subtraction is
+    monotone, so the values at least ``width`` below ``g`` are those up to the
+    cut, whatever the rounding; found by halving the ordered doubles."""
+    g = np.asarray(g, dtype=np.float64)
+
+    def flip(i):                    # order of doubles <-> order of integers
+        return i ^ ((i >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+    lo = flip(np.full(g.shape, -np.inf).view(np.int64))
+    hi = flip((g + 0.0).view(np.int64))
+    for _ in range(64):
+        mid = (lo >> 1) + (hi >> 1) + (lo & hi & 1)
+        diff = g - flip(mid).view(np.float64)
+        far = diff > width if strict else diff >= width
+        lo, hi = np.where(far, mid, lo), np.where(far, hi, mid)
+    return flip(lo).view(np.float64)
+
+
+def cut_column(c: str, width: float, strict: bool = False, above: bool = False):
+    """``difference_cut`` of a column; ``above``: the next double after it."""
+    @F.pandas_udf(T.DoubleType())
+    def cut(g: pd.Series) -> pd.Series:
+        v = difference_cut(g.to_numpy(dtype=np.float64, na_value=np.nan), width, strict)
+        return pd.Series(np.nextafter(v, np.inf) if above else v)
+    return cut(F.col(c).cast("double"))
+
+
 def _kernel_fn(out_keys, use_b):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         d1, lt, gt = dominance_counts(pdf["a"].to_numpy(),
@@ -465,10 +494,11 @@ def band_agreement(df: DataFrame, keys, gold: str, pred: str, tol: float,
 
 def _band_large(rows, keys, tol):
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # near = above the cut of "at least tol below", the rule of the small tier
     data = rows.select(*keys, (-F.col("_g")).alias("a"), F.col("_p").alias("b"), F.lit(1).alias("t"))
-    qry = rows.select(*keys, (-(F.col("_g") - F.lit(float(tol)))).alias("a"), F.col("_p").alias("b"),
-                      F.lit(0).alias("t"))
-    pts1 = data.unionByName(qry).groupBy(*keys, "a", "b", "t").agg(F.count(F.lit(1)).alias("w"))
+    qry = rows.groupBy(*keys, "_g", "_p").agg(F.count(F.lit(1)).alias("w")).select(
+        *keys, (-cut_column("_g", float(tol))).alias("a"), F.col("_p").alias("b"), F.lit(0).alias("t"), "w")
+    pts1 = data.groupBy(*keys, "a", "b", "t").agg(F.count(F.lit(1)).alias("w")).unionByName(qry)
     r1 = dominance(pts1, keys).select(*keys, F.col("d1").alias("_near"), F.col("lt").alias("_nlt"))
     pts2 = rows.groupBy(*keys, F.col("_p").alias("a")).agg(F.count(F.lit(1)).alias("w")) \
         .withColumn("t", F.lit(2)).withColumn("b", F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta.functions.text import word_count
+from vetta.operators.rank import nan_to_null
 from vetta.plans.ordered import exact_quantiles, positions_in_group
 
 HIST_BINS = 10
@@ -16,7 +17,7 @@ SCALE_SWITCH = 1.5         # max > 1.5 means a 0-100 scale
 
 def score_profile(df: DataFrame, col: str = "score") -> DataFrame:
     """n, min, max, mean, median, std (population), p25, p75."""
-    base = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    base = df.select(nan_to_null(col).alias("v")).filter(F.col("v").isNotNull())
     # the three quantiles attach as one scalar subquery (no join)
     q = exact_quantiles(base, "v", [0.5, 0.25, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
     return base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
@@ -78,7 +79,7 @@ def value_counts(df: DataFrame, dims: dict) -> DataFrame:
 def stats_by(df: DataFrame, keys, col: str = "score") -> DataFrame:
     """n, mean, median, std (population), min, max per group."""
     keys = list(keys)
-    base = df.select(*keys, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    base = df.select(*keys, nan_to_null(col).alias("v")).filter(F.col("v").isNotNull())
     agg = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
                                   F.stddev_pop("v").alias("std"), F.min("v").alias("min"),
                                   F.max("v").alias("max"))
@@ -113,7 +114,7 @@ def score_examples(df: DataFrame, col: str = "score", key: str = "row_id", k: in
                    preview: int = 150, text_cols=("text",)) -> DataFrame:
     """Five lowest, five highest and five around the median (positions
     mid-2..mid+2, mid = n // 2) in (score, key) order, with text previews."""
-    base = df.filter(F.col(col).isNotNull()).withColumn("_all", F.lit(0))
+    base = df.filter(F.col(col).isNotNull()).select(key, col).withColumn("_all", F.lit(0))
     p = positions_in_group(base, ["_all"], col, [key])
     mid = F.floor(F.col("_gn") / 2)
     lo = p.filter(F.col("_gpos") < k).withColumn("kind", F.lit("lowest"))
@@ -121,7 +122,9 @@ def score_examples(df: DataFrame, col: str = "score", key: str = "row_id", k: in
     md = p.filter((F.col("_gpos") >= mid - 2) & (F.col("_gpos") <= mid + 2)).withColumn("kind", F.lit("median"))
     out = lo.unionByName(hi).unionByName(md)
     previews = [F.substring(c, 1, preview).alias(f"{c}_preview") for c in text_cols]
-    return out.select("kind", F.col("_gpos").alias("position"), key, col, *previews)
+    # at most 2k + 5 chosen rows meet the texts
+    chosen = F.broadcast(out.select("kind", F.col("_gpos").alias("position"), key, col))
+    return df.select(key, *text_cols).join(chosen, key).select("kind", "position", key, col, *previews)
 
 
 def head_rows(df: DataFrame, key: str = "row_id", n: int = 20, cols=("doc_id",)) -> DataFrame:

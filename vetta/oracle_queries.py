@@ -253,10 +253,9 @@ SQL["clip_invert"] = with_views(RATINGS) + """
 SELECT row_id, round(score / 3 - 5, 6) AS error,
        round(CASE WHEN score / 3 - 5 IS NOT NULL THEN 25.0 - least(greatest(score / 3 - 5, 0.0), 25.0) END, 6) AS quality
 FROM ratings"""
-SQL["side_features"] = with_views(RATINGS) + """
-SELECT r.row_id, s.price AS side_price FROM ratings r LEFT JOIN (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS row_id,
-         l_extendedprice AS price FROM lineitem WHERE l_linenumber <= 4) s ON s.row_id = r.row_id"""
+SQL["side_features"] = """
+SELECT d.doc_id AS row_id, d.n_chars, l.quality AS side_quality, l.toxic AS side_toxic
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 SQL["weights_default"] = with_views(RATINGS) + f"""
 SELECT sl.signal, round(coalesce(w.weight, 1.0 / 3), 6) AS weight
 FROM {SIG_VALUES} LEFT JOIN (
@@ -621,3 +620,88 @@ SELECT fold, weights, round(train_tau, 6) AS train_tau, round(val_tau, 6) AS val
        round(CAST(wa AS DOUBLE), 6) AS w_sig_a_score, round(CAST(wb AS DOUBLE), 6) AS w_sig_b_score,
        round(CAST(wc AS DOUBLE), 6) AS w_sig_c_score
 FROM ranked WHERE rk = 1""")
+
+
+# --- pairs over all rows, two-decimal gold ------------------------------------------------------------
+
+_DECIMAL = """decimal_ratings AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS row_id,
+         CASE WHEN l_suppkey % 4 = 0 THEN l_suppkey ELSE 1000000 + l_orderkey END AS doc_id,
+         floor(l_extendedprice / 10)::DOUBLE / 100 AS score,
+         l_quantity / 50 + 4.0 * l_tax AS sig_a_score
+  FROM lineitem)"""
+
+
+def _pair_loss(src: str) -> str:
+    return f""",
+p AS (SELECT greatest(0.0, greatest(0.5 * ((b.score - w.score) / 100), 0.01) - (b.sig_a_score - w.sig_a_score)) AS h,
+             (power(b.sig_a_score - b.score / 100, 2) + power(w.sig_a_score - w.score / 100, 2)) / 2 AS q,
+             CASE WHEN b.sig_a_score > w.sig_a_score THEN 1.0 ELSE 0.0 END AS r
+      FROM {src} b JOIN {src} w ON b.doc_id = w.doc_id AND b.score - w.score > 1.0)
+SELECT count(*) AS n_pairs, round(avg(h), 6) AS ranking_loss, round(avg(q), 6) AS mse_loss,
+       round(avg(r), 6) AS rank_accuracy, round(0.3 * avg(q) + 0.7 * avg(h), 6) AS loss FROM p"""
+
+
+SQL["pair_loss"] = _nudge_rounds(with_views(RATINGS) + _pair_loss("ratings"))
+SQL["pair_loss_decimal"] = _nudge_rounds(with_views(_DECIMAL) + _pair_loss("decimal_ratings"))
+SQL["pair_loss_fixed"] = _nudge_rounds(with_views(RATINGS) + """,
+u AS (SELECT doc_id, score / 100 AS g, sig_a_score AS p FROM ratings),
+l AS (SELECT count(*) AS n_pairs, avg(greatest(0.0, 0.01 - (b.p - w.p))) AS h
+      FROM u b JOIN u w ON b.doc_id = w.doc_id AND b.g - w.g > 0.000001),
+m AS (SELECT avg(power(p - g, 2)) AS q FROM u)
+SELECT n_pairs, round(h, 6) AS ranking_loss, round(q, 6) AS mse_loss, round(0.3 * q + 0.7 * h, 6) AS loss FROM l, m""")
+SQL["preference_pairs_decimal"] = with_views(_DECIMAL) + """
+SELECT r.doc_id, r.n, coalesce(p.c, 0) AS n_pairs
+FROM (SELECT doc_id, count(*) AS n FROM decimal_ratings GROUP BY doc_id) r
+LEFT JOIN (SELECT a.doc_id, count(*) AS c FROM decimal_ratings a JOIN decimal_ratings b
+           ON a.doc_id = b.doc_id AND a.score - b.score > 1.0 GROUP BY a.doc_id) p ON p.doc_id = r.doc_id"""
+SQL["pair_agreement_decimal"] = with_views(_DECIMAL) + """,
+p AS (SELECT CASE WHEN abs(a.score - b.score) < 1.0 THEN 'tie'
+                  WHEN (a.score > b.score AND a.sig_a_score > b.sig_a_score)
+                    OR (a.score < b.score AND a.sig_a_score < b.sig_a_score) THEN 'agree' ELSE 'disagree' END AS k
+      FROM decimal_ratings a JOIN decimal_ratings b ON a.doc_id = b.doc_id AND a.row_id < b.row_id)
+SELECT 'sig_a_score' AS signal, count(*) AS total_pairs, count(*) FILTER (WHERE k = 'agree') AS agree,
+       count(*) FILTER (WHERE k = 'disagree') AS disagree, count(*) FILTER (WHERE k = 'tie') AS tie,
+       round(100.0 * count(*) FILTER (WHERE k = 'agree') / count(*), 6) AS agree_pct,
+       round(100.0 * count(*) FILTER (WHERE k = 'disagree') / count(*), 6) AS disagree_pct,
+       round(100.0 * count(*) FILTER (WHERE k = 'tie') / count(*), 6) AS tie_pct
+FROM p"""
+
+# --- ridge stacking: three signals, folds dealt by size, solved by Cramer's rule ------------------------
+
+_SUMS = ", ".join(["count(*) AS n", "sum(y) AS sy"] + [f"sum({x}) AS s{x}" for x in "abc"] + [f"sum({x} * y) AS y{x}" for x in "abc"]
+                  + [f"sum({x} * {z}) AS s{x}{z}" for x, z in ("aa", "ab", "ac", "bb", "bc", "cc")])
+_CENTRED = ", ".join([f"s{x}{z} - s{x} * s{z} / n + {1.0 if x == z else 0.0} AS m{x}{z}" for x, z in ("aa", "ab", "ac", "bb", "bc", "cc")]
+                     + [f"y{x} - s{x} * sy / n AS v{x}" for x in "abc"] + [f"s{x} / n AS a{x}" for x in "abc"] + ["sy / n AS ay"])
+
+
+def _det(c1, c2, c3):
+    """Determinant of the matrix with these columns."""
+    (a, b, c), (d, e, f), (g, h, i) = c1, c2, c3
+    return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+
+_A, _B, _C, _V = ("maa", "mab", "mac"), ("mab", "mbb", "mbc"), ("mac", "mbc", "mcc"), ("va", "vb", "vc")
+SQL["ridge_stack"] = _nudge_rounds(with_views(RATINGS) + f""",
+f AS (SELECT doc_id, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold
+      FROM (SELECT doc_id, row_number() OVER (ORDER BY count(*) DESC, doc_id) - 1 AS p FROM ratings GROUP BY doc_id)),
+x AS (SELECT r.row_id, f.fold, r.score AS y, r.sig_a_score AS a, r.sig_b_score AS b, r.sig_c_score AS c
+      FROM ratings r JOIN f ON f.doc_id = r.doc_id),
+t AS (SELECT h.fold, {_SUMS} FROM (SELECT DISTINCT fold FROM x) h JOIN x ON x.fold <> h.fold GROUP BY h.fold),
+m AS (SELECT fold, {_CENTRED} FROM t),
+w AS (SELECT *, {_det(_V, _B, _C)} / {_det(_A, _B, _C)} AS wa, {_det(_A, _V, _C)} / {_det(_A, _B, _C)} AS wb,
+             {_det(_A, _B, _V)} / {_det(_A, _B, _C)} AS wc FROM m)
+SELECT x.row_id, x.fold, round(ay - wa * aa - wb * ab - wc * ac + wa * a + wb * b + wc * c, 6) AS meta_score
+FROM x JOIN w ON w.fold = x.fold""")
+
+# --- cross-validated blend ----------------------------------------------------------------------------------
+
+_CV = SQL["cv_ensemble"].replace("round((val_tau) + 1e-9, 6) AS val_tau", "val_tau")
+SQL["cv_weights"] = f"""WITH e AS ({_CV})
+SELECT {", ".join(f"round(avg(w_{s}) + 1e-9, 6) AS w_{s}" for s in SIGNALS)}, round(avg(val_tau) + 1e-9, 6) AS mean_tau FROM e"""
+_NUM = " + ".join(f"r.{s} * e.w_{s}" for s in SIGNALS)
+_DEN = " + ".join(f"e.w_{s}" for s in SIGNALS)
+SQL["cv_scores"] = _nudge_rounds(with_views(RATINGS) + f""", e AS ({_CV}),
+r AS (SELECT *, {FOLD} AS fold FROM ratings)
+SELECT r.row_id, r.fold, round(CASE WHEN {_DEN} <> 0 THEN ({_NUM}) / ({_DEN}) END, 6) AS cv_ensemble_score
+FROM r JOIN e ON e.fold = r.fold""")

@@ -48,35 +48,35 @@ def positions_in_group(df: DataFrame, by: list, value: str, tie: list | None = N
         .drop("_first", "_pos")
 
 
+def value_places(df: DataFrame, value: str, by: list) -> DataFrame:
+    """``by``, value, ``_c`` (rows that hold it), ``_lo`` (rows of the group
+    with smaller values) and ``_gn`` (rows of the group).  Equal values are one
+    row before the sort, so a frequent value never fills a task."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = with_prefix_sum(counts, [*[F.col(k) for k in by], F.col(value)], "_c", "_before")
+    group = run.groupBy(*by).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_gn"))
+    return run.join(group, by).withColumn("_lo", F.col("_before") - F.col("_first")).drop("_before", "_first")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs, by=(), prefix: str = "q") -> DataFrame:
     """Linear-interpolation quantiles (NumPy's default) per group, exact.
 
-    Returns ``by + [f"{prefix}{i}" ...]`` one row per group; nulls ignored."""
+    Returns ``by + [f"{prefix}{i}" ...]`` one row per group; nulls and NaN
+    are ignored."""
     by = list(by)
-    d = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if not by:
-        d = d.withColumn("_g", F.lit(0))
-        keys = ["_g"]
-    else:
-        keys = by
-    p = positions_in_group(d, keys, "_v")
-    aggs = []
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    d = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull())
+    keys = by or ["_g"]
+    p = value_places(d if by else d.withColumn("_g", F.lit(0)), "_v", keys)
+    aggs, need = [], F.lit(False)
     for i, q in enumerate(probs):
         h = (F.col("_gn") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        frac = h - lo
-        v_lo = F.max(F.when(F.col("_gpos") == lo, F.col("_v")))
-        v_hi = F.max(F.when(F.col("_gpos") == hi, F.col("_v")))
-        # keep only the rows at the two positions each quantile needs
-        aggs.append((v_lo, v_hi, F.max(F.when(F.col("_gpos") == lo, frac)), f"{prefix}{i}"))
-    need = None
-    for q in probs:
-        h = (F.col("_gn") - 1) * F.lit(float(q))
-        c = (F.col("_gpos") == F.floor(h)) | (F.col("_gpos") == F.ceil(h))
-        need = c if need is None else need | c
-    agg = p.filter(need).groupBy(*keys).agg(*[
-        (a + (b - a) * f).alias(name) for a, b, f, name in aggs])
-    return agg.drop("_g") if not by else agg
+        at = [(F.col("_lo") <= x) & (x < F.col("_lo") + F.col("_c")) for x in (F.floor(h), F.ceil(h))]
+        low, high = (F.max(F.when(c, F.col("_v"))) for c in at)
+        aggs.append((low + (high - low) * F.max(h - F.floor(h))).alias(f"{prefix}{i}"))
+        need = need | at[0] | at[1]
+    agg = p.filter(need).groupBy(*keys).agg(*aggs)      # only the values that hold a needed place
+    return agg if by else agg.drop("_g")
 
 
 def sd(col: str, ddof: int) -> Column:

@@ -207,13 +207,11 @@ def clip_invert(spark, d):
 
 
 def side_features(spark, d):
-    r = views.ratings(spark, d)
-    li = views.table(spark, d, "lineitem").filter(F.col("l_linenumber") <= 4)
-    side = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                 F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"),
-                     F.col("l_extendedprice").alias("price"))
-    joined, _ = SEG.attach_side_features(r, side, prefix="side_")
-    return joined.select("row_id", "side_price")
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")
+    labels = views.table(spark, d, "labels")        # some documents have none
+    side = labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic")
+    joined, _ = SEG.attach_side_features(docs, side, prefix="side_")
+    return joined.select("row_id", "n_chars", "side_quality", "side_toxic")
 
 
 def weights_default(spark, d):
@@ -289,8 +287,21 @@ def worst_drilldown(spark, d):
     return _round_doubles(A.worst_drilldown(r, worst, "sig_a_score"))
 
 
+def _detail9(spark, d):
+    """The detail with 9-place values: equal ones that came by different float
+    paths must tie in both engines."""
+    detail = _detail(spark, d)
+    return detail.select("signal", *[F.round(c, 9).alias(c) if t == "double" else F.col(c)
+                                     for c, t in detail.dtypes if c != "signal"])
+
+
 def spearman_props(spark, d):
-    return _round_doubles(A.spearman_props(_detail(spark, d)))
+    return _round_doubles(A.spearman_props(_detail9(spark, d)).drop("pvalue"))
+
+
+def spearman_pvalues(spark, d):
+    """r with its two-sided p (the t distribution has no SQL function)."""
+    return _round_doubles(A.spearman_props(_detail9(spark, d)))
 
 
 def lp_tau_breakdown(spark, d):
@@ -351,7 +362,7 @@ def feature_tau(spark, d):
 REGISTRY.update({
     "per_source_detail": per_source_detail, "tau_distribution": tau_distribution,
     "worst_sources": worst_sources, "worst_drilldown": worst_drilldown,
-    "spearman_props": spearman_props, "lp_tau_breakdown": lp_tau_breakdown,
+    "spearman_props": spearman_props, "spearman_pvalues": spearman_pvalues, "lp_tau_breakdown": lp_tau_breakdown,
     "gold_quintiles": gold_quintiles, "pair_agreement": pair_agreement,
     "compression_ratio": compression_ratio, "signal_summary": signal_summary,
     "cross_signal": cross_signal, "signal_disagreement": signal_disagreement,
@@ -384,9 +395,24 @@ def pair_cap(spark, d):
 
 
 def pair_loss(spark, d):
-    p = _sampled(spark, d).withColumnRenamed("sig_a_score_better", "pred_better") \
-        .withColumnRenamed("sig_a_score_worse", "pred_worse")
-    return _round_doubles(PR.pair_loss(p))
+    return _round_doubles(PR.pair_loss(views.ratings(spark, d), "sig_a_score"))
+
+
+def pair_loss_fixed(spark, d):
+    return _round_doubles(PR.fixed_margin_loss(views.ratings(spark, d), "sig_a_score"))
+
+
+def pair_loss_decimal(spark, d):
+    """Over sources on both sides of the array limit, gold with two decimals."""
+    return _round_doubles(PR.pair_loss(views.decimal_ratings(spark, d), "sig_a_score"))
+
+
+def preference_pairs_decimal(spark, d):
+    return PR.preference_counts(views.decimal_ratings(spark, d))
+
+
+def pair_agreement_decimal(spark, d):
+    return _round_doubles(A.pair_agreement(views.decimal_ratings(spark, d), ["sig_a_score"]))
 
 
 def disagreement_examples(spark, d):
@@ -401,7 +427,9 @@ def seeded_shuffle(spark, d, seed: int = 42):
 
 REGISTRY.update({
     "doc_pairs": doc_pairs, "preference_pairs": preference_pairs, "pair_cap": pair_cap,
-    "pair_loss": pair_loss, "disagreement_examples": disagreement_examples,
+    "pair_loss": pair_loss, "pair_loss_fixed": pair_loss_fixed, "pair_loss_decimal": pair_loss_decimal,
+    "preference_pairs_decimal": preference_pairs_decimal, "pair_agreement_decimal": pair_agreement_decimal,
+    "disagreement_examples": disagreement_examples,
     "seeded_shuffle": seeded_shuffle,
 })
 
@@ -497,6 +525,18 @@ def oof_tau(spark, d):
     return _round_doubles(BL.oof_tau(r, "sig_a_score"))
 
 
+def cv_scores(spark, d):
+    """Out-of-fold blended scores: each row by its fold's weights."""
+    r = views.ratings(spark, d)
+    return _round_doubles(BL.cv_predictions(r, BL.cv_ensemble(r, SIG), SIG).select("row_id", "fold", "cv_ensemble_score"))
+
+
+def cv_weights(spark, d):
+    """Average weights and mean held-out tau of the cross-validated search."""
+    folds = BL.cv_ensemble(views.ratings(spark, d), SIG)
+    return _round_doubles(folds.agg(*[F.avg(f"w_{s}").alias(f"w_{s}") for s in SIG], F.avg("val_tau").alias("mean_tau")))
+
+
 def final_score(spark, d):
     """Submission assembly: signals by suffix, weights from the grid search
     (what the search writes is what the blend reads), blend, order."""
@@ -510,7 +550,7 @@ def final_score(spark, d):
 
 REGISTRY.update({
     "doc_folds": doc_folds, "balanced_folds": balanced_folds, "weighted_ensemble": weighted_ensemble,
-    "weight_sweep": weight_sweep, "cv_ensemble": cv_ensemble, "oof_tau": oof_tau,
+    "weight_sweep": weight_sweep, "cv_ensemble": cv_ensemble, "cv_scores": cv_scores, "cv_weights": cv_weights, "oof_tau": oof_tau,
     "final_score": final_score,
 })
 

@@ -1,15 +1,9 @@
-"""Session helpers.
-
-Library code never invents storage locations: the checkpoint folder is read
-from ``spark.checkpoint.dir`` (the shared folder a cluster names).  Only
-``get_session`` - used by tests, the bench and the driver entry - sets one,
-and only when it is unset.
-"""
+"""Sessions for tests, the bench and the tools (the library itself takes the
+session it is given and sets no cluster configuration)."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,17 +33,4 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark.sparkContext.setLogLevel("ERROR")
     # Settings that only matter for comparisons with other engines.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    checkpoint_dir(spark)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster checkpoint folder; set a scratch one only if unset
-    (local runs and tests)."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = tempfile.mkdtemp(prefix="vetta-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(cur)
-    return cur

@@ -88,6 +88,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
+def decimal_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment table whose gold has two decimals; a quarter of the suppliers
+    are one large source each, the other rows are grouped by order."""
+    li = table(spark, sf_dir, "lineitem")
+    own = F.col("l_suppkey") % 4 == 0
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"),
+        F.when(own, F.col("l_suppkey")).otherwise(F.lit(1_000_000) + F.col("l_orderkey")).alias("doc_id"),
+        (F.floor(F.col("l_extendedprice") / 10).cast("double") / 100).alias("score"),
+        (F.col("l_quantity") / 50 + F.lit(4.0) * F.col("l_tax")).alias("sig_a_score"),
+    )
+
+
 def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One error span per lineitem (severity, confidence) keyed by order."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_discount", "l_tax")
