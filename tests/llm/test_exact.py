@@ -148,11 +148,11 @@ def test_near_duplicates(docs, corpus):
     assert found(docs) == near(corpus)
 
 
-def test_near_duplicates_in_rounds(docs, corpus, monkeypatch):
-    """Every shingle is frequent, regions are joined in rounds of one pivot."""
+def test_near_duplicates_in_blocks(docs, corpus, monkeypatch):
+    """Every shingle is frequent, regions are joined in blocks of a few members."""
     monkeypatch.setattr(jaccard_join, "HEAVY", 1)
-    monkeypatch.setattr(jaccard_join, "LEAF", 2)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard_join, "GRID_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "GRID_OUTSIDE", 2)
     assert found(docs) == near(corpus)
 
 

@@ -12,13 +12,14 @@ region
 * by the triangle inequality a set at distance d from the pivot links only
   with sets whose distance lies in the window d - threshold to d + threshold;
   members outside the ball go on to the next round, and of the ball only
-  boundary sets in the window of the nearest such member go with them;
-* the pivot is done, and so is a region whose members are connected by now;
-* regions of at most ``LEAF`` members are joined exactly, in the window and
-  between components only.
-
-Rounds repeat until no region is left, so no link between different
-components is missed and no group emits all its pairs.  The rarity order comes
+  boundary sets in the window of the nearest such member go with them.
+
+In the next round the sets of all regions with one pivot form the region of
+that pivot.  A region whose members are connected by now is done; in the others
+the members outside the largest component are joined exactly with all members,
+in the window and between components only, in blocks of bounded size.  No link
+between different components is missed and no group emits all its pairs.
+The rarity order comes
 from a count sketch of fixed size over all documents (any order gives right
 results; a shingle's count is never underestimated, so a bucket of the
 shingle index holds at most ``HEAVY`` sets for each of its shingles, and more
@@ -30,7 +31,8 @@ Components come from the links by label shrinking.
 Defined cases: texts without words (null, empty, blank) have no shingles and
 are components of their own; texts with fewer words than a shingle have their
 whole sequence as the only one; equal rows join one component; rows with one
-id and different texts are judged by their texts; a null id never names a
+id and different texts are judged by their texts, but sets whose smallest ids
+are equal count as connected; a null id never names a
 component that has another; an empty table gives an empty result.
 """
 
@@ -56,9 +58,8 @@ PAGE_CELLS = 1 << 16            # sketch cells in one row
 HEAVY = 2000                    # counts from which a shingle skips the buckets
 SPREAD = 16                     # buckets that only pass such rows on
 BUCKET_BYTES = 8 << 20          # text for each bucket of the shingle index
-LEAF = 16                       # members of a region that is joined at once
-PIVOTS = 8                      # pivots of a region in later rounds
-SLICE_BYTES = 4 << 20
+GRID_MEMBERS, GRID_OUTSIDE = 4096, 1024     # members and members outside in a block
+SLICE_BYTES = 2 << 20
 
 
 class Sets:
@@ -222,6 +223,14 @@ def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, keys binary").dropDuplicates(["node"])
 
 
+def _views(col) -> list[np.ndarray]:
+    """Packed sets of a binary column, without a copy."""
+    _, off, data = col.buffers()
+    at = np.frombuffer(off, np.int32)[col.offset:col.offset + len(col) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [raw[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:])]
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, na, nb) of the pairs (a, b), exactly."""
     ends = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
@@ -230,9 +239,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column("ka").to_pylist(), batch.column("kb").to_pylist()
-            x = [np.frombuffer(k, np.uint64) for k in xs]
-            y = [np.frombuffer(k, np.uint64) for k in ys]
+            x, y = _views(batch.column("ka")), _views(batch.column("kb"))
             common = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()),
@@ -256,68 +263,91 @@ def _distance() -> Column:
     return 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """Each region's members, its largest component's label (``top``) and the
+    pairs of members between different components (``open``)."""
+    parts = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
+    n, squares = F.sum("c"), F.sum(F.col("c") * F.col("c"))
+    return parts.groupBy("region").agg(n.alias("size"), F.max_by("label", F.struct("c", "label")).alias("top"),
+                                       ((n * n - squares) / 2).cast("long").alias("open"))
+
+
+def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
+    """Links (a, b) of regions with many open pairs: members outside the largest
+    component and all members lie in blocks, and a task joins one block of each
+    through the shingles they hold, so no pair is emitted that does not link."""
+    def block(size: int, name: str) -> Column:
+        count = F.ceil(F.col("size") / size).cast("int")
+        return F.pmod(F.xxhash64("node", F.lit(name)), count).cast("int")
+
+    many, few = F.ceil(F.col("size") / GRID_MEMBERS).cast("int"), F.ceil(F.col("size") / GRID_OUTSIDE).cast("int")
+    cols = ["region", "node", "n", "d", "label", "top"]
+    members = big.select(*cols, block(GRID_MEMBERS, "member").alias("m"), F.explode(F.sequence(F.lit(0), few - 1)).alias("o"),
+                         F.lit(False).alias("asks"))
+    outside = big.where("label <> top").select(*cols, block(GRID_OUTSIDE, "outside").alias("o"),
+                                               F.explode(F.sequence(F.lit(0), many - 1)).alias("m"), F.lit(True).alias("asks"))
+    cells = members.unionByName(outside).join(sets, "node")
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        node, label, n = (cell.column(c).to_numpy() for c in ("node", "label", "n"))
+        d = cell.column("d").to_numpy().astype(float)
+        asks = cell.column("asks").to_numpy(zero_copy_only=False)
+        keys = _views(cell.column("keys").chunk(0) if cell.num_rows else pa.array([], pa.binary()))
+        member, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+        links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(member) and len(asking):
+            flat = np.concatenate([keys[i] for i in member])
+            owner = np.repeat(np.arange(len(member)), [len(keys[i]) for i in member])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in asking:
+                begin, end = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
+                count = end - begin
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - begin, count)
+                common = np.bincount(owner[at], minlength=len(member))
+                near = 100 * common >= PERCENT * (n[i] + n[member] - common)
+                near &= (label[member] != label[i]) & ~(np.abs(d[member] - d[i]) > reach)
+                # one member of each other component is enough
+                found = member[near]
+                found = found[np.unique(label[found], return_index=True)[1]]
+                links.append((np.full(len(found), node[i]), node[found]))
+        a, b = (np.concatenate(x) for x in zip(*links))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("region", "m", "o").applyInArrow(run, "a long, b long")
+
+
 def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
     """(a, b): links enough to connect what is linked in any region."""
     reach = 1 - PERCENT / 100 + 1e-9            # threshold, and room for rounding
-    regions = staged(regions.withColumn("d", F.lit(None).cast("double"))
-                     .withColumn("label", F.lit(None).cast("long")), "regions")
-    links, round_no = None, 0
-    while not regions.isEmpty():
-        # regions with few members are joined at once, but for the first round
-        # (most are one ball around their first pivot)
-        size = regions.groupBy("region").agg(F.count("*").alias("size"))
-        leaf = F.lit(round_no > 0) & (F.col("size") <= LEAF)
-        sized = staged(regions.join(size, "region"), "sized")
-        small, large = sized.where(leaf), sized.where(~leaf)
-        x = small.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"),
-                         F.col("label").alias("la"))
-        y = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"),
-                         F.col("label").alias("lb"))
-        inside = F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach, F.lit(True))
-        apart = ~F.col("la").eqNullSafe(F.col("lb")) | F.col("la").isNull()
-        pairs = x.join(y, "region").where((F.col("a") < F.col("b")) & inside & apart & _near_sizes("na", "nb"))
-
-        # pivots: the smallest node first, so regions of one group agree on it;
-        # later one member of the components that a seeded hash draws
-        if round_no == 0:
-            drawn = [F.min("node").alias("p0")]
-        else:
-            drawn = [F.min(F.struct(F.xxhash64(F.coalesce("label", "node"), F.lit(round_no), F.lit(j)).alias("h"),
-                                    F.col("node").alias("node")))["node"].alias(f"p{j}") for j in range(PIVOTS)]
-        pivots = (large.groupBy("region").agg(*drawn)
-                  .select("region", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(len(drawn))]))).alias("p")))
-        pivots = staged(pivots.join(large.select("region", F.col("node").alias("p"), F.col("n").alias("np"),
-                                                 F.col("d").alias("dp"), F.col("label").alias("lp")), ["region", "p"]), "pivots")
-        inside = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= reach, F.lit(True))
-        apart = ~F.col("label").eqNullSafe(F.col("lp")) | F.col("label").isNull()
-        asked = large.join(pivots, "region").where((F.col("node") != F.col("p")) & inside & apart & _near_sizes("n", "np"))
-        to_check = staged(asked.select(F.col("node").alias("a"), F.col("p").alias("b"))
-                          .union(pairs.select("a", "b")).distinct(), "pairs")
-        found = staged(distances(to_check, sets), "distances")
-        new = found.where(_linked()).select("a", "b")
-        links = staged(new if links is None else links.union(new), "links")
-        labels = components(names, links)
-
-        # what goes on: members that are no pivots; of a first pivot's ball only
-        # those in the window of the nearest member outside
-        rest = large.drop("label", "size").join(pivots.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
-        if round_no == 0:
-            far = found.select(F.col("a").alias("node"), F.col("b").alias("p"), _distance().alias("to_p"), _linked().alias("ball"))
-            rest = (rest.drop("d").join(pivots.select("region", "p"), "region").join(far, ["node", "p"], "left")
-                    # sizes too far apart for a link: the distance is beyond the threshold
-                    .select("region", "node", "n", F.coalesce("to_p", F.lit(None).cast("double")).alias("d"),
-                            F.coalesce("ball", F.lit(False)).alias("ball")))
-            nearest = rest.where(~F.col("ball")).groupBy("region").agg(F.min(F.coalesce("d", F.lit(reach))).alias("nearest"))
-            rest = (rest.join(staged(nearest, "nearest"), "region")
-                    .where(~F.col("ball") | (F.col("d") >= F.col("nearest") - reach)).drop("ball", "nearest"))
-        rest = staged(rest.join(labels, "node", "left"), "rest")
-        mixed = rest.groupBy("region").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
-                                           F.sum(F.col("label").isNull().cast("int")).alias("alone"))
-        unsettled = mixed.where((F.col("members") > 1) & ((F.col("alone") > 0) | (F.col("low") != F.col("high"))))
-        regions = staged(rest.join(staged(unsettled.select("region"), "unsettled"), "region", "left_semi")
-                         .select("region", "node", "n", "d", "label"), "regions")
-        round_no += 1
-    return links
+    regions = staged(regions.join(names.select("node", F.col("name").alias("label")), "node"), "regions")
+
+    # balls: the smallest node of each region is its pivot, so the regions of
+    # one group of copies agree on it and each distance is computed once
+    pivots = staged(regions.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p"))
+                    .select("region", F.col("p.node").alias("p"), F.col("p.n").alias("np")), "pivots")
+    asked = regions.join(pivots, "region").where(F.col("node") != F.col("p")).select("node", "n", "label", "p", "np")
+    asked = staged(asked.dropDuplicates(["node", "p"]), "asked")
+    pairs = asked.where(_near_sizes("n", "np")).select(F.col("node").alias("a"), F.col("p").alias("b"))
+    found = staged(distances(pairs, sets), "distances")
+    balls = staged(found.where(_linked()).select("a", "b"), "balls")
+    labels = components(names, balls).withColumnRenamed("label", "moved")
+
+    # what goes on meets again in the regions of its pivots, larger ones than
+    # those of single shingles: members outside the ball, and of the ball those
+    # in the window of the nearest member outside
+    far = found.select(F.col("a").alias("node"), F.col("b").alias("p"), _distance().alias("d"), _linked().alias("ball"))
+    rest = (asked.join(far, ["node", "p"], "left")
+            # no distance: the sizes are too far apart, it is beyond the threshold
+            .select(F.col("p").alias("region"), "node", "n", "d", "label", F.coalesce("ball", F.lit(False)).alias("ball")))
+    nearest = rest.where(~F.col("ball")).groupBy("region").agg(F.min(F.coalesce("d", F.lit(reach))).alias("nearest"))
+    rest = (rest.join(staged(nearest, "nearest"), "region")
+            .where(~F.col("ball") | (F.col("d") >= F.col("nearest") - reach)).drop("ball", "nearest"))
+    rest = staged(rest.join(labels, "node", "left")
+                  .select("region", "node", "n", "d", F.coalesce("moved", "label").alias("label")), "rest")
+    unsettled = staged(measured(rest).where("open > 0"), "unsettled")
+    return staged(balls.union(grid_links(rest.join(unsettled, "region"), sets, reach)), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,8 +362,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     regions = staged(merged(staged(meeting_places(packed, buckets), "places")), "regions")
     sets = staged(sets_of(docs, names, regions.select("node").distinct()), "keys")
     links = recursive_links(regions, sets, names)
-    found = members if links is None else members.join(components(names, links), "node", "left")
-    label = F.lit(None).cast("long") if links is None else F.col("label")
-    own = found.join(names, "node", "left")
-    return own.select("id", F.col("n").alias("n_shingles"), "node",
-                      F.coalesce(label, F.when(F.col("node").isNotNull(), F.col("name")), F.col("id")).alias("component_id"))
+    found = members.join(components(names, links), "node", "left").join(names, "node", "left")
+    return found.select("id", F.col("n").alias("n_shingles"), "node", F.coalesce("label", "name", "id").alias("component_id"))

@@ -79,8 +79,9 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
 
 def byte_slices(col, limit: int):
     """Runs of rows with about ``limit`` bytes of text, one row at least."""
-    _, offsets = text_buffer(col)
-    begin, n = 0, len(offsets) - 1
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    begin, n = 0, len(col)
     while begin < n:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
         yield begin, min(end, n)
