@@ -32,6 +32,11 @@ HEADLINE = [
     "weight_sweep",
     "preference_pairs",
     "pair_cap",
+    "pair_loss",
+    "spearman_props",
+    "cv_ensemble",
+    "ridge_stack",
+    "isotonic_oof",
 ]
 
 
