@@ -220,7 +220,7 @@ def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array(sets.node[same]), pa.array([sets.keys[sets.first[r]:sets.first[r + 1]].tobytes() for r in same],
                                                      pa.binary())], names=["node", "keys"])
 
-    return texts.mapInArrow(run, "node long, keys binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, keys binary")     # a repeated row's set may come twice, which does no harm
 
 
 def _views(col) -> list[np.ndarray]:
@@ -231,11 +231,17 @@ def _views(col) -> list[np.ndarray]:
     return [raw[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:])]
 
 
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of some nodes (few others): the rest stays out of the shuffle."""
+    wanted = staged(nodes.distinct(), "wanted")
+    bits = bloom.filter_bits(wanted.count())
+    return bloom.with_hit(sets, "node", bloom.pages(bloom.cell_rows(wanted, F.col("node"), bits)), bits).where("hit").drop("hit")
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, na, nb) of the pairs (a, b), exactly."""
-    ends = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-    bits = bloom.filter_bits(ends.count())
-    needed = bloom.with_hit(sets, "node", bloom.pages(bloom.cell_rows(ends, F.col("node"), bits)), bits).where("hit")
+    def side(c: str) -> DataFrame:
+        return only(sets, pairs.select(F.col(c).alias("node"))).select(F.col("node").alias(c), F.col("keys").alias(f"k{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +252,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                  pa.array([len(p) for p in x], pa.int64()), pa.array([len(q) for q in y], pa.int64())],
                 names=["a", "b", "common", "na", "nb"])
 
-    first = pairs.join(needed.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a")
-    full = first.join(needed.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b").select("a", "b", "ka", "kb")
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb")
     return full.mapInArrow(run, "a long, b long, common long, na long, nb long")
 
 
@@ -286,7 +291,7 @@ def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
                          F.lit(False).alias("asks"))
     outside = big.where("label <> top").select(*cols, block(GRID_OUTSIDE, "outside").alias("o"),
                                                F.explode(F.sequence(F.lit(0), many - 1)).alias("m"), F.lit(True).alias("asks"))
-    cells = members.unionByName(outside).join(sets, "node")
+    cells = members.unionByName(outside).join(only(sets, big.select("node")), "node")
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
@@ -347,7 +352,8 @@ def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> Da
     rest = staged(rest.join(labels, "node", "left")
                   .select("region", "node", "n", "d", F.coalesce("moved", "label").alias("label")), "rest")
     unsettled = staged(measured(rest).where("open > 0"), "unsettled")
-    return staged(balls.union(grid_links(rest.join(unsettled, "region"), sets, reach)), "links")
+    big = staged(rest.join(unsettled, "region"), "open")
+    return staged(balls.union(grid_links(big, sets, reach)), "links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
