@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vetta.llm.common import free_name
+from vetta.llm.words import byte_slices
 
 MARK = "▁"                 # the library's visible space
-TABLE_WORDS = 300_000           # marked words kept by a task
-SLICE_BYTES = 4 << 20           # text handled at once in a task
+TABLE_WORDS = 100_000           # marked words kept by a task
+SLICE_BYTES = 1 << 20           # text handled at once in a task
 ADDED = ("ids", "decoded")
 PROBE = " a  b　ﬁ é "    # text that normalisers change
 
@@ -113,18 +114,6 @@ class WholeTexts:
                 np.cumsum([0] + [len(ids) for ids in found]))
 
 
-def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` characters, one row at least."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode_decode(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``df`` plus ``ids`` (the library's ids of the text, without begin or end
     ids) and ``decoded`` (the library's text for those ids)."""
@@ -137,12 +126,11 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text") -> Dat
         sp = load(model)
         encoder = ChunkTable(sp) if splits_at_marks(sp) else WholeTexts(sp)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for begin, end in slices(texts):
-                ids, offsets = encoder.encode(texts[begin:end])
+            for begin, end in byte_slices(batch.column(text_col), SLICE_BYTES):
+                rows = batch.slice(begin, end - begin)
+                ids, offsets = encoder.encode([t or "" for t in rows.column(text_col).to_pylist()])
                 decoded = [sp.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(offsets[:-1], offsets[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                rows = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(decoded, pa.string())],
                                                  names=[*batch.schema.names, ids_name, decoded_name])
 

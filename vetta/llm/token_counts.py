@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vetta.llm.common import free_name
-from vetta.llm.pieces import MARK, load, model_bytes, slices, splits_at_marks
+from vetta.llm.pieces import MARK, SLICE_BYTES, load, model_bytes, splits_at_marks
+from vetta.llm.words import byte_slices
 
 HUGE_CHARS = 8192               # longer texts are encoded in chunks
 CHUNK_CHARS = 4096
@@ -101,14 +102,15 @@ def token_counts(df: DataFrame, model_path: str, text_col: str = "text", huge: i
         sp = load(model)
         resync = Resync(sp, chunk, overlap) if splits_at_marks(sp) else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            counts = np.zeros(len(texts), dtype=np.int64)
-            for begin, end in slices(texts):
-                short = [k for k in range(begin, end) if resync is None or len(texts[k]) <= huge]
-                counts[short] = [len(ids) for ids in sp.encode([texts[k] for k in short], num_threads=1)] if short else []
-                for k in range(begin, end):
-                    if resync is not None and len(texts[k]) > huge:
-                        counts[k] = resync.count(texts[k])
+            counts = np.zeros(batch.num_rows, dtype=np.int64)
+            for begin, end in byte_slices(batch.column(text_col), SLICE_BYTES):
+                texts = [t or "" for t in batch.column(text_col).slice(begin, end - begin).to_pylist()]
+                short = [k for k, t in enumerate(texts) if resync is None or len(t) <= huge]
+                own = counts[begin:end]
+                own[short] = [len(ids) for ids in sp.encode([texts[k] for k in short], num_threads=1)] if short else []
+                for k, t in enumerate(texts):
+                    if resync is not None and len(t) > huge:
+                        own[k] = resync.count(t)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -86,6 +86,7 @@ def byte_slices(col, limit: int):
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
         yield begin, min(end, n)
         begin = end
+    pa.default_memory_pool().release_unused()   # the worker may next run another operator
 
 
 def split_words(col, byte_map: np.ndarray | None = None) -> Words:
