@@ -2,8 +2,10 @@
 held-out labels; the pipeline against brute force."""
 
 import html
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +216,73 @@ def test_toxicity_probabilities_add_up():
     assert (toxicity.log_ratio(model, np.array([0x2061, 0x2062, 0x2063])) == 0).all()
 
 
+def plain_evidence(train, texts):
+    """Evidence by Python loops over the counts of all n-grams."""
+    def words(t):
+        return re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+
+    def grams(word):
+        b = b" " * 6 + word.encode() + b" "
+        return [b[i - 6:i + 1] for i in range(6, len(b))]
+
+    orders = {7: [Counter(), Counter()]}
+    for t, y in train:
+        for word, n in Counter(words(t)).items():
+            for g in grams(word):
+                orders[7][1 - y][g] += n
+    for n in range(6, 0, -1):
+        orders[n] = [Counter(), Counter()]
+        for low, high in zip(orders[n], orders[n + 1]):
+            for g, c in high.items():
+                low[g[1:]] += c if g[1:2] == b" " else 1
+    for n in (1, 2):
+        orders[n] = [orders[n][0] + orders[n][1]] * 2
+    contexts = {n: [defaultdict(list), defaultdict(list)] for n in orders}
+    for n, tables in orders.items():
+        for c in (0, 1):
+            for g, k in tables[c].items():
+                contexts[n][c][g[:-1]].append(k)
+
+    def value(word):
+        total = 0.0
+        for g in grams(word):
+            p = [1 / 256, 1 / 256]
+            for n in range(1, 8):
+                for c in (0, 1):
+                    seen = contexts[n][c].get(g[-n:-1] if n > 1 else b"", [])
+                    if seen:
+                        p[c] = (max(orders[n][c][g[-n:]] - 0.75, 0) + 0.75 * len(seen) * p[c]) / sum(seen)
+            total += math.log(p[0] / p[1])
+        return max(total - 3, 0)
+
+    known = {w: value(w) for w in {w for t in texts for w in words(t)}}
+    return [sum(known[w] for w in words(t)) / max(1, len(words(t))) for t in texts]
+
+
+@pytest.mark.parametrize("frequent, block", [(1 << 16, 1 << 16), (3, 64)])
+def test_toxicity_keeps_rare_counts(spark, words, monkeypatch, frequent, block):
+    """A toxic word seen once among millions of n-grams of either class counts,
+    and words outside the broadcast table do too."""
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (f" zw{i}ick blarg" if i % 3 == 0 else ""), int(i % 3 == 0))
+            for i in range(90)]
+    rows += [(100 + i, "common words here " * 80_000, i % 2) for i in range(8)]
+    rows += [(i, "Qwertzuiop! " + rows[i % 7][1], 1) for i in range(200, 203)]
+    rows += [(300, "one qwertzuiop", 0), (300, "one qwertzuiop", 0), (None, "one qwertzuiop more", 0), (302, "ordinary", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i is not None and i < 300], "doc_id long, toxic int")
+    counted = {r.doc_id for r in docs.where("crc32(cast(doc_id as string)) % 3 <> 1 and xxhash64(doc_id, 'calibrate') % 6 <> 0").collect()}
+    train = [(t, y) for i, t, y in rows if i in counted and i < 300]
+    assert all(sum(len(t) for t, y in train if y == c) > 2_000_000 for c in (0, 1))
+    want = plain_evidence(train, [r[1] for r in rows])
+    assert want[-3] > 0
+    got = sorted((r.doc_id or -1, r.text, r.evidence) for r in toxicity.toxicity_scores(docs, labels).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted((r[0] or -1, r[1]) for r in rows)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted((r[0] or -1, r[1], e) for r, e in zip(rows, want))], atol=1e-6)
+
+
 def test_isotonic():
     n, good = np.array([4.0, 2.0, 2.0, 4.0]), np.array([0.0, 2.0, 1.0, 4.0])
     assert quality.isotonic(n, good).tolist() == [0.0, 0.75, 0.75, 1.0]

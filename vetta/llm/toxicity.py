@@ -12,14 +12,19 @@ evidence's logarithm gives a score from 0 to 1; it is fitted on labelled
 documents that gave no counts.
 
 All labelled documents outside the held-out fold take part, none is sampled;
-counting is a Spark aggregation that grows with them.  Scoring needs no
-shuffle: tasks get the n-grams and contexts whose share of a class reaches
-``SHARE``.  Shares of a class add up to one, so each table has at most
-2 / SHARE rows at any input size; rarer n-grams use the lower orders.
+counting is a Spark aggregation that grows with them, and every count stays, in
+Spark tables (only the shared orders, 65,792 n-grams at most, are broadcast).
+Each different word of the corpus is scored once: words lie in blocks of
+bounded size, and a block meets the counts of its words' n-grams by a join.
+Words beyond the margin give evidence, others none.  Of the former the
+``FREQUENT`` in most slices of text are broadcast and need no shuffle; the
+occurrences of the others, found by a Bloom filter, are joined with their
+values.
 
 Words are runs of ASCII letters and digits and of bytes of other scripts, A-Z
-lowered; a word begins and ends with spaces.  A task scores each different
-word of a slice once.
+lowered; a word begins and ends with spaces.  Words are compared by 64-bit
+hashes, and their values are whole multiples of 1 / ``UNIT``, so sums do not
+depend on the order of rows.
 
 Defined cases: a null text counts as empty, and a text without words has no
 evidence (0); equal texts get equal scores; without labels of both classes
@@ -38,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vetta.llm import bloom
 from vetta.llm import words as W
 from vetta.llm.common import free_name, staged
 from vetta.llm.labels import train_texts
@@ -45,7 +51,9 @@ from vetta.llm.labels import train_texts
 ADDED = ("evidence", "score")
 ORDER = 7                       # bytes of an n-gram; at most 7 fit a signed long
 SHARED = 2                      # orders up to this one count both classes together
-SHARE = 1e-6                    # a known n-gram's least share of the n-grams of a class
+BLOCK_BYTES = 64 << 10          # different words whose n-grams meet their counts in one task
+FREQUENT = 1 << 16              # words whose values are broadcast
+UNIT = 1 << 24                  # values of words are multiples of 1 / UNIT
 MARGIN = 3.0                    # log-likelihood ratio a word must exceed to count
 FLOOR = 1e-3                    # added to the evidence before its logarithm
 DISCOUNT = 0.75                 # absolute discount of every order
@@ -54,6 +62,7 @@ BINS = 4000                     # histogram of log evidence for the calibration
 SLICE_BYTES = 4 << 20
 SPACE = 0x20
 CLASSES = ("t", "o")            # toxic and ordinary
+COUNTS = ("t", "o", "kt", "ko")
 
 
 def grams(w: W.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,39 +121,48 @@ def lower_order(table: DataFrame, order: int) -> DataFrame:
     return table.groupBy(key.alias("key")).agg(*[counted(c) for c in CLASSES])
 
 
-def order_tables(table: DataFrame, shared: bool) -> dict:
-    """Known n-grams and contexts of one order as arrays sorted by key."""
-    if shared:
-        table = table.select("key", (F.col("t") + F.col("o")).alias("t"), F.lit(0).cast("long").alias("o"))
-    total = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]).first()
-
-    def kept(df: DataFrame) -> DataFrame:       # at most 2 / SHARE rows
-        big = [(F.col(c) >= SHARE * total[c]) & (F.col(c) > 0) for c in CLASSES]
-        return df.where(big[0] | big[1])
-
-    contexts = table.groupBy(F.shiftrightunsigned("key", 8).alias("key")).agg(
+def contexts_of(table: DataFrame) -> DataFrame:
+    """Occurrences and different n-grams of each context (the bytes before the
+    last) in each class."""
+    return table.groupBy(F.shiftrightunsigned("key", 8).alias("key")).agg(
         *[F.sum(c).alias(c) for c in CLASSES],
         *[F.sum((F.col(c) > 0).cast("long")).alias("k" + c) for c in CLASSES])
-    out = {}
-    for name, df in (("grams", kept(table)), ("contexts", kept(contexts))):
-        frame = df.toPandas().sort_values("key")
-        out[name] = {c: frame[c].to_numpy(np.int64 if c == "key" else np.float32) for c in frame.columns}
-    return out
 
 
-def train_model(train: DataFrame) -> dict:
-    """Tables of all orders from (id, text, y) rows; empty without rows of both
-    classes."""
+def _arrays(frame) -> dict:
+    """Columns sorted by key."""
+    frame = frame.sort_values("key")
+    return {c: frame[c].to_numpy(np.int64 if c == "key" else np.float64) for c in ("key", *COUNTS)}
+
+
+def _of_order(grams, contexts) -> dict:
+    return {"grams": _arrays(grams), "contexts": _arrays(contexts)}
+
+
+def train_model(train: DataFrame) -> tuple[dict, DataFrame] | None:
+    """From (id, text, y) rows the shared orders as arrays, and all n-grams and
+    contexts of the others as rows (place, key, counts); None without rows of
+    both classes."""
     table = staged(count_grams(train), "toxicity-grams")
     total = table.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     if not total.t or not total.o:
-        return {}
-    model = {}
+        return None
+    low, high = {}, []
     for order in range(ORDER, 0, -1):
         if order < ORDER:
             table = staged(lower_order(table, order), f"toxicity-{order}-grams")
-        model[order] = order_tables(table, order <= SHARED)
-    return model
+        zero = F.lit(0).cast("long")
+        if order <= SHARED:
+            both = table.select("key", (F.col("t") + F.col("o")).alias("t"), zero.alias("o"))
+            low[order] = _of_order(both.select("*", zero.alias("kt"), zero.alias("ko")).toPandas(), contexts_of(both).toPandas())
+        else:
+            grams_ = table.select("key", *CLASSES, zero.alias("kt"), zero.alias("ko"))
+            high += [df.select(F.lit(place).alias("place"), "key", *COUNTS)
+                     for place, df in ((2 * order, grams_), (2 * order + 1, contexts_of(table)))]
+    rows = high[0]
+    for df in high[1:]:
+        rows = rows.unionByName(df)
+    return low, staged(rows, "toxicity-counts")
 
 
 def _find(table: dict, keys: np.ndarray, cols: tuple) -> list[np.ndarray]:
@@ -163,7 +181,7 @@ def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
     for order in range(1, ORDER + 1):
         gram = keys & ((1 << (8 * order)) - 1)
         found = _find(model[order]["grams"], gram, CLASSES)
-        sums = _find(model[order]["contexts"], gram >> 8, ("t", "o", "kt", "ko"))
+        sums = _find(model[order]["contexts"], gram >> 8, COUNTS)
         for i, c in enumerate(CLASSES):
             j = 0 if order <= SHARED else i
             total = np.maximum(sums[j], 1)
@@ -172,31 +190,141 @@ def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
     return np.log(likely["t"] / likely["o"])
 
 
-def evidence_of(model: dict, col) -> np.ndarray:
-    """Evidence of each text: what its words' log-likelihood ratios have beyond
-    the margin, for each of its words."""
-    w, which, like = _split(col)
-    if not model or not len(which):
-        return np.zeros(len(col))
-    keys, word = grams(w, which)
-    found, at = np.unique(keys, return_inverse=True)
-    ratio = np.bincount(word, weights=log_ratio(model, found)[at], minlength=len(which))
-    value = np.maximum(ratio - MARGIN, 0)
-    return np.bincount(w.row, weights=value[like], minlength=len(col)) / np.maximum(w.n_words, 1)
-
-
-def with_evidence(df: DataFrame, model: dict, text_col: str = "text", name: str = "evidence") -> DataFrame:
-    """``df`` plus the evidence of each text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)      # bounded by SHARE
+def different_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, slices, block): each different word and in how many slices it is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in W.byte_slices(batch.column("text"), SLICE_BYTES):
+                w, which, _ = _split(batch.column("text").slice(begin, end - begin))
+                start, size = w.start[which], w.end[which] - w.start[which]
+                stop = np.cumsum(size)
+                at = np.arange(int(size.sum())) - np.repeat(stop - size - start, size)
+                offsets = np.concatenate(([0], stop)).astype(np.int32)
+                found = pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(w.data[at]))
+                yield pa.RecordBatch.from_arrays([found], names=["word"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string")
+    words = staged(found.groupBy("word").agg(F.count("*").alias("slices")), "toxicity-words")
+    size = words.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
+    return words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(size // BLOCK_BYTES + 1)))
+
+
+def word_values(docs: DataFrame, model: tuple[dict, DataFrame], text_col: str = "text") -> DataFrame:
+    """(word, value, slices) of the words beyond the margin: the hash, and by
+    how much in multiples of 1 / UNIT."""
+    low, counts = model
+    shared = docs.sparkSession.sparkContext.broadcast(low)      # at most 65,792 n-grams
+    words = different_words(docs, text_col)
+
+    def ask(part: pa.Table) -> pa.Table:
+        w = W.split_words(part.column("word"), W.PLAIN)
+        keys = np.unique(grams(w, np.arange(len(w.start)))[0])
+        places, asked = [], []
+        for order in range(SHARED + 1, ORDER + 1):
+            gram = np.unique(keys & ((1 << (8 * order)) - 1))
+            for place, found in ((2 * order, gram), (2 * order + 1, np.unique(gram >> 8))):
+                places.append(np.full(len(found), place, np.int32))
+                asked.append(found)
+        places, asked = np.concatenate(places), np.concatenate(asked)
+        return pa.table({"block": pa.array(np.full(len(asked), part.column("block")[0].as_py(), np.int64)),
+                         "place": pa.array(places), "key": pa.array(asked)})
+
+    def value(part: pa.Table, known: pa.Table) -> pa.Table:
+        w = W.split_words(part.column("word"), W.PLAIN)
+        keys, word = grams(w, np.arange(len(w.start)))
+        found, at = np.unique(keys, return_inverse=True)
+        frame, own = known.to_pandas(), dict(shared.value)
+        for order in range(SHARED + 1, ORDER + 1):
+            own[order] = _of_order(*(frame[frame.place == p] for p in (2 * order, 2 * order + 1)))
+        ratio = np.bincount(word, weights=log_ratio(own, found)[at], minlength=len(w.start))
+        units = np.rint(np.maximum(ratio - MARGIN, 0) * UNIT).astype(np.int64)
+        big = np.flatnonzero(units)
+        return pa.table({"word": pa.array(W.signed(W.word_hashes(w)[big])), "value": pa.array(units[big]),
+                         "slices": part.column("slices").take(pa.array(big))})
+
+    asked = words.groupBy("block").applyInArrow(ask, "block long, place int, key long")
+    known = asked.join(counts, ["place", "key"]).select("block", "place", "key", *COUNTS)
+    found = words.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(value, "word long, value long, slices long")
+    return staged(found, "toxicity-values")
+
+
+class Values:
+    """Values of words: arrays of the most frequent ones, and for the ``rest`` a
+    table with a Bloom filter of its words."""
+
+    def __init__(self, values: DataFrame):
+        top = values.orderBy(F.desc("slices"), "word").limit(FREQUENT).toPandas().sort_values("word")
+        self.frequent = top["word"].to_numpy(np.int64), top["value"].to_numpy(np.int64)
+        self.rest = None
+        if len(top) == FREQUENT and values.count() > FREQUENT:
+            known = values.sparkSession.createDataFrame(top[["word"]], "word long")
+            self.rest = staged(values.join(F.broadcast(known), "word", "left_anti").select("word", "value"), "toxicity-rest")
+            bits = bloom.filter_bits(self.rest.count())
+            self.bitmaps, self.bits = staged(bloom.pages(bloom.cell_rows(self.rest, F.col("word"), bits)), "toxicity-bloom"), bits
+
+    def extra(self, df: DataFrame, key: Column, text_col: str) -> DataFrame:
+        """(row_key, extra): what the words of the ``rest`` add to each row."""
+        frequent = df.sparkSession.sparkContext.broadcast(self.frequent[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin, end in W.byte_slices(batch.column("text"), SLICE_BYTES):
+                    part = batch.slice(begin, end - begin)
+                    w = W.split_words(part.column("text"), W.PLAIN)
+                    word = W.signed(W.word_hashes(w))
+                    new = ~np.isin(word, frequent.value)
+                    word, row = word[new], w.row[new]
+                    order = np.lexsort((word, row))
+                    word, row = word[order], row[order]
+                    first = np.ones(len(word), bool)
+                    first[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+                    first = np.flatnonzero(first)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("row_key").take(pa.array(row[first])), pa.array(word[first]),
+                         pa.array(np.diff(np.append(first, len(word))).astype(np.int64))], names=["row_key", "word", "n"])
+
+        pairs = df.select(key.alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, "row_key long, word long, n long")
+        hits = bloom.with_hit(pairs, "word", self.bitmaps, self.bits).where("hit").drop("hit").join(self.rest, "word")
+        # equal rows have one key: each of their words counts once
+        return (hits.repartition("row_key").groupBy("row_key", "word").agg(F.max(F.col("n") * F.col("value")).alias("v"))
+                .groupBy("row_key").agg(F.sum("v").alias("extra")))
+
+
+def with_evidence(df: DataFrame, values: Values | None, id_col: str = "id", text_col: str = "text",
+                  name: str = "evidence") -> DataFrame:
+    """``df`` plus the evidence of each text: what its words' log-likelihood
+    ratios have beyond the margin, for each of its words."""
+    if values is None:
+        return df.withColumn(name, F.lit(0.0))
+    shared = df.sparkSession.sparkContext.broadcast(values.frequent)    # at most FREQUENT words
+    sums, n_words, key = (free_name(df, c) for c in ("units", "n_words", "row_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value = shared.value
         for batch in batches:
             for begin, end in W.byte_slices(batch.column(text_col), SLICE_BYTES):
                 part = batch.slice(begin, end - begin)
-                found = pa.array(evidence_of(shared.value, part.column(text_col)))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType())]))
+                w = W.split_words(part.column(text_col), W.PLAIN)
+                word = W.signed(W.word_hashes(w))
+                total = np.zeros(part.num_rows, np.int64)
+                if len(known) and len(word):
+                    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                    hit = np.flatnonzero(known[at] == word)
+                    np.add.at(total, w.row[hit], value[at[hit]])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total), pa.array(w.n_words.astype(np.int64))],
+                                                 names=[*batch.schema.names, sums, n_words])
+
+    fields = [T.StructField(c, T.LongType()) for c in (sums, n_words)]
+    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
+    wide = df if values.rest is None else df.withColumn(key, row_key)
+    rows = wide.mapInArrow(run, T.StructType(wide.schema.fields + fields))
+    units = F.col(sums)
+    if values.rest is not None:
+        extra = staged(values.extra(df, row_key, text_col), "toxicity-extra")
+        added = free_name(rows, "extra")
+        rows = rows.join(extra.select(F.col("row_key").alias(key), F.col("extra").alias(added)), key, "left")
+        units = units + F.coalesce(added, F.lit(0))
+    return rows.select(*df.columns, (units / (F.greatest(F.col(n_words), F.lit(1)) * UNIT)).alias(name))
 
 
 def logistic(x: np.ndarray, n: np.ndarray, hits: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -246,7 +374,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id
     train = staged(train_texts(docs, labels, label, id_col, text_col), "toxicity-train")
     only_calibrates = F.xxhash64("id", F.lit("calibrate")) % CALIBRATE == 0
     model = train_model(train.where(~only_calibrates))
-    slope, offset = calibrate(with_evidence(train.where(only_calibrates), model)) if model else (0.0, 0.0)
+    values = Values(word_values(docs, model, text_col)) if model else None
+    slope, offset = calibrate(with_evidence(train.where(only_calibrates), values)) if model else (0.0, 0.0)
     evidence, score = (free_name(docs, c) for c in ADDED)
     z = log_evidence(evidence) * F.lit(float(slope)) + F.lit(float(offset))
-    return with_evidence(docs, model, text_col, evidence).withColumn(score, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    return with_evidence(docs, values, id_col, text_col, evidence).withColumn(score, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
