@@ -15,7 +15,8 @@ All labelled documents outside the held-out fold take part, none is sampled;
 counting is a Spark aggregation that grows with them, and every count stays, in
 Spark tables (only the shared orders, 65,792 n-grams at most, are broadcast).
 Each different word of the corpus is scored once: words lie in blocks of
-bounded size, and a block meets the counts of its words' n-grams by a join.
+bounded size, and a block meets the counts of its words' n-grams by a join (a
+Bloom filter keeps most n-grams without counts out of its shuffle).
 Words beyond the margin give evidence, others none.  Of the former the
 ``FREQUENT`` in most slices of text are broadcast and need no shuffle; the
 occurrences of the others, found by a Bloom filter, are joined with their
@@ -51,7 +52,7 @@ from vetta.llm.labels import train_texts
 ADDED = ("evidence", "score")
 ORDER = 7                       # bytes of an n-gram; at most 7 fit a signed long
 SHARED = 2                      # orders up to this one count both classes together
-BLOCK_BYTES = 64 << 10          # different words whose n-grams meet their counts in one task
+BLOCK_BYTES = 256 << 10         # different words whose n-grams meet their counts in one task
 FREQUENT = 1 << 16              # words whose values are broadcast
 UNIT = 1 << 24                  # values of words are multiples of 1 / UNIT
 MARGIN = 3.0                    # log-likelihood ratio a word must exceed to count
@@ -139,10 +140,15 @@ def _of_order(grams, contexts) -> dict:
     return {"grams": _arrays(grams), "contexts": _arrays(contexts)}
 
 
+def placed(key, place: int):
+    """A key with its table (twice the order, one more for contexts) in the top byte."""
+    return key + (place << 56)
+
+
 def train_model(train: DataFrame) -> tuple[dict, DataFrame] | None:
     """From (id, text, y) rows the shared orders as arrays, and all n-grams and
-    contexts of the others as rows (place, key, counts); None without rows of
-    both classes."""
+    contexts of the others as rows (key, counts), see ``placed``; None without
+    rows of both classes."""
     table = staged(count_grams(train), "toxicity-grams")
     total = table.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     if not total.t or not total.o:
@@ -157,12 +163,12 @@ def train_model(train: DataFrame) -> tuple[dict, DataFrame] | None:
             low[order] = _of_order(both.select("*", zero.alias("kt"), zero.alias("ko")).toPandas(), contexts_of(both).toPandas())
         else:
             grams_ = table.select("key", *CLASSES, zero.alias("kt"), zero.alias("ko"))
-            high += [df.select(F.lit(place).alias("place"), "key", *COUNTS)
-                     for place, df in ((2 * order, grams_), (2 * order + 1, contexts_of(table)))]
+            contexts = staged(contexts_of(table), f"toxicity-{order}-contexts")
+            high += [df.withColumn("key", placed(F.col("key"), place)) for place, df in ((2 * order, grams_), (2 * order + 1, contexts))]
     rows = high[0]
     for df in high[1:]:
         rows = rows.unionByName(df)
-    return low, staged(rows, "toxicity-counts")
+    return low, rows
 
 
 def _find(table: dict, keys: np.ndarray, cols: tuple) -> list[np.ndarray]:
@@ -190,6 +196,33 @@ def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
     return np.log(likely["t"] / likely["o"])
 
 
+def _cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(W.splitmix(keys.view(np.uint64) ^ np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.int64) for seed in (0, 0x9E3779B97F4A7C15)]
+
+
+def key_filter(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """Bytes of a Bloom filter of the keys (at most 32 MB), and its bits."""
+    bits = bloom.filter_bits(counts.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.unique(np.concatenate(_cells(batch.column("key").to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
+
+    out = np.zeros(((1 << bits) // bloom.PAGE_CELLS, bloom.PAGE_CELLS // 8), np.uint8)
+    for row in bloom.pages(counts.select("key").mapInArrow(run, "cell long")).toLocalIterator():
+        out[row.page] = np.frombuffer(row.bitmap, np.uint8)
+    return out.ravel(), bits
+
+
+def may_have(found: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
+    """Whether a key filter lets each key through."""
+    hit = np.ones(len(keys), bool)
+    for cell in _cells(keys, found[1]):
+        hit &= (found[0][cell >> 3] >> (cell & 7) & 1).astype(bool)
+    return hit
+
+
 def different_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, slices, block): each different word and in how many slices it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +239,7 @@ def different_words(docs: DataFrame, text_col: str) -> DataFrame:
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string")
     words = staged(found.groupBy("word").agg(F.count("*").alias("slices")), "toxicity-words")
     size = words.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
-    return words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(size // BLOCK_BYTES + 1)))
+    return words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(size // BLOCK_BYTES + 1)).cast("int"))
 
 
 def word_values(docs: DataFrame, model: tuple[dict, DataFrame], text_col: str = "text") -> DataFrame:
@@ -214,36 +247,37 @@ def word_values(docs: DataFrame, model: tuple[dict, DataFrame], text_col: str =
     how much in multiples of 1 / UNIT."""
     low, counts = model
     shared = docs.sparkSession.sparkContext.broadcast(low)      # at most 65,792 n-grams
+    known_keys = docs.sparkSession.sparkContext.broadcast(key_filter(counts))
     words = different_words(docs, text_col)
 
     def ask(part: pa.Table) -> pa.Table:
         w = W.split_words(part.column("word"), W.PLAIN)
         keys = np.unique(grams(w, np.arange(len(w.start)))[0])
-        places, asked = [], []
+        asked = []
         for order in range(SHARED + 1, ORDER + 1):
             gram = np.unique(keys & ((1 << (8 * order)) - 1))
-            for place, found in ((2 * order, gram), (2 * order + 1, np.unique(gram >> 8))):
-                places.append(np.full(len(found), place, np.int32))
-                asked.append(found)
-        places, asked = np.concatenate(places), np.concatenate(asked)
-        return pa.table({"block": pa.array(np.full(len(asked), part.column("block")[0].as_py(), np.int64)),
-                         "place": pa.array(places), "key": pa.array(asked)})
+            asked += [placed(gram, 2 * order), placed(np.unique(gram >> 8), 2 * order + 1)]
+        asked = np.concatenate(asked)
+        asked = asked[may_have(known_keys.value, asked)]
+        return pa.table({"block": pa.array(np.full(len(asked), part.column("block")[0].as_py(), np.int32)), "key": pa.array(asked)})
 
     def value(part: pa.Table, known: pa.Table) -> pa.Table:
         w = W.split_words(part.column("word"), W.PLAIN)
         keys, word = grams(w, np.arange(len(w.start)))
         found, at = np.unique(keys, return_inverse=True)
         frame, own = known.to_pandas(), dict(shared.value)
+        place = frame["key"].to_numpy(np.int64) >> 56
+        frame["key"] = frame["key"].to_numpy(np.int64) & ((1 << 56) - 1)
         for order in range(SHARED + 1, ORDER + 1):
-            own[order] = _of_order(*(frame[frame.place == p] for p in (2 * order, 2 * order + 1)))
+            own[order] = _of_order(*(frame[place == p] for p in (2 * order, 2 * order + 1)))
         ratio = np.bincount(word, weights=log_ratio(own, found)[at], minlength=len(w.start))
         units = np.rint(np.maximum(ratio - MARGIN, 0) * UNIT).astype(np.int64)
         big = np.flatnonzero(units)
         return pa.table({"word": pa.array(W.signed(W.word_hashes(w)[big])), "value": pa.array(units[big]),
                          "slices": part.column("slices").take(pa.array(big))})
 
-    asked = words.groupBy("block").applyInArrow(ask, "block long, place int, key long")
-    known = asked.join(counts, ["place", "key"]).select("block", "place", "key", *COUNTS)
+    asked = words.groupBy("block").applyInArrow(ask, "block int, key long")
+    known = asked.join(counts, "key").select("block", "key", *COUNTS)
     found = words.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(value, "word long, value long, slices long")
     return staged(found, "toxicity-values")
 
