@@ -132,6 +132,31 @@ def test_main_text_of_pages(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+LONG = "".join(f"<p>Paragraph {i} of the long body says one thing after another and links to nothing.</p>" for i in range(12))
+SHORT = "<p>A shorter part of the text, with a sentence of its own.</p>"
+
+
+def long_text():
+    return re.sub("</p>", "\n", LONG).replace("<p>", "").strip()
+
+
+def test_main_text_beside_a_card():
+    """A short named card does not stand for the long body beside it."""
+    for card in ("<article><h3>Card</h3><p>Read more</p></article>", "<div role=article>Card</div>"):
+        got = main_text.main_text(f"<body><div><h1>Head</h1>{LONG}</div><div>{card}</div></body>")
+        assert long_text() in got
+
+
+def test_main_text_of_several_articles():
+    parts = [f"<article><h2>Part {i}</h2>{LONG if i == 1 else SHORT}</article>" for i in range(3)]
+    for page in (f"<div>{''.join(parts)}</div>", f"<main>{''.join(parts)}</main>"):
+        got = main_text.main_text(f"<body>{page}<div><a href=1>One</a> <a href=2>Two</a></div></body>")
+        assert long_text() in got and got.count("A shorter part") == 2 and "Two" not in got
+        assert [x for x in got.split("\n") if x.startswith("Part ")] == ["Part 0", "Part 1", "Part 2"]
+    links = "<div>" + "".join(f"<a href={i}>Other page {i}</a> " for i in range(9)) + "</div>"
+    assert main_text.main_text(f"<main>{LONG}{links}</main>") == long_text()
+
+
 # ---- learned scores
 
 @pytest.fixture(scope="module")

@@ -5,11 +5,13 @@ the share of link characters and link tags (the composite text density
 measure); a node's density sum adds the densities of its children.  The node
 with the largest sum is the densest subtree, and the smallest density on its
 path up to the body is the threshold: below a node that reaches it, the
-subtree with the largest sum is content.  Markup that names itself as menu,
-header, footer, sidebar, notice, advert, form, comment, script or style is
-taken out first, and where the page names its article (``article``, ``main``,
-``role=main``, ``itemprop=articleBody``) the article's own node stands for the
-page body.
+subtree with the largest sum is content.  Where the densest subtree lies in a
+node that the page names as its article (``article``, ``main``, ``role=main``,
+``itemprop=articleBody``), all nodes so named stand for the page body: of each
+the subtrees go that are below the threshold and mostly links.
+
+Markup that names itself as menu, header, footer, sidebar, notice, advert, form,
+comment, script or style is taken out first.
 
 One page is one row: nothing is shuffled, and a task holds one Arrow batch.
 
@@ -165,6 +167,7 @@ def ordered(root: Node) -> list[Node]:
 def measure(nodes: list[Node]) -> None:
     """Characters, tags and link parts of every node, then densities."""
     for node in reversed(nodes):                # children first
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for x in node.items:
             if isinstance(x, str):
                 node.chars += len(x) if not x.isspace() else 0
@@ -194,18 +197,34 @@ def densest(node: Node) -> Node:
     return max(ordered(node), key=lambda n: n.total)    # the first of equals: the outer one
 
 
+def mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars > node.chars
+
+
+def best_of(nodes: list[Node]) -> tuple[Node, float]:
+    """The densest subtree, and the smallest density on its path to the body."""
+    best = node = max(nodes, key=lambda n: n.total)
+    threshold = best.density
+    while node is not None:
+        threshold = min(threshold, node.density)
+        node = node.up
+    return best, threshold
+
+
 def content_nodes(root: Node) -> list[Node]:
     """Subtrees that hold the main text."""
     nodes = ordered(root)
     measure(nodes)
-    named = [n for n in nodes if n.article and n.chars]
-    if named:
-        return [max(named, key=lambda n: n.chars)]
-    best = max(nodes, key=lambda n: n.total)
-    threshold, node = best.density, best
-    while node is not None:
-        threshold = min(threshold, node.density)
+    best, threshold = best_of(nodes)
+    node = best
+    while node is not None and not node.article:
         node = node.up
+    if node is not None:                        # the named nodes are the body
+        named = [n for n in nodes if n.article and n.chars]
+        for body in named:
+            for n in ordered(body)[1:]:
+                n.boiler |= n.tag in BLOCK and n.density < threshold and mostly_links(n)
+        return named
     marked, todo = [], [root]
     while todo:
         node = todo.pop()
