@@ -157,6 +157,19 @@ def test_main_text_of_several_articles():
     assert main_text.main_text(f"<main>{LONG}{links}</main>") == long_text()
 
 
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><h1>Head</h1>{LONG}</div>",
+    f"<div id='content' class='no-header'><article><h1>Head</h1>{LONG}</article></div>",
+    f"<div class='sidebar'><main><h1>Head</h1>{LONG}</main></div>",
+    f"<div class='widget'><h1>Head</h1>{LONG}</div><div class='menu'><a href=1>One</a></div>",
+    f"<article><div class='article-header'><h1>Head</h1></div>{LONG}</article><div class='site-footer'><a href=1>One</a></div>",
+    f"<main><h1>Head</h1><section class='related-work'>{LONG}</section><div class='post-share'><a href=1>One</a></div></main>",
+])
+def test_main_text_of_wrappers(page):
+    """Class words of a wrapper or heading do not take the article out."""
+    assert main_text.main_text(f"<body>{page}</body>") == "Head\n" + long_text()
+
+
 # ---- learned scores
 
 @pytest.fixture(scope="module")

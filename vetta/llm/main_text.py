@@ -10,8 +10,12 @@ node that the page names as its article (``article``, ``main``, ``role=main``,
 ``itemprop=articleBody``), all nodes so named stand for the page body: of each
 the subtrees go that are below the threshold and mostly links.
 
-Markup that names itself as menu, header, footer, sidebar, notice, advert, form,
-comment, script or style is taken out first.
+Elements and roles of menus, headers, footers, sidebars, notices, forms,
+scripts and styles are taken out first, and so are nodes with such a word as a
+whole class or id, unless they hold a named article or nearly all text.  A
+class or id that only has such a word in it (``has-sidebar``) takes its node out
+where the text is mostly links, or below the threshold and without a heading,
+and holds no named article.
 
 One page is one row: nothing is shuffled, and a task holds one Arrow batch.
 
@@ -57,18 +61,20 @@ BOILER_WORDS = frozenset("""ad ads advert adverts advertisement advertising spon
     newsletter subscribe subscription signup login share sharing social related recommended pagination pager
     toolbar skip""".split())
 
+HEADING = re.compile("h[1-6]")
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "boiler", "article", "chars", "tags", "link_chars", "link_tags",
+    __slots__ = ("tag", "up", "items", "boiler", "word", "article", "chars", "tags", "link_chars", "link_tags",
                  "density", "total")
 
     def __init__(self, tag: str, up: "Node | None"):
         self.tag, self.up, self.items = tag, up, []
         self.boiler = self.article = False
+        self.word = 0               # a class or id that has (1) or is (2) a boilerplate word
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -90,7 +96,10 @@ def describe(node: Node, attributes: str) -> None:
         elif name == "hidden" or name == "aria-hidden":
             node.boiler |= name == "hidden" and value in ("", "hidden") or value == "true"
         elif node.tag not in ("html", "body", "article", "main"):
-            node.boiler |= not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+            for own in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", own) if x]
+                if not BOILER_WORDS.isdisjoint(parts):
+                    node.word = max(node.word, 2 if BOILER_WORDS.issuperset(parts) else 1)
     if node.boiler:
         node.article = False
 
@@ -211,10 +220,37 @@ def best_of(nodes: list[Node]) -> tuple[Node, float]:
     return best, threshold
 
 
-def content_nodes(root: Node) -> list[Node]:
-    """Subtrees that hold the main text."""
+def drop_by_words(root: Node) -> list[Node]:
+    """Take out the nodes whose class or id speaks of boilerplate and whose
+    text bears it out; the measured nodes that stay."""
     nodes = ordered(root)
     measure(nodes)
+    if not any(n.word for n in nodes):
+        return nodes
+    holds, heads = set(), set()                 # nodes with a named article, a heading in them
+    for node in nodes:
+        for found, kind in ((holds, node.article and not node.word), (heads, HEADING.fullmatch(node.tag))):
+            up = node if kind else None
+            while up is not None and id(up) not in found:
+                found.add(id(up))
+                up = up.up
+    page = root.chars
+    for node in nodes:
+        node.boiler = node.word == 2 and id(node) not in holds and (mostly_links(node) or 5 * node.chars < 4 * page)
+    nodes = ordered(root)
+    measure(nodes)
+    _, threshold = best_of(nodes)
+    for node in nodes:
+        node.boiler = bool(node.word and id(node) not in holds
+                           and (mostly_links(node) or node.density < threshold and id(node) not in heads))
+    nodes = ordered(root)
+    measure(nodes)
+    return nodes
+
+
+def content_nodes(root: Node) -> list[Node]:
+    """Subtrees that hold the main text."""
+    nodes = drop_by_words(root)
     best, threshold = best_of(nodes)
     node = best
     while node is not None and not node.article:
