@@ -169,6 +169,25 @@ def test_near_duplicates_of_one_group(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == near(rows)
 
 
+def test_heavy_postings_meet_in_no_group(spark, docs, monkeypatch):
+    """Rows of frequent shingles pass batch by batch; the sketch and the blocks
+    grow with the input."""
+    monkeypatch.setattr(jaccard_join, "HEAVY", 1)
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    packed = jaccard_join.postings(texts, jaccard_join.count_sketch(texts, 22), 4)
+    assert [r.bucket for r in packed.select("bucket").distinct().collect()] == [4]      # every row is heavy
+    got = jaccard_join.meeting_places(packed, 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and got.count() > 0
+    assert [jaccard_join.sketch_bits(n) for n in (0, 25_000_000, 60_000_000, 30_000_000_000)] == [22, 22, 24, 24]
+
+
+def test_near_duplicates_in_blocks_of_shingles(docs, corpus, monkeypatch):
+    """Few members with large sets are many blocks, too."""
+    monkeypatch.setattr(jaccard_join, "GRID_KEYS", 400)
+    assert found(docs) == near(corpus)
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
     text = " ".join(f"w{i}" for i in range(30))

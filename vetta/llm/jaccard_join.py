@@ -20,10 +20,11 @@ the members outside the largest component are joined exactly with all members,
 in the window and between components only, in blocks of bounded size.  No link
 between different components is missed and no group emits all its pairs.
 The rarity order comes
-from a count sketch of fixed size over all documents (any order gives right
-results; a shingle's count is never underestimated, so a bucket of the
-shingle index holds at most ``HEAVY`` sets for each of its shingles, and more
-frequent ones take part as plain rows).
+from a count sketch over all documents that grows with them up to a bound (any
+order gives right results; a shingle's count is never underestimated, so a
+bucket of the shingle index holds at most ``HEAVY`` sets and a few average cells
+for each of its shingles, and more frequent ones take part as plain rows that
+no task collects).
 
 Equal sets are one node (by 64-bit set hashes; shingles by 64-bit hashes).
 Components come from the links by label shrinking.
@@ -53,12 +54,12 @@ from vetta.llm.components import components
 
 SHINGLE = 5                     # words of a shingle
 PERCENT = 75                    # least Jaccard index of a link, in percent
-SKETCH_BITS = 22                # cells of the count sketch: 8 MB broadcast
+SKETCH_BITS = 22, 24            # cells of the count sketch, least and most: 32 MB broadcast
 PAGE_CELLS = 1 << 16            # sketch cells in one row
 HEAVY = 2000                    # counts from which a shingle skips the buckets
-SPREAD = 16                     # buckets that only pass such rows on
 BUCKET_BYTES = 8 << 20          # text for each bucket of the shingle index
-GRID_MEMBERS, GRID_OUTSIDE = 4096, 1024     # members and members outside in a block
+GRID_MEMBERS, GRID_OUTSIDE = 4096, 1024     # members and members outside in a block,
+GRID_KEYS = 1 << 21             # and shingles of the former; of the latter a quarter
 SLICE_BYTES = 2 << 20
 
 
@@ -107,19 +108,25 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long")
 
 
-def _cell(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(size: int) -> int:
+    """As many cells as ``size`` bytes of text have words, within the bounds."""
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], math.ceil(math.log2(max(1, size / 6)))))
 
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
-    """Shingle counts by cell over all documents, cut off at 65,535; at most
-    2 ** SKETCH_BITS numbers at any input size."""
-    pages = (1 << SKETCH_BITS) // PAGE_CELLS
+def _cell(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def count_sketch(docs: DataFrame, bits: int) -> np.ndarray:
+    """Shingle counts by cell over all documents, cut off at 65,535: 2 ** bits
+    numbers."""
+    pages = (1 << bits) // PAGE_CELLS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         for part in _slices(batches):
-            counts += np.bincount(_cell(Sets(part.column("text")).keys), minlength=1 << SKETCH_BITS)
+            cells, n = np.unique(_cell(Sets(part.column("text")).keys, bits), return_counts=True)
+            counts[cells] = np.minimum(counts[cells] + n, 65535)
         used = np.flatnonzero(counts.reshape(pages, -1).any(axis=1))
         cut = np.minimum(counts, 65535).astype(np.uint16).reshape(pages, -1)
         yield pa.RecordBatch.from_arrays(
@@ -143,11 +150,12 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
 def postings(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     """Rare shingles of every set with its node and size, packed by bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    bits, heavy = len(counts).bit_length() - 1, HEAVY + int(4 * counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             sets = Sets(part.column("text"))
-            rank = shared.value[_cell(sets.keys)]
+            rank = shared.value[_cell(sets.keys, bits)]
             order = np.lexsort((sets.keys, rank, sets.rows))
             place = np.arange(len(order)) - sets.first[sets.rows]
             need = -(-sets.n * PERCENT // 100)          # least shingles in common
@@ -156,8 +164,7 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
             rare = (place < (sets.n - need + 1)[sets.rows]) & once[sets.rows]
             keys, rows, rank = sets.keys[order][rare], sets.rows[rare], rank[order][rare]
             node, n = sets.node[rows], sets.n[rows].astype(np.int32)
-            spread = buckets + (node.view(np.uint64) % np.uint64(SPREAD)).astype(np.int64)
-            bucket = np.where(rank >= HEAVY, spread, (keys % np.uint64(buckets)).astype(np.int64))
+            bucket = np.where(rank >= min(heavy, 65535), buckets, (keys % np.uint64(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             keys, node, n, bucket = keys[order], node[order], n[order], bucket[order]
             used, begin = np.unique(bucket, return_index=True)
@@ -172,28 +179,39 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
 def meeting_places(packed: DataFrame, buckets: int) -> DataFrame:
     """(region, node, n): sets that share a rare shingle, cut where sorted sizes
     are too far apart for a link."""
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        def column(name: str, kind) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()])
-
-        keys, node, n = column("keys", np.uint64), column("nodes", np.int64), column("sizes", np.int32)
-        if key[0].as_py() < buckets:
-            order = np.lexsort((node, n, keys))
-            keys, node, n = keys[order], node[order], n[order]
-            again = np.ones(len(keys), bool)
-            again[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])
-            keys, node, n = keys[again], node[again], n[again].astype(np.int64)
-            begins = np.ones(len(keys), bool)
-            begins[1:] = (keys[1:] != keys[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
-            run_no = np.cumsum(begins) - 1
-            size = np.bincount(run_no)[run_no]
-            first = np.flatnonzero(begins)[run_no]
-            keys = W.splitmix(keys + n[first].astype(np.uint64))
-            keep = size > 1
-            keys, node, n = keys[keep], node[keep], n[keep]
+    def column(rows, name: str, kind) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows.column(name).to_pylist())])
+
+    def unpacked(rows) -> tuple[np.ndarray, ...]:
+        return column(rows, "keys", np.uint64), column(rows, "nodes", np.int64), column(rows, "sizes", np.int32)
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, node, n = unpacked(rows)
+        order = np.lexsort((node, n, keys))
+        keys, node, n = keys[order], node[order], n[order]
+        again = np.ones(len(keys), bool)
+        again[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])
+        keys, node, n = keys[again], node[again], n[again].astype(np.int64)
+        begins = np.ones(len(keys), bool)
+        begins[1:] = (keys[1:] != keys[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
+        run_no = np.cumsum(begins) - 1
+        size = np.bincount(run_no)[run_no]
+        first = np.flatnonzero(begins)[run_no]
+        keys = W.splitmix(keys + n[first].astype(np.uint64))
+        keep = size > 1
+        keys, node, n = keys[keep], node[keep], n[keep]
         return pa.table({"region": pa.array(W.signed(keys)), "node": pa.array(node), "n": pa.array(n, pa.int64())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "region long, node long, n long")
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, node, n = unpacked(batch.slice(r, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys)), pa.array(node), pa.array(n, pa.int64())],
+                                                 names=["region", "node", "n"])
+
+    schema = "region long, node long, n long"
+    return (packed.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(run, schema)
+            .unionByName(packed.where(F.col("bucket") >= buckets).mapInArrow(passed, schema).distinct()))
 
 
 def merged(regions: DataFrame) -> DataFrame:
@@ -269,11 +287,11 @@ def _distance() -> Column:
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """Each region's members, its largest component's label (``top``) and the
-    pairs of members between different components (``open``)."""
-    parts = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
+    """Each region's members, the shingles they hold (``held``), its largest
+    component's label (``top``) and the pairs of members between different components (``open``)."""
+    parts = rows.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     n, squares = F.sum("c"), F.sum(F.col("c") * F.col("c"))
-    return parts.groupBy("region").agg(n.alias("size"), F.max_by("label", F.struct("c", "label")).alias("top"),
+    return parts.groupBy("region").agg(n.alias("size"), F.sum("s").alias("held"), F.max_by("label", F.struct("c", "label")).alias("top"),
                                        ((n * n - squares) / 2).cast("long").alias("open"))
 
 
@@ -281,15 +299,17 @@ def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
     """Links (a, b) of regions with many open pairs: members outside the largest
     component and all members lie in blocks, and a task joins one block of each
     through the shingles they hold, so no pair is emitted that does not link."""
-    def block(size: int, name: str) -> Column:
-        count = F.ceil(F.col("size") / size).cast("int")
+    def blocks(size: int, keys: int) -> Column:
+        return F.ceil(F.greatest(F.col("size") / size, F.col("held") / keys)).cast("int")
+
+    def block(count: Column, name: str) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(name)), count).cast("int")
 
-    many, few = F.ceil(F.col("size") / GRID_MEMBERS).cast("int"), F.ceil(F.col("size") / GRID_OUTSIDE).cast("int")
+    many, few = blocks(GRID_MEMBERS, GRID_KEYS), blocks(GRID_OUTSIDE, GRID_KEYS // 4)
     cols = ["region", "node", "n", "d", "label", "top"]
-    members = big.select(*cols, block(GRID_MEMBERS, "member").alias("m"), F.explode(F.sequence(F.lit(0), few - 1)).alias("o"),
+    members = big.select(*cols, block(many, "member").alias("m"), F.explode(F.sequence(F.lit(0), few - 1)).alias("o"),
                          F.lit(False).alias("asks"))
-    outside = big.where("label <> top").select(*cols, block(GRID_OUTSIDE, "outside").alias("o"),
+    outside = big.where("label <> top").select(*cols, block(few, "outside").alias("o"),
                                                F.explode(F.sequence(F.lit(0), many - 1)).alias("m"), F.lit(True).alias("asks"))
     cells = members.unionByName(outside).join(only(sets, big.select("node")), "node")
 
@@ -364,7 +384,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = staged(members.where("node is not null").groupBy("node").agg(F.min("id").alias("name")), "names")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    packed = postings(docs, count_sketch(docs), buckets)
+    packed = staged(postings(docs, count_sketch(docs, sketch_bits(size)), buckets), "postings")
     regions = staged(merged(staged(meeting_places(packed, buckets), "places")), "regions")
     sets = staged(sets_of(docs, names, regions.select("node").distinct()), "keys")
     links = recursive_links(regions, sets, names)
