@@ -34,11 +34,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group connected by near-duplicate links, the smallest id; texts
-    without words stay."""
-    groups = jaccard_join.near_duplicates(docs)
-    dropped = staged(groups.where(F.col("id") != F.col("component_id")).select("id").distinct(), "near-copies")
-    return bloom.without(docs, "doc_id", dropped)
+    """Of each group connected by near-duplicate links one row, of the smallest
+    id (a null id only where no row has one); texts without words stay."""
+    groups = staged(jaccard_join.near_duplicates(docs).where("node is not null"), "near-groups")
+    first = F.struct(F.col("id").isNull().alias("gap"), "id", "row_key")
+    kept = groups.groupBy("component").agg(F.min(first).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    marked = groups.join(kept, "component").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("kept.row_key")).alias("stays"))
+    marked = staged(marked.select(F.col("row_key").alias("id"), "stays"), "near-copies")
+    bits = bloom.filter_bits(marked.count())
+    bitmaps = bloom.pages(bloom.cell_rows(marked, F.col("id"), bits))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), jaccard_join.row_key("doc_id", "text").alias("id"))
+    rows = bloom.with_hit(rows, "id", bitmaps, bits)
+    judged = rows.where("hit").join(marked, "id", "left")
+    once = judged.where("stays").dropDuplicates(["id"])         # equal rows
+    return (rows.where(~F.col("hit")).select("row.*").unionByName(judged.where("stays is null").select("row.*"))
+            .unionByName(once.select("row.*")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,25 @@ def test_near_duplicates_odd_rows(spark, empty):
     assert got == Counter({(4, 26, 4): 2, (None, 26, 4): 1, (9, 27, 4): 1, (6, 0, 6): 1, (7, 0, 7): 1})
 
 
+def test_near_duplicates_without_ids(spark):
+    """Sets that only rows without an id hold link as others do, and of each
+    component one row stays, also where an id has two texts."""
+    words = [f"w{i}" for i in range(120)]
+    bridge, right = " ".join(words), " ".join(words[:100] + [f"r{i}" for i in range(12)])
+    left = " ".join([f"l{i}" for i in range(12)] + words[12:])
+    other, lone = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(3, left), (None, bridge), (None, bridge), (8, right), (1, other), (None, other + " more"), (8, lone),
+            (None, other + " most"), (None, "z1 z2 z3 z4 z5 z6 z7 z8"), (None, "z1 z2 z3 z4 z5 z6 z7 z8"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.text, r.component_id) for r in jaccard_join.near_duplicates(df).join(
+        df.select("text", jaccard_join.row_key("doc_id", "text").alias("row_key")), "row_key").collect()}
+    assert got == {(left, 3), (bridge, 3), (right, 3), (other, 1), (other + " more", 1), (other + " most", 1), (lone, 8),
+                   (rows[8][1], None), (None, None), ("", None)}
+    import corpus_pipeline
+    left_over = Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, df, "").collect()))
+    assert left_over == Counter([(3, left), (1, other), (8, lone), rows[8], (None, None), (None, "")])
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(30)]

@@ -32,9 +32,9 @@ Components come from the links by label shrinking.
 Defined cases: texts without words (null, empty, blank) have no shingles and
 are components of their own; texts with fewer words than a shingle have their
 whole sequence as the only one; equal rows join one component; rows with one
-id and different texts are judged by their texts, but sets whose smallest ids
-are equal count as connected; a null id never names a
-component that has another; an empty table gives an empty result.
+id and different texts are judged by their texts; rows with a null id link as
+others do, but a null id never names a component that has another; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,15 +97,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(id, n, node) of every (id, text) row; node is null without shingles."""
+    """(id, row_key, n, node) of every (id, text, row_key) row; node is null
+    without shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             sets = Sets(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sets.n, pa.int64()), pa.array(sets.node, mask=sets.n == 0)],
-                names=["id", "n", "node"])
+                [part.column("id"), part.column("row_key"), pa.array(sets.n, pa.int64()), pa.array(sets.node, mask=sets.n == 0)],
+                names=["id", "row_key", "n", "node"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row_key long, n long, node long")
 
 
 def sketch_bits(size: int) -> int:
@@ -223,22 +224,31 @@ def merged(regions: DataFrame) -> DataFrame:
     return regions.join(staged(once.select("region"), "merged"), "region", "left_semi")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of the (id, text) rows, also of those without an id."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, keys) of the wanted nodes, from one document of each."""
-    chosen = staged(names.join(wanted, "node", "left_semi").select("node", F.col("name").alias("id")), "chosen")
-    bits = bloom.filter_bits(chosen.count())
-    bitmaps = bloom.pages(bloom.cell_rows(chosen, F.col("id"), bits))
-    texts = bloom.with_hit(docs, "id", bitmaps, bits).where("hit").select("id", "text").join(chosen, "id")
+    chosen = staged(names.join(wanted, "node", "left_semi").select("node", "row_key"), "chosen")
+    n = chosen.count()
+    bits = bloom.filter_bits(n)
+    bitmaps = bloom.pages(bloom.cell_rows(chosen, F.col("row_key"), bits))
+    texts = bloom.with_hit(docs, "row_key", bitmaps, bits).where("hit").select("row_key", "text").join(chosen, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             sets = Sets(part.column("text"))
-            same = np.flatnonzero(sets.node == part.column("node").to_numpy())     # rows that share an id
+            same = np.flatnonzero(sets.node == part.column("node").to_numpy())     # rows whose keys collide
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sets.node[same]), pa.array([sets.keys[sets.first[r]:sets.first[r + 1]].tobytes() for r in same],
                                                      pa.binary())], names=["node", "keys"])
 
-    return texts.mapInArrow(run, "node long, keys binary")     # a repeated row's set may come twice, which does no harm
+    sets = staged(texts.mapInArrow(run, "node long, keys binary"), "keys")
+    if sets.count() > n:                        # equal rows
+        sets = staged(sets.dropDuplicates(["node"]), "keys")
+    return sets
 
 
 def _views(col) -> list[np.ndarray]:
@@ -357,7 +367,7 @@ def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> Da
     pairs = asked.where(_near_sizes("n", "np")).select(F.col("node").alias("a"), F.col("p").alias("b"))
     found = staged(distances(pairs, sets), "distances")
     balls = staged(found.where(_linked()).select("a", "b"), "balls")
-    labels = components(names, balls).withColumnRenamed("label", "moved")
+    labels = components(names.select("node", "name"), balls).withColumnRenamed("label", "moved")
 
     # what goes on meets again in the regions of its pivots, larger ones than
     # those of single shingles: members outside the ball, and of the ball those
@@ -377,16 +387,26 @@ def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> Da
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, component_id) of every row: the size of its
-    shingle set, its set, and the smallest id it is connected with by links."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, n_shingles, node, component_id, component, row_key) of every row:
+    the size of its shingle set, its set, the smallest id it is connected with
+    by links, the smallest set it is connected with, and its ``row_key``."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
     members = staged(nodes_of(docs), "sets")
-    names = staged(members.where("node is not null").groupBy("node").agg(F.min("id").alias("name")), "names")
+    known = staged(members.where("node is not null").groupBy("node").agg(
+        F.min("id").alias("least"), F.min("row_key").alias("row_key")), "names")
+    names = known.select("node", F.col("node").alias("name"), "row_key")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     packed = staged(postings(docs, count_sketch(docs, sketch_bits(size)), buckets), "postings")
     regions = staged(merged(staged(meeting_places(packed, buckets), "places")), "regions")
-    sets = staged(sets_of(docs, names, regions.select("node").distinct()), "keys")
+    sets = sets_of(docs, names, regions.select("node").distinct())
     links = recursive_links(regions, sets, names)
-    found = members.join(components(names, links), "node", "left").join(names, "node", "left")
-    return found.select("id", F.col("n").alias("n_shingles"), "node", F.coalesce("label", "name", "id").alias("component_id"))
+    labelled = staged(known.join(components(names.select("node", "name"), links), "node", "left")
+                      .select("node", "least", F.coalesce("label", "node").alias("component")), "labelled")
+    # sets without a link are their own component; the others take its smallest id
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")).where("sets > 1")
+    named = labelled.join(least, "component", "left").select(
+        "node", "component", F.when(F.col("sets").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    found = members.join(named, "node", "left")
+    return found.select("id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "id").alias("component_id"),
+                        "component", "row_key")
