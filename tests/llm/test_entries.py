@@ -34,5 +34,5 @@ def test_native_queries_have_no_python(spark, sf_dir, key):
 
 
 def test_every_operator_is_registered():
-    assert {k.split("_")[0] for k in entries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in entries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in E.queries()

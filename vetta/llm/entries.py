@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetta.llm import exact_dedup, jaccard_join, main_text, mixing, pieces, quality, substring_dedup, token_counts, topk, toxicity
+from vetta.llm import (byte_bpe, collocations, exact_dedup, jaccard_join, main_text, mixing, pieces, quality, resampling,
+                       substring_dedup, token_counts, topk, toxicity)
 from vetta.llm.common import label_fold, staged, table, word_count
 
 TOKEN_LIMIT = 4096
@@ -89,6 +90,29 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("repeats")).alias("taken"), "source", "repeats")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"), percent=5)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def byte_vocabulary() -> str:
+    """Path of the byte-level vocabulary."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode_decode(docs, byte_vocabulary(), packed=True)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_topk": op2_topk,
@@ -100,6 +124,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_collocations": op12_collocations,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 # A-Z only: lower() would also change other letters
@@ -157,5 +184,35 @@ c AS (
   FROM u JOIN w ON u.source IS NOT DISTINCT FROM w.source)
 SELECT d.doc_id, d.size, c.source_size, c.target, (d.size * c.repeats)::BIGINT AS taken, d.source, c.repeats
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.slot = c.slot
+""",
+    "op12_collocations": f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, {_NORM} AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, 1 AS size, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+k AS (
+  SELECT *, unnest(range(1, size)) AS k FROM c),
+cut AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+         JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:size], ' ')),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM weakest s LEFT JOIN longer x ON x.lang = s.lang AND x.phrase = s.phrase
+  WHERE s.o = 1 AND (x.a IS NULL OR 100 * x.a < 50 * s.a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score::BIGINT AS score
+FROM r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000
 """,
 }
