@@ -26,7 +26,9 @@ stated in ``collocations``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -274,17 +276,26 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return words, staged(phrases, "phrases")
 
 
-def _looked_up(rows: DataFrame, key: str, counts: DataFrame, often: DataFrame, threshold: int, out: str) -> DataFrame:
-    """``rows`` with the count of the phrase in column ``key``.  Counts above the
-    threshold are broadcast (their number is bounded); any other phrase is part
-    of few candidates, so the join on it has no hot key."""
-    def named(t: DataFrame) -> DataFrame:
-        return t.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_key"), F.col("n").alias(out))
-
-    on = (F.col("lang") == F.col("_lang")) & (F.col(key) == F.col("_key"))
-    with_often = rows.join(F.broadcast(named(often)), on, "left").drop("_lang", "_key")
-    rest = with_often.where(F.col(out).isNull()).drop(out).join(named(counts.where(F.col("n") <= threshold)), on)
-    return with_often.where(F.col(out).isNotNull()).unionByName(rest.drop("_lang", "_key"))
+def _looked_up(rows: DataFrame, keys: dict[str, str], counts: DataFrame, often: DataFrame, threshold: int) -> DataFrame:
+    """``rows`` with the counts of the phrases in the columns ``keys`` (new column:
+    key).  Counts above the threshold are broadcast (their number is bounded) and
+    the rows staged; any other phrase is part of few candidates, so the joins on
+    what is still missing have no hot key."""
+    def on(t: DataFrame, key: str, out: str, how: str, table: DataFrame) -> DataFrame:
+        named = table.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_key"), F.col("n").alias(out))
+        named = F.broadcast(named) if how == "left" else named
+        return t.join(named, (F.col("lang") == F.col("_lang")) & (F.col(key) == F.col("_key")), how).drop("_lang", "_key")
+
+    for out, key in keys.items():
+        rows = on(rows, key, out, "left", often)
+    rows = staged(rows, "cuts")
+    seldom, done = counts.where(F.col("n") <= threshold), None
+    for known in itertools.product([True, False], repeat=len(keys)):
+        part = rows.where(functools.reduce(Column.__and__, [F.col(c).isNotNull() if k else F.col(c).isNull() for c, k in zip(keys, known)]))
+        for (out, key), k in zip(keys.items(), known):
+            part = part if k else on(part.drop(out), key, out, "inner", seldom)
+        done = part if done is None else done.unionByName(part)
+    return done
 
 
 def _sub_phrases(size: int) -> Column:
@@ -317,8 +328,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     cuts = alone.withColumnRenamed("n", "a").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.withColumns({"first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - size)")})
-    cuts = _looked_up(cuts, "first", counts, often, threshold, "l")
-    cuts = _looked_up(cuts, "rest", counts, often, threshold, "r")
+    cuts = _looked_up(cuts, {"l": "first", "r": "rest"}, counts, often, threshold)
     exact = {c: f"cast({c} as decimal(18,0))" for c in "alr"}
     cuts = cuts.withColumn("score", F.expr(f"(cast(1000000 as decimal(7,0)) * {exact['a']} * {exact['a']}) div ({exact['l']} * {exact['r']})"))
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
