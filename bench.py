@@ -37,6 +37,9 @@ HEADLINE = [
     "cv_ensemble",
     "ridge_stack",
     "isotonic_oof",
+    "weight_lines",
+    "weight_search",
+    "gbt_oof",
 ]
 
 

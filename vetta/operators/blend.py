@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.operators import rank
+from vetta.operators import pairstats, rank, sourceruns
 from vetta.plans.ordered import with_position
 
 SEED = 42
@@ -76,105 +76,93 @@ def _cand_name(i: int) -> str:
     return f"cand_{i:04d}"
 
 
-BUCKET_ROWS = 250_000      # rows per task in the vectorised small-source kernel
+PART_ROWS = 250_000        # rows of a partition of small sources
+CHUNK = 32                 # candidates whose pair signs are in memory at once
 
 
-def _small_kernel(signals, candidates, has_fold):
+def _small_kernel(signals, candidates):
+    """Sums of tau of every candidate over the small sources of a partition."""
     W = np.asarray(candidates, dtype=np.float64)
     tot = W.sum(axis=1)
-    chunk = 32
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        doc = pdf["doc_id"].to_numpy()
-        y = pdf["_y"].to_numpy(dtype=np.float64, na_value=np.nan)
-        X = np.column_stack([pdf[s].to_numpy(dtype=np.float64, na_value=np.nan) for s in signals])
-        fold = pdf["fold"].to_numpy() if has_fold else np.zeros(len(pdf), dtype=np.int64)
-        n = len(pdf)
-        start = np.ones(n, dtype=bool)
-        start[1:] = doc[1:] != doc[:-1]
-        gid = np.cumsum(start) - 1
-        sizes = np.bincount(gid)
-        offs = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        cnt = sizes[gid] - (np.arange(n) - offs[gid]) - 1
-        P = int(cnt.sum())
-        rows = []
-        if P:
-            I = np.repeat(np.arange(n), cnt)
-            J = I + 1 + (np.arange(P) - np.repeat(np.cumsum(cnt) - cnt, cnt))
-            pg = gid[I]
-            docs2 = np.unique(pg)                       # sources with a pair
-            first = np.searchsorted(pg, docs2)
-            dy = np.sign(y[I] - y[J])
-            ty = np.add.reduceat((dy == 0).astype(np.float64), first)
-            ty[np.isnan(np.add.reduceat(dy, first))] = np.nan
-            n0 = sizes[docs2] * (sizes[docs2] - 1) / 2.0
-            dfold = fold[offs[docs2]]
-            for c0 in range(0, len(W), chunk):
-                Wc, tc = W[c0:c0 + chunk], tot[c0:c0 + chunk]
+
+    def run(batches):
+        sums = {}
+        for r in sourceruns.runs(batches, signals):
+            s = sourceruns.signs(r)
+            folds, fold = np.unique(r.fold, return_inverse=True)
+            for c0 in range(0, len(W), CHUNK):
+                Wc, tc = W[c0:c0 + CHUNK], tot[c0:c0 + CHUNK]
                 # blended value per row, in the same operation order as the
                 # Spark expression, then pair differences
-                B = X[:, [0]] * Wc[:, 0]
-                for k in range(1, X.shape[1]):
-                    B = B + X[:, [k]] * Wc[:, k]
+                B = r.x[:, [0]] * Wc[:, 0]
+                for k in range(1, r.x.shape[1]):
+                    B = B + r.x[:, [k]] * Wc[:, k]
                 B = B / tc
-                sg = np.sign(B[I] - B[J])
-                S = np.add.reduceat(sg * dy[:, None], first, axis=0)
-                tx = np.add.reduceat((sg == 0).astype(np.float64), first, axis=0)
-                tx[np.isnan(S)] = np.nan
-                den = (n0[:, None] - tx) * (n0 - ty)[:, None]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    tau = np.where(den > 0, S / np.sqrt(np.where(den > 0, den, 1.0)), np.nan)
-                tau = np.clip(tau, -1.0, 1.0)
-                ok = ~np.isnan(tau)
-                for f in np.unique(dfold):
-                    m = dfold == f
-                    rows.append(pd.DataFrame({
-                        "fold": np.int64(f), "cand": np.arange(c0, c0 + len(Wc), dtype=np.int64),
-                        "sum_tau": np.where(ok[m], tau[m], 0.0).sum(axis=0),
-                        "n_def": ok[m].sum(axis=0).astype(np.int64)}))
-        if not rows:
-            return pd.DataFrame({"fold": pd.Series(dtype="int64"), "cand": pd.Series(dtype="int64"),
-                                 "sum_tau": pd.Series(dtype="float64"), "n_def": pd.Series(dtype="int64")})
-        return pd.concat(rows, ignore_index=True)
+                sg = np.nan_to_num(np.sign(B[r.left] - B[r.right]))
+                S = r.per_source(sg * s.gold[:, None])
+                tx = r.per_source((sg == 0).astype(np.float64))
+                den = (r.n_pairs[:, None] - tx) * (r.n_pairs - s.gold_ties)[:, None]
+                ok = (den > 0) & s.whole[:, None]
+                tau = np.where(ok, np.clip(S / np.sqrt(np.where(den > 0, den, 1.0)), -1.0, 1.0), 0.0)
+                for i, f in enumerate(folds):
+                    t, n = sums.setdefault(int(f), (np.zeros(len(W)), np.zeros(len(W), dtype=np.int64)))
+                    t[c0:c0 + CHUNK] += tau[fold == i].sum(axis=0)
+                    n[c0:c0 + CHUNK] += ok[fold == i].sum(axis=0)
+        for f, (t, n) in sums.items():
+            yield pd.DataFrame({"fold": np.int64(f), "cand": np.arange(len(W), dtype=np.int64), "sum_tau": t, "n_def": n})
     return run
 
 
-def candidate_tau_sums(df: DataFrame, signals, candidates, gold: str = "score",
-                       fold_col: str | None = None) -> DataFrame:
-    """Per (fold, candidate): sum and count of defined per-source taus of the
-    blended column.  Sources of at most SMALL_GROUP rows are scored by a
-    vectorised kernel over hash buckets of sources (bounded rows per task,
-    all candidates at once, reduced in the task); larger sources take the
-    exact general path.  Returns ``fold, cand, sum_tau, n_def``."""
-    from vetta.operators import pairstats
+def scored_rows(df: DataFrame, signals, gold: str = "score", fold_col: str | None = None) -> DataFrame:
+    """``doc_id``, ``_y``, the signals and perhaps ``fold``, NaN read as null."""
     cols = ["doc_id", rank.nan_to_null(gold).alias("_y"),
             *[rank.nan_to_null(s).alias(s) for s in signals]]
     if fold_col:
         cols.append(F.col(fold_col).cast("long").alias("fold"))
-    base = df.filter(F.col("doc_id").isNotNull()).select(*cols)
-    sizes = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    n_rows, n_big = sizes.agg(F.sum("_n"), F.count_if(F.col("_n") > pairstats.SMALL_GROUP)).first()
-    n_rows = int(n_rows or 0)
-    nb = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BUCKET_ROWS))
-    small = base
-    big_keys = None
-    if n_big:
-        big_keys = pairstats.maybe_broadcast(sizes.filter(F.col("_n") > pairstats.SMALL_GROUP)
-                                             .select("doc_id"), n_big)
-        small = base.join(big_keys, "doc_id", "left_anti")
-    schema = "fold long, cand long, sum_tau double, n_def long"
-    out = small.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(nb)).alias("_bucket")) \
-        .applyInPandas(_small_kernel(signals, candidates, bool(fold_col)), schema)
-    if n_big:
-        big = base.join(big_keys, "doc_id", "left_semi").withColumnRenamed("_y", gold)
-        t = candidate_doc_taus(big, signals, candidates, gold, ["fold"] if fold_col else [])
-        t = t.withColumn("cand", F.regexp_extract("signal", r"(\d+)$", 1).cast("long"))
-        fold = F.col("fold") if fold_col else F.lit(0).cast("long")
-        out = out.unionByName(t.groupBy(fold.alias("fold"), "cand").agg(
-            F.sum(F.coalesce("tau", F.lit(0.0))).alias("sum_tau"), F.count("tau").alias("n_def")))
-    return out.groupBy("fold", "cand").agg(F.sum("sum_tau").alias("sum_tau"),
-                                           F.sum("n_def").alias("n_def"))
+    return df.filter(F.col("doc_id").isNotNull()).select(*cols)
+
+
+class Sources:
+    """Rows of small and of large sources of a frame, told apart once."""
+
+    def __init__(self, df: DataFrame, signals, gold: str = "score", fold_col: str | None = None):
+        base = scored_rows(df, signals, gold, fold_col)
+        sizes, n_rows, self.n_big = sourceruns.source_sizes(base, pairstats.SMALL_GROUP)
+        self.signals, self.gold, self.folds = list(signals), gold, bool(fold_col)
+        self.big, small = None, base
+        if self.n_big:
+            keys = pairstats.maybe_broadcast(sizes.filter(F.col("_n") > pairstats.SMALL_GROUP).select("doc_id"), self.n_big)
+            small = base.join(keys, "doc_id", "left_anti")
+            self.big = base.join(keys, "doc_id", "left_semi").withColumnRenamed("_y", gold)
+        self.small = sourceruns.small_sources(small, sourceruns.partitions(df, n_rows, PART_ROWS))
+
+    def persist(self) -> Sources:
+        self.small = self.small.persist()
+        return self
+
+    def unpersist(self) -> None:
+        self.small.unpersist()
+
+    def tau_sums(self, candidates) -> DataFrame:
+        """``fold, cand, sum_tau, n_def`` of the candidates."""
+        out = self.small.mapInPandas(_small_kernel(self.signals, candidates), "fold long, cand long, sum_tau double, n_def long")
+        if self.n_big:
+            t = candidate_doc_taus(self.big, self.signals, candidates, self.gold, ["fold"] if self.folds else [])
+            t = t.withColumn("cand", F.regexp_extract("signal", r"(\d+)$", 1).cast("long"))
+            fold = F.col("fold") if self.folds else F.lit(0).cast("long")
+            out = out.unionByName(t.groupBy(fold.alias("fold"), "cand").agg(
+                F.sum(F.coalesce("tau", F.lit(0.0))).alias("sum_tau"), F.count("tau").alias("n_def")))
+        return out.groupBy("fold", "cand").agg(F.sum("sum_tau").alias("sum_tau"), F.sum("n_def").alias("n_def"))
+
+
+def candidate_tau_sums(df: DataFrame, signals, candidates, gold: str = "score",
+                       fold_col: str | None = None) -> DataFrame:
+    """Per (fold, candidate): sum and count of defined per-source taus of the
+    blended column.  Sources of at most SMALL_GROUP rows are scored by a
+    vectorised kernel over streamed runs of pairs (all candidates at once,
+    reduced in the task); larger sources take the exact general path.
+    Returns ``fold, cand, sum_tau, n_def``."""
+    return Sources(df, signals, gold, fold_col).tau_sums(candidates)
 
 
 def candidate_doc_taus(df: DataFrame, signals, candidates, gold: str = "score", extra=()) -> DataFrame:

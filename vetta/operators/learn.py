@@ -1,8 +1,9 @@
 """Learning over folds: boosted trees, isotonic calibration, ridge
 stacking and a pairwise ranker, all out-of-fold by source.
 
-Every fit is a distributed Spark ML job or a single aggregation; the driver
-only loops over folds (a handful) and solves k x k systems.  Folds are dealt by
+Trees and isotonic fits take all folds in the same passes (``trees``,
+``isotonic``), ridge is one aggregation, the ranker a Spark ML job; the driver
+picks splits and solves k x k systems.  Folds are dealt by
 source size (``balanced_folds``), so each fold has a source where there are as
 many sources as folds; rows without gold do not train but are predicted, and
 where nothing can be fitted a row keeps its raw score: no row is lost."""
@@ -11,18 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetta.operators.blend import N_FOLDS, SEED, balanced_folds
+from vetta.operators import isotonic, trees
 from vetta.operators.rank import nan_to_null
+from vetta.plans.ordered import positions_in_group
 
-GBT_UNWATCHED = 50              # rounds where no inner split can stop them
-GBT_PARAMS = dict(maxIter=500, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=SEED,
-                  validationTol=0.001)
 RIDGE_ALPHA = 1.0
 
 
@@ -33,40 +31,27 @@ def with_folds(df: DataFrame, k: int, fold_col: str = "fold", key: str = "doc_id
     return df.join(folds, key, "left").withColumn(fold_col, F.coalesce(fold_col, F.lit(0).cast("long")))
 
 
-def gbt_oof(df: DataFrame, features, gold: str = "score", k: int = N_FOLDS, seed: int = SEED,
-            fold_col: str = "fold", out: str = "gbt_score"):
-    """Out-of-fold boosted-tree predictions, up to 500 rounds.  Early stopping
-    watches an inner split of the training sources (the next fold), never the
-    held-out fold.  Returns ``(predictions, importances)``; a fold whose
-    training rows have no gold is predicted as null."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
+def gbt_oof(df: DataFrame, features, gold: str = "score", k: int = N_FOLDS, fold_col: str = "fold",
+            out: str = "gbt_score", params: trees.Params = trees.Params(), edges=None):
+    """Out-of-fold boosted-tree predictions.  Early stopping watches an inner
+    split of the training sources (the next fold), never the held-out fold; with
+    one other fold the models watch their own training error.  Returns
+    ``(predictions, importances)``; a fold whose training rows have no gold is
+    predicted as null."""
     base = df if fold_col in df.columns else with_folds(df, k, fold_col)
-    base = vec.transform(base.withColumn(gold, nan_to_null(gold))).select("row_id", fold_col, gold, "_x").persist()
+    base = base.withColumn(gold, nan_to_null(gold))
     gold_folds = {r[0] for r in base.filter(F.col(gold).isNotNull()).select(fold_col).distinct().collect()}
-    preds, imps = None, []
+    folds = []
     for f in range(k):
-        held = base.filter(F.col(fold_col) == f)
         others = sorted(gold_folds - {f})
         if others:
             # the inner split needs training rows beside it
             inner = next((g for g in ((f + s) % k for s in range(1, k)) if g in others), None) if len(others) > 1 else None
-            train = base.filter((F.col(fold_col) != f) & F.col(gold).isNotNull())
-            fit = GBTRegressor(featuresCol="_x", labelCol=gold, predictionCol=out, **{**GBT_PARAMS, "seed": seed})
-            if inner is None:
-                fit = fit.setMaxIter(GBT_UNWATCHED)
-            else:
-                train = train.withColumn("_val", F.col(fold_col) == inner)
-                fit = fit.setValidationIndicatorCol("_val")
-            model = fit.fit(train)
-            imps.append(model.featureImportances.toArray())
-            p = model.transform(held).select("row_id", fold_col, out)
-        else:
-            p = held.select("row_id", fold_col, F.lit(None).cast("double").alias(out))
-        preds = p if preds is None else preds.unionByName(p)
-    imp = np.mean(imps, axis=0) if imps else np.zeros(len(list(features)))
-    spark = df.sparkSession
-    imp_df = spark.createDataFrame([(c, float(v)) for c, v in zip(features, imp)],
-                                   "feature string, importance double")
+            folds.append((f, inner))
+    rows, models, _, start = trees.boost(base, features, gold, fold_col, folds, params, edges)
+    rows.unpersist()            # predictions read the table again
+    preds = trees.held_out(rows, models, start, out).withColumn("row_id", F.col("row_id").cast(df.schema["row_id"].dataType))
+    imp_df = df.sparkSession.createDataFrame(trees.importances(models, list(features)), "feature string, importance double")
     return preds, imp_df
 
 
@@ -74,42 +59,42 @@ def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
     return importances.orderBy(F.desc("importance"), F.asc("feature")).limit(n)
 
 
-def isotonic_oof(df: DataFrame, pred: str, gold: str = "score", k: int = N_FOLDS, seed: int = SEED,
-                 out: str = "calibrated") -> DataFrame:
+def lp_folds(df: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(_lp, key, fold): in each language pair its sources by size (largest first,
+    ties by id), dealt in a snake over as many folds as it has sources, ``k`` at
+    most; -1 where it has one source."""
+    sizes = df.where(F.col(key).isNotNull()).groupBy("_lp", key).agg((-F.count(F.lit(1))).alias("_neg"))
+    p = positions_in_group(sizes, ["_lp"], "_neg", [key])
+    kk = F.least(F.col("_gn"), F.lit(k))
+    at, rnd = F.pmod(F.col("_gpos"), kk), F.floor(F.col("_gpos") / kk)
+    fold = F.when(F.col("_gn") < 2, -1).when(rnd % 2 == 0, at).otherwise(kk - 1 - at)
+    return p.select("_lp", key, fold.cast("long").alias("fold"), F.col("_gn").alias("_n_docs"))
+
+
+def isotonic_oof(df: DataFrame, pred: str, gold: str = "score", k: int = N_FOLDS, out: str = "calibrated") -> DataFrame:
     """Isotonic calibration per language pair, out of fold by source.  Folds
     are dealt by source size inside each language pair, so a pair of two
     sources has two folds; where the training side of a fold has no gold the
     row keeps its raw prediction (fold -1 where the pair has one source).
-    Predictions outside the fitted range are clipped to the end values."""
+    Predictions outside the fitted range are clipped to the end values.  All
+    language pairs and folds are fitted together."""
     base = df.withColumn("_lp", F.concat_ws("->", "src_lang", "tgt_lang")) \
         .withColumn(pred, nan_to_null(pred)).withColumn(gold, nan_to_null(gold))
-    lp_docs = {r["_lp"]: r["n"] for r in       # one row per language pair
-               base.groupBy("_lp").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    parts = []
-    for lp, ndocs in sorted(lp_docs.items()):
-        sub = base.filter(F.col("_lp") == lp)
-        if ndocs < 2:
-            parts.append(sub.select("row_id", F.lit(-1).cast("long").alias("fold"),
-                                    F.col(pred).cast("double").alias(out)))
-            continue
-        kk = int(min(k, ndocs))
-        sub = with_folds(sub, kk).persist()
-        usable = F.col(gold).isNotNull() & F.col(pred).isNotNull()
-        trains = {r[0] for r in sub.filter(usable).select("fold").distinct().collect()}
-        for f in range(kk):
-            held = sub.filter(F.col("fold") == f)
-            blank = held.filter(F.col(pred).isNull())
-            if trains - {f}:
-                model = IsotonicRegression(featuresCol=pred, labelCol=gold, predictionCol=out, isotonic=True) \
-                    .fit(sub.filter((F.col("fold") != f) & usable))
-                parts.append(model.transform(held.filter(F.col(pred).isNotNull())).select("row_id", "fold", out))
-            else:
-                blank = held
-            parts.append(blank.select("row_id", "fold", F.col(pred).cast("double").alias(out)))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    folds = lp_folds(base, k)
+    docs = folds.groupBy("_lp").agg(F.max("_n_docs").alias("_n"))
+    # rows without a source are in fold 0; in a pair of at most one source all rows are in fold -1
+    rows = base.join(folds.drop("_n_docs"), ["_lp", "doc_id"], "left").join(docs, "_lp", "left")
+    fold = F.when(F.coalesce("_n", F.lit(0)) < 2, -1).otherwise(F.coalesce("fold", F.lit(0))).cast("long")
+    rows = rows.select("row_id", F.col("_lp").alias("lp"), fold.alias("f"), F.col(pred).alias("x"), F.col(gold).alias("y"), "_n")
+    usable = rows.where((F.col("f") >= 0) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    points = usable.groupBy("lp", "f", "x", "_n").agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("y").alias("s"))
+    held = F.explode(F.array_remove(F.sequence(F.lit(0).cast("long"), F.least("_n", F.lit(k)) - 1), F.col("f")))
+    points = points.withColumn("f", held).groupBy("lp", "f", "x").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    pooled, ends = isotonic.pools(points.select("lp", "f", F.col("x").alias("lo"), F.col("x").alias("hi"), "w", "s"))
+    fitted = isotonic.looked_up(rows, isotonic.steps(pooled, ends), "_fit")
+    pooled.unpersist()
+    found = fitted.select("row_id", F.col("f").alias("fold"), F.coalesce("_fit", "x").alias(out))
+    return found.unionByName(rows.where(F.col("x").isNull()).select("row_id", F.col("f").alias("fold"), F.col("x").alias(out)))
 
 
 def ridge_oof(df: DataFrame, features, gold: str = "score", alpha: float = RIDGE_ALPHA,

@@ -570,6 +570,27 @@ SQL["final_score"] = _nudge_rounds(with_views(RATINGS) + f""", {_SWEEP},
 best AS (SELECT * FROM sweep ORDER BY round(tau, 9) DESC, cand_order LIMIT 1)
 SELECT r.row_id, round((r.sig_a_score * b.wa + r.sig_b_score * b.wb + r.sig_c_score * b.wc) / (b.wa + b.wb + b.wc), 6) AS final_score
 FROM ratings r, best b""")
+_LINE_SIGNALS = " UNION ALL ".join(
+    f"SELECT '{s}' AS signal, doc_id, row_id, score, {' + '.join(x for x in SIGNALS if x != s)} AS rest, {s} AS own FROM ratings"
+    for s in SIGNALS)
+# between two breakpoints no pair changes its order: every breakpoint of every pair, in order
+SQL["weight_lines"] = _nudge_rounds(with_views(RATINGS) + f""",
+v AS ({_LINE_SIGNALS}),
+p AS (SELECT a.signal, a.doc_id, a.rest - b.rest AS d0, a.own - b.own AS d1, sign(a.score - b.score) AS g
+      FROM v a JOIN v b ON a.signal = b.signal AND a.doc_id = b.doc_id AND a.row_id < b.row_id),
+s AS (SELECT signal, doc_id, CAST(count(*) - count_if(d0 = 0 AND d1 = 0) AS DOUBLE) * (count(*) - count_if(g = 0)) AS den
+      FROM p GROUP BY signal, doc_id),
+q AS (SELECT p.*, 1.0 / sqrt(s.den) AS unit FROM p JOIN s ON p.signal = s.signal AND p.doc_id = s.doc_id WHERE s.den > 0),
+b AS (SELECT signal, sum(CASE WHEN d0 <> 0 THEN sign(d0) ELSE sign(d1) END * g * unit) AS base, count(DISTINCT doc_id) AS n
+      FROM q GROUP BY signal),
+f AS (SELECT signal, round(-d0 / d1, 9) AS t, sum(2 * sign(d1) * g * unit) AS jump
+      FROM q WHERE d0 * d1 < 0 AND abs(d0) < abs(d1) AND g <> 0 GROUP BY 1, 2),
+u AS (SELECT signal, 0.0::DOUBLE AS t, 0.0::DOUBLE AS jump FROM b UNION ALL SELECT signal, t, jump FROM f),
+c AS (SELECT signal, t, sum(jump) OVER w AS upto, coalesce(lead(t) OVER w, 1.0) AS high FROM u WINDOW w AS (PARTITION BY signal ORDER BY t)),
+o AS (SELECT c.signal, (b.base + c.upto) / b.n AS tau, c.t AS low, c.high FROM c JOIN b ON b.signal = c.signal WHERE c.high > c.t),
+m AS (SELECT *, max(tau) OVER (PARTITION BY signal) AS top FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY low) AS o FROM m WHERE tau >= top - 1e-9)
+SELECT signal, round(tau, 6) AS tau, round(low, 6) AS low, round(high, 6) AS high FROM r WHERE o = 1""")
 SQL["oof_tau"] = _nudge_rounds(with_views(RATINGS) + f""",
 lg AS (SELECT row_id, doc_id, {FOLD} AS fold, 'sig_a_score' AS signal, sig_a_score AS pred, score AS gold FROM ratings),
 t AS ({tau_per_group('SELECT * FROM lg', 'fold, doc_id')}),
@@ -577,6 +598,27 @@ per AS (SELECT fold, coalesce(avg(tau), 0.0) AS tau, count(tau) AS n_docs FROM t
 SELECT fold, round(tau, 6) AS tau, n_docs FROM per
 UNION ALL SELECT -1, round(avg(tau), 6), sum(n_docs) FROM per""")
 
+# isotonic fit in its max-min form: the largest, over starts up to a point, of the
+# smallest mean from the start to an end at or after the point
+SQL["isotonic_oof"] = _nudge_rounds(with_views(RATINGS) + f""",
+sz AS (SELECT {LP} AS lp, doc_id, count(*) AS c FROM ratings GROUP BY 1, 2),
+fo AS (SELECT lp, doc_id, row_number() OVER (PARTITION BY lp ORDER BY c DESC, doc_id) - 1 AS p,
+              least(count(*) OVER (PARTITION BY lp), 5) AS kk FROM sz),
+fd AS (SELECT lp, doc_id, kk, CASE WHEN kk < 2 THEN -1 WHEN (p // kk) % 2 = 0 THEN p % kk ELSE kk - 1 - p % kk END AS fold FROM fo),
+r AS (SELECT t.row_id, fd.lp, fd.fold, fd.kk, t.sig_a_score AS x, t.score AS y
+      FROM ratings t JOIN fd ON fd.lp = t.src_lang || '->' || t.tgt_lang AND fd.doc_id = t.doc_id),
+pt AS (SELECT r.lp, g.f, r.x, count(*) AS w, sum(r.y) AS s FROM r JOIN range(0, 5) g(f) ON r.fold <> g.f AND g.f < r.kk GROUP BY ALL),
+px AS (SELECT *, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM pt WINDOW o AS (PARTITION BY lp, f ORDER BY x)),
+jk AS (SELECT a.lp, a.f, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m
+       FROM px a JOIN px b ON a.lp = b.lp AND a.f = b.f AND b.i >= a.i),
+mn AS (SELECT lp, f, j, k, min(m) OVER (PARTITION BY lp, f, j ORDER BY k DESC) AS low FROM jk),
+fit AS (SELECT px.lp, px.f, px.x, v.v FROM px JOIN (SELECT lp, f, k, max(low) AS v FROM mn GROUP BY ALL) v
+        ON v.lp = px.lp AND v.f = px.f AND v.k = px.i),
+a AS (SELECT r.*, fit.x AS lx, fit.v AS lv FROM r ASOF LEFT JOIN fit ON r.lp = fit.lp AND r.fold = fit.f AND r.x >= fit.x),
+b AS (SELECT a.*, fit.x AS rx, fit.v AS rv FROM a ASOF LEFT JOIN fit ON a.lp = fit.lp AND a.fold = fit.f AND a.x <= fit.x)
+SELECT row_id, fold, round(CASE WHEN lx IS NULL AND rx IS NULL THEN x WHEN lx IS NULL THEN rv WHEN rx IS NULL OR lx = rx THEN lv
+                                ELSE lv + (rv - lv) * (x - lx) / (rx - lx) END, 6) AS calibrated FROM b""")
+
 # --- scoring -----------------------------------------------------------------------------------------
 
 _LEX = ("100.0 * least(length(coalesce(src_text, '')), length(coalesce(tgt_text, ''))) / "

@@ -495,6 +495,7 @@ REGISTRY.update({
 # --- folds, blending, weight search ----------------------------------------------------------
 
 from vetta.operators import blend as BL  # noqa: E402
+from vetta.operators import weights as WT  # noqa: E402
 
 
 def doc_folds(spark, d):
@@ -548,7 +549,21 @@ def final_score(spark, d):
     return _round_doubles(BL.blend_from_table(r, w, sigs, "final_score").select("row_id", "final_score"))
 
 
+def weight_lines(spark, d):
+    """The best mean tau along each weight, the others at 1, and its interval."""
+    return _round_doubles(WT.line_optima(views.ratings(spark, d), SIG))
+
+
+def weight_search(spark, d):
+    return _round_doubles(WT.search(views.ratings(spark, d), SIG))
+
+
+def cv_weight_search(spark, d):
+    return _round_doubles(WT.cross_validated(views.ratings(spark, d), SIG))
+
+
 REGISTRY.update({
+    "weight_lines": weight_lines, "weight_search": weight_search, "cv_weight_search": cv_weight_search,
     "doc_folds": doc_folds, "balanced_folds": balanced_folds, "weighted_ensemble": weighted_ensemble,
     "weight_sweep": weight_sweep, "cv_ensemble": cv_ensemble, "cv_scores": cv_scores, "cv_weights": cv_weights, "oof_tau": oof_tau,
     "final_score": final_score,
@@ -559,11 +574,16 @@ REGISTRY.update({
 
 from vetta.operators import learn as LN  # noqa: E402
 from vetta.operators import scorer as SC  # noqa: E402
+from vetta.operators import trees as TR  # noqa: E402
+
+
+# a round is some ten passes over all folds: fewer and longer steps than the library's default
+GBT = TR.Params(rounds=30, rate=0.25, patience=10)
 
 
 def gbt_oof(spark, d):
     table, names = FE.build_features(views.ratings(spark, d), SIG)
-    preds, _ = LN.gbt_oof(table.withColumn("doc_id", F.col("doc_id")), names)
+    preds, _ = LN.gbt_oof(table, names, params=GBT)
     return _round_doubles(preds)
 
 
