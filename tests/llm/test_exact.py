@@ -122,6 +122,17 @@ def test_substring_dedup_odd_rows(spark, empty):
     assert got == Counter({(None, 0): 2, (5, 0): 2, (7, 20): 1})
 
 
+@pytest.mark.parametrize("block_bytes", [2 << 20, 40])
+def test_substring_dedup_of_large_ids_beside_null(spark, block_bytes):
+    """Ids that no double holds, null ids and one id with two texts."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(2 ** 60, a), (2 ** 60 + 1, a), (2 ** 60 + 2, a), (None, a), (None, b), (3, b), (3, a + " " + b), (2 ** 62, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df, block_bytes=block_bytes).collect())
+    assert got == Counter({(2 ** 60, 30, 30): 1, (2 ** 60 + 1, 30, 30): 1, (2 ** 60 + 2, 30, 30): 1, (None, 30, 0): 2,
+                           (3, 30, 0): 1, (3, 60, 0): 1, (2 ** 62, 30, 30): 1})
+
+
 # ---- near-duplicates
 
 def near(rows):

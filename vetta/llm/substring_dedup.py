@@ -34,6 +34,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,8 @@ class Block:
     """Phrases and anchors of the documents of one block."""
 
     def __init__(self, rows: pa.Table, window: int, seed: int):
-        self.ids = rows.column("id").to_numpy()
-        known = ~np.isnan(self.ids) if self.ids.dtype.kind == "f" else np.ones(len(self.ids), bool)
-        self.ids = np.where(known, self.ids, 0).astype(np.int64) if not known.all() else self.ids
+        known = pc.is_valid(rows.column("id")).to_numpy()
+        self.ids = pc.fill_null(rows.column("id"), 0).to_numpy()        # a column with gaps would turn into doubles
         self.words = W.split_words(rows.column("text"))
         h = W.word_hashes(self.words)
         self.at = np.flatnonzero(W.window_valid(self.words, window))    # first words of phrases
@@ -186,7 +186,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = max(1, math.ceil(size / block_bytes))
     buckets = max(1, math.ceil(blocks / BLOCKS_PER_BUCKET))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
+                     F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int").alias("block"))
     by_block = docs.groupBy("block")
 
     def anchors(key: tuple, rows: pa.Table) -> pa.Table:
