@@ -144,3 +144,26 @@ def test_hot_source_end_to_end(spark, monkeypatch):
 
     pc = {r.doc_id: r.n_pairs for r in pairs.preference_counts(df).collect()}
     assert pc[0] == int((np.abs(dg) > 1.0).sum())
+
+
+def test_blocks_above_the_bound_are_cut_again(spark, monkeypatch):
+    """One group of 60 points, 22 points a kernel call and few blocks a level:
+    levels below the first ones, with heavy and repeated values."""
+    monkeypatch.setattr(ps, "FAN_OUT", 2)
+    monkeypatch.setattr(ps, "SMALL_GROUP", 5)
+    levels = []
+    cut = ps._decomposed
+    monkeypatch.setattr(ps, "_decomposed", lambda pts, keys, *a: levels.append(len(keys)) or cut(pts, keys, *a))
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random(60) < .4, 7.0, rng.integers(0, 40, 60).astype(float))
+    b = np.round(a / 3 + rng.normal(0, 4, 60))
+    t = rng.integers(0, 3, 60)
+    w = rng.integers(1, 4, 60).astype(float)
+    df = spark.createDataFrame([("g", *map(float, r[:3]), int(r[3])) for r in zip(a, b, w, t)], "k string, a double, b double, w double, t int")
+    got = ps.dominance(df, ["k"], block_points=22).first()
+    d, q = t != 0, t != 1
+    less = (a[d][:, None] < a[q][None, :]) * (w[d][:, None] * w[q][None, :])
+    assert got["d1"] == less.sum()
+    assert got["lt"] == (less * (b[d][:, None] < b[q][None, :])).sum()
+    assert got["gt"] == (less * (b[d][:, None] > b[q][None, :])).sum()
+    assert max(levels) > min(levels)

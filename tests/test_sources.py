@@ -146,3 +146,25 @@ def test_mixed_schema_parts(spark, scratch):
                                  ["doc_id", "score", "tgt_system"], merge_schema=True)
     got = sorted((r.doc_id, r.tgt_system) for r in seg.collect())
     assert seg.columns == ["doc_id", "score", "tgt_system"] and got == [(1, None), (2, "S1")]
+
+
+def test_a_frequent_value_is_scored_by_many_tasks(spark):
+    rows = [(f"r{i}", "hot" if i % 10 else f"v{i % 7}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "row_id string, lp string")
+
+    def make():
+        from pyspark import TaskContext
+
+        def fn(pdf):
+            assert pdf["lp"].nunique() == 1
+            return [float(TaskContext.get().partitionId())] * len(pdf)
+        return fn
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = scorer.score_with(df, make, [], "task", group_by="lp").groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    sizes = sorted(r["count"] for r in out)
+    assert sum(sizes) == 4000 and len(sizes) >= 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]

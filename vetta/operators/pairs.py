@@ -7,8 +7,8 @@ whose gold gap exceeds 1.0 - without materialising the full pair set:
 
 * ``preference_counts`` counts each source's pairs exactly (1-D dominance).
 * ``sample_preference_pairs`` draws a seeded uniform sample of K pair
-  indices without replacement from [0, C) (C = all pairs; all of them when
-  C <= K) and resolves each index to its two rows: sources are laid out in
+  indices without replacement from [0, C) by a keyed permutation (C = all
+  pairs; all of them when C <= K) and resolves each index to its two rows: sources are laid out in
   order, each row i owns the block of indices of its partners (the rows of
   its source whose gold is more than 1.0 lower: a suffix of the source in
   descending gold order), and a bucketed equi-join maps indices to owners.
@@ -17,6 +17,7 @@ whose gold gap exceeds 1.0 - without materialising the full pair set:
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -103,6 +104,36 @@ def preference_counts(df: DataFrame, gold: str = "score", gap: float = MIN_GAP)
         "doc_id", "n", F.coalesce(F.col("d1"), F.lit(0.0)).cast("long").alias("n_pairs"))
 
 
+def permutation_rounds(seed: int, rounds: int = 3) -> list[tuple[int, int]]:
+    """Odd factor and summand of each round of ``permuted``."""
+    h = [hashlib.md5(f"{seed}|{r}".encode()).hexdigest() for r in range(rounds)]
+    return [(2 * int(x[:4], 16) + 1, int(x[8:15], 16)) for x in h]
+
+
+def permuted(total: int, k: int, seed: int = SEED) -> np.ndarray:
+    """The first ``k`` places of a keyed permutation of 0 .. total - 1, in order.
+
+    On m-bit numbers a round multiplies by an odd number, adds, and xors the
+    upper half into the lower one, so it loses nothing; places beyond ``total``
+    are permuted again until they fall inside (cycle walking).  Any engine
+    with 64-bit integers gets the same places."""
+    bits = max(2, (total - 1).bit_length())
+    mask, half = (1 << bits) - 1, (bits + 1) // 2
+
+    def step(x: np.ndarray) -> np.ndarray:
+        for a, c in permutation_rounds(seed):
+            x = (x * a + c) & mask
+            x = x ^ (x >> half)
+        return x
+
+    if k >= total:
+        return np.arange(total)
+    x = step(np.arange(k, dtype=np.int64))
+    while (out := x >= total).any():
+        x[out] = step(x[out])
+    return x
+
+
 def sample_preference_pairs(df: DataFrame, payload=("src_text", "tgt_text"), gold: str = "score",
                             k: int = PAIR_CAP, seed: int = SEED, gap: float = MIN_GAP) -> DataFrame:
     """Seeded uniform sample (without replacement) of ``k`` preference pairs,
@@ -111,16 +142,11 @@ def sample_preference_pairs(df: DataFrame, payload=("src_text", "tgt_text"), gol
     score_better, score_worse, margin`` with scores on a 0-1 scale."""
     spark = df.sparkSession
     payload = [c for c in payload if c in df.columns]
-    rows = partner_counts(df.select("doc_id", "row_id", gold, *payload), gold, gap)
+    rows = partner_counts(df.select("doc_id", "row_id", gold), gold, gap)
     owned = with_prefix_sum(rows, [F.col("doc_id"), F.col("_dpos")], "_k", "_off") \
         .persist()
     total = int(owned.agg(F.sum("_k")).first()[0] or 0)
-    if total == 0:
-        idx = []
-    elif total <= k:
-        idx = list(range(total))
-    else:
-        idx = np.random.default_rng(seed).choice(total, size=k, replace=False, shuffle=False).tolist()
+    idx = permuted(total, min(k, total), seed).tolist()
     width = max(1, math.ceil(total / INDEX_BUCKETS))
     samples = spark.createDataFrame([(int(i), int(i) // width) for i in idx] or [(-1, -1)],
                                     "pair_index long, _b long")
@@ -133,13 +159,15 @@ def sample_preference_pairs(df: DataFrame, payload=("src_text", "tgt_text"), gol
         (F.col("pair_index") >= F.col("_off")) & (F.col("pair_index") < F.col("_off") + F.col("_k")))
     hit = hit.withColumn("_jpos", (F.col("_gn") - F.col("_k") + (F.col("pair_index") - F.col("_off")))
                          .cast("long"))
-    better = hit.select("pair_index", "doc_id", "_jpos", F.col("row_id").alias("row_better"),
-                        F.col(gold).alias("_gb"), *[F.col(c).alias(f"{c}_better") for c in payload])
+    better = hit.select("pair_index", "doc_id", "_jpos", F.col("row_id").alias("row_better"), F.col(gold).alias("_gb"))
     worse = owned.select("doc_id", F.col("_dpos").cast("long").alias("_jpos"),
-                         F.col("row_id").alias("row_worse"), F.col(gold).alias("_gw"),
-                         *[F.col(c).alias(f"{c}_worse") for c in payload])
-    # at most k sampled pairs on the left: broadcast them into the row table
+                         F.col("row_id").alias("row_worse"), F.col(gold).alias("_gw"))
+    # at most k sampled pairs: broadcast into the row table, and for the payload
+    # into the table itself
     pairs = worse.join(F.broadcast(better), ["doc_id", "_jpos"])
+    for side in ("better", "worse") if payload else ():
+        held = df.select("doc_id", F.col("row_id").alias(f"row_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in payload])
+        pairs = held.join(F.broadcast(pairs), ["doc_id", f"row_{side}"])
     return pairs.select(
         "pair_index", "doc_id", "row_better", "row_worse",
         *[x for c in payload for x in (f"{c}_better", f"{c}_worse")],

@@ -17,8 +17,9 @@ Three tiers, chosen per group from its row count:
    ``percentile_approx``; every edge value is its own block, so a heavy value
    never inflates an interval block).  Pairs are split into
    same-a-block (A) + same-b-block (B) - same-both (C) + different-both (D);
-   A, B, C are kernel calls over bounded blocks, D is one kernel call over the
-   block-count matrix.  Single-value blocks contribute nothing to strict
+   A, B, C are the same problem over the blocks and D over the block-count
+   matrix, so each goes to the tier of its size: a block above the bound is cut
+   again.  Single-value blocks contribute nothing to strict
    comparisons and are skipped, which removes value skew.
 
 Counts are doubles: exact up to 2**53 pairs, and they never overflow.
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 SMALL_GROUP = 64
 BLOCK_POINTS = 2_000_000     # distinct points per kernel call (~100 MB of arrays)
-MAX_BLOCKS = 1024
+FAN_OUT = 1024               # blocks that a level cuts a group into at most
 BROADCAST_KEYS = 200_000      # key rows we are willing to broadcast
 BROADCAST_EDGE_VALUES = 2_000_000
 
@@ -256,8 +257,7 @@ def dominance(pts: DataFrame, keys, use_b: bool = True,
     if n_big:
         big_keys = maybe_broadcast(sizes.filter(F.col("_m") > block_points).select(*keys), n_big)
         big_pts = pts.join(big_keys, keys, "left_semi")
-        out = out.unionByName(_decomposed(big_pts, keys, int(n_big), int(max_m), use_b, schema,
-                                          block_points))
+        out = out.unionByName(_decomposed(big_pts, keys, int(n_big), int(max_m), use_b, block_points))
     return out
 
 
@@ -281,8 +281,11 @@ def _block_of(col: str, edges: str):
             + F.array_contains(F.col(edges), F.col(col)).cast("int"))
 
 
-def _decomposed(pts, keys, n_big, max_m, use_b, schema, block_points):
-    k = int(min(MAX_BLOCKS, max(2, 2 * math.ceil(max_m / block_points))))
+def _decomposed(pts, keys, n_big, max_m, use_b, block_points):
+    """Counts of groups of more than ``block_points`` points.  A block that is
+    still too large is a group of its own and cut again, so no kernel call
+    holds more, whatever the size of the group."""
+    k = int(min(FAN_OUT, max(2, 2 * math.ceil(max_m / block_points))))
     fracs = [i / k for i in range(1, k)]
     acc = max(10_000, 20 * k)
     aggs = [F.array_distinct(F.percentile_approx("a", fracs, acc)).alias("_ea")]
@@ -290,25 +293,26 @@ def _decomposed(pts, keys, n_big, max_m, use_b, schema, block_points):
         aggs.append(F.array_distinct(F.percentile_approx("b", fracs, acc)).alias("_eb"))
     edges = pts.groupBy(*keys).agg(*aggs)
     edges = maybe_broadcast(edges, n_big * k, BROADCAST_EDGE_VALUES)
-    p = pts.join(edges, keys).withColumn("ba", _block_of("a", "_ea"))
-    p = p.withColumn("bb", _block_of("b", "_eb") if use_b else F.lit(0))
+    ba, bb = f"_ba{len(keys)}", f"_bb{len(keys)}"        # one pair of names a level
+    p = pts.join(edges, keys).withColumn(ba, _block_of("a", "_ea"))
+    p = p.withColumn(bb, _block_of("b", "_eb") if use_b else F.lit(0))
     p = p.drop("_ea", *(["_eb"] if use_b else [])).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def kern(df, by):
-        return df.groupBy(*by).applyInPandas(_kernel_fn(keys, use_b), schema)
+    def counts(df, by):
+        return dominance(df, keys + by, use_b, block_points).select(*keys, "d1", "lt", "gt")
 
-    even_a = F.col("ba") % 2 == 0
-    even_b = F.col("bb") % 2 == 0
-    parts = [kern(p.filter(even_a), keys + ["ba"])]
+    even_a = F.col(ba) % 2 == 0
+    even_b = F.col(bb) % 2 == 0
+    parts = [counts(p.filter(even_a), [ba])]
     if use_b:
-        parts.append(kern(p.filter(even_b), keys + ["bb"]).withColumn("d1", F.lit(0.0)))
-        c = kern(p.filter(even_a & even_b), keys + ["ba", "bb"])
+        parts.append(counts(p.filter(even_b), [bb]).withColumn("d1", F.lit(0.0)))
+        c = counts(p.filter(even_a & even_b), [ba, bb])
         parts.append(c.select(*keys, F.lit(0.0).alias("d1"), (-F.col("lt")).alias("lt"),
                               (-F.col("gt")).alias("gt")))
-    cells = p.groupBy(*keys, "ba", "bb", "t").agg(F.sum("w").alias("w")).select(
-        *keys, F.col("ba").cast("double").alias("a"), F.col("bb").cast("double").alias("b"),
+    cells = p.groupBy(*keys, ba, bb, "t").agg(F.sum("w").alias("w")).select(
+        *keys, F.col(ba).cast("double").alias("a"), F.col(bb).cast("double").alias("b"),
         "w", "t")
-    parts.append(kern(cells, keys))
+    parts.append(counts(cells, []))
     allp = parts[0]
     for q in parts[1:]:
         allp = allp.unionByName(q)

@@ -28,7 +28,9 @@ def score_with(df: DataFrame, make_fn: Callable, inputs, output: str,
     cols = [key, *inputs] + ([group_by] if group_by and group_by not in inputs else [])
     src = df.select(*cols)
     if group_by:
-        src = src.repartition(group_by).sortWithinPartitions(group_by)
+        # ranges of (value, hash of the row): a frequent value is cut over many
+        # tasks, and still lies together inside each
+        src = src.repartitionByRange(group_by, F.xxhash64(key)).sortWithinPartitions(group_by)
     schema = T.StructType([src.schema[key], T.StructField(output, T.DoubleType())])
 
     def run(batches):

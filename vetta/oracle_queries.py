@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vetta.oracle import (AUDIO_META, DOC_QUALITY, RATINGS, SEGMENTS, SIGNALS, SPAN_ROWS,
                           USER_MATRIX, long_signals, tau_per_group, with_views)
+from vetta.operators.pairs import permutation_rounds
 
 SIG_VALUES = "(VALUES " + ", ".join(f"('{s}')" for s in SIGNALS) + ") AS sl(signal)"
 LP = "src_lang || '->' || tgt_lang"
@@ -316,9 +317,9 @@ SELECT w.rank AS worst_rank, r.doc_id,
 FROM ratings r JOIN w ON w.doc_id = r.doc_id"""
 
 
-def _spearman_prop(prop):
+def _spearman_prop(prop, r=f"round({_pearson('rx', 'ry')}, 6)"):
     return f"""SELECT signal, count(*) AS n,
-       round({_pearson('rx', 'ry')}, 6) AS spearman_r, '{prop}' AS property
+       {r} AS spearman_r, '{prop}' AS property
 FROM (SELECT signal,
              rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2.0 AS rx,
              rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2.0 AS ry
@@ -330,6 +331,17 @@ GROUP BY signal"""
 SQL["spearman_props"] = with_views(RATINGS) + f""", {DETAIL}
 """ + "\nUNION ALL\n".join(_spearman_prop(p) for p in ("n_systems", "gold_range", "pred_range", "gold_mean"))
 
+# two-sided p of t with n - 2 degrees of freedom, as the finite sums of its
+# distribution function (even and odd degrees), with r = sin(theta)
+SQL["spearman_pvalues"] = with_views(RATINGS) + f""", {DETAIL},
+sp AS ({" UNION ALL ".join(_spearman_prop(p, _pearson('rx', 'ry')) for p in ("n_systems", "gold_range", "pred_range", "gold_mean"))}),
+t AS (SELECT *, n - 2 AS k, abs(spearman_r) AS s, 1 - spearman_r * spearman_r AS c FROM sp),
+a AS (SELECT *, CASE WHEN s IS NULL OR k < 1 THEN NULL WHEN s >= 1 THEN 1.0
+  WHEN k % 2 = 0 THEN s * list_sum(list_transform(range(0, k // 2), lambda i: exp(lgamma(i + 0.5) - lgamma(0.5) - lgamma(i + 1.0) + i * ln(c))))
+  ELSE 2 / pi() * (asin(s) + s * sqrt(c) * coalesce(list_sum(list_transform(range(0, (k - 1) // 2),
+         lambda i: exp(lgamma(i + 1.0) + lgamma(1.5) - lgamma(i + 1.5) + i * ln(c)))), 0.0)) END AS inside FROM t)
+SELECT signal, n, round(spearman_r, 6) AS spearman_r, property, round(1 - inside, 6) AS pvalue FROM a"""
+
 SQL["lp_tau_breakdown"] = with_views(RATINGS) + f""", {DETAIL}
 SELECT signal, src_lang, tgt_lang, round(avg(tau), 6) AS mean_tau, count(*) AS n_sources,
        round(quantile_cont(gold_range, 0.5), 6) AS median_gold_range
@@ -598,6 +610,56 @@ per AS (SELECT fold, coalesce(avg(tau), 0.0) AS tau, count(tau) AS n_docs FROM t
 SELECT fold, round(tau, 6) AS tau, n_docs FROM per
 UNION ALL SELECT -1, round(avg(tau), 6), sum(n_docs) FROM per""")
 
+def _permuted(x: str) -> str:
+    """One turn of the keyed permutation of m-bit numbers, in SQL."""
+    for a, c in permutation_rounds(42):
+        x = f"(({x} * {a} + {c}) % (1::BIGINT << m))"
+        x = f"xor({x}, {x} >> ((m + 1) // 2))"
+    return x
+
+
+SQL["pair_cap"] = _nudge_rounds(with_views(RATINGS).replace("WITH", "WITH RECURSIVE", 1) + f""",
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_id) AS dp FROM ratings),
+prs AS (SELECT row_number() OVER (ORDER BY b.doc_id, b.dp, w.dp) - 1 AS pair_index, b.doc_id,
+               b.row_id AS row_better, w.row_id AS row_worse, b.tgt_system AS tgt_system_better, w.tgt_system AS tgt_system_worse,
+               b.sig_a_score AS sb, w.sig_a_score AS sw, b.score AS gb, w.score AS gw
+        FROM p b JOIN p w ON b.doc_id = w.doc_id AND b.score - w.score > 1.0),
+n AS (SELECT count(*) AS total, greatest(2, length(bin(count(*) - 1))) AS m FROM prs),
+walk AS (SELECT i, {_permuted('i')} AS x FROM (SELECT range AS i FROM range(0, 50000)), n
+         UNION ALL SELECT i, {_permuted('x')} FROM walk, n WHERE x >= total),
+picked AS (SELECT x FROM walk, n WHERE x < total)
+SELECT pair_index, doc_id, row_better, row_worse, tgt_system_better, tgt_system_worse,
+       round(sb, 6) AS sig_a_score_better, round(sw, 6) AS sig_a_score_worse,
+       round(gb / 100.0, 6) AS score_better, round(gw / 100.0, 6) AS score_worse, round((gb - gw) / 100.0, 6) AS margin
+FROM prs, n WHERE total <= 50000 OR pair_index IN (SELECT x FROM picked)""")
+
+# ways[n]: share of the permutations of n items with 0, 1, .. inversions (the
+# n-th item adds 0 to n - 1 of them); with ties the normal approximation, its
+# tail by the series of the error function
+SQL["per_source_pvalue"] = _nudge_rounds(with_views(RATINGS).replace("WITH", "WITH RECURSIVE", 1) + f""", lg AS ({LG_DOC}),
+ways AS (SELECT 1 AS n, [1.0::DOUBLE] AS w
+  UNION ALL SELECT n + 1, list_transform(range(0, len(w) + n), lambda k: list_sum(w[greatest(1, k - n + 1):least(len(w), k + 1)]) / (n + 1))
+  FROM ways WHERE n < 33),
+p AS (SELECT a.signal, a.doc_id, sum(sign(a.gold - b.gold) * sign(a.pred - b.pred)) AS s,
+             count_if(a.pred = b.pred) AS tx, count_if(a.gold = b.gold) AS ty, count(*) AS total
+      FROM lg a JOIN lg b ON a.signal = b.signal AND a.doc_id = b.doc_id AND a.row_id < b.row_id GROUP BY ALL),
+c AS (SELECT signal, doc_id, count(*)::DOUBLE AS n FROM lg GROUP BY ALL),
+x AS (SELECT signal, doc_id, sum(t * (t - 1) * (t - 2)) AS x0, sum(t * (t - 1) * (2 * t + 5)) AS x1
+      FROM (SELECT signal, doc_id, pred, count(*)::DOUBLE AS t FROM lg GROUP BY ALL) GROUP BY ALL),
+y AS (SELECT signal, doc_id, sum(t * (t - 1) * (t - 2)) AS y0, sum(t * (t - 1) * (2 * t + 5)) AS y1
+      FROM (SELECT signal, doc_id, gold, count(*)::DOUBLE AS t FROM lg GROUP BY ALL) GROUP BY ALL),
+j AS (SELECT p.*, c.n, x0, x1, y0, y1, n * (n - 1) AS m, ((total - s) / 2)::BIGINT AS d
+      FROM p JOIN c USING (signal, doc_id) JOIN x USING (signal, doc_id) JOIN y USING (signal, doc_id)
+      WHERE tx < total AND ty < total),
+z AS (SELECT *, abs(s) / sqrt(2 * ((m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m
+             + CASE WHEN n > 2 THEN x0 * y0 / (9 * m * (n - 2)) ELSE 0 END)) AS e FROM j),
+q AS (SELECT z.*, w.w, CASE WHEN tx = 0 AND ty = 0 THEN
+    CASE WHEN 2 * least(d, total - d) = total THEN 1.0 ELSE least(1.0, 2 * list_sum(w.w[1:least(d, total - d) + 1])) END
+  ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90),
+         lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * power(e, 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))) END AS pv
+  FROM z JOIN ways w ON w.n = z.n)
+SELECT signal, doc_id, round(s / sqrt((total - tx) * (total - ty)), 6) AS tau, round(pv, 6) AS pvalue FROM q""")
+
 # isotonic fit in its max-min form: the largest, over starts up to a point, of the
 # smallest mean from the start to an end at or after the point
 SQL["isotonic_oof"] = _nudge_rounds(with_views(RATINGS) + f""",
