@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vetta.operators import isotonic, learn, trees
+from vetta.operators import isotonic, learn, pairstats, trees
 from vetta.plans.lineage import checkpointed
 
 
@@ -197,3 +197,24 @@ def test_calibration_equals_max_min_out_of_fold(spark):
                 assert got[r[0]]["calibrated"] == r[4]
             else:
                 assert got[r[0]]["calibrated"] == pytest.approx(np.interp(r[4], *max_min(train)), abs=1e-9)
+
+
+@pytest.mark.parametrize("small", [64, 4])
+def test_moments_of_all_pairs(spark, small, monkeypatch):
+    monkeypatch.setattr(pairstats, "SMALL_GROUP", small)
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 12), rng.choice([None, *range(0, 9)]), rng.gauss(0, 1), rng.choice([None, float("nan"), 1.0, 2.5, -1.0]))
+            for _ in range(150)]
+    rows = [(a, None if b is None else b / 2, c, d) for a, b, c, d in rows]
+    df = spark.createDataFrame(rows, "doc_id long, score double, u double, v double").repartition(3)
+    n, v, g = learn.pair_moments(df, ["u", "v"])
+    whole = [r for r in rows if r[1] is not None and r[3] is not None and r[3] == r[3]]
+    d = np.array([np.subtract(p[2:], q[2:]) for p in whole for q in whole if p[0] == q[0] and p[1] - q[1] > 1.0])
+    assert n == len(d) > 50
+    assert v == pytest.approx(d.sum(axis=0)) and g == pytest.approx(d.T @ d)
+    # at the weights the gradient of the squared loss over all pairs is nought
+    scored, weights = learn.all_pairs_ranker(df, ["u", "v"], alpha=0.5)
+    w = np.array([r["weight"] for r in weights.collect()])
+    assert d.T @ (d @ w - 1) + 0.5 * w == pytest.approx(np.zeros(2), abs=1e-8)
+    assert scored.columns == [*df.columns, "ranker_score"] and scored.count() == 150
+    assert learn.pair_moments(df.where("false"), ["u", "v"])[0] == 0

@@ -10,14 +10,18 @@ where nothing can be fitted a row keeps its raw score: no row is lost."""
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.operators.blend import N_FOLDS, SEED, balanced_folds
-from vetta.operators import isotonic, trees
+from vetta.operators import isotonic, pairstats, sourceruns, trees
+from vetta.operators.blend import N_FOLDS, SEED, Sources, balanced_folds
+from vetta.operators.pairs import MIN_GAP
 from vetta.operators.rank import nan_to_null
 from vetta.plans.ordered import positions_in_group
 
@@ -139,6 +143,85 @@ def ridge_oof(df: DataFrame, features, gold: str = "score", alpha: float = RIDGE
     return res, cdf
 
 
+def _pair_terms(m: int) -> list[tuple[tuple, int, tuple, tuple]]:
+    """(sum it belongs to, sign, factors of the better row, factors of the worse
+    row): the sums over pairs of 1, d and d d' with d = better - worse, as products
+    of one row's features each."""
+    out = [((), 1, (), ())]
+    for i in range(m):
+        out += [((i,), 1, (i,), ()), ((i,), -1, (), (i,))]
+        for j in range(i, m):
+            out += [((i, j), 1, (i, j), ()), ((i, j), -1, (i,), (j,)), ((i, j), -1, (j,), (i,)), ((i, j), 1, (), (i, j))]
+    return out
+
+
+def _small_moments(features, gap: float):
+    m = len(features)
+    cells = [(), *((i,) for i in range(m)), *((i, j) for i in range(m) for j in range(i, m))]
+
+    def run(batches):
+        n, v, g = 0.0, np.zeros(m), np.zeros((m, m))
+        for r in sourceruns.runs(batches, features):
+            diff = r.y[r.left] - r.y[r.right]
+            use = np.abs(diff) > gap
+            d = (r.x[r.left[use]] - r.x[r.right[use]]) * np.sign(diff[use])[:, None]
+            n, v, g = n + len(d), v + d.sum(axis=0), g + d.T @ d
+        yield pd.DataFrame({"cell": [",".join(map(str, c)) for c in cells],
+                            "value": [n if not c else float(v[c[0]] if len(c) == 1 else g[c]) for c in cells]})
+    return run
+
+
+def pair_moments(df: DataFrame, features, gold: str = "score", gap: float = MIN_GAP) -> tuple[float, np.ndarray, np.ndarray]:
+    """Over all preference pairs (same source, gold more than ``gap`` apart; d =
+    features of the better row - those of the worse): number, sum of d, sum of d d'.
+    Rows that lack gold or a feature are in no pair.  Pairs of small sources are
+    streamed; in larger ones every sum is a weighted dominance count."""
+    features = list(features)
+    whole = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (gold, *features)]
+    sources = Sources(df.where(functools.reduce(lambda a, b: a & b, whole)), features, gold)
+    cells = sources.small.mapInPandas(_small_moments(features, gap), "cell string, value double")
+    if sources.n_big:
+        def weight(factors):
+            return functools.reduce(lambda a, b: a * b, [F.col(features[i]) for i in factors], F.lit(1.0))
+
+        terms = _pair_terms(len(features))
+        base = sources.big.withColumn("_g", F.col(gold).cast("double"))
+        sides = []
+        for t, at, which in ((1, F.col("_g"), 3), (0, pairstats.cut_column("_g", gap, strict=True, above=True), 2)):
+            each = F.explode(F.array(*[F.struct(F.lit(k).alias("term"), weight(x[which]).alias("w")) for k, x in enumerate(terms)]))
+            rows = base.select("doc_id", at.alias("a"), each.alias("x")).groupBy("doc_id", "x.term", "a").agg(F.sum("x.w").alias("w"))
+            sides.append(rows.withColumns({"t": F.lit(t), "b": F.lit(0.0)}))
+        found = pairstats.dominance(sides[0].unionByName(sides[1]), ["doc_id", "term"], use_b=False)
+        cell = F.element_at(F.array(*[F.lit(",".join(map(str, x[0]))) for x in terms]), F.col("term") + 1)
+        sign = F.element_at(F.array(*[F.lit(float(x[1])) for x in terms]), F.col("term") + 1)
+        cells = cells.unionByName(found.select(cell.alias("cell"), (sign * F.col("d1")).alias("value")))
+    m = len(features)
+    n, v, g = 0.0, np.zeros(m), np.zeros((m, m))
+    for r in cells.groupBy("cell").agg(F.sum("value").alias("value")).collect():       # a row a cell
+        at = tuple(int(i) for i in r["cell"].split(",") if i)
+        if not at:
+            n = r["value"]
+        elif len(at) == 1:
+            v[at[0]] = r["value"]
+        else:
+            g[at] = g[at[::-1]] = r["value"]
+    return n, v, g
+
+
+def all_pairs_ranker(df: DataFrame, features, gold: str = "score", gap: float = MIN_GAP, alpha: float = RIDGE_ALPHA,
+                     out: str = "ranker_score"):
+    """Linear scorer that puts the better row of every preference pair one ahead:
+    least squares of w.d - 1 over all pairs plus alpha w.w, from ``pair_moments``
+    (no pair rows, no sample).  A row that lacks a feature has no score.  Returns
+    ``(df plus out, weights)``."""
+    features = list(features)
+    _, v, g = pair_moments(df, features, gold, gap)
+    w = np.linalg.solve(g + alpha * np.eye(len(features)), v)
+    score = functools.reduce(lambda a, b: a + b, [nan_to_null(f) * F.lit(float(c)) for f, c in zip(features, w)])
+    weights = df.sparkSession.createDataFrame([(f, float(c)) for f, c in zip(features, w)], "feature string, weight double")
+    return df.withColumn(out, score), weights
+
+
 def pairwise_ranker(pairs: DataFrame, rows: DataFrame, features, out: str = "ranker_score",
                     reg: float = 0.0):
     """Linear scorer trained to order preference pairs: logistic regression

@@ -809,3 +809,23 @@ SQL["cv_scores"] = _nudge_rounds(with_views(RATINGS) + f""", e AS ({_CV}),
 r AS (SELECT *, {FOLD} AS fold FROM ratings)
 SELECT r.row_id, r.fold, round(CASE WHEN {_DEN} <> 0 THEN ({_NUM}) / ({_DEN}) END, 6) AS cv_ensemble_score
 FROM r JOIN e ON e.fold = r.fold""")
+
+# --- ranker over all preference pairs: normal equations of the pair differences -------------------------
+
+SQL["pairwise_ranker"] = _nudge_rounds(with_views(RATINGS) + f""",
+d AS (SELECT a.sig_a_score - b.sig_a_score AS a, a.sig_b_score - b.sig_b_score AS b, a.sig_c_score - b.sig_c_score AS c
+      FROM ratings a JOIN ratings b ON a.doc_id = b.doc_id AND a.score - b.score > 1.0),
+m AS (SELECT sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) + 1 AS bb, sum(b * c) AS bc,
+             sum(c * c) + 1 AS cc, sum(a) AS va, sum(b) AS vb, sum(c) AS vc FROM d),
+e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+w AS (SELECT (va * (bb * cc - bc * bc) - ab * (vb * cc - bc * vc) + ac * (vb * bc - bb * vc)) / det AS wa,
+             (aa * (vb * cc - bc * vc) - va * (ab * cc - bc * ac) + ac * (ab * vc - vb * ac)) / det AS wb,
+             (aa * (bb * vc - vb * bc) - ab * (ab * vc - vb * ac) + va * (ab * bc - bb * ac)) / det AS wc FROM e)
+SELECT row_id, round(sig_a_score * wa + sig_b_score * wb + sig_c_score * wc, 6) AS ranker_score FROM ratings, w""")
+SQL["pairwise_ranker_decimal"] = _nudge_rounds(with_views(_DECIMAL) + """,
+r AS (SELECT *, CAST(length(row_id) AS DOUBLE) AS length_score FROM decimal_ratings),
+d AS (SELECT a.sig_a_score - b.sig_a_score AS a, a.length_score - b.length_score AS b
+      FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.score - b.score > 1.0),
+m AS (SELECT sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a) AS va, sum(b) AS vb FROM d)
+SELECT row_id, round(sig_a_score * (va * bb - ab * vb) / (aa * bb - ab * ab)
+                     + length_score * (aa * vb - ab * va) / (aa * bb - ab * ab), 6) AS ranker_score FROM r, m""")

@@ -597,9 +597,14 @@ def ridge_stack(spark, d):
 
 
 def pairwise_ranker(spark, d):
-    r = views.ratings(spark, d)
-    pairs = PR.sample_preference_pairs(r, payload=tuple(SIG))
-    scored, _ = LN.pairwise_ranker(pairs, r, SIG)
+    scored, _ = LN.all_pairs_ranker(views.ratings(spark, d), SIG)
+    return _round_doubles(scored.select("row_id", "ranker_score"))
+
+
+def pairwise_ranker_decimal(spark, d):
+    """Over sources on both sides of the array limit; the row's own order beside the signal."""
+    r = views.decimal_ratings(spark, d).withColumn("length_score", F.length("row_id").cast("double"))
+    scored, _ = LN.all_pairs_ranker(r, ["sig_a_score", "length_score"])
     return _round_doubles(scored.select("row_id", "ranker_score"))
 
 
@@ -617,7 +622,7 @@ def merge_signal(spark, d):
 
 REGISTRY.update({
     "gbt_oof": gbt_oof, "isotonic_oof": isotonic_oof, "ridge_stack": ridge_stack,
-    "pairwise_ranker": pairwise_ranker, "batch_scorer": batch_scorer, "merge_signal": merge_signal,
+    "pairwise_ranker": pairwise_ranker, "pairwise_ranker_decimal": pairwise_ranker_decimal, "batch_scorer": batch_scorer, "merge_signal": merge_signal,
 })
 
 
