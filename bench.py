@@ -39,7 +39,6 @@ HEADLINE = [
     "isotonic_oof",
     "weight_lines",
     "weight_search",
-    "gbt_oof",
 ]
 
 

@@ -577,8 +577,9 @@ from vetta.operators import scorer as SC  # noqa: E402
 from vetta.operators import trees as TR  # noqa: E402
 
 
-# a round is some ten passes over all folds: fewer and longer steps than the library's default
-GBT = TR.Params(rounds=30, rate=0.25, patience=10)
+# a round is several passes over all folds: fewer and longer steps, on smaller
+# trees, than the library's default
+GBT = TR.Params(rounds=12, rate=0.4, leaves=15, patience=6)
 
 
 def gbt_oof(spark, d):
