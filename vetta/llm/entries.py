@@ -201,8 +201,8 @@ k AS (
 cut AS (
   SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
          (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score
-  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ')
-         JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:size], ' ')),
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
+         JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:k.size], ' ')),
 weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut),
 longer AS (
   SELECT lang, phrase, max(a) AS a FROM (
