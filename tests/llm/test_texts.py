@@ -254,6 +254,23 @@ def test_toxicity_probabilities_add_up():
     assert (toxicity.log_ratio(model, np.array([0x2061, 0x2062, 0x2063])) == 0).all()
 
 
+def test_homes():
+    """A key's own context and all shorter ones are found in its bucket, or are upper rows."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(97, 100, (4000, 7)) @ (1 << 8 * np.arange(7, dtype=np.int64)))
+    contexts, hot = keys >> 8, {}
+    for d in range(2, 6):
+        home, n = np.unique(contexts & ((1 << 8 * d) - 1), return_counts=True)
+        hot[d] = home[n > 40]
+    homes = toxicity.Homes(hot, 7)
+    bucket, upper = homes.find(contexts, np.full(len(keys), 6))
+    assert not upper.any() and set(bucket) == set(range(7)) and len(hot[2]) and not len(hot[5])
+    for size in range(2, 7):
+        own, short = homes.find(contexts & ((1 << 8 * size) - 1), np.full(len(keys), size))
+        assert (short | (own == bucket)).all() and short.any() == (size == 2 or bool(len(hot.get(size, ()))))
+    assert (toxicity.unpacked(toxicity.packed(keys), len(keys)) == keys).all()
+
+
 def plain_evidence(train, texts):
     """Evidence by Python loops over the counts of all n-grams."""
     def words(t):
@@ -297,12 +314,13 @@ def plain_evidence(train, texts):
     return [sum(known[w] for w in words(t)) / max(1, len(words(t))) for t in texts]
 
 
-@pytest.mark.parametrize("frequent, block", [(1 << 16, 1 << 16), (3, 64)])
-def test_toxicity_keeps_rare_counts(spark, words, monkeypatch, frequent, block):
+@pytest.mark.parametrize(("frequent", "block", "homes"), [(1 << 16, 1 << 16, 1 << 18), (3, 64, 1 << 18), (3, 64, 16)])
+def test_toxicity_keeps_rare_counts(spark, words, monkeypatch, frequent, block, homes):
     """A toxic word seen once among millions of n-grams of either class counts,
     and words outside the broadcast table do too."""
     monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+    monkeypatch.setattr(toxicity, "HOME_KEYS", homes)
     rng = random.Random(12)
     rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (f" zw{i}ick blarg" if i % 3 == 0 else ""), int(i % 3 == 0))
             for i in range(90)]

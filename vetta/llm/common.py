@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_RUN = r"[\x20\x09-\x0D]+"         # what separates words
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,13 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Actions inside drop their shuffle files as they end."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again:
-    cuts the lineage, survives lost executors, computes the input once."""
+    cuts the lineage, survives lost executors, computes the input once and
+    leaves none of its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vetta-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with releasing(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import staged
+from vetta.llm.common import discard, staged
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labels = staged(nodes.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
                     .select("node", "name", F.col("name").alias("label")), "labels")
     while True:
+        before = labels
         near = (both.join(labels.select(F.col("node").alias("a"), "label"), "a")
                 .groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near")))
         moved = labels.join(near, "node", "left").select(
@@ -24,5 +25,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         ahead = moved.groupBy(F.col("name").alias("label")).agg(F.min("label").alias("ahead"))
         labels = staged(moved.join(ahead, "label", "left").select(
             "node", "name", "old", F.least("label", "ahead").alias("label")), "labels")
+        discard(before)
         if labels.where("label <> old").isEmpty():
+            discard(both)
             return labels.select("node", "label")

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from vetta.llm import bloom
 from vetta.llm import words as W
-from vetta.llm.common import staged
+from vetta.llm.common import discard, staged
 from vetta.llm.components import components
 
 SHINGLE = 5                     # words of a shingle
@@ -216,12 +216,16 @@ def meeting_places(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def merged(regions: DataFrame) -> DataFrame:
-    """Regions with the same members once, single members left out."""
+    """Of staged regions those with the same members once, single members left out;
+    the others are deleted."""
     region = regions.groupBy("region").agg(
         F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.sum(F.shiftright(F.xxhash64("node"), 16)).alias("mark"))
     once = region.where("size > 1").groupBy("size", "low", "high", "mark").agg(F.min("region").alias("region"))
-    return regions.join(staged(once.select("region"), "merged"), "region", "left_semi")
+    once = staged(once.select("region"), "merged")
+    kept = staged(regions.join(once, "region", "left_semi"), "regions")
+    discard(once, regions)
+    return kept
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -246,8 +250,10 @@ def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
                                                      pa.binary())], names=["node", "keys"])
 
     sets = staged(texts.mapInArrow(run, "node long, keys binary"), "keys")
+    discard(chosen)
     if sets.count() > n:                        # equal rows
-        sets = staged(sets.dropDuplicates(["node"]), "keys")
+        repeated, sets = sets, staged(sets.dropDuplicates(["node"]), "keys")
+        discard(repeated)
     return sets
 
 
@@ -263,7 +269,9 @@ def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sets of some nodes (few others): the rest stays out of the shuffle."""
     wanted = staged(nodes.distinct(), "wanted")
     bits = bloom.filter_bits(wanted.count())
-    return bloom.with_hit(sets, "node", bloom.pages(bloom.cell_rows(wanted, F.col("node"), bits)), bits).where("hit").drop("hit")
+    bitmaps = staged(bloom.pages(bloom.cell_rows(wanted, F.col("node"), bits)), "wanted-bits")
+    discard(wanted)
+    return bloom.with_hit(sets, "node", bitmaps, bits).where("hit").drop("hit")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -297,11 +305,14 @@ def _distance() -> Column:
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """Each region's members, the shingles they hold (``held``), its largest
-    component's label (``top``) and the pairs of members between different components (``open``)."""
+    """Each region's members, the shingles they hold (``held``), the members
+    outside the largest component and their shingles (``others``, ``other_held``), its
+    label (``top``) and the pairs of members between different components (``open``)."""
     parts = rows.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     n, squares = F.sum("c"), F.sum(F.col("c") * F.col("c"))
-    return parts.groupBy("region").agg(n.alias("size"), F.sum("s").alias("held"), F.max_by("label", F.struct("c", "label")).alias("top"),
+    largest = F.max(F.struct("c", "label", "s"))
+    return parts.groupBy("region").agg(n.alias("size"), F.sum("s").alias("held"), largest["label"].alias("top"),
+                                       (n - largest["c"]).alias("others"), (F.sum("s") - largest["s"]).alias("other_held"),
                                        ((n * n - squares) / 2).cast("long").alias("open"))
 
 
@@ -309,13 +320,14 @@ def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
     """Links (a, b) of regions with many open pairs: members outside the largest
     component and all members lie in blocks, and a task joins one block of each
     through the shingles they hold, so no pair is emitted that does not link."""
-    def blocks(size: int, keys: int) -> Column:
-        return F.ceil(F.greatest(F.col("size") / size, F.col("held") / keys)).cast("int")
+    def blocks(rows: str, held: str, size: int, keys: int) -> Column:
+        return F.ceil(F.greatest(F.col(rows) / size, F.col(held) / keys)).cast("int")
 
     def block(count: Column, name: str) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(name)), count).cast("int")
 
-    many, few = blocks(GRID_MEMBERS, GRID_KEYS), blocks(GRID_OUTSIDE, GRID_KEYS // 4)
+    many = blocks("size", "held", GRID_MEMBERS, GRID_KEYS)
+    few = blocks("others", "other_held", GRID_OUTSIDE, GRID_KEYS // 4)
     cols = ["region", "node", "n", "d", "label", "top"]
     members = big.select(*cols, block(many, "member").alias("m"), F.explode(F.sequence(F.lit(0), few - 1)).alias("o"),
                          F.lit(False).alias("asks"))
@@ -354,9 +366,11 @@ def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
 
 
 def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
-    """(a, b): links enough to connect what is linked in any region."""
+    """(a, b): links enough to connect what is linked in any region.  The staged
+    regions and sets are deleted."""
     reach = 1 - PERCENT / 100 + 1e-9            # threshold, and room for rounding
-    regions = staged(regions.join(names.select("node", F.col("name").alias("label")), "node"), "regions")
+    plain, regions = regions, staged(regions.join(names.select("node", F.col("name").alias("label")), "node"), "regions")
+    discard(plain)
 
     # balls: the smallest node of each region is its pivot, so the regions of
     # one group of copies agree on it and each distance is computed once
@@ -364,6 +378,7 @@ def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> Da
                     .select("region", F.col("p.node").alias("p"), F.col("p.n").alias("np")), "pivots")
     asked = regions.join(pivots, "region").where(F.col("node") != F.col("p")).select("node", "n", "label", "p", "np")
     asked = staged(asked.dropDuplicates(["node", "p"]), "asked")
+    discard(regions, pivots)
     pairs = asked.where(_near_sizes("n", "np")).select(F.col("node").alias("a"), F.col("p").alias("b"))
     found = staged(distances(pairs, sets), "distances")
     balls = staged(found.where(_linked()).select("a", "b"), "balls")
@@ -377,13 +392,18 @@ def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> Da
             # no distance: the sizes are too far apart, it is beyond the threshold
             .select(F.col("p").alias("region"), "node", "n", "d", "label", F.coalesce("ball", F.lit(False)).alias("ball")))
     nearest = rest.where(~F.col("ball")).groupBy("region").agg(F.min(F.coalesce("d", F.lit(reach))).alias("nearest"))
-    rest = (rest.join(staged(nearest, "nearest"), "region")
+    nearest = staged(nearest, "nearest")
+    rest = (rest.join(nearest, "region")
             .where(~F.col("ball") | (F.col("d") >= F.col("nearest") - reach)).drop("ball", "nearest"))
     rest = staged(rest.join(labels, "node", "left")
                   .select("region", "node", "n", "d", F.coalesce("moved", "label").alias("label")), "rest")
+    discard(asked, found, nearest)
     unsettled = staged(measured(rest).where("open > 0"), "unsettled")
     big = staged(rest.join(unsettled, "region"), "open")
-    return staged(balls.union(grid_links(big, sets, reach)), "links")
+    discard(rest, unsettled)
+    links = staged(balls.union(grid_links(big, sets, reach)), "links")
+    discard(balls, big, sets)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,7 +418,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     packed = staged(postings(docs, count_sketch(docs, sketch_bits(size)), buckets), "postings")
-    regions = staged(merged(staged(meeting_places(packed, buckets), "places")), "regions")
+    places = staged(meeting_places(packed, buckets), "places")
+    discard(packed)
+    regions = merged(places)
     sets = sets_of(docs, names, regions.select("node").distinct())
     links = recursive_links(regions, sets, names)
     labelled = staged(known.join(components(names.select("node", "name"), links), "node", "left")

@@ -15,8 +15,11 @@ All labelled documents outside the held-out fold take part, none is sampled;
 counting is a Spark aggregation that grows with them, and every count stays, in
 Spark tables (only the shared orders, 65,792 n-grams at most, are broadcast).
 Each different word of the corpus is scored once: words lie in blocks of
-bounded size, and a block meets the counts of its words' n-grams by a join (a
-Bloom filter keeps most n-grams without counts out of its shuffle).
+bounded size, and a block asks one ratio for each n-gram of the highest order in
+its words.  N-grams and counts meet in buckets by the two bytes before the last,
+which an n-gram, its contexts and all its lower orders have in common; where more
+than ``HOME_KEYS`` n-grams share them, one byte more decides, and the few counts
+of contexts that are shorter than that go to all tasks (see ``Homes``).
 Words beyond the margin give evidence, others none.  Of the former the
 ``FREQUENT`` in most slices of text are broadcast and need no shuffle; the
 occurrences of the others, found by a Bloom filter, are joined with their
@@ -39,6 +42,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +50,15 @@ from pyspark.sql import types as T
 
 from vetta.llm import bloom
 from vetta.llm import words as W
-from vetta.llm.common import free_name, staged
+from vetta.llm.common import discard, free_name, staged
 from vetta.llm.labels import train_texts
 
 ADDED = ("evidence", "score")
 ORDER = 7                       # bytes of an n-gram; at most 7 fit a signed long
 SHARED = 2                      # orders up to this one count both classes together
 BLOCK_BYTES = 256 << 10         # different words whose n-grams meet their counts in one task
+HOME_KEYS = 1 << 18             # n-grams asked in one bucket, on average and of one home
+MOST_HOMES = 2048               # ``HOME_KEYS`` grows once so many homes of one length pass it
 FREQUENT = 1 << 16              # words whose values are broadcast
 UNIT = 1 << 24                  # values of words are multiples of 1 / UNIT
 MARGIN = 3.0                    # log-likelihood ratio a word must exceed to count
@@ -145,30 +151,35 @@ def placed(key, place: int):
     return key + (place << 56)
 
 
-def train_model(train: DataFrame) -> tuple[dict, DataFrame] | None:
-    """From (id, text, y) rows the shared orders as arrays, and all n-grams and
-    contexts of the others as rows (key, counts), see ``placed``; None without
-    rows of both classes."""
+def train_model(train: DataFrame) -> tuple[dict, dict] | None:
+    """From (id, text, y) rows the shared orders as arrays, and for the others
+    staged tables of n-grams (by twice the order) and of contexts (by one more);
+    None without rows of both classes."""
     table = staged(count_grams(train), "toxicity-grams")
     total = table.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     if not total.t or not total.o:
         return None
-    low, high = {}, []
+    low, high = {}, {}
     for order in range(ORDER, 0, -1):
         if order < ORDER:
             table = staged(lower_order(table, order), f"toxicity-{order}-grams")
-        zero = F.lit(0).cast("long")
         if order <= SHARED:
+            zero = F.lit(0).cast("long")
             both = table.select("key", (F.col("t") + F.col("o")).alias("t"), zero.alias("o"))
             low[order] = _of_order(both.select("*", zero.alias("kt"), zero.alias("ko")).toPandas(), contexts_of(both).toPandas())
         else:
-            grams_ = table.select("key", *CLASSES, zero.alias("kt"), zero.alias("ko"))
-            contexts = staged(contexts_of(table), f"toxicity-{order}-contexts")
-            high += [df.withColumn("key", placed(F.col("key"), place)) for place, df in ((2 * order, grams_), (2 * order + 1, contexts))]
-    rows = high[0]
-    for df in high[1:]:
-        rows = rows.unionByName(df)
-    return low, rows
+            high[2 * order], high[2 * order + 1] = table, staged(contexts_of(table), f"toxicity-{order}-contexts")
+    return low, high
+
+
+def all_counts(high: dict) -> DataFrame:
+    """Rows (key, counts) of all tables, see ``placed``."""
+    rows = None
+    for place, df in high.items():
+        sums = [F.col(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in COUNTS]
+        part = df.select(placed(F.col("key"), place).alias("key"), *sums)
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def _find(table: dict, keys: np.ndarray, cols: tuple) -> list[np.ndarray]:
@@ -196,35 +207,70 @@ def log_ratio(model: dict, keys: np.ndarray) -> np.ndarray:
     return np.log(likely["t"] / likely["o"])
 
 
-def _cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(W.splitmix(keys.view(np.uint64) ^ np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.int64) for seed in (0, 0x9E3779B97F4A7C15)]
-
-
-def key_filter(counts: DataFrame) -> tuple[np.ndarray, int]:
-    """Bytes of a Bloom filter of the keys (at most 32 MB), and its bits."""
-    bits = bloom.filter_bits(counts.count())
+class Homes:
+    """Which bucket answers for an n-gram of the highest order, and which one
+    needs a count.  A home is the last ``SHARED`` bytes of a context; one in
+    ``hot`` (those that more than ``HOME_KEYS`` asked n-grams share) is split by
+    the byte before them, again and again up to the whole context."""
+
+    def __init__(self, hot: dict[int, np.ndarray], buckets: int):
+        self.hot, self.buckets = hot, buckets
+
+    def find(self, context: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of contexts of the given numbers of bytes; whether a context
+        ends before its home does, so that every bucket may need it."""
+        depth = np.full(len(context), SHARED, np.int64)
+        upper = np.zeros(len(context), bool)
+        for d in range(SHARED, ORDER - 1):
+            deeper = (depth == d) & ~upper & np.isin(context & ((1 << (8 * d)) - 1), self.hot.get(d, ()))
+            upper |= deeper & (size == d)
+            depth += deeper & (size > d)
+        home = (context & ((1 << (8 * depth)) - 1)) | depth << 56
+        return (W.splitmix(home.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32), upper
+
+
+def homes_of(words: DataFrame) -> Homes:
+    """Buckets for the n-grams of the words; one pass over the words for each
+    length of a home that is hot."""
+    def counted(depth: int, above: np.ndarray | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                w = W.split_words(batch.column("word"), W.PLAIN)
+                context = np.unique(grams(w, np.arange(len(w.start)))[0]) >> 8
+                if above is not None:
+                    context = context[np.isin(context & ((1 << (8 * depth - 8)) - 1), above)]
+                home, n = np.unique(context & ((1 << (8 * depth)) - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(n)], names=["home", "n"])
+
+        return words.select("word").mapInArrow(run, "home long, n long").groupBy("home").agg(F.sum("n").alias("n"))
+
+    hot, above = {}, None
+    for depth in range(SHARED, ORDER - 1):
+        homes = staged(counted(depth, above), "toxicity-homes")
+        if above is None:
+            total = homes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            most = max(HOME_KEYS, total // MOST_HOMES)
+        above = homes.where(F.col("n") > most).select("home").toPandas()["home"].to_numpy(np.int64)
+        discard(homes)
+        if not len(above):
+            break
+        hot[depth] = np.sort(above)
+    return Homes(hot, total // most + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = np.unique(np.concatenate(_cells(batch.column("key").to_numpy(), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
 
-    out = np.zeros(((1 << bits) // bloom.PAGE_CELLS, bloom.PAGE_CELLS // 8), np.uint8)
-    for row in bloom.pages(counts.select("key").mapInArrow(run, "cell long")).toLocalIterator():
-        out[row.page] = np.frombuffer(row.bitmap, np.uint8)
-    return out.ravel(), bits
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys, compressed: bytes of their differences, place by place."""
+    steps = np.diff(keys, prepend=0)
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def may_have(found: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
-    """Whether a key filter lets each key through."""
-    hit = np.ones(len(keys), bool)
-    for cell in _cells(keys, found[1]):
-        hit &= (found[0][cell >> 3] >> (cell & 7) & 1).astype(bool)
-    return hit
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    places = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(places.T).view(np.int64).ravel())
 
 
 def different_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, slices, block): each different word and in how many slices it is."""
+    """(word, slices): each different word and in how many slices it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end in W.byte_slices(batch.column("text"), SLICE_BYTES):
@@ -237,49 +283,87 @@ def different_words(docs: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([found], names=["word"])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string")
-    words = staged(found.groupBy("word").agg(F.count("*").alias("slices")), "toxicity-words")
+    return staged(found.groupBy("word").agg(F.count("*").alias("slices")), "toxicity-words")
+
+
+def in_blocks(words: DataFrame) -> DataFrame:
+    """``words`` plus their block, of ``BLOCK_BYTES`` on average."""
     size = words.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
     return words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(size // BLOCK_BYTES + 1)).cast("int"))
 
 
-def word_values(docs: DataFrame, model: tuple[dict, DataFrame], text_col: str = "text") -> DataFrame:
+def word_values(docs: DataFrame, model: tuple[dict, dict], text_col: str = "text") -> DataFrame:
     """(word, value, slices) of the words beyond the margin: the hash, and by
     how much in multiples of 1 / UNIT."""
-    low, counts = model
-    shared = docs.sparkSession.sparkContext.broadcast(low)      # at most 65,792 n-grams
-    known_keys = docs.sparkSession.sparkContext.broadcast(key_filter(counts))
-    words = different_words(docs, text_col)
+    low, high = model
+    context = docs.sparkSession.sparkContext
+    different = different_words(docs, text_col)
+    homes, words = homes_of(different), in_blocks(different)
+    shared = context.broadcast(low)             # at most 65,792 n-grams
 
-    def ask(part: pa.Table) -> pa.Table:
-        w = W.split_words(part.column("word"), W.PLAIN)
-        keys = np.unique(grams(w, np.arange(len(w.start)))[0])
-        asked = []
-        for order in range(SHARED + 1, ORDER + 1):
-            gram = np.unique(keys & ((1 << (8 * order)) - 1))
-            asked += [placed(gram, 2 * order), placed(np.unique(gram >> 8), 2 * order + 1)]
-        asked = np.concatenate(asked)
-        asked = asked[may_have(known_keys.value, asked)]
-        return pa.table({"block": pa.array(np.full(len(asked), part.column("block")[0].as_py(), np.int32)), "key": pa.array(asked)})
-
-    def value(part: pa.Table, known: pa.Table) -> pa.Table:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tagged = batch.column("key").to_numpy()
+            table, key = tagged >> 56, tagged & ((1 << 56) - 1)
+            bucket, upper = homes.find(np.where(table % 2 == 0, key >> 8, key), table // 2 - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(upper, -1, bucket).astype(np.int32)), *batch.columns],
+                                             names=["bucket", *batch.schema.names])
+
+    counts = staged(all_counts(high).mapInArrow(place, "bucket int, key long, t long, o long, kt long, ko long"), "toxicity-counts")
+    discard(*high.values())
+    # at most 257 rows for each hot home, of which each length has MOST_HOMES
+    upper = context.broadcast(counts.where("bucket < 0").toPandas() if homes.hot else None)
+
+    def asked_keys(part: pa.Table) -> tuple:
         w = W.split_words(part.column("word"), W.PLAIN)
         keys, word = grams(w, np.arange(len(w.start)))
         found, at = np.unique(keys, return_inverse=True)
-        frame, own = known.to_pandas(), dict(shared.value)
-        place = frame["key"].to_numpy(np.int64) >> 56
-        frame["key"] = frame["key"].to_numpy(np.int64) & ((1 << 56) - 1)
+        bucket, _ = homes.find(found >> 8, np.full(len(found), ORDER - 1))
+        order = np.argsort(bucket, kind="stable")           # keys stay sorted in each
+        used, begin = np.unique(bucket[order], return_index=True)
+        return w, word, found, at, order, used, np.append(begin, len(order))
+
+    def ask(part: pa.Table) -> pa.Table:
+        _, _, found, _, order, used, cut = asked_keys(part)
+        return pa.table({"block": pa.array(np.full(len(used), part.column("block")[0].as_py(), np.int32)),
+                         "bucket": pa.array(used), "n": pa.array(np.diff(cut).astype(np.int32)),
+                         "keys": pa.array([packed(found[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        frame, own = known.select(["key", *COUNTS]).to_pandas(), dict(shared.value)
+        if upper.value is not None:
+            frame = pd.concat([frame, upper.value[["key", *COUNTS]]])
+        tagged = frame["key"].to_numpy(np.int64)
+        frame["key"] = tagged & ((1 << 56) - 1)
         for order in range(SHARED + 1, ORDER + 1):
-            own[order] = _of_order(*(frame[place == p] for p in (2 * order, 2 * order + 1)))
-        ratio = np.bincount(word, weights=log_ratio(own, found)[at], minlength=len(w.start))
+            own[order] = _of_order(*(frame[tagged >> 56 == p] for p in (2 * order, 2 * order + 1)))
+        ratios = [log_ratio(own, unpacked(keys.as_py(), n.as_py())).astype(np.float32)
+                  for keys, n in zip(asked.column("keys"), asked.column("n"))]
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"),
+                         "ratios": pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in ratios], pa.binary())})
+
+    def value(part: pa.Table, answers: pa.Table) -> pa.Table:
+        w, word, found, at, order, used, cut = asked_keys(part)
+        each = np.zeros(len(found))
+        for bucket, ratios in zip(answers.column("bucket").to_pylist(), answers.column("ratios")):
+            i = int(np.searchsorted(used, bucket))
+            own = order[cut[i]:cut[i + 1]]
+            each[own] = np.frombuffer(pa.decompress(ratios.as_py(), 4 * len(own), "zstd", asbytes=True), np.float32)
+        ratio = np.bincount(word, weights=each[at], minlength=len(w.start))
         units = np.rint(np.maximum(ratio - MARGIN, 0) * UNIT).astype(np.int64)
         big = np.flatnonzero(units)
         return pa.table({"word": pa.array(W.signed(W.word_hashes(w)[big])), "value": pa.array(units[big]),
                          "slices": part.column("slices").take(pa.array(big))})
 
-    asked = words.groupBy("block").applyInArrow(ask, "block int, key long")
-    known = asked.join(counts, "key").select("block", "key", *COUNTS)
-    found = words.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(value, "word long, value long, slices long")
-    return staged(found, "toxicity-values")
+    asked = words.groupBy("block").applyInArrow(ask, "block int, bucket int, n int, keys binary")
+    answers = (asked.groupBy("bucket").cogroup(counts.where("bucket >= 0").groupBy("bucket"))
+               .applyInArrow(answer, "block int, bucket int, ratios binary"))
+    found = words.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(value, "word long, value long, slices long")
+    values = staged(found, "toxicity-values")
+    discard(different, counts)
+    for sent in (shared, upper):
+        sent.destroy()
+    return values
 
 
 class Values:
@@ -408,8 +492,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id
     train = staged(train_texts(docs, labels, label, id_col, text_col), "toxicity-train")
     only_calibrates = F.xxhash64("id", F.lit("calibrate")) % CALIBRATE == 0
     model = train_model(train.where(~only_calibrates))
-    values = Values(word_values(docs, model, text_col)) if model else None
-    slope, offset = calibrate(with_evidence(train.where(only_calibrates), values)) if model else (0.0, 0.0)
+    values, slope, offset = None, 0.0, 0.0
+    if model:
+        found = word_values(docs, model, text_col)
+        values = Values(found)
+        discard(found)
+        slope, offset = calibrate(with_evidence(train.where(only_calibrates), values))
+    discard(train)
     evidence, score = (free_name(docs, c) for c in ADDED)
     z = log_evidence(evidence) * F.lit(float(slope)) + F.lit(float(offset))
     return with_evidence(docs, values, id_col, text_col, evidence).withColumn(score, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
