@@ -130,6 +130,19 @@ def test_lineage_is_cut(spark, monkeypatch):
     assert checkpointed(df).count() == 200
 
 
+def test_passes_read_blocks_of_rows(spark):
+    df = spark.createDataFrame(table(500, 3), SCHEMA).repartition(2)
+    edges = trees.bin_edges(df, ["a", "b", "c"])
+    rows = trees.binned(df, ["a", "b", "c"], edges, "score", "fold")
+    blocks = trees.in_blocks(rows, np.array([1.5, -2.0]))
+    assert blocks.count() == 2                          # an Arrow batch each, not 500 rows
+    found = [b for part in blocks.toArrow().to_batches() for b in trees._blocks(part)]
+    assert sum(len(y) for _, y, _, _, _ in found) == 500
+    assert all((pred[0] == 1.5).all() and (pred[1] == -2.0).all() and x.shape == (3, len(y)) for _, y, _, x, pred in found)
+    held = sorted((h, *x) for _, _, hs, xs, _ in found for h, x in zip(hs.tolist(), xs.T.tolist()))
+    assert held == sorted((r["h"], *r["bins"]) for r in rows.collect())
+
+
 # --- isotonic ---------------------------------------------------------------
 
 def max_min(points):
