@@ -140,3 +140,18 @@ def test_runs_stream_whole_sources_in_bounded_steps(monkeypatch):
         found += [tuple(sorted(p)) for p in zip(r.y[r.left], r.y[r.right])]
     want = [tuple(sorted(p)) for _, own in rows.groupby("doc_id") for p in itertools.combinations(own["_y"], 2)]
     assert sorted(found) == sorted(want)
+
+
+def test_packed_runs_are_the_runs_that_have_a_tau(spark):
+    rows = [r for r in ratings(30, 2, 5)] + [(100, None, 1.0, 2.0), (100, 2.0, 1.0, 1.0), (101, 1.0, None, 1.0), (101, 2.0, 1.0, 0.0),
+                                             (102, 1.0, 1.0, 1.0), (102, 1.0, 2.0, 3.0), (103, 1.0, float("inf"), 1.0),
+                                             (103, 2.0, float("inf"), 2.0), (104, float("inf"), 1.0, 1.0), (104, float("inf"), 2.0, 3.0),
+                                             (104, 1.0, 2.0, 3.0)]
+    df = frame(spark, rows, 2)
+    plain, packed = blend.Sources(df, SIGNALS[:2]), blend.Sources(df, SIGNALS[:2]).persist()
+    assert packed.small.columns == ["x", "y", "fold", "size"] and packed.small.count() < len(rows)
+    cands = blend.candidate_grid(2)
+    plain, kept = ({r["cand"]: (r["sum_tau"], r["n_def"]) for r in s.tau_sums(cands).collect()} for s in (plain, packed))
+    packed.unpersist()
+    assert {c: n for c, (_, n) in plain.items()} == {c: n for c, (_, n) in kept.items()}
+    assert [kept[c][0] for c in sorted(kept)] == pytest.approx([plain[c][0] for c in sorted(kept)], abs=1e-9)
