@@ -155,3 +155,15 @@ def test_packed_runs_are_the_runs_that_have_a_tau(spark):
     packed.unpersist()
     assert {c: n for c, (_, n) in plain.items()} == {c: n for c, (_, n) in kept.items()}
     assert [kept[c][0] for c in sorted(kept)] == pytest.approx([plain[c][0] for c in sorted(kept)], abs=1e-9)
+
+
+def test_equal_candidates_are_scored_once(spark, monkeypatch):
+    asked = []
+    sums = blend.Sources.tau_sums
+
+    def counted(self, candidates):
+        asked.append(list(candidates))
+        return sums(self, candidates)
+    monkeypatch.setattr(blend.Sources, "tau_sums", counted)
+    weights.cross_validated(frame(spark, ratings(30, 2, 6), 2), SIGNALS[:2], k=3)
+    assert all(len(c) == len(set(c)) for c in asked[:-1])
