@@ -544,3 +544,44 @@ def test_epoch_order(spark):
     o1b = [r.pair_index for r in pairs.epoch_order(df, 1).orderBy("position").collect()]
     o2 = [r.pair_index for r in pairs.epoch_order(df, 2).orderBy("position").collect()]
     assert o1 == o1b and o1 != o2 and sorted(o1) == list(range(300))
+
+
+def test_signal_disagreement_sorts_no_table(spark):
+    rows = [(f"r{i:03d}", float(i % 7), float(i * 37 % 101), None if i % 50 == 0 else float(i * 53 % 97), float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id string, score double, a double, b double, c double").repartition(4)
+    out = analyse.signal_disagreement(df, ["a", "b", "c"], 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan and " Sort " not in plan
+    z = {}
+    for j, s in enumerate("abc", 2):
+        v = np.array([r[j] for r in rows if r[j] is not None])
+        z[s] = {r[0]: (r[j] - v.mean()) / v.std(ddof=1) for r in rows if r[j] is not None}
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        want = sorted((-round(abs(z[x][r] - z[y][r]), 9), r) for r in z[x] if r in z[y])[:4]
+        got = sorted((-round(r["diff"], 9), r["row_id"]) for r in out.collect() if (r["signal_a"], r["signal_b"]) == (x, y))
+        assert got == want
+
+
+@pytest.mark.parametrize("report", [analyse.lp_tau_breakdown, analyse.spearman_props])
+def test_reports_evaluate_the_detail_once(spark, report):
+    rows = [("s", i, (i * 7 % 13) / 13, i % 5, float(i % 11), float(i % 3), float(i), 0.0, "en", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "signal string, doc_id long, tau double, n_systems int, gold_range double, pred_range double, "
+                                     "gold_mean double, pred_mean double, src_lang string, tgt_lang string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    assert report(df.mapInPandas(counted, df.schema)).collect()
+    assert seen.value == len(rows)
+
+
+def test_gold_ties_are_counted_once_for_all_signals(spark):
+    rows = [(f"r{i}", i % 6, float(i * 7 % 5), float(i * 3 % 4), float(i * 5 % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id string, doc_id long, score double, a double, b double")
+    out = analyse.per_source_pvalues(df, ["a", "b"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate stack") == 2     # taus and ties of signals
+    alone = {r["doc_id"]: r["pvalue"] for r in analyse.per_source_pvalues(df, ["b"]).collect()}
+    got = {r["doc_id"]: r["pvalue"] for r in out.collect() if r["signal"] == "b"}
+    assert got == alone and len(got) == 6
