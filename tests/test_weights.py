@@ -1,7 +1,9 @@
 """Line search over tau breakpoints and the climb built on it."""
 
+import functools
 import itertools
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -167,3 +169,31 @@ def test_equal_candidates_are_scored_once(spark, monkeypatch):
     monkeypatch.setattr(blend.Sources, "tau_sums", counted)
     weights.cross_validated(frame(spark, ratings(30, 2, 6), 2), SIGNALS[:2], k=3)
     assert all(len(c) == len(set(c)) for c in asked[:-1])
+
+
+def test_a_line_takes_few_passes(monkeypatch):
+    """Each pass reads all pairs: few of them find the optimum that many find."""
+    rng = np.random.default_rng(11)
+    x = rng.random((14_000, 3))
+    rows = pd.DataFrame({"doc_id": np.repeat(np.arange(2000), 7), "_y": x.sum(axis=1) + rng.normal(size=len(x)),
+                         **{s: c for s, c in zip(SIGNALS, x.T)}})
+    passes = []
+
+    def profile(sources, tracks, edges):
+        passes.append(1)
+        read = functools.partial(sourceruns.runs, signals=SIGNALS[:3])
+        return pd.concat(weights._bin_sums(read, tracks, edges)(iter([rows])))
+
+    monkeypatch.setattr(weights, "bin_profile", profile)
+    few = weights.exact_lines(SimpleNamespace(signals=SIGNALS[:3]), [((1.0, 1.0, 1.0), None)])
+    assert len(passes) <= 3
+    monkeypatch.setattr(weights, "BINS", 16)
+    many = weights.exact_lines(SimpleNamespace(signals=SIGNALS[:3]), [((1.0, 1.0, 1.0), None)])
+    assert len(passes) > 6
+    for at in few:
+        assert few[at].best() == pytest.approx(many[at].best(), abs=1e-9)
+
+
+def test_bins_of_a_pass_are_bounded():
+    assert weights._bins(3) == weights.BINS
+    assert all(weights._bins(n) * n <= max(weights.PASS_BINS, weights.LEAST_BINS * n) for n in (1, 3, 100, 10_000))
