@@ -7,8 +7,11 @@ sets with one shingle among the rarest quarter of each (linked sets share such
 a shingle), cut where sorted set sizes jump too far for a link.  In every
 region
 
-* a pivot is drawn and its exact distance to all members computed; the members
-  within the threshold form its ball and link with it;
+* a pivot is drawn; signatures (a few bits for each shingle, whose differing bits
+  are never more than the differing shingles) tell most members that are too far
+  from it, with a lower bound of their distance, and only for the others sets
+  move and exact distances are computed; the members within the threshold form
+  its ball and link with it;
 * by the triangle inequality a set at distance d from the pivot links only
   with sets whose distance lies in the window d - threshold to d + threshold;
   members outside the ball go on to the next round, and of the ball only
@@ -16,8 +19,10 @@ region
 
 In the next round the sets of all regions with one pivot form the region of
 that pivot.  A region whose members are connected by now is done; in the others
-the members outside the largest component are joined exactly with all members,
-in the window and between components only, in blocks of bounded size.  No link
+the members outside the largest component are compared with all members, in the
+window and between components only, in blocks of bounded size: by signatures, and
+exactly where these allow a link.  A block that would emit more than a few pairs
+for each of its rows is joined whole, through the shingles its sets hold.  No link
 between different components is missed and no group emits all its pairs.
 The rarity order comes
 from a count sketch over all documents that grows with them up to a bound (any
@@ -57,7 +62,10 @@ PERCENT = 75                    # least Jaccard index of a link, in percent
 SKETCH_BITS = 22, 24            # cells of the count sketch, least and most: 32 MB broadcast
 PAGE_CELLS = 1 << 16            # sketch cells in one row
 HEAVY = 2000                    # counts from which a shingle skips the buckets
-BUCKET_BYTES = 8 << 20          # text for each bucket of the shingle index
+BUCKETS = 16                    # buckets of the shingle index, where each has
+BUCKET_BYTES = 8 << 20, 32 << 20    # at least and at most so much text
+SIGNATURE_BITS = 2              # bits of a signature for each shingle, at least
+LIGHT = 4                       # pairs for each row of a block that are looked at one by one
 GRID_MEMBERS, GRID_OUTSIDE = 4096, 1024     # members and members outside in a block,
 GRID_KEYS = 1 << 21             # and shingles of the former; of the latter a quarter
 SLICE_BYTES = 2 << 20
@@ -170,6 +178,8 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
             keys, node, n, bucket = keys[order], node[order], n[order], bucket[order]
             used, begin = np.unique(bucket, return_index=True)
             cuts = list(zip(begin, np.append(begin[1:], len(bucket))))
+            # half a key is enough within a bucket: what meets by chance is told apart later
+            keys = (keys >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
                                                for x in (keys, node, n))], names=["bucket", "keys", "nodes", "sizes"])
@@ -184,7 +194,10 @@ def meeting_places(packed: DataFrame, buckets: int) -> DataFrame:
         return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows.column(name).to_pylist())])
 
     def unpacked(rows) -> tuple[np.ndarray, ...]:
-        return column(rows, "keys", np.uint64), column(rows, "nodes", np.int64), column(rows, "sizes", np.int32)
+        held = [len(x) // 4 for x in rows.column("keys").to_pylist()]
+        bucket = np.repeat(rows.column("bucket").to_numpy().astype(np.uint64), held)
+        keys = (column(rows, "keys", np.uint32).astype(np.uint64) << np.uint64(32)) | bucket
+        return keys, column(rows, "nodes", np.int64), column(rows, "sizes", np.int32)
 
     def run(rows: pa.Table) -> pa.Table:
         keys, node, n = unpacked(rows)
@@ -233,8 +246,38 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def signature(keys: np.ndarray) -> np.ndarray:
+    """Parity of the keys in each of a power of two of cells, as bytes.  Two sets
+    differ in at least as many shingles as their signatures in bits."""
+    cells = 1 << max(6, (SIGNATURE_BITS * len(keys) - 1).bit_length())
+    at = (keys & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8))
+
+
+def folded(marks: np.ndarray, size: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as ones of ``size`` words: cells are the
+    last bits of a key, so halves lie upon each other."""
+    while marks.shape[-1] > size:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of signatures, folded to the smaller size."""
+    size = min(x.shape[-1], y.shape[-1])
+    return np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(axis=-1, dtype=np.int64)
+
+
+def may_link(nx, ny, bits):
+    """False where sets of these sizes whose signatures differ in ``bits`` cannot link."""
+    most = (nx + ny - bits) // 2                # shingles in common
+    return (100 * most >= PERCENT * (nx + ny - most)) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
+
+
 def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, keys) of the wanted nodes, from one document of each."""
+    """(node, keys, bits) of the wanted nodes, from one document of each: the set and
+    its ``signature``."""
     chosen = staged(names.join(wanted, "node", "left_semi").select("node", "row_key"), "chosen")
     n = chosen.count()
     bits = bloom.filter_bits(n)
@@ -245,11 +288,12 @@ def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
         for part in _slices(batches):
             sets = Sets(part.column("text"))
             same = np.flatnonzero(sets.node == part.column("node").to_numpy())     # rows whose keys collide
+            keys = [sets.keys[sets.first[r]:sets.first[r + 1]] for r in same]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.node[same]), pa.array([sets.keys[sets.first[r]:sets.first[r + 1]].tobytes() for r in same],
-                                                     pa.binary())], names=["node", "keys"])
+                [pa.array(sets.node[same]), pa.array([k.tobytes() for k in keys], pa.binary()),
+                 pa.array([signature(k).tobytes() for k in keys], pa.binary())], names=["node", "keys", "bits"])
 
-    sets = staged(texts.mapInArrow(run, "node long, keys binary"), "keys")
+    sets = staged(texts.mapInArrow(run, "node long, keys binary, bits binary"), "keys")
     discard(chosen)
     if sets.count() > n:                        # equal rows
         repeated, sets = sets, staged(sets.dropDuplicates(["node"]), "keys")
@@ -274,10 +318,30 @@ def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return bloom.with_hit(sets, "node", bitmaps, bits).where("hit").drop("hit")
 
 
+def apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, least) of the pairs (a, b, na, nb): a lower bound of the distance where
+    signatures rule a link out, null where they do not."""
+    def side(c: str) -> DataFrame:
+        return sets.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _views(batch.column("bits_a")), _views(batch.column("bits_b"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            bits = np.array([differing(p, q) for p, q in zip(x, y)], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(2 * bits / (na + nb + bits), mask=may_link(na, nb, bits))],
+                names=["a", "b", "least"])
+
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    return full.mapInArrow(run, "a long, b long, least double")
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, na, nb) of the pairs (a, b), exactly."""
     def side(c: str) -> DataFrame:
-        return only(sets, pairs.select(F.col(c).alias("node"))).select(F.col("node").alias(c), F.col("keys").alias(f"k{c}"))
+        return only(sets.select("node", "keys"), pairs.select(F.col(c).alias("node"))).select(
+            F.col("node").alias(c), F.col("keys").alias(f"k{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,8 +382,9 @@ def measured(rows: DataFrame) -> DataFrame:
 
 def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
     """Links (a, b) of regions with many open pairs: members outside the largest
-    component and all members lie in blocks, and a task joins one block of each
-    through the shingles they hold, so no pair is emitted that does not link."""
+    component and all members lie in blocks, and a task compares one block of each
+    by signatures.  The few pairs that may link are measured one by one; blocks with
+    many of them are joined by ``block_links``.  The links are staged."""
     def blocks(rows: str, held: str, size: int, keys: int) -> Column:
         return F.ceil(F.greatest(F.col(rows) / size, F.col(held) / keys)).cast("int")
 
@@ -333,7 +398,48 @@ def grid_links(big: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
                          F.lit(False).alias("asks"))
     outside = big.where("label <> top").select(*cols, block(few, "outside").alias("o"),
                                                F.explode(F.sequence(F.lit(0), many - 1)).alias("m"), F.lit(True).alias("asks"))
-    cells = members.unionByName(outside).join(only(sets, big.select("node")), "node")
+    cells = members.unionByName(outside)
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        region, m, o, node, label, n = (cell.column(c).to_numpy() for c in ("region", "m", "o", "node", "label", "n"))
+        d = cell.column("d").to_numpy().astype(float)
+        asks = cell.column("asks").to_numpy(zero_copy_only=False)
+        bits = _views(cell.column("bits").chunk(0) if cell.num_rows else pa.array([], pa.binary()))
+        words = np.array([len(x) for x in bits], np.int64)
+        classes = [(np.flatnonzero(~asks & (words == size)), size) for size in np.unique(words[~asks])]
+        classes = [(rows, size, np.stack([bits[r] for r in rows])) for rows, size in classes]
+        pairs, found = [], 0
+        for i in np.flatnonzero(asks):
+            for rows, size, marks in classes:
+                if not words[i] // 2 <= size <= words[i] * 2:       # too far apart in size
+                    continue
+                near = may_link(n[i], n[rows], differing(marks, bits[i]))
+                near &= (label[rows] != label[i]) & ~(np.abs(d[rows] - d[i]) > reach)
+                pairs.append((np.full(near.sum(), node[i]), node[rows[near]]))
+                found += len(pairs[-1][0])
+            if found > LIGHT * len(node):
+                return pa.table({"region": region[:1], "m": m[:1], "o": o[:1], "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
+        return pa.table({"region": pa.array(np.resize(region, len(a))), "m": pa.array(np.resize(m, len(a)), pa.int32()),
+                         "o": pa.array(np.resize(o, len(a)), pa.int32()), "a": pa.array(a), "b": pa.array(b)})
+
+    marked = cells.join(sets.select("node", "bits"), "node")
+    near = staged(marked.groupBy("region", "m", "o").applyInArrow(run, "region long, m int, o int, a long, b long"), "near")
+    pairs = staged(near.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = distances(pairs, sets).where(_linked()).select("a", "b")
+    heavy = near.where("a is null").select("region", "m", "o")
+    if not heavy.isEmpty():
+        links = links.union(block_links(cells.join(heavy, ["region", "m", "o"], "left_semi"), sets, reach))
+    links = staged(links, "grid")
+    discard(near, pairs)
+    return links
+
+
+def block_links(cells: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
+    """Links (a, b) of whole blocks through the shingles they hold, so no pair is
+    emitted that does not link."""
+    cells = cells.join(only(sets.select("node", "keys"), cells.select("node")), "node")
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
@@ -379,30 +485,36 @@ def recursive_links(regions: DataFrame, sets: DataFrame, names: DataFrame) -> Da
     asked = regions.join(pivots, "region").where(F.col("node") != F.col("p")).select("node", "n", "label", "p", "np")
     asked = staged(asked.dropDuplicates(["node", "p"]), "asked")
     discard(regions, pivots)
-    pairs = asked.where(_near_sizes("n", "np")).select(F.col("node").alias("a"), F.col("p").alias("b"))
-    found = staged(distances(pairs, sets), "distances")
+    pairs = asked.where(_near_sizes("n", "np")).select(F.col("node").alias("a"), F.col("p").alias("b"),
+                                                       F.col("n").alias("na"), F.col("np").alias("nb"))
+    told = staged(apart(pairs, sets), "apart")
+    found = staged(distances(told.where("least is null").select("a", "b"), sets), "distances")
     balls = staged(found.where(_linked()).select("a", "b"), "balls")
     labels = components(names.select("node", "name"), balls).withColumnRenamed("label", "moved")
 
     # what goes on meets again in the regions of its pivots, larger ones than
     # those of single shingles: members outside the ball, and of the ball those
     # in the window of the nearest member outside
-    far = found.select(F.col("a").alias("node"), F.col("b").alias("p"), _distance().alias("d"), _linked().alias("ball"))
+    far = (found.select(F.col("a").alias("node"), F.col("b").alias("p"), _distance().alias("d"), _linked().alias("ball"),
+                        _distance().alias("least"))
+           .unionByName(told.where("least is not null").select(
+               F.col("a").alias("node"), F.col("b").alias("p"), F.lit(None).cast("double").alias("d"), F.lit(False).alias("ball"), "least")))
     rest = (asked.join(far, ["node", "p"], "left")
-            # no distance: the sizes are too far apart, it is beyond the threshold
-            .select(F.col("p").alias("region"), "node", "n", "d", "label", F.coalesce("ball", F.lit(False)).alias("ball")))
-    nearest = rest.where(~F.col("ball")).groupBy("region").agg(F.min(F.coalesce("d", F.lit(reach))).alias("nearest"))
+            # no distance: the signatures or the sizes are too far apart, it is beyond the threshold
+            .select(F.col("p").alias("region"), "node", "n", "d", "label", "least", F.coalesce("ball", F.lit(False)).alias("ball")))
+    nearest = rest.where(~F.col("ball")).groupBy("region").agg(F.min(F.coalesce("least", F.lit(reach))).alias("nearest"))
     nearest = staged(nearest, "nearest")
     rest = (rest.join(nearest, "region")
-            .where(~F.col("ball") | (F.col("d") >= F.col("nearest") - reach)).drop("ball", "nearest"))
+            .where(~F.col("ball") | (F.col("d") >= F.col("nearest") - reach)).drop("ball", "nearest", "least"))
     rest = staged(rest.join(labels, "node", "left")
                   .select("region", "node", "n", "d", F.coalesce("moved", "label").alias("label")), "rest")
-    discard(asked, found, nearest)
+    discard(asked, told, found, nearest)
     unsettled = staged(measured(rest).where("open > 0"), "unsettled")
     big = staged(rest.join(unsettled, "region"), "open")
     discard(rest, unsettled)
-    links = staged(balls.union(grid_links(big, sets, reach)), "links")
-    discard(balls, big, sets)
+    joined = grid_links(big, sets, reach)
+    links = staged(balls.union(joined), "links")
+    discard(balls, joined, big, sets)
     return links
 
 
@@ -416,7 +528,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("id").alias("least"), F.min("row_key").alias("row_key")), "names")
     names = known.select("node", F.col("node").alias("name"), "row_key")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    least, most = BUCKET_BYTES
+    buckets = max(1, math.ceil(size / most), min(BUCKETS, math.ceil(size / least)))
     packed = staged(postings(docs, count_sketch(docs, sketch_bits(size)), buckets), "postings")
     places = staged(meeting_places(packed, buckets), "places")
     discard(packed)
