@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,58 @@ def test_near_duplicates_in_blocks_of_shingles(docs, corpus, monkeypatch):
     assert found(docs) == near(corpus)
 
 
+def test_signatures_rule_out_no_link():
+    """Signatures of any sizes differ in no more bits than their sets in shingles,
+    and tell sets apart that are far from a link."""
+    rng = np.random.default_rng(3)
+    told = 0
+    for _ in range(400):
+        own, both, other = rng.integers(0, 60), rng.integers(1, 900), rng.integers(0, 400)
+        keys = rng.integers(0, 1 << 63, own + both + other, dtype=np.uint64)
+        x, y = np.sort(keys[:own + both]), np.sort(keys[own:])
+        bits = jaccard_join.differing(*(jaccard_join.signature(k).view(np.uint64) for k in (x, y)))
+        assert bits <= own + other
+        links = 100 * both >= 75 * (own + both + other)
+        may = bool(jaccard_join.may_link(len(x), len(y), bits))
+        assert may or not links
+        assert 2 * bits / (len(x) + len(y) + bits) <= 1 - both / (own + both + other) + 1e-12
+        told += not may
+        assert not may or 100 * both >= 60 * (own + both + other) or len(x) + len(y) < 200
+    assert told > 100
+
+
+def test_few_sets_move(spark, monkeypatch):
+    """Sets that share a shingle and little else are told apart by signatures: no
+    exact distance is asked for."""
+    rows = [(i, " ".join(["same", "five", "words", "in", "all"] + [f"w{i}x{j}" for j in range(200)])) for i in range(12)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[1][1] + " more")]
+    asked, distances = [], jaccard_join.distances
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return distances(pairs, sets)
+
+    monkeypatch.setattr(jaccard_join, "distances", counted)
+    monkeypatch.setattr(jaccard_join, "HEAVY", 1)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == near(rows)
+    assert 0 < sum(asked) <= 6
+
+
+def test_blocks_with_many_pairs_are_joined_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = [f"w{j}" for j in range(120)]
+        for _ in range(rng.randint(0, 8)):
+            text[rng.randrange(len(text))] = f"x{rng.random()}"
+        rows.append((i, " ".join(text)))
+    joined, block_links = [], jaccard_join.block_links
+    monkeypatch.setattr(jaccard_join, "LIGHT", -1)
+    monkeypatch.setattr(jaccard_join, "block_links", lambda *a: joined.append(1) or block_links(*a))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == near(rows)
+    assert joined
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
     text = " ".join(f"w{i}" for i in range(30))
