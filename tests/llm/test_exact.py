@@ -252,6 +252,33 @@ def test_blocks_with_many_pairs_are_joined_whole(spark, monkeypatch):
     assert joined
 
 
+def test_texts_of_chosen_rows_stay(spark, monkeypatch):
+    """The rows asked for are found without a shuffle of their texts, also where the
+    filter of their keys lets others through: only those that it cannot tell move."""
+    monkeypatch.setattr(jaccard_join.bloom, "filter_bits", lambda n: 15 if n == 2000 else 18)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(12_000)], "id long, text string").repartition(3)
+    docs = docs.select("id", "text", jaccard_join.row_key("id", "text").alias("row_key"))
+    chosen = jaccard_join.staged(docs.where("id % 6 = 0").select("row_key"), "chosen")
+    told, looked_up = jaccard_join.rows_of(docs, docs, chosen)
+    assert "hashpartitioning" not in told.select("text")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in told._jdf.queryExecution().executedPlan().toString() for x in ("SortMergeJoin", "ShuffledHashJoin"))
+    few, many = looked_up.count(), told.count()
+    assert few + many == 2000 and few < 100
+    assert {r.id for r in told.unionByName(looked_up).collect()} == set(range(0, 12_000, 6))
+
+
+def test_regions_are_told_apart_without_their_members(spark, monkeypatch):
+    """A bucket gives a row for each region, those with the same members once."""
+    base = [f"w{j}" for j in range(100)]
+    rows = [(i, " ".join(base + [f"x{i}"])) for i in range(5)] + [(5, " ".join(f"y{j}" for j in range(40)))]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    packed = jaccard_join.postings(docs, jaccard_join.count_sketch(docs, 22), 1)
+    places = jaccard_join.staged(jaccard_join.meeting_places(packed, 1), "places")
+    assert [r.size for r in places.collect()] == [5]
+    regions = jaccard_join.merged(places).collect()
+    assert len(regions) == 5 and len({r.node for r in regions}) == 5 and {r.n for r in regions} == {97}
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
     text = " ".join(f"w{i}" for i in range(30))

@@ -188,8 +188,10 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
 
 
 def meeting_places(packed: DataFrame, buckets: int) -> DataFrame:
-    """(region, node, n): sets that share a rare shingle, cut where sorted sizes
-    are too far apart for a link."""
+    """Sets that share a rare shingle, cut where sorted sizes are too far apart for
+    a link: a row for each region with its members (``nodes``, ``sizes``) and what
+    tells them from others (``size``, ``low``, ``high``, ``mark``), those with the same
+    members once in a bucket.  Members of frequent shingles are rows (region, node, n)."""
     def column(rows, name: str, kind) -> np.ndarray:
         return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows.column(name).to_pylist())])
 
@@ -208,13 +210,22 @@ def meeting_places(packed: DataFrame, buckets: int) -> DataFrame:
         keys, node, n = keys[again], node[again], n[again].astype(np.int64)
         begins = np.ones(len(keys), bool)
         begins[1:] = (keys[1:] != keys[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
-        run_no = np.cumsum(begins) - 1
-        size = np.bincount(run_no)[run_no]
-        first = np.flatnonzero(begins)[run_no]
-        keys = W.splitmix(keys + n[first].astype(np.uint64))
-        keep = size > 1
-        keys, node, n = keys[keep], node[keep], n[keep]
-        return pa.table({"region": pa.array(W.signed(keys)), "node": pa.array(node), "n": pa.array(n, pa.int64())})
+        first = np.flatnonzero(begins)
+        end = np.append(first[1:], len(keys))[:len(first)]
+        region = W.signed(W.splitmix(keys[first] + n[first].astype(np.uint64)))
+        size, low, high, mark = end - first, *(np.zeros(0, np.int64),) * 3
+        if len(first):
+            low, high = np.minimum.reduceat(node, first), np.maximum.reduceat(node, first)
+            mark = W.signed(np.add.reduceat(W.splitmix(node.view(np.uint64)), first))
+        several = np.flatnonzero(size > 1)
+        tags = np.stack([size, low, high, mark], axis=1)[several]
+        at = several[np.unique(tags, axis=0, return_index=True)[1]]
+        n = n.astype(np.int32)
+        return pa.table({
+            "region": pa.array(region[at]), "node": pa.nulls(len(at), pa.int64()), "n": pa.nulls(len(at), pa.int64()),
+            "size": pa.array(size[at], pa.int64()), "low": pa.array(low[at]), "high": pa.array(high[at]), "mark": pa.array(mark[at]),
+            "nodes": pa.array([node[first[i]:end[i]].tobytes() for i in at], pa.binary()),
+            "sizes": pa.array([n[first[i]:end[i]].tobytes() for i in at], pa.binary())})
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,21 +234,35 @@ def meeting_places(packed: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys)), pa.array(node), pa.array(n, pa.int64())],
                                                  names=["region", "node", "n"])
 
-    schema = "region long, node long, n long"
-    return (packed.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(run, schema)
-            .unionByName(packed.where(F.col("bucket") >= buckets).mapInArrow(passed, schema).distinct()))
+    rows = "region long, node long, n long"
+    whole = f"{rows}, size long, low long, high long, mark long, nodes binary, sizes binary"
+    return (packed.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(run, whole)
+            .unionByName(packed.where(F.col("bucket") >= buckets).mapInArrow(passed, rows).distinct(), allowMissingColumns=True))
 
 
-def merged(regions: DataFrame) -> DataFrame:
-    """Of staged regions those with the same members once, single members left out;
-    the others are deleted."""
-    region = regions.groupBy("region").agg(
+def merged(places: DataFrame) -> DataFrame:
+    """(region, node, n): of staged meeting places those with the same members once,
+    single members left out; the places are deleted.  Regions that lie in one row are
+    told apart without their members, and only those that stay are unpacked."""
+    whole, loose = places.where("size is not null"), places.where("size is null").select("region", "node", "n")
+    region = loose.groupBy("region").agg(
         F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"),
-        F.sum(F.shiftright(F.xxhash64("node"), 16)).alias("mark"))
-    once = region.where("size > 1").groupBy("size", "low", "high", "mark").agg(F.min("region").alias("region"))
+        F.sum(F.shiftright(F.xxhash64("node"), 16)).alias("mark")).where("size > 1")
+    region = region.unionByName(whole.select(*region.columns))
+    once = region.groupBy("size", "low", "high", "mark").agg(F.min("region").alias("region"))
     once = staged(once.select("region"), "merged")
-    kept = staged(regions.join(once, "region", "left_semi"), "regions")
-    discard(once, regions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("nodes", np.int64), ("sizes", np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("region").to_numpy(), batch.column("size").to_numpy())), pa.array(node),
+                 pa.array(n, pa.int64())], names=["region", "node", "n"])
+
+    stay = whole.select("region", "size", "nodes", "sizes").join(once, "region", "left_semi")
+    kept = staged(stay.mapInArrow(run, "region long, node long, n long")
+                  .unionByName(loose.join(once, "region", "left_semi")), "regions")
+    discard(once, places)
     return kept
 
 
@@ -275,27 +300,49 @@ def may_link(nx, ny, bits):
     return (100 * most >= PERCENT * (nx + ny - most)) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
 
 
-def sets_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
+def rows_of(docs: DataFrame, members: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose key is in ``chosen``: those told where they lie, and the
+    few that are looked up.  ``members`` holds the keys of all rows, so those that a
+    filter of the chosen ones lets through by mistake are known, and rows outside a
+    second filter, of these, are right."""
+    def pages(keys: DataFrame, bits: int) -> DataFrame:
+        return staged(bloom.pages(bloom.cell_rows(keys, F.col("row_key"), bits)), "bits")
+
+    keys = chosen.select("row_key")
+    bits = bloom.filter_bits(chosen.count())
+    first = pages(keys, bits)
+    wrong = bloom.with_hit(members.select("row_key"), "row_key", first, bits).where("hit").select("row_key")
+    wrong = staged(wrong.join(keys, "row_key", "left_anti").distinct(), "wrong")
+    wrong_bits = bloom.filter_bits(wrong.count())
+    second = pages(wrong, wrong_bits)
+    discard(wrong)
+    rows = bloom.with_hit(docs, "row_key", first, bits).where("hit").drop("hit")
+    rows = bloom.with_hit(rows, "row_key", second, wrong_bits)
+    return rows.where(~F.col("hit")).drop("hit"), rows.where("hit").drop("hit").join(keys, "row_key", "left_semi")
+
+
+def sets_of(docs: DataFrame, members: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, keys, bits) of the wanted nodes, from one document of each: the set and
-    its ``signature``."""
+    its ``signature``.  Hardly a text moves (see ``rows_of``)."""
     chosen = staged(names.join(wanted, "node", "left_semi").select("node", "row_key"), "chosen")
     n = chosen.count()
-    bits = bloom.filter_bits(n)
-    bitmaps = bloom.pages(bloom.cell_rows(chosen, F.col("row_key"), bits))
-    texts = bloom.with_hit(docs, "row_key", bitmaps, bits).where("hit").select("row_key", "text").join(chosen, "row_key")
+    told, looked_up = rows_of(docs, members, chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in _slices(batches):
             sets = Sets(part.column("text"))
-            same = np.flatnonzero(sets.node == part.column("node").to_numpy())     # rows whose keys collide
-            keys = [sets.keys[sets.first[r]:sets.first[r + 1]] for r in same]
+            new = [r for r in np.unique(sets.node, return_index=True)[1] if sets.n[r] and int(sets.node[r]) not in seen]
+            seen.update(sets.node[new].tolist())
+            keys = [sets.keys[sets.first[r]:sets.first[r + 1]] for r in new]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.node[same]), pa.array([k.tobytes() for k in keys], pa.binary()),
+                [pa.array(sets.node[new]), pa.array([k.tobytes() for k in keys], pa.binary()),
                  pa.array([signature(k).tobytes() for k in keys], pa.binary())], names=["node", "keys", "bits"])
 
+    texts = told.select("text").unionByName(looked_up.select("text"))
     sets = staged(texts.mapInArrow(run, "node long, keys binary, bits binary"), "keys")
     discard(chosen)
-    if sets.count() > n:                        # equal rows
+    if sets.count() > n:                        # equal rows, or rows whose keys collide
         repeated, sets = sets, staged(sets.dropDuplicates(["node"]), "keys")
         discard(repeated)
     return sets
@@ -534,7 +581,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = staged(meeting_places(packed, buckets), "places")
     discard(packed)
     regions = merged(places)
-    sets = sets_of(docs, names, regions.select("node").distinct())
+    sets = sets_of(docs, members, names, regions.select("node").distinct())
     links = recursive_links(regions, sets, names)
     labelled = staged(known.join(components(names.select("node", "name"), links), "node", "left")
                       .select("node", "least", F.coalesce("label", "node").alias("component")), "labelled")
