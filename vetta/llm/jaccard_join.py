@@ -259,7 +259,10 @@ def merged(places: DataFrame) -> DataFrame:
                 [pa.array(np.repeat(batch.column("region").to_numpy(), batch.column("size").to_numpy())), pa.array(node),
                  pa.array(n, pa.int64())], names=["region", "node", "n"])
 
-    stay = whole.select("region", "size", "nodes", "sizes").join(once, "region", "left_semi")
+    bits = bloom.filter_bits(once.count())
+    bitmaps = bloom.pages(bloom.cell_rows(once, F.col("region"), bits))
+    stay = bloom.with_hit(whole.select("region", "size", "nodes", "sizes"), "region", bitmaps, bits).where("hit").drop("hit")
+    stay = stay.join(once, "region", "left_semi")
     kept = staged(stay.mapInArrow(run, "region long, node long, n long")
                   .unionByName(loose.join(once, "region", "left_semi")), "regions")
     discard(once, places)
