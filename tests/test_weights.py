@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vetta.operators import blend, pairstats, sourceruns, weights
 
@@ -197,3 +198,63 @@ def test_a_line_takes_few_passes(monkeypatch):
 def test_bins_of_a_pass_are_bounded():
     assert weights._bins(3) == weights.BINS
     assert all(weights._bins(n) * n <= max(weights.PASS_BINS, weights.LEAST_BINS * n) for n in (1, 3, 100, 10_000))
+
+
+def best_on_line(rows, base, j):
+    """(tau, low, high) of the first best interval along weight ``j``, by all pairs."""
+    k, cuts = len(base), {0.0, 1.0}
+    for _, own in itertools.groupby(sorted(rows, key=lambda r: r[0]), key=lambda r: r[0]):
+        for p, q in itertools.combinations(list(own), 2):
+            d0 = sum(base[i] * (p[2 + i] - q[2 + i]) for i in range(k) if i != j)
+            d1 = p[2 + j] - q[2 + j]
+            if d1 and 0 < -d0 / d1 < 1:
+                cuts.add(round(-d0 / d1, 9))
+    cuts = sorted(cuts)
+    value = [mean_tau(rows, [(u + v) / 2 if i == j else x for i, x in enumerate(base)]) for u, v in zip(cuts[:-1], cuts[1:])]
+    i = next(i for i, v in enumerate(value) if v >= max(value) - 1e-9)
+    return value[i], cuts[i], cuts[i + 1]
+
+
+@pytest.fixture
+def few_rows_whole(monkeypatch):
+    """Sources of more than four rows are large ones, of several blocks and steps."""
+    monkeypatch.setattr(sourceruns, "WHOLE", 4)
+    monkeypatch.setattr(sourceruns, "BLOCK", 3)
+    monkeypatch.setattr(sourceruns, "RUN_PAIRS", 7)
+
+
+@pytest.mark.parametrize("seed, base", [(5, (1.0, 1.0)), (6, (0.0, 0.5)), (7, (0.25, 0.0, 0.75))])
+def test_lines_count_the_pairs_of_large_sources(spark, seed, base, few_rows_whole):
+    k = len(base)
+    rows = ratings(14, k, seed, big=18)
+    rows += rows[3:9] + [(200, None if i == 2 else 1.0 * i, *[float(i)] * k) for i in range(6)]      # rows that come twice, a gap
+    got = {r["signal"]: r for r in weights.line_optima(frame(spark, rows, k), SIGNALS[:k], base).collect()}
+    want = {s: best_on_line(rows, base, j) for j, s in enumerate(SIGNALS[:k]) if sum(base) > base[j]}
+    assert set(got) == set(want)
+    for s, (tau, low, high) in want.items():
+        assert got[s]["tau"] == pytest.approx(tau, abs=1e-9)
+        assert (got[s]["low"], got[s]["high"]) == pytest.approx((low, high))
+
+
+def test_a_source_is_counted_at_any_size(spark):
+    """One source of more rows than the pair statistics take as small."""
+    rows = ratings(6, 2, 8, big=pairstats.SMALL_GROUP + 6)
+    got = {r["signal"]: r for r in weights.line_optima(frame(spark, rows, 2), SIGNALS[:2]).collect()}
+    for j, s in enumerate(SIGNALS[:2]):
+        assert (got[s]["tau"], got[s]["low"], got[s]["high"]) == pytest.approx(best_on_line(rows, (1.0, 1.0), j), abs=1e-9)
+
+
+def test_blocks_give_the_bins_of_whole_sources(spark, monkeypatch):
+    rows = ratings(12, 3, 21, big=30) + [(300, 1.0, 1.0, 1.0, 1.0)] * 9
+    df = frame(spark, [(d % 3, *r) for d, *r in rows], 3).withColumn("f", F.col("doc_id") % 2)
+    tracks = [((1.0, 0.3, 0.7), None), ((0.2, 1.0, 0.0), 1)]
+    edges = [[np.linspace(0, 1, 8)[:-1]] * 3, [np.linspace(0, 1, 5)[:-1], None, np.array([0.0, 0.5])]]
+    found = []
+    for whole, block in ((sourceruns.WHOLE, sourceruns.BLOCK), (4, 4096), (4, 5)):
+        monkeypatch.setattr(sourceruns, "BLOCK", block)
+        sources = blend.Sources(df, SIGNALS[:3], "score", "f", whole).persist()
+        assert bool(sources.n_big) == (whole == 4)
+        found.append(weights.bin_profile(sources, tracks, edges).sort_values(["track", "line", "bin"]).reset_index(drop=True))
+        sources.unpersist()
+    for other in found[1:]:
+        pd.testing.assert_frame_equal(found[0], other, rtol=1e-9, atol=1e-12)
