@@ -258,3 +258,30 @@ def test_blocks_give_the_bins_of_whole_sources(spark, monkeypatch):
         sources.unpersist()
     for other in found[1:]:
         pd.testing.assert_frame_equal(found[0], other, rtol=1e-9, atol=1e-12)
+
+
+def test_search_ends_where_no_weight_gains_with_large_sources(spark, few_rows_whole):
+    """All rows are in two large sources."""
+    rows = [(r[0] % 2, *r[1:]) for r in ratings(14, 3, 17)]
+    df = frame(spark, rows, 3)
+    got = weights.search(df, SIGNALS[:3]).collect()
+    w, tau = [r["weight"] for r in got], got[0]["tau"]
+    assert tau == pytest.approx(mean_tau(rows, w), abs=1e-9)
+    assert tau > max(mean_tau(rows, v) for v in weights._starts(3)) + 1e-6
+    assert all(best_on_line(rows, w, j)[0] <= tau + 1e-8 for j in range(3))
+
+
+def test_a_climb_goes_on_until_no_weight_gains(spark, monkeypatch):
+    """More moves than any bound: a line that gains a little each time."""
+    taus = iter(np.linspace(0.0, 0.5, 51))
+    last = [0.0]
+
+    def objective(sources, candidates, held):
+        last[0] = next(taus, last[0])
+        return np.full(len(candidates), last[0])
+
+    line = SimpleNamespace(best=lambda: (1.0, 0.0, 1.0))
+    monkeypatch.setattr(weights, "_objective", objective)
+    monkeypatch.setattr(weights, "exact_lines", lambda sources, tracks, wanted: {at: line for at in wanted})
+    (_, tau), = weights._climb(SimpleNamespace(signals=SIGNALS[:2], n_big=0), [None])
+    assert tau == pytest.approx(0.5)
