@@ -271,6 +271,16 @@ def test_search_ends_where_no_weight_gains_with_large_sources(spark, few_rows_wh
     assert all(best_on_line(rows, w, j)[0] <= tau + 1e-8 for j in range(3))
 
 
+def test_folds_climb_over_large_sources(spark, few_rows_whole):
+    rows = [(r[0] % 4, *r[1:]) for r in ratings(18, 3, 17)]
+    df = frame(spark, rows, 3)
+    fold = {r["doc_id"]: r["fold"] for r in blend.doc_folds(df, k=2).collect()}
+    for r in weights.cross_validated(df, SIGNALS[:3], k=2).collect():
+        w, rest = [r[f"w_{s}"] for s in SIGNALS[:3]], [x for x in rows if fold[x[0]] != r["fold"]]
+        assert r["train_tau"] == pytest.approx(mean_tau(rest, w), abs=1e-9)
+        assert all(best_on_line(rest, w, j)[0] <= r["train_tau"] + 1e-8 for j in range(3) if sum(w) > w[j])
+
+
 def test_a_climb_goes_on_until_no_weight_gains(spark, monkeypatch):
     """More moves than any bound: a line that gains a little each time."""
     taus = iter(np.linspace(0.0, 0.5, 51))
