@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vetta.operators import isotonic, learn, pairstats, trees
+from vetta.operators import features, isotonic, learn, pairstats, trees
 from vetta.plans.lineage import checkpointed
 
 
@@ -143,6 +143,44 @@ def test_passes_read_blocks_of_rows(spark):
     assert held == sorted((r["h"], *r["bins"]) for r in rows.collect())
 
 
+def test_shares_of_a_table_give_the_same_trees(spark, monkeypatch):
+    p = trees.Params(rounds=4, rate=0.4, least_rows=5, leaves=8, row_share=0.7)
+    df = spark.createDataFrame(table(400, 7), SCHEMA).repartition(3)
+    edges = trees.bin_edges(df, ["a", "b", "c"])
+    whole = trees.boost(df, ["a", "b", "c"], "score", "fold", [(0, 1), (1, 2)], p, edges)[1]
+    monkeypatch.setattr(trees, "SHARE_ROWS", 100)
+    kept, sums = [], trees.sums
+
+    def counted(rows, *more):
+        kept.append(rows.count())
+        return sums(rows, *more)
+    monkeypatch.setattr(trees, "sums", counted)
+    shared = trees.boost(df, ["a", "b", "c"], "score", "fold", [(0, 1), (1, 2)], p, edges)[1]
+    assert kept[:4] != [kept[4]] * 4 and len(shared) == 2         # four shares of blocks, then all together
+    for a, b in zip(whole, shared):
+        assert [(t.feature, t.cut) for t in a.trees] == [(t.feature, t.cut) for t in b.trees]
+        assert [v for t in a.trees for v in t.value] == pytest.approx([v for t in b.trees for v in t.value])
+
+
+def test_kept_rows_are_small(spark):
+    rows = [(f"row-{i:09d}", i % 500, i % 3, float(i % 40), float(i % 11), float(i % 7), float(i % 3)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    base = trees.binned_table(df, ["a", "b", "c"], trees.bin_edges(df, ["a", "b", "c"]), "score", "fold")
+    assert base.inputFiles() and "h" in base.columns            # read from files, not from a lineage
+    state = trees.in_blocks(base, np.zeros(1)).select(*[F.length(c) for c in ("fold", "y", "bins")]).collect()
+    assert sum(map(sum, state)) < 20_000 * (4 + 8 + 3) / 3
+    assert base.where(F.col("h") == F.xxhash64("row_id")).count() == 20_000
+
+
+def test_features_move_no_derived_terms(spark):
+    df = spark.createDataFrame(table(50, 2), SCHEMA).withColumn("tgt_lang", F.lit("de"))
+    out, names = features.build_features(df, ["a", "b"])
+    assert [c for c in out.columns if c.startswith("a_")] == [n for n in names if n.startswith("a_")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join"):]
+    assert "a_minus_b" in plan and "a_minus_b" not in join and "is_de" not in join
+
+
 # --- isotonic ---------------------------------------------------------------
 
 def max_min(points):
